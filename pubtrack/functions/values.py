@@ -63,7 +63,7 @@ def any_date(value: Column) -> Column:
         F.try_to_timestamp(F.when(F.rlike(mail, F.lit(shape)), mail), F.lit("d MMM yyyy HH:mm:ss Z")),
         "yyyy-MM-dd'T'HH:mm:ssXXX")
     written = F.regexp_extract(value, r"(\d{2}[/-]\d{2}[/-]20\d{2})", 1)
-    day = F.try_to_date(F.when(written != "", F.translate(written, "-", "/")), F.lit("dd/MM/yyyy")).cast("string")
+    day = F.try_to_date(F.when(written != "", F.translate(written, "-", "/")), "dd/MM/yyyy").cast("string")
     return F.coalesce(iso_day, iso_instant, mail_instant, day)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pubtrack.functions.values import short_id
-from pubtrack.operators.scan import following, ordered_scan, previous, rank
+from pubtrack.operators.scan import following, last_known, next_known, ordered_scan, previous, rank
 
 
 def ordinal_rank(rows: DataFrame, scope: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
@@ -31,16 +31,23 @@ def neighbours(rows: DataFrame, group: Sequence[str], order: Sequence[Column], n
 def check_insertions(baseline: DataFrame, insertions: DataFrame, group: Sequence[str], number: str) -> DataFrame:
     """Verdict per insertion: unknown block, number already present, bracketed or at an edge."""
     keys = list(group)
-    wanted = insertions.select(*keys, number).distinct()
-    near = (baseline.join(wanted.withColumnRenamed(number, "_n"), keys)
-            .groupBy(*keys, "_n").agg(
-                F.max(F.when(F.col(number) < F.col("_n"), F.col(number))).alias("number_before"),
-                F.min(F.when(F.col(number) > F.col("_n"), F.col(number))).alias("number_after"),
-                F.bool_or(F.col(number) == F.col("_n")).alias("_present"))
-            .withColumnRenamed("_n", number))
     repeated = insertions.groupBy(*keys, number).agg(F.count(F.lit(1)).alias("_copies"))
-    judged = repeated.join(near, [*keys, number], "left")
-    verdict = (F.when(F.col("_copies") > 1, "repeated_insertion").when(F.col("_present").isNull(), "unknown_block")
+    wanted = repeated.select(*keys, number)
+    listed = baseline.select(*keys, number).distinct()
+    # Probes before and after each wanted number share one ordered scan with the list, so the
+    # neighbours are found without pairing insertions and members.
+    probes = (wanted.withColumn("_side", F.lit(0)).unionByName(listed.withColumn("_side", F.lit(1)))
+              .unionByName(wanted.withColumn("_side", F.lit(2))))
+    member = F.when(F.col("_side") == 1, F.col(number))
+    near = ordered_scan(probes, keys, [F.col(number), F.col("_side")],
+                        [last_known("_before", member), next_known("_after", member)])
+    met = near.where(F.col("_side") != 1).groupBy(*keys, number).agg(
+        F.max(F.when(F.col("_side") == 0, F.col("_before"))).alias("number_before"),
+        F.max(F.when(F.col("_side") == 2, F.col("_after"))).alias("number_after"))
+    judged = (repeated.join(met, [*keys, number])
+              .join(listed.withColumn("_present", F.lit(True)), [*keys, number], "left")
+              .join(listed.select(*keys).distinct().withColumn("_known", F.lit(True)), keys, "left"))
+    verdict = (F.when(F.col("_copies") > 1, "repeated_insertion").when(F.col("_known").isNull(), "unknown_block")
                .when(F.col("_present"), "already_present")
                .when(F.col("number_before").isNotNull() & F.col("number_after").isNotNull(), "bracketed")
                .otherwise("edge"))

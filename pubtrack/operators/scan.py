@@ -44,6 +44,11 @@ def last_known(name: str, value: Column) -> Step:
     return Step(name, "last", value)
 
 
+def next_known(name: str, value: Column) -> Step:
+    """Nearest non-null value from the current row onwards."""
+    return Step(name, "next", value)
+
+
 def previous(name: str, value: Column) -> Step:
     """Value of the preceding row, null for the first one."""
     return Step(name, "lag", value)
@@ -75,6 +80,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column], st
             staged = staged.withColumn(f"_v{i}", step.value)
     sliced = slice_rows(staged, keys, order)
     local = Window.partitionBy(_KEY, _SLICE).orderBy(_POS)
+    backward = Window.partitionBy(_KEY, _SLICE).orderBy(F.col(_POS).desc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
     running = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     scanned, summary = sliced, [F.count(F.lit(1)).alias("_n")]
     for i, step in enumerate(steps):
@@ -85,6 +92,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column], st
             "sum": lambda v, b: (F.sum(v).over(running), F.sum(v)),
             "last": lambda v, b: (F.last(v, ignorenulls=True).over(running),
                                   F.max_by(v, F.when(v.isNotNull(), F.col(_POS)))),
+            "next": lambda v, b: (F.last(v, ignorenulls=True).over(backward),
+                                  F.min_by(v, F.when(v.isNotNull(), F.col(_POS)))),
             "lag": lambda v, b: (F.lag(b).over(local), F.max_by(b, F.col(_POS))),
             "lead": lambda v, b: (F.lead(b).over(local), F.min_by(b, F.col(_POS))),
             "max": lambda v, b: (F.max(v).over(running), F.max(v)),
@@ -95,6 +104,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column], st
     edges = sliced.groupBy(_KEY, _SLICE).agg(*summary)
     by_slice = Window.partitionBy(_KEY).orderBy(_SLICE)
     before = by_slice.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(_KEY).orderBy(F.col(_SLICE).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = []
     for i, step in enumerate(steps):
         edge = F.col(f"_e{i}")
@@ -102,6 +112,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column], st
             "rank": lambda: F.sum("_n").over(before),
             "sum": lambda: F.sum(edge).over(before),
             "last": lambda: F.last(edge, ignorenulls=True).over(before),
+            "next": lambda: F.last(edge, ignorenulls=True).over(after),
             "lag": lambda: F.lag(edge).over(by_slice),
             "lead": lambda: F.lead(edge).over(by_slice),
             "max": lambda: F.max(edge).over(before),
@@ -114,6 +125,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column], st
             "rank": lambda: mine + F.coalesce(earlier, F.lit(0)),
             "sum": lambda: F.coalesce(mine + earlier, mine, earlier),
             "last": lambda: F.coalesce(mine, earlier),
+            "next": lambda: F.coalesce(mine, earlier),
             "lag": lambda: F.coalesce(mine, earlier)["v"],
             "lead": lambda: F.coalesce(mine, earlier)["v"],
             "max": lambda: F.greatest(mine, earlier),
