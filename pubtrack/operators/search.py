@@ -40,6 +40,14 @@ def postings(corpus: DataFrame, identity: str, text: str) -> DataFrame:
     return corpus.select(identity, F.explode(trigrams(F.col(text))).alias("gram"))
 
 
+def matching_postings(corpus: DataFrame, identity: str, text: str, wanted: DataFrame) -> DataFrame:
+    """Corpus rows repeated only for the wanted grams they hold. ``wanted`` has been proven small;
+    it travels as one array, so unwanted grams are dropped before any row is copied."""
+    held = wanted.agg(F.collect_set("gram").alias("_wanted")).withColumn("_one", F.lit(1))
+    marked = corpus.withColumn("_one", F.lit(1)).join(F.broadcast(held), "_one").drop("_one")
+    return marked.withColumn("gram", F.explode(F.array_intersect(trigrams(F.col(text)), F.col("_wanted")))).drop("_wanted")
+
+
 def missing_postings(corpus: DataFrame, indexed: DataFrame, identity: str) -> DataFrame:
     """Records without postings yet; the index is complete when there are none."""
     return corpus.join(indexed.select(identity).distinct(), identity, "left_anti")
@@ -73,13 +81,12 @@ def search_names(corpus: DataFrame, record: str, text: str, parsed: DataFrame, q
     names = parsed.where(F.col("kind") == "name")
     wanted = names.select(F.explode("grams").alias("gram")).distinct()
     few = is_small(wanted, broadcast_rows)
-    index = postings(corpus, record, text)
-    relevant = index.join(F.broadcast(wanted) if few else wanted, "gram", "left_semi")
-    chosen = rarest_gram(parsed, query, gram_sizes(relevant)).where(F.col("posting_size") > 0)
+    index = matching_postings(corpus.select(record, text), record, text, wanted) if few else (
+        postings(corpus, record, text).join(wanted, "gram", "left_semi"))
+    chosen = rarest_gram(parsed, query, gram_sizes(index)).where(F.col("posting_size") > 0)
     probes = names.select(query, "words", "long_words").join(chosen, query)
     if few:
-        grams = corpus.withColumn("gram", F.explode(trigrams(F.col(text))))
-        met = grams.join(F.broadcast(probes), "gram")
+        met = matching_postings(corpus, record, text, chosen.select("gram").distinct()).join(F.broadcast(probes), "gram")
     else:
         share = F.pmod(F.xxhash64(record), F.lit(SHARES)).cast("int")
         spread = probes.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))

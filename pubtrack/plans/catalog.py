@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pubtrack.plans import activity, crawl, documents, lookups, publications, rosters  # noqa: F401
+from pubtrack.plans import activity, admission, crawl, documents, extraction, generations, lookups, publications, rosters  # noqa: F401
 from pubtrack.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -42,7 +42,8 @@ def _(spark, d):
 
 
 @query("document_postings", """
-WITH g AS (SELECT DISTINCT doc_id, substr(t, i, 3) AS gram FROM (SELECT doc_id, lower(strip_accents(text)) AS t FROM documents), unnest(range(1, length(t) - 1)) AS u(i))
+WITH c AS (SELECT doc_id, string_split(lower(strip_accents(text)), '') AS ch FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ch) - 1), lambda i: ch[i] || ch[i + 1] || ch[i + 2])) AS gram FROM c)
 SELECT gram, count(*) AS posting_size FROM g GROUP BY 1
 """)
 def _(spark, d):
@@ -51,10 +52,10 @@ def _(spark, d):
 
 
 @query("index_backfill", """
-SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')
+SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 47)
 """)
 def _(spark, d):
-    indexed = load(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    indexed = load(spark, d, "lineitem").where("l_quantity > 47").select(F.col("l_partkey").alias("p_partkey"))
     return search.missing_postings(load(spark, d, "part"), indexed, "p_partkey").select("p_partkey")
 
 
