@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pubtrack.operators.queues import carry_state
-from pubtrack.operators.scan import last_known, ordered_scan, previous, top_per_key
+from pubtrack.operators.scan import last_known, next_known, ordered_scan, previous, top_per_key
 
 DAY = 86_400
 
@@ -190,9 +190,12 @@ def change_probe(probes: DataFrame, completions: DataFrame, source: Sequence[str
 
 def correlated_completions(requests: DataFrame, completions: DataFrame, request: str, created: str, attempt: str) -> DataFrame:
     """Earliest completion of each request that is not older than one second before it."""
-    done = completions.select(F.col(request).alias("_r"), F.col(attempt).alias("_a"))
-    met = requests.join(done, (F.col(request) == F.col("_r")) & (F.col("_a") >= F.col(created) - 1_000_000), "left")
-    return met.groupBy(*requests.columns).agg(F.min("_a").alias("completed_us"))
+    # One scan over both tables finds the nearest completion; nothing is paired.
+    union = requests.withColumn("_t", F.col(created) - 1_000_000).withColumn("_kind", F.lit(0)).unionByName(
+        completions.select(request, F.col(attempt).alias("_t"), F.lit(1).alias("_kind")), allowMissingColumns=True)
+    scanned = ordered_scan(union, [request], [F.col("_t"), F.col("_kind")], [
+        next_known("completed_us", F.when(F.col("_kind") == 1, F.col("_t")))])
+    return scanned.where("_kind = 0").select(*requests.columns, "completed_us")
 
 
 def watchdog_retries(observations: DataFrame, service: Sequence[str], at: str, identity: str, needs: Column, unavailable: Column,

@@ -8,21 +8,26 @@ from pubtrack.operators import ledger
 from pubtrack.plans.activity import by_time, events
 from pubtrack.plans.registry import query
 
-THROTTLE = """
-WITH RECURSIVE t AS (SELECT {service} AS service, epoch_us(ts) // 1000000 AS s, min(event_id) AS event_id FROM events {where} GROUP BY 1, 2),
-a(service, s, n) AS (SELECT service, min(s), 1 FROM t GROUP BY 1 UNION ALL
- SELECT x.service, x.s, CASE WHEN x.s // 86400 = a.s // 86400 THEN a.n + 1 ELSE 1 END FROM a, LATERAL (SELECT t.service, min(t.s) AS s FROM t WHERE t.service = a.service
-  AND t.s >= a.s + {gap} AND (a.n < {cap} OR t.s // 86400 > a.s // 86400) GROUP BY 1) x)
+# Each second points to the next one that could be accepted; the walk follows the pointers.
+WALK = """
+p AS (SELECT t.*, u.s AS nxt, v.s AS later FROM t ASOF LEFT JOIN t u ON t.service = u.service AND t.s + {gap} <= u.s
+ ASOF LEFT JOIN t v ON t.service = v.service AND greatest(t.s + {gap}, (t.s // 86400 + 1) * 86400) <= v.s),
+a(service, s, n) AS (SELECT service, min(s), 1 FROM p GROUP BY 1 UNION ALL
+ SELECT p.service, CASE WHEN a.n < {cap} THEN nxt ELSE later END, CASE WHEN (CASE WHEN a.n < {cap} THEN nxt ELSE later END) // 86400 = a.s // 86400 THEN a.n + 1 ELSE 1 END
+ FROM a JOIN p ON p.service = a.service AND p.s = a.s WHERE (CASE WHEN a.n < {cap} THEN nxt ELSE later END) IS NOT NULL)
 """
+THROTTLE = """
+WITH RECURSIVE t AS (SELECT {service} AS service, epoch_us(ts) // 1000000 AS s, min(event_id) AS event_id FROM events GROUP BY 1, 2),
+""" + WALK
 
 
-@query("throttle_batch", THROTTLE.format(service="'gate'", where="", gap=300, cap=96) + "SELECT t.service, t.s AS accepted_second, t.event_id FROM t JOIN a ON a.service = t.service AND a.s = t.s")
+@query("throttle_batch", THROTTLE.format(service="'gate'", gap=300, cap=96) + "SELECT t.service, t.s AS accepted_second, t.event_id FROM t JOIN a ON a.service = t.service AND a.s = t.s")
 def _(spark, d):
     requests = events(spark, d).select(F.lit("gate").alias("service"), "event_id", "us")
     return ledger.throttle(requests, ["service"], "event_id", F.floor(F.col("us") / 1_000_000), 300, 96)
 
 
-@query("throttle_attachments", THROTTLE.format(service="event_type", where="", gap=1200, cap=96) + """
+@query("throttle_attachments", THROTTLE.format(service="event_type", gap=1200, cap=96) + """
 , k AS (SELECT t.service, t.event_id FROM t JOIN a ON a.service = t.service AND a.s = t.s)
 SELECT e.event_id, k.event_id IS NOT NULL AS acquired, last_value(k.event_id IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, e.event_id ROWS UNBOUNDED PRECEDING) AS job_id
 FROM events e LEFT JOIN k ON k.service = e.event_type AND k.event_id = e.event_id
@@ -36,8 +41,8 @@ def _(spark, d):
 @query("lease_outcomes", """
 WITH j AS (SELECT user_id AS job_id, epoch_us(min(ts)) AS started_us FROM events WHERE event_type = 'signup' GROUP BY 1),
 c AS (SELECT j.job_id, min(epoch_us(e.ts)) AS f FROM j JOIN events e ON e.user_id = j.job_id AND e.event_type = 'purchase' GROUP BY 1)
-SELECT j.job_id, started_us, CASE WHEN f BETWEEN started_us AND started_us + 72000 * 1000000 THEN 'completed' ELSE 'failed' END AS job_status,
- CASE WHEN f BETWEEN started_us AND started_us + 72000 * 1000000 THEN f ELSE started_us + 72000 * 1000000 END AS ended_us FROM j LEFT JOIN c USING (job_id)
+SELECT j.job_id, started_us, CASE WHEN f BETWEEN started_us AND started_us + 72000000000 THEN 'completed' ELSE 'failed' END AS job_status,
+ CASE WHEN f BETWEEN started_us AND started_us + 72000000000 THEN f ELSE started_us + 72000000000 END AS ended_us FROM j LEFT JOIN c USING (job_id)
 """)
 def _(spark, d):
     e = events(spark, d).withColumn("job_id", F.col("user_id"))
@@ -128,7 +133,7 @@ SELECT day, CAST(sum(w) AS BIGINT) AS writes FROM u GROUP BY 1
 """)
 def _(spark, d):
     reservations, allocations = write_ledger(spark, d)
-    return ledger.write_usage(reservations, reservations.select("reservation_id", "expires_day"), allocations)
+    return ledger.write_usage(reservations.drop("expires_day"), reservations.select("reservation_id", "expires_day"), allocations)
 
 
 @query("change_probe", """
@@ -158,9 +163,9 @@ def _(spark, d):
 
 @query("watchdog_retries", """
 WITH RECURSIVE o AS (SELECT user_id, event_id, ts, event_type, coalesce(lag(event_type IN ('error', 'signup')) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) AS was FROM events),
-t AS (SELECT user_id, epoch_us(ts) // 1000000 AS s, min(event_id) AS event_id FROM o WHERE event_type IN ('error', 'signup') AND NOT (event_type = 'error' AND NOT was) GROUP BY 1, 2),
-a(user_id, s) AS (SELECT user_id, min(s) FROM t GROUP BY 1 UNION ALL SELECT x.user_id, x.s FROM a, LATERAL (SELECT t.user_id, min(t.s) AS s FROM t WHERE t.user_id = a.user_id AND t.s >= a.s + 3600 GROUP BY 1) x)
-SELECT t.user_id, t.s AS accepted_second, t.event_id FROM t JOIN a ON a.user_id = t.user_id AND a.s = t.s
+t AS (SELECT user_id AS service, epoch_us(ts) // 1000000 AS s, min(event_id) AS event_id FROM o WHERE event_type IN ('error', 'signup') AND NOT (event_type = 'error' AND NOT was) GROUP BY 1, 2),
+""" + WALK.format(gap=3600, cap=1000000) + """
+SELECT t.service AS user_id, t.s AS accepted_second, t.event_id FROM t JOIN a ON a.service = t.service AND a.s = t.s
 """)
 def _(spark, d):
     seen = events(spark, d).select("user_id", "event_id", "us", "event_type")
