@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pubtrack.plans import activity, admission, crawl, documents, extraction, generations, lookups, publications, rosters  # noqa: F401
+from pubtrack.plans import (  # noqa: F401
+    activity, admission, crawl, documents, extraction, generations, lookups, publications, rosters, streams,
+)
 from pubtrack.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
