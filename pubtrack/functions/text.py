@@ -73,12 +73,20 @@ def occurrences(text: Column, token: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, token, F.lit("")))) / F.length(token)
 
 
+def token_needs(wanted: Column) -> Column:
+    """Distinct tokens with how often each is asked for."""
+    return F.transform(F.array_distinct(wanted), lambda t: F.struct(
+        t.alias("t"), F.size(F.filter(wanted, lambda other: other == t)).alias("n")))
+
+
+def meets_needs(text: Column, needs: Column) -> Column:
+    """Every needed token occurs often enough; counting is left to tokens asked for repeatedly."""
+    return F.forall(needs, lambda s: F.contains(text, s["t"]) & ((s["n"] == 1) | (occurrences(text, s["t"]) >= s["n"])))
+
+
 def contains_tokens(text: Column, wanted: Column) -> Column:
     """Every token occurs in ``text`` at least as often as in ``wanted``, in any order."""
-    return F.forall(
-        F.array_distinct(wanted),
-        lambda t: occurrences(text, t) >= F.size(F.filter(wanted, lambda other: other == t)),
-    )
+    return meets_needs(text, token_needs(wanted))
 
 
 def contains_words(text: Column, wanted: Column) -> Column:

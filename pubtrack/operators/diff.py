@@ -19,12 +19,11 @@ def publication_totals(rows: DataFrame, publication: Sequence[str], quantity: st
     )
 
 
-def _side_totals(rows: DataFrame, group: Sequence[str], quantity: str, position: Sequence[Column],
-                 carried: Sequence[str]) -> DataFrame:
-    first = F.min_by(F.struct(*carried), F.struct(*position))
+def _side_totals(rows: DataFrame, group: Sequence[str], quantity: str, position: str) -> DataFrame:
+    # Fixed-width buffers only: the aggregation hashes and combines before the shuffle.
     return rows.groupBy(*group).agg(
         F.sum(F.coalesce(F.col(quantity), F.lit(0)).cast("long")).alias("_places"),
-        F.count(F.lit(1)).alias("_rows"), first.alias("_first"))
+        F.count(F.lit(1)).alias("_rows"), F.min(position).alias("_first"))
 
 
 def _changes(sides: DataFrame, group: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -32,30 +31,42 @@ def _changes(sides: DataFrame, group: Sequence[str], keys: Sequence[str]) -> Dat
     def of(later: bool, column: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("_later") == later, F.col(column))), F.lit(0).cast("long"))
 
+    def first(later: bool) -> Column:
+        return F.min(F.when(F.col("_later") == later, F.col("_first")))
+
     met = sides.groupBy(*group).agg(
         of(False, "_places").alias("before"), of(True, "_places").alias("after"),
         of(False, "_rows").alias("before_rows"), of(True, "_rows").alias("after_rows"),
-        F.max_by("_first", F.col("_later")).alias("row"))
+        F.coalesce(first(True), first(False)).alias("first_position"))
     kind = (F.when(F.col("before") == 0, F.lit("appeared")).when(F.col("after") == 0, F.lit("disappeared"))
             .otherwise(F.lit("quantity_changed")))
     return met.where(F.col("before") != F.col("after")).select(
         *group, short_id(row_text([F.col(k) for k in keys]), 24).alias("change_id"), kind.alias("kind"),
-        "before", "after", (F.col("after") - F.col("before")).alias("delta"), "before_rows", "after_rows", "row")
+        "before", "after", (F.col("after") - F.col("before")).alias("delta"), "before_rows", "after_rows", "first_position")
 
 
-def snapshot_diff(before: DataFrame, after: DataFrame, keys: Sequence[str], quantity: str,
-                  position: Sequence[Column], carried: Sequence[str]) -> DataFrame:
+def snapshot_diff(before: DataFrame, after: DataFrame, keys: Sequence[str], quantity: str, position: str) -> DataFrame:
     """Quantity changes between two publications; equal totals are not reported. Absence in the
-    later one is only ever reported as ``disappeared``."""
-    old = _side_totals(before, keys, quantity, position, carried).withColumn("_later", F.lit(False))
-    new = _side_totals(after, keys, quantity, position, carried).withColumn("_later", F.lit(True))
+    later one is only ever reported as ``disappeared``. ``first_position`` names the representative
+    row: the first of the later publication, else of the earlier one."""
+    old = _side_totals(before, keys, quantity, position).withColumn("_later", F.lit(False))
+    new = _side_totals(after, keys, quantity, position).withColumn("_later", F.lit(True))
     return _changes(old.unionByName(new), keys, keys)
 
 
+def representative_rows(changes: DataFrame, rows: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
+    """Changes with the full row that stands for them; a null key part equals a null key part."""
+    named = rows.select(*[F.col(c).alias(f"row_{c}") for c in rows.columns])
+    rule = F.col(f"row_{position}") == F.col("first_position")
+    for key in keys:
+        rule = rule & F.col(f"row_{key}").eqNullSafe(F.col(key))
+    return changes.join(named, rule, "left")
+
+
 def snapshot_diff_series(rows: DataFrame, publication: str, keys: Sequence[str], quantity: str,
-                         position: Sequence[Column], carried: Sequence[str]) -> DataFrame:
+                         position: str) -> DataFrame:
     """Every publication of a table against the one before it, in one read of the table."""
-    totals = _side_totals(rows, [publication, *keys], quantity, position, carried)
+    totals = _side_totals(rows, [publication, *keys], quantity, position)
     order = rows.select(publication).distinct()
     following = order.select(publication, F.lead(publication).over(Window.orderBy(publication)).alias("_next"))
     earlier = (totals.join(following, publication).where(F.col("_next").isNotNull())

@@ -125,6 +125,21 @@ def parse_roster(lines: DataFrame, layout: RosterLayout, document: str = "doc",
     return members, faults.select(document, page, line_no, F.explode("_v").alias("violation"))
 
 
+def section_lines(lines: DataFrame, document: Sequence[str], position: Sequence[Column], starts: Column, ends: Column) -> DataFrame:
+    """Lines of a section: from each start line to the next end line, both left out."""
+    mark = F.when(starts, F.lit(True)).when(ends, F.lit(False))
+    scanned = ordered_scan(lines, document, position, [last_known("_inside", mark)])
+    return scanned.where(F.coalesce("_inside", F.lit(False)) & ~F.coalesce(starts, F.lit(False))).drop("_inside")
+
+
+def compare_operations(found: DataFrame, expected: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Operations read from an amendment against the reviewed list of operations, as multisets."""
+    from pubtrack.operators.diff import multiset_difference
+
+    gap = multiset_difference(found, expected, columns)
+    return gap.withColumn("problem", F.when(F.col("left_count") > F.col("right_count"), "unexpected").otherwise("not_found"))
+
+
 def words_to_cells(words: DataFrame, columns: DataFrame, page_keys: Sequence[str], row: str) -> DataFrame:
     """Text of every row and column: words whose left edge lies in the x-range of the column, in
     reading order. ``columns`` holds a few ranges (``label``, ``x0``, ``x1``) and is broadcast."""

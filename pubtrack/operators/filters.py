@@ -121,3 +121,14 @@ def next_pages(rows: DataFrame, loaded: DataFrame, identity: str) -> DataFrame:
 def clean_preferences(values: Column, pattern: str, most: int) -> Column:
     """Well-formed distinct values in first-seen order, limited to ``most``."""
     return F.slice(F.array_distinct(F.filter(values, lambda v: F.coalesce(F.rlike(v, F.lit(pattern)), F.lit(False)))), 1, most)
+
+
+def publication_context(publications: DataFrame, identity: str, current_id: Column) -> DataFrame:
+    """Display flags: not the current publication any more, and archived copy available."""
+    available = F.col("artifact_url").isNotNull() & (F.coalesce(F.col("evidence_status"), F.lit("")) != "original_unavailable")
+    return publications.withColumn("historical", ~F.col(identity).eqNullSafe(current_id)).withColumn("copy_available", available)
+
+
+def duration_label(duration: Column, status: Column) -> Column:
+    """Stated duration, or whether the document states none or it was not read."""
+    return F.coalesce(F.nullif(duration, F.lit("")), F.when(status == "absent", "not_stated").otherwise("not_extracted"))

@@ -71,7 +71,18 @@ def apply_insertions(baseline: DataFrame, insertions: DataFrame, scope: str, blo
     return ordinal_rank(merged, [scope], [block_order, F.col(number), F.col(source)])
 
 
-def apply_corrections(baseline: DataFrame, changes: DataFrame, number: str, name: str, codes: str) -> DataFrame:
+def check_inclusions(baseline: DataFrame, inclusions: DataFrame, group: Sequence[str], number: str, before: str, after: str) -> DataFrame:
+    """Verdict of inclusions that state their two neighbours: both must be adjacent members and
+    stand around the number."""
+    judged = check_insertions(baseline, inclusions, group, number)
+    stated = inclusions.select(*group, number, before, after)
+    met = stated.join(judged, [*group, number])
+    proven = (F.col(before) == F.col("number_before")) & (F.col(after) == F.col("number_after"))
+    return met.withColumn("verdict", F.when(F.col("verdict").isin("bracketed", "edge"), F.when(
+        F.coalesce(proven, F.lit(False)), "proven").otherwise("neighbours_differ")).otherwise(F.col("verdict")))
+
+
+def apply_corrections(baseline: DataFrame, changes: DataFrame, number: str, name: str, codes: str) -> tuple[DataFrame, DataFrame]:
     """Add one array element per reviewed change, sorted, with a reference back to the baseline.
 
     A change applies only when its name fits exactly one member, that member carries the stated

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pubtrack.functions.text import alphanumerics, by_length, contains_tokens, contains_words, probe_grams, tokens, trigrams
+from pubtrack.functions.text import alphanumerics, by_length, contains_words, meets_needs, probe_grams, token_needs, tokens, trigrams
 from pubtrack.operators.scan import top_per_key
-from pubtrack.session import BROADCAST_ROWS, is_small
+from pubtrack.session import BROADCAST_ROWS, cut, is_small
 
 MAX_TOKENS = 6
 MAX_QUERY_CHARS = 100
@@ -31,7 +31,7 @@ def parse_queries(queries: DataFrame, identity: str, folded: str) -> DataFrame:
     long_words = by_length(F.filter(F.array_distinct(words), lambda w: F.length(w) >= 3))
     kind = (F.when(F.coalesce(invalid, F.lit(True)), "invalid").when(F.rlike(text, F.lit(r"^\d{7,8}$")), "number")
             .when(F.size(long_words) == 0, "too_short").otherwise("name"))
-    return queries.select(identity, text.alias("query"), words.alias("words"), long_words.alias("long_words"), kind.alias("kind"),
+    return queries.select(identity, text.alias("query"), words.alias("words"), token_needs(words).alias("needs"), long_words.alias("long_words"), kind.alias("kind"),
                           probe_grams(long_words).alias("grams"))
 
 
@@ -84,25 +84,27 @@ def search_names(corpus: DataFrame, record: str, text: str, parsed: DataFrame, q
     index = matching_postings(corpus.select(record, text), record, text, wanted) if few else (
         postings(corpus, record, text).join(wanted, "gram", "left_semi"))
     chosen = rarest_gram(parsed, query, gram_sizes(index)).where(F.col("posting_size") > 0)
-    probes = names.select(query, "words", "long_words").join(chosen, query)
+    # Small and read twice: once as the list of grams, once as the probe side.
+    probes = cut(names.select(query, "needs", "long_words").join(chosen, query))
     if few:
-        met = matching_postings(corpus, record, text, chosen.select("gram").distinct()).join(F.broadcast(probes), "gram")
+        met = matching_postings(corpus, record, text, probes.select("gram").distinct()).join(F.broadcast(probes), "gram")
     else:
         share = F.pmod(F.xxhash64(record), F.lit(SHARES)).cast("int")
-        spread = probes.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-        pairs = index.withColumn("_share", share).join(spread, ["gram", "_share"]).drop("_share")
+        shared = probes.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+        pairs = index.withColumn("_share", share).join(shared, ["gram", "_share"]).drop("_share")
         met = pairs.join(corpus, record)
-    candidates = met.where(contains_words(F.col(text), F.col("long_words")))
-    verified = contains_tokens(F.col(text), F.col("words"))
-    counts = candidates.groupBy(query).agg(F.count(F.lit(1)).alias("candidates"), F.count_if(verified).alias("matches"))
+    # One pass over the texts; what is kept of a candidate is its key, never its text.
+    candidates = cut(met.where(contains_words(F.col(text), F.col("long_words"))).select(
+        query, record, *order_columns(corpus, record, text), meets_needs(F.col(text), F.col("needs")).alias("_verified")))
+    counts = candidates.groupBy(query).agg(F.count(F.lit(1)).alias("candidates"), F.count_if("_verified").alias("matches"))
     outcomes = parsed.join(counts, query, "left").select(
         query, "kind", F.coalesce("candidates", F.lit(0)).alias("candidates"),
         F.when(F.col("kind") == "number", "number").when(F.col("kind") != "name", F.col("kind"))
         .when(F.col("candidates") > cap, "too_broad").otherwise("ok").alias("outcome"),
         F.coalesce(F.when(F.col("candidates") <= cap, F.col("matches") > page), F.lit(False)).alias("more"))
-    hits = top_per_key(candidates.where(verified).select(query, record, text, *order_columns(corpus, record, text)), [query], order, page)
+    hits = top_per_key(candidates.where("_verified").drop("_verified"), [query], order, page)
     broad = counts.where(F.col("candidates") > cap).select(query)
-    return hits.join(broad, query, "left_anti").drop(text), outcomes
+    return hits.join(broad, query, "left_anti"), outcomes
 
 
 def order_columns(corpus: DataFrame, record: str, text: str) -> list[str]:

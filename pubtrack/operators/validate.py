@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pubtrack.functions.text import squeeze
+from pubtrack.functions.values import clean_stamp, local_instant, strict_date
 from pubtrack.operators.scan import following, ordered_scan, previous
 
 
@@ -159,3 +160,53 @@ def section_coverage(sections: DataFrame, document: str, first_page: str, pages:
 def unique_key_gate(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once; the gate passes when this is empty."""
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+
+
+# Month names and printed header of a vacancy publication.
+MONTHS = "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split()
+VACANCY_TITLE = "Listado de Vacantes Sin Cubrir de Secundaria"
+NOTICE = (r"Convocatoria: (Adjudicación semanal) (\d{2}/\d{2}/\d{4})\. Proceso ([1-9]\d{0,9}) - "
+          r"Listado a (\d{1,2}) de ([A-Za-záéíóú]+) de (\d{4}), a las (\d{2}:\d{2})")
+
+
+def page_headers(pages: DataFrame, text: str, page: str, page_count: str) -> DataFrame:
+    """Parsed header of every page and the rules it breaks. The issue time is local; a clock time that
+    daylight saving skips or repeats is refused rather than guessed."""
+    lines = F.split(F.col(text), "\n")
+    notice = F.get(lines, F.lit(1))
+
+    def part(group: int) -> Column:
+        return F.regexp_extract(notice, f"^{NOTICE}$", group)
+
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(part(5)))
+    clock = F.concat(part(6), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(part(4), 2, "0"), F.lit(" "), part(7), F.lit(":00"))
+    local = F.try_to_timestamp(F.when(month > 0, clock), F.lit("yyyy-MM-dd HH:mm:ss"))
+    act = F.try_to_date(F.nullif(part(2), F.lit("")), "dd/MM/yyyy")
+    footer = F.concat(F.lit("Página "), F.col(page).cast("string"), F.lit(" de "), F.col(page_count).cast("string"))
+    parsed = pages.withColumn("act_title", F.nullif(part(1), F.lit(""))).withColumn("act_date", act).withColumn(
+        "process_id", F.nullif(part(3), F.lit(""))).withColumn("document_issued_at", local_instant(local))
+    return with_violations(parsed, {
+        "title": F.get(lines, F.lit(0)) == VACANCY_TITLE,
+        "notice": F.rlike(notice, F.lit(f"^{NOTICE}$")),
+        "footer": (F.element_at(lines, -1) == footer) & (F.regexp_count(F.col(text), F.lit(r"Página \d+ de \d+")) == 1),
+        "issue_time": F.col("document_issued_at").isNotNull(),
+        "act_date": F.col("act_date").isNotNull() & (F.col("act_date") <= F.to_date(local)),
+    })
+
+
+# How an original may reach the intake and what it may be.
+RECEIVED_VIA = ["official_download", "local_file"]
+KINDS = ["award", "baseline", "correction", "supplement", "maestros_roster", "vacancies"]
+
+
+def intake_rules() -> dict[str, Column]:
+    """Rules of an intake request."""
+    return {
+        "content_id": F.rlike("content_id", F.lit(r"^\d{1,10}$")),
+        "sha256": F.rlike("sha256", F.lit("^[0-9a-f]{64}$")),
+        "kind": F.col("kind").isin(KINDS),
+        "received_via": F.col("received_via").isin(RECEIVED_VIA),
+        "published_at": strict_date(F.col("published_at")).isNotNull(),
+        "received_at": clean_stamp(F.col("received_at")).isNotNull(),
+        "human_seconds": F.coalesce(F.col("human_seconds"), F.lit(0)).between(0, 86_400),
+    }

@@ -176,3 +176,70 @@ SELECT role AS code, count(*) AS row_count FROM conversations GROUP BY 1
 def _(spark, d):
     # Only the code column is read: texts of persons never enter the job.
     return load(spark, d, "conversations").select(F.col("role").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+@query("section_lines", """
+WITH m AS (SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN true WHEN role = 'system' THEN false END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS inside FROM conversations)
+SELECT conv_id, turn FROM m WHERE coalesce(inside, false) AND role <> 'user'
+""")
+def _(spark, d):
+    turns = load(spark, d, "conversations").select("conv_id", "turn", "role")
+    return extract.section_lines(turns, ["conv_id"], [F.col("turn")], F.col("role") == "user", F.col("role") == "system").select("conv_id", "turn")
+
+
+@query("amendment_operations", """
+WITH f AS (SELECT o_orderkey AS k, 'include' AS op FROM orders WHERE o_orderstatus = 'F'), e AS (SELECT l_orderkey AS k, 'include' AS op FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1),
+a AS (SELECT k, op, count(*) AS n FROM f GROUP BY ALL), b AS (SELECT k, op, count(*) AS n FROM e GROUP BY ALL)
+SELECT coalesce(a.k, b.k) AS order_id, 'include' AS op, coalesce(a.n, 0) AS left_count, coalesce(b.n, 0) AS right_count,
+ CASE WHEN coalesce(a.n, 0) > coalesce(b.n, 0) THEN 'unexpected' ELSE 'not_found' END AS problem FROM a FULL JOIN b ON a.k = b.k WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)
+""")
+def _(spark, d):
+    found = load(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("order_id"), F.lit("include").alias("op"))
+    expected = load(spark, d, "lineitem").where("l_returnflag = 'A' AND l_linenumber = 1").select(F.col("l_orderkey").alias("order_id"), F.lit("include").alias("op"))
+    return extract.compare_operations(found, expected, ["order_id", "op"])
+
+
+@query("page_headers", """
+SELECT event_id, strftime(ts, '%Y-%m-%d') AS act_date, event_id::VARCHAR AS process_id, CASE WHEN event_id % 5 = 0 THEN 'footer' WHEN event_id = 0 THEN 'notice' ELSE '' END AS broken,
+ strftime(date_trunc('minute', ts) - INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS issued_utc FROM events WHERE event_id > 0
+""")
+def _(spark, d):
+    from pubtrack.operators.validate import MONTHS, VACANCY_TITLE, page_headers
+    month = F.get(F.array(*[F.lit(m) for m in MONTHS]), F.month("ts") - 1)
+    number = F.when(F.col("event_id") % 5 == 0, 2).otherwise(1)
+    text = F.concat_ws("\n", F.lit(VACANCY_TITLE), F.concat(
+        F.lit("Convocatoria: Adjudicación semanal "), F.date_format("ts", "dd/MM/yyyy"), F.lit(". Proceso "), F.col("event_id").cast("string"), F.lit(" - Listado a "),
+        F.dayofmonth("ts").cast("string"), F.lit(" de "), month, F.lit(" de 2024, a las "), F.date_format("ts", "HH:mm")), F.concat(F.lit("Página "), number.cast("string"), F.lit(" de 3")))
+    pages = load(spark, d, "events").where("event_id > 0").select("event_id", text.alias("text"), F.lit(1).alias("page"), F.lit(3).alias("page_count"))
+    parsed = page_headers(pages, "text", "page", "page_count")
+    return parsed.select("event_id", F.col("act_date").cast("string").alias("act_date"), "process_id", F.array_join("violations", ",").alias("broken"),
+                         F.date_format("document_issued_at", "yyyy-MM-dd HH:mm:ss").alias("issued_utc"))
+
+
+@query("intake_requests", """
+SELECT doc_id, array_to_string(list_filter([CASE WHEN n_chars % 7 = 0 THEN 'kind' END, CASE WHEN n_chars % 5 = 0 THEN 'published_at' END, CASE WHEN n_chars % 3 = 0 THEN 'human_seconds' END], lambda x: x IS NOT NULL), ',') AS broken FROM documents
+""")
+def _(spark, d):
+    from pubtrack.operators.validate import intake_rules, with_violations
+    size = F.col("n_chars")
+    requests = load(spark, d, "documents").select(
+        "doc_id", F.col("doc_id").cast("string").alias("content_id"), F.sha2("text", 256).alias("sha256"), F.when(size % 7 == 0, "x").otherwise("award").alias("kind"),
+        F.lit("local_file").alias("received_via"), F.when(size % 5 == 0, "2024-02-30").otherwise("2024-02-28").alias("published_at"),
+        F.lit("2024-03-01T10:00:00Z").alias("received_at"), F.when(size % 3 == 0, -1).otherwise(60).alias("human_seconds"))
+    return with_violations(requests, intake_rules()).select("doc_id", F.array_join("violations", ",").alias("broken"))
+
+
+@query("publication_context", """
+WITH c AS (SELECT arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS cur FROM orders)
+SELECT o_orderkey, o_orderkey <> cur AS historical, o_orderstatus = 'F' AND o_orderpriority <> '5-LOW' AS copy_available,
+ CASE WHEN o_orderkey % 3 = 0 THEN 'curso' WHEN o_orderkey % 3 = 1 THEN 'not_stated' ELSE 'not_extracted' END AS duration FROM orders, c
+""")
+def _(spark, d):
+    from pubtrack.operators.filters import duration_label, publication_context
+    orders = load(spark, d, "orders").withColumn("_one", F.lit(1))
+    current = orders.groupBy("_one").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("current_id"))
+    shown = orders.join(F.broadcast(current), "_one").withColumn("artifact_url", F.when(F.col("o_orderstatus") == "F", "copy.pdf")).withColumn(
+        "evidence_status", F.when(F.col("o_orderpriority") == "5-LOW", "original_unavailable"))
+    third = F.col("o_orderkey") % 3
+    label = duration_label(F.when(third == 0, "curso"), F.when(third == 1, "absent"))
+    return publication_context(shown, "o_orderkey", F.col("current_id")).select("o_orderkey", "historical", "copy_available", label.alias("duration"))

@@ -8,7 +8,7 @@ from pubtrack.functions import text
 from pubtrack.operators import filters, ranking, search
 from pubtrack.operators.scan import ordered_scan, rank
 from pubtrack.plans.registry import query
-from pubtrack.session import load
+from pubtrack.session import load, spread
 
 
 @query("folded_text", """
@@ -77,7 +77,8 @@ def benchmark_queries(spark, d):
 
 
 def batch(spark, d, cap=search.CANDIDATE_CAP, broadcast_rows=search.BROADCAST_ROWS):
-    corpus = load(spark, d, "documents").select("doc_id", "lang", text.fold(F.col("text")).alias("t"))
+    documents = spread(load(spark, d, "documents").select("doc_id", "lang", "text"), "doc_id")
+    corpus = documents.select("doc_id", "lang", text.fold(F.col("text")).alias("t"))
     return search.search_names(corpus, "doc_id", "t", benchmark_queries(spark, d), "query_id", [F.col("lang"), F.col("doc_id")],
                                cap=cap, broadcast_rows=broadcast_rows)
 

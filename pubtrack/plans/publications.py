@@ -38,9 +38,8 @@ SELECT CAST(publication AS INTEGER) AS publication, l_suppkey, l_returnflag, l_l
  before_rows, after_rows, first_orderkey FROM f WHERE before <> after
 """)
 def _(spark, d):
-    changes = diff.snapshot_diff_series(vacancy_rows(spark, d), "publication", KEYS, "l_quantity",
-                                        [F.col("l_orderkey"), F.col("l_partkey")], ["l_orderkey", "l_partkey"])
-    return changes.withColumn("first_orderkey", F.col("row.l_orderkey")).drop("row")
+    changes = diff.snapshot_diff_series(vacancy_rows(spark, d), "publication", KEYS, "l_quantity", "l_orderkey")
+    return changes.withColumnRenamed("first_position", "first_orderkey")
 
 
 @query("snapshot_diff_pair", """
@@ -59,8 +58,8 @@ def _(spark, d):
     orders = load(spark, d, "orders")
     changes = diff.snapshot_diff(
         orders.where("o_orderstatus = 'F'"), orders.where("o_orderstatus = 'O'"),
-        ["o_custkey", "o_orderpriority"], "o_totalprice", [F.col("o_orderkey")], ["o_orderkey"])
-    return changes.drop("row", "change_id")
+        ["o_custkey", "o_orderpriority"], "o_totalprice", "o_orderkey")
+    return changes.drop("first_position", "change_id")
 
 
 @query("publication_totals", """

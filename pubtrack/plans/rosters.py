@@ -324,3 +324,20 @@ def _(spark, d):
     sections = load(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("document"), F.col("l_linenumber").alias("first_page")).agg(
         F.max(long_page).alias("pages"), F.lit(7).alias("page_count"))
     return validate.section_coverage(sections, "document", "first_page", "pages", "page_count")
+
+
+@query("proven_inclusions", """
+WITH i AS (SELECT c_nationkey AS specialty, c_mktsegment AS block, c_custkey * 10 + 5 AS list_number, c_custkey * 10 AS stated_before,
+  10 * CASE WHEN c_custkey % 4 = 0 THEN c_custkey + 1 ELSE lead(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) END AS stated_after FROM customer),
+n AS (SELECT c_custkey * 10 + 5 AS list_number, 10 * lead(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS a FROM customer)
+SELECT i.*, stated_before AS number_before, a AS number_after, CASE WHEN stated_after = a THEN 'proven' ELSE 'neighbours_differ' END AS verdict FROM i JOIN n USING (list_number)
+""")
+def _(spark, d):
+    listed = members(spark, d)
+    following = ranking.neighbours(listed, ["specialty", "block"], [F.col("list_number")], "list_number")
+    number = F.col("list_number")
+    inclusions = following.select(
+        "specialty", "block", (number * 10 + 5).alias("list_number"), (number * 10).alias("stated_before"),
+        (F.when(number % 4 == 0, number + 1).otherwise(F.col("number_after")) * 10).alias("stated_after"))
+    scaled = listed.withColumn("list_number", number * 10)
+    return ranking.check_inclusions(scaled, inclusions, ["specialty", "block"], "list_number", "stated_before", "stated_after")

@@ -62,3 +62,11 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a side of proven size; beyond it Catalyst shuffles as usual."""
     return F.broadcast(df) if is_small(df, rows) else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash the rows over all cores when the input has few partitions (some may be empty: a file
+    splits only at its row groups), for steps that cost much more than reading. Inputs of many
+    partitions are left where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < 4 * cores else df
