@@ -62,7 +62,7 @@ def workload(label: Column) -> tuple[Column, Column]:
 
 def vacancy_rules(cells: Column) -> dict[str, Column]:
     """Rules for the seven cells of a vacancy row."""
-    cell = [squeeze(cells[i]) for i in range(7)]
+    cell = [squeeze(F.get(cells, F.lit(i))) for i in range(7)]
     function = r"^(?:05\d{2}(?:\d{3}|[AFI]\d{2})|0594B23) \S.*$"
     return {
         "cell_count": F.size(cells) == 7,
@@ -81,28 +81,33 @@ def box_rules(boxes: Column, page_height: float = 595.0) -> dict[str, Column]:
     """Rules for the seven cell rectangles ``[x0, top, x1, bottom]`` of one row."""
     left, right = COLUMN_EDGES[:-1], COLUMN_EDGES[1:]
     edges = F.array(*[F.struct(F.lit(a).alias("x0"), F.lit(b).alias("x1")) for a, b in zip(left, right)])
-    aligned = F.forall(F.arrays_zip(boxes, edges), lambda z: (
-        (F.abs(z["0"][0] - z["1"]["x0"]) <= 2) & (F.abs(z["0"][2] - z["1"]["x1"]) <= 2)))
+
+    def at(box: Column, i: int) -> Column:
+        return F.get(box, F.lit(i))
+
+    aligned = F.forall(F.arrays_zip(boxes.alias("box"), edges.alias("edge")), lambda z: (
+        (F.abs(at(z["box"], 0) - z["edge"]["x0"]) <= 2) & (F.abs(at(z["box"], 2) - z["edge"]["x1"]) <= 2)))
+    first = F.get(boxes, F.lit(0))
     return {
         "box_count": F.size(boxes) == 7,
         "box_shape": F.forall(boxes, lambda b: (F.size(b) == 4) & F.forall(
             b, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 1e308))),
-        "box_range": F.forall(boxes, lambda b: (b[2] > b[0]) & (b[3] > b[1]) & (b[1] >= 0) & (b[3] <= page_height)),
+        "box_range": F.forall(boxes, lambda b: (at(b, 2) > at(b, 0)) & (at(b, 3) > at(b, 1)) & (at(b, 1) >= 0) & (at(b, 3) <= page_height)),
         "box_columns": aligned,
-        "box_row": F.forall(boxes, lambda b: (F.abs(b[1] - boxes[0][1]) <= 1) & (F.abs(b[3] - boxes[0][3]) <= 1)),
+        "box_row": F.forall(boxes, lambda b: (F.abs(at(b, 1) - at(first, 1)) <= 1) & (F.abs(at(b, 3) - at(first, 3)) <= 1)),
     }
 
 
 def typed_vacancy(rows: DataFrame, cells: str, document: str, page: str, row_number: str) -> DataFrame:
     """Typed columns of validated vacancy cells, next to the untouched originals."""
-    cell = [squeeze(F.col(cells)[i]) for i in range(7)]
-    code = F.split(cell[2], " ", 2)[0]
+    cell = [squeeze(F.get(F.col(cells), F.lit(i))) for i in range(7)]
+    code = F.get(F.split(cell[2], " ", 2), F.lit(0))
     body = F.substring(code, 1, 4)
     kind, hours = workload(cell[5])
     return rows.select(
         F.concat_ws(":", document, page, row_number).alias("id"), document, page, row_number,
-        F.split(cell[0], " ", 2)[0].alias("center_code"), F.split(cell[0], " ", 2)[1].alias("center"),
-        cell[1].alias("municipality"), code.alias("function_code"), F.split(cell[2], " ", 2)[1].alias("function"),
+        F.get(F.split(cell[0], " ", 2), F.lit(0)).alias("center_code"), F.get(F.split(cell[0], " ", 2), F.lit(1)).alias("center"),
+        cell[1].alias("municipality"), code.alias("function_code"), F.get(F.split(cell[2], " ", 2), F.lit(1)).alias("function"),
         body.alias("body_code"), lookup(body, BODIES, "Otros cuerpos").alias("body"),
         cell[3].alias("cupo"), cell[4].alias("itinerant"), cell[5].alias("jornada"), kind.alias("workload"),
         hours.alias("hours"), cell[6].cast("int").alias("quantity"),
