@@ -81,7 +81,10 @@ def token_needs(wanted: Column) -> Column:
 
 def meets_needs(text: Column, needs: Column) -> Column:
     """Every needed token occurs often enough; counting is left to tokens asked for repeatedly."""
-    return F.forall(needs, lambda s: F.contains(text, s["t"]) & ((s["n"] == 1) | (occurrences(text, s["t"]) >= s["n"])))
+    met = F.forall(needs, lambda s: F.contains(text, s["t"]) & ((s["n"] == 1) | (occurrences(text, s["t"]) >= s["n"])))
+    # The text is named outside the lambda too: a filter over a join is otherwise offered to the
+    # side that holds only the array, where it cannot run.
+    return F.when(text.isNotNull(), met).otherwise(F.lit(False))
 
 
 def contains_tokens(text: Column, wanted: Column) -> Column:
@@ -91,7 +94,7 @@ def contains_tokens(text: Column, wanted: Column) -> Column:
 
 def contains_words(text: Column, wanted: Column) -> Column:
     """Every word of the array occurs somewhere in ``text``."""
-    return F.forall(wanted, lambda w: F.contains(text, w))
+    return F.when(text.isNotNull(), F.forall(wanted, lambda w: F.contains(text, w))).otherwise(F.lit(False))
 
 
 def trigrams(text: Column) -> Column:

@@ -141,21 +141,23 @@ def source_coverage(scoped: DataFrame, source: Sequence[str], status: Column, wo
         ((pending == 0) & (unreviewed == 0)).alias("verification_complete"))
 
 
-def family_coverage(scoped: DataFrame, family: Sequence[str], source: str, document: str, status: Column, work: Column,
-                    reviewed: Column) -> DataFrame:
-    """Coverage per family with every document counted once, however many sources list it. The
-    distinct step carries only keys and flags and combines before the shuffle."""
-    flags = scoped.select(*family, source, document, (status == "unavailable").alias("_f"), (status == "skipped").alias("_s"),
+def family_coverage(scoped: DataFrame, registry: DataFrame, family: Sequence[str], source: str, document: str, status: Column,
+                    work: Column, reviewed: Column) -> DataFrame:
+    """Coverage of every registered family with each document counted once, however many sources of
+    the family list it. The distinct step carries only keys and flags, hashes and combines before the
+    shuffle; sources are counted on the small registry."""
+    flags = scoped.select(*family, document, (status == "unavailable").alias("_f"), (status == "skipped").alias("_s"),
                           F.coalesce(work != "checked", F.lit(True)).alias("_p"),
                           (~F.coalesce(reviewed, F.lit(False))).alias("_u"))
     per_document = flags.groupBy(*family, document).agg(*[F.bool_or(c).alias(c) for c in ("_f", "_s", "_p", "_u")])
-    counts = per_document.groupBy(*family).agg(
-        F.count(F.lit(1)).alias("document_count"), F.count_if("_f").alias("failed_documents"),
-        F.count_if("_s").alias("skipped_documents"), F.count_if("_p").alias("pending_documents"),
-        F.count_if("_u").alias("unreviewed_documents"))
-    sources = flags.select(*family, source).distinct().groupBy(*family).agg(F.count(F.lit(1)).alias("source_count"))
-    return counts.join(sources, list(family)).withColumn(
-        "verification_complete", (F.col("pending_documents") == 0) & (F.col("unreviewed_documents") == 0))
+    names = {"document_count": F.count(F.lit(1)), "failed_documents": F.count_if("_f"), "skipped_documents": F.count_if("_s"),
+             "pending_documents": F.count_if("_p"), "unreviewed_documents": F.count_if("_u")}
+    counts = per_document.groupBy(*family).agg(*[c.alias(n) for n, c in names.items()])
+    sources = registry.groupBy(*family).agg(F.count(F.lit(1)).alias("source_count"))
+    met = sources.join(counts, list(family), "left")
+    for name in names:
+        met = met.withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    return met.withColumn("verification_complete", (F.col("pending_documents") == 0) & (F.col("unreviewed_documents") == 0))
 
 
 def review_complete(documents: DataFrame, announcements: DataFrame, sources: DataFrame, document_ok: Column,

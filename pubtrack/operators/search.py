@@ -78,6 +78,7 @@ def search_names(corpus: DataFrame, record: str, text: str, parsed: DataFrame, q
     a gram spread over shares. Candidates are counted with a map-side combine and pages are cut before
     their shuffle, so popular grams do not gather anywhere.
     """
+    parsed = cut(parsed)
     names = parsed.where(F.col("kind") == "name")
     wanted = names.select(F.explode("grams").alias("gram")).distinct()
     few = is_small(wanted, broadcast_rows)

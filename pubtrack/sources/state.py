@@ -44,11 +44,10 @@ def state_problems(state: Mapping[str, DataFrame]) -> DataFrame:
     return publications.unionByName(rows).select("id", F.explode("v").alias("problem"))
 
 
-ENTRY = "content_id string, kind string, sha256 string, incorporated boolean, observation_only boolean, amendments array<struct<content_id: string, sha256: string, kind: string>>"
-MANIFEST = (f"content_id string, kind string, sha256 string, amendments array<struct<content_id: string, sha256: string, kind: string>>, "
-            f"documents array<struct<{ENTRY.replace(' string', ': string').replace(' boolean', ': boolean').replace('amendments array', 'amendments: array')}>>, "
-            "references array<struct<content_id: string, sha256: string, kind: string, incorporated: boolean>>, "
-            "observations array<struct<content_id: string, sha256: string, kind: string>>")
+AMENDMENTS = "array<struct<content_id: string, sha256: string, kind: string>>"
+MANIFEST = (f"content_id string, kind string, sha256 string, amendments {AMENDMENTS}, documents array<struct<content_id: string, kind: string, "
+            f"sha256: string, incorporated: boolean, observation_only: boolean, amendments: {AMENDMENTS}>>, "
+            f"references array<struct<content_id: string, sha256: string, kind: string, incorporated: boolean>>, observations {AMENDMENTS}")
 
 
 def flatten_manifest(manifest: DataFrame) -> DataFrame:
