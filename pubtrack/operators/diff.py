@@ -67,13 +67,19 @@ def snapshot_diff_series(rows: DataFrame, publication: str, keys: Sequence[str],
                          position: str) -> DataFrame:
     """Every publication of a table against the one before it, in one read of the table."""
     totals = _side_totals(rows, [publication, *keys], quantity, position)
+    # One small row per publication: what follows it, and whether anything precedes it.
     order = rows.select(publication).distinct()
-    following = order.select(publication, F.lead(publication).over(Window.orderBy(publication)).alias("_next"))
-    earlier = (totals.join(following, publication).where(F.col("_next").isNotNull())
-               .withColumn(publication, F.col("_next")).drop("_next").withColumn("_later", F.lit(False)))
-    first = order.agg(F.min(publication).alias(publication))
-    later = totals.join(first, publication, "left_anti").withColumn("_later", F.lit(True))
-    return _changes(earlier.unionByName(later), [publication, *keys], keys)
+    line = Window.orderBy(publication)
+    calendar = order.select(publication, F.lead(publication).over(line).alias("_next"), F.lag(publication).over(line).isNotNull().alias("_compared"))
+    # Each total takes part twice: as the later side of its own publication and as the earlier side
+    # of the next. The table itself is read and aggregated once.
+    placed = totals.join(calendar, publication)
+    parts = F.array_compact(F.array(
+        F.when(F.col("_compared"), F.struct(F.col(publication).alias("at"), F.lit(True).alias("later"))),
+        F.when(F.col("_next").isNotNull(), F.struct(F.col("_next").alias("at"), F.lit(False).alias("later")))))
+    sides = placed.withColumn("_part", F.explode(parts)).select(
+        F.col("_part.at").alias(publication), *keys, "_places", "_rows", "_first", F.col("_part.later").alias("_later"))
+    return _changes(sides, [publication, *keys], keys)
 
 
 def previous_compatible(publications: DataFrame, identity: str, scope: str, course: str, published: str) -> DataFrame:

@@ -191,11 +191,11 @@ def scoped(spark, d):
     placed = suppliers.join(registry(spark, d), F.col("s_nationkey") == F.col("n_nationkey"))
     joined = lines.join(placed, lines.l_suppkey == placed.s_suppkey)
     return joined.groupBy("family", F.col("s_nationkey").alias("source_id"), F.col("l_orderkey").alias("doc")).agg(
-        F.min("l_linestatus").alias("ls"), F.min("l_returnflag").alias("rf"), F.max("l_discount").alias("disc"))
+        F.min(F.ascii("l_linestatus")).alias("ls"), F.min(F.ascii("l_returnflag")).alias("rf"), F.max("l_discount").alias("disc"))
 
 
 def status():
-    return F.when(F.col("rf") == "R", "unavailable").when(F.col("rf") == "A", "skipped").otherwise("ok")
+    return F.when(F.col("rf") == ord("R"), "unavailable").when(F.col("rf") == ord("A"), "skipped").otherwise("ok")
 
 
 @query("source_coverage", COVER + """
@@ -204,7 +204,7 @@ SELECT source_id, count(*) AS document_count, count(*) FILTER (rf = 'R') AS fail
  count(*) FILTER (ls <> 'O') = 0 AS downloads_complete, count(*) FILTER (ls <> 'O' OR disc >= 0.09) = 0 AS verification_complete FROM l GROUP BY 1
 """)
 def _(spark, d):
-    return inventory.source_coverage(scoped(spark, d), ["source_id"], status(), F.when(F.col("ls") == "O", "checked").otherwise("queued"),
+    return inventory.source_coverage(scoped(spark, d), ["source_id"], status(), F.when(F.col("ls") == ord("O"), "checked").otherwise("queued"),
                                      F.col("disc") < 0.09)
 
 
@@ -216,7 +216,7 @@ SELECT family, count(*) AS document_count, count(*) FILTER (f) AS failed_documen
 """)
 def _(spark, d):
     return inventory.family_coverage(scoped(spark, d), registry(spark, d), ["family"], "source_id", "doc", status(),
-                                     F.when(F.col("ls") == "O", "checked").otherwise("queued"), F.col("disc") < 0.09)
+                                     F.when(F.col("ls") == ord("O"), "checked").otherwise("queued"), F.col("disc") < 0.09)
 
 
 @query("review_completeness", """
