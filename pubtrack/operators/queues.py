@@ -65,7 +65,7 @@ def failure_streaks(checks: DataFrame, resource: Sequence[str], order: Sequence[
     """Consecutive failures since the last success at every check. The count is the running total
     of failures minus its value at the last success, so a long streak needs no grouping."""
     flagged = checks.withColumn("_failed", failed.cast("long"))
-    counted = ordered_scan(flagged, resource, order, [total("_total", F.col("_failed"))])
+    counted = ordered_scan(flagged, resource, order, [total("_total", F.col("_failed"))], keep=True)
     based = ordered_scan(counted, resource, order, [last_known("_base", F.when(F.col("_failed") == 0, F.col("_total")))])
     return based.withColumn("failures", F.col("_total") - F.coalesce("_base", F.lit(0))).drop("_failed", "_total", "_base")
 
@@ -81,7 +81,7 @@ def backoff_seconds(failures: Column, retry_after: Column | None = None) -> Colu
 def carry_state(observations: DataFrame, service: Sequence[str], order: Sequence[Column], bad: Column, at: str) -> DataFrame:
     """First failure of the running failing period and time of the last good observation."""
     marked = observations.withColumn("_bad", bad)
-    lagged = ordered_scan(marked, service, order, [previous("_was_bad", F.col("_bad"))])
+    lagged = ordered_scan(marked, service, order, [previous("_was_bad", F.col("_bad"))], keep=True)
     opens = F.col("_bad") & ~F.coalesce("_was_bad", F.lit(False))
     scanned = ordered_scan(lagged, service, order, [
         last_known("_opened", F.when(opens, F.col(at))), last_known("last_good", F.when(~F.col("_bad"), F.col(at)))])

@@ -72,13 +72,17 @@ def slice_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
     return cut(ranged.withColumn(_SLICE, F.spark_partition_id()))
 
 
-def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column], steps: Sequence[Step]) -> DataFrame:
-    """Add one column per step to ``df``; ``order`` must be total and ascending within a key."""
+def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column], steps: Sequence[Step], keep: bool = False) -> DataFrame:
+    """Add one column per step to ``df``; ``order`` must be total and ascending within a key.
+
+    With ``keep`` the result stays sliced: a following scan over the same keys and order (also of
+    a part of the rows) uses the slices as they are, without another range partitioning.
+    """
     staged = df
     for i, step in enumerate(steps):
         if step.value is not None:
             staged = staged.withColumn(f"_v{i}", step.value)
-    sliced = slice_rows(staged, keys, order)
+    sliced = cut(staged) if _SLICE in df.columns else slice_rows(staged, keys, order)
     local = Window.partitionBy(_KEY, _SLICE).orderBy(_POS)
     backward = Window.partitionBy(_KEY, _SLICE).orderBy(F.col(_POS).desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -130,15 +134,20 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column], st
             "lead": lambda: F.coalesce(mine, earlier)["v"],
             "max": lambda: F.greatest(mine, earlier),
         }[step.kind]())
-    return joined.select(*df.columns, *[s.name for s in steps])
+    columns = [c for c in df.columns if c not in (_KEY, _SLICE, _POS)]
+    return joined.select(*columns, *[s.name for s in steps], *([_KEY, _SLICE, _POS] if keep else []))
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
                 spread: Column | None = None, name: str = "position") -> DataFrame:
-    """First ``k`` rows of each key. Spark limits each map task before the shuffle; with
-    ``spread`` a hot key is first cut to ``k`` rows in each of 32 shares."""
+    """First ``k`` rows of each key. Spark limits the rows inside each map task, before the shuffle,
+    up to a configured ``k``; the limit is raised here when ``k`` is larger. With ``spread`` a hot key
+    is first cut to ``k`` rows in each of several shares."""
+    conf, limit = df.sparkSession.conf, "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(conf.get(limit, "1000")) < k:
+        conf.set(limit, str(k))
     if spread is not None:
-        share = F.pmod(F.xxhash64(spread), F.lit(32))
+        share = F.pmod(F.xxhash64(spread), F.lit(256))
         cut_first = Window.partitionBy(*keys, "_share").orderBy(*order)
         df = (df.withColumn("_share", share).withColumn("_cut", F.row_number().over(cut_first))
               .where(F.col("_cut") <= k).drop("_cut", "_share"))

@@ -16,6 +16,8 @@ MAX_QUERY_CHARS = 100
 PAGE = 20
 CANDIDATE_CAP = 5000
 SHARES = 32
+#: Gram lists up to this length are matched inside the row, longer ones by a join.
+SHORT_LIST = 4096
 
 
 def parse_queries(queries: DataFrame, identity: str, folded: str) -> DataFrame:
@@ -81,14 +83,22 @@ def search_names(corpus: DataFrame, record: str, text: str, parsed: DataFrame, q
     parsed = cut(parsed)
     names = parsed.where(F.col("kind") == "name")
     wanted = names.select(F.explode("grams").alias("gram")).distinct()
-    few = is_small(wanted, broadcast_rows)
-    index = matching_postings(corpus.select(record, text), record, text, wanted) if few else (
-        postings(corpus, record, text).join(wanted, "gram", "left_semi"))
+    grams = wanted.limit(broadcast_rows + 1).count()
+    # Both the grams and the queries travel to every task only when both are proven small.
+    few = grams <= broadcast_rows and is_small(names, broadcast_rows)
+    short_list = few and grams <= SHORT_LIST
+    texts = corpus.select(record, text)
+    if short_list:
+        index = matching_postings(texts, record, text, wanted)
+    else:
+        index = postings(texts, record, text).join(F.broadcast(wanted) if few else wanted, "gram", "left_semi")
     chosen = rarest_gram(parsed, query, gram_sizes(index)).where(F.col("posting_size") > 0)
     # Small and read twice: once as the list of grams, once as the probe side.
     probes = cut(names.select(query, "needs", "long_words").join(chosen, query))
-    if few:
+    if short_list:
         met = matching_postings(corpus, record, text, probes.select("gram").distinct()).join(F.broadcast(probes), "gram")
+    elif few:
+        met = corpus.withColumn("gram", F.explode(trigrams(F.col(text)))).join(F.broadcast(probes), "gram")
     else:
         share = F.pmod(F.xxhash64(record), F.lit(SHARES)).cast("int")
         shared = probes.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))

@@ -50,3 +50,14 @@ def test_top_per_key_is_exact_with_spread(table):
     spread = top_per_key(frame, ["key"], [F.col("at"), F.col("id")], 50, spread=F.col("id"))
     as_set = lambda t: {(r["key"], r["id"], r["position"]) for r in t.select("key", "id", "position").collect()}
     assert as_set(plain) == as_set(spread) and plain.count() == 100
+
+
+def test_second_scan_reuses_the_slices(table):
+    frame = table([(i, "hot" if i % 4 else None, (i * 37) % 101) for i in range(300)], "id long, key string, v long")
+    order = [F.col("v"), F.col("id")]
+    once = ordered_scan(frame, ["key"], order, [rank("r")], keep=True).where("id % 2 = 0")
+    twice = ordered_scan(once, ["key"], order, [previous("p", F.col("r")), rank("half")])
+    assert twice.columns == ["id", "key", "v", "r", "p", "half"]
+    rows = sorted(twice.where("key = 'hot'").collect(), key=lambda r: (r["v"], r["id"]))
+    assert [r["half"] for r in rows] == list(range(1, len(rows) + 1))
+    assert [r["p"] for r in rows] == [None] + [r["r"] for r in rows[:-1]]

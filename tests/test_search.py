@@ -20,8 +20,9 @@ def brute(corpus, queries, cap, page):
     return hits, outcome
 
 
-@pytest.mark.parametrize("broadcast_rows", [1000, 0])
-def test_both_access_paths_equal_brute_force(table, broadcast_rows):
+@pytest.mark.parametrize("broadcast_rows, short_list", [(1000, 4096), (1000, 0), (0, 4096)])
+def test_all_access_paths_equal_brute_force(table, monkeypatch, broadcast_rows, short_list):
+    monkeypatch.setattr(search, "SHORT_LIST", short_list)
     rng = random.Random(5)
     names = ["martinez", "carlos", "lopez", "ana", "garcia", "alvaro", "eva"]
     corpus = [(i, " ".join(rng.choice(names) for _ in range(rng.randrange(1, 5)))) for i in range(300)]
