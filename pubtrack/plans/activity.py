@@ -148,7 +148,7 @@ def _(spark, d):
 @query("three_way_consistency", """
 WITH a AS (SELECT user_id, max(event_id) AS v, count(*) AS n, max(ts) AS c FROM events WHERE event_type <> 'error' GROUP BY 1),
 b AS (SELECT user_id, max(event_id) AS v, count(*) FILTER (event_type <> 'error') AS n, max(ts) AS c FROM events GROUP BY 1),
-c AS (SELECT user_id, max(event_id) AS v, count(*) AS n, max(ts) AS c FROM events WHERE event_type <> 'error' AND user_id % 5 <> 0 GROUP BY 1)
+c AS (SELECT user_id, max(event_id) AS v, count(*) AS n, max(ts) AS c FROM events WHERE event_type <> 'error' AND value < 150 GROUP BY 1)
 SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.v = b.v AND b.v = c.v AND a.n = b.n AND b.n = c.n AND a.c = b.c AND b.c = c.c, false) AS consistent
 FROM b LEFT JOIN a ON a.user_id = b.user_id LEFT JOIN c ON c.user_id = b.user_id
 """)
@@ -160,7 +160,7 @@ def _(spark, d):
 
     fine = e.where("event_type <> 'error'")
     return operations.consistency(summary(fine), summary(e, F.count_if(F.col("event_type") != "error")),
-                                  summary(fine.where("user_id % 5 <> 0")), ["user_id"])
+                                  summary(fine.where("value < 150")), ["user_id"])
 
 
 @query("health_assessment", """
@@ -216,12 +216,12 @@ def _(spark, d):
 
 @query("run_ledger", """
 SELECT r AS run_id, epoch_us(a) AS started_us, epoch_us(CASE WHEN b >= a THEN b END) AS ended_us, (epoch_us(CASE WHEN b >= a THEN b END) - epoch_us(a)) / 1000000 AS elapsed_seconds FROM (
- SELECT user_id || '|' || ts::DATE AS r, min(ts) FILTER (event_type = 'view') AS a, max(ts) FILTER (event_type = 'purchase') AS b, bool_or(user_id % 7 = 0) AS known FROM events GROUP BY 1)
+ SELECT user_id || '|' || ts::DATE AS r, min(ts) FILTER (event_type = 'view') AS a, max(ts) FILTER (event_type = 'purchase') AS b, bool_or(event_type = 'error' AND value > 100) AS known FROM events GROUP BY 1)
 WHERE a IS NOT NULL AND NOT known
 """)
 def _(spark, d):
     e = events(spark, d).withColumn("run_id", F.concat_ws("|", F.col("user_id").cast("string"), F.to_date("ts").cast("string")))
-    known = e.where("user_id % 7 = 0").select("run_id")
+    known = e.where("event_type = 'error' AND value > 100").select("run_id")
     runs = operations.run_ledger(e, known, "run_id", "at", F.col("event_type") == "view", F.col("event_type") == "purchase")
     return runs.select("run_id", F.unix_micros("started_at").alias("started_us"), F.unix_micros("ended_at").alias("ended_us"), "elapsed_seconds")
 
@@ -297,14 +297,14 @@ def _(spark, d):
 
 @query("cached_fallback", """
 WITH w AS (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 'timeout' ELSE 'forbidden' END AS error FROM events GROUP BY 1),
-f AS (SELECT user_id, max(epoch_us(ts)) AS v FROM events WHERE event_type = 'view' AND user_id % 2 = 0 GROUP BY 1), c AS (SELECT user_id, max(epoch_us(ts)) AS v FROM events WHERE event_type = 'click' GROUP BY 1)
+f AS (SELECT user_id, max(epoch_us(ts)) AS v FROM events WHERE event_type = 'view' AND value > 100 GROUP BY 1), c AS (SELECT user_id, max(epoch_us(ts)) AS v FROM events WHERE event_type = 'click' GROUP BY 1)
 SELECT w.user_id, CASE WHEN f.v IS NOT NULL THEN 'fresh' WHEN c.v IS NOT NULL AND error = 'timeout' THEN 'cached' ELSE 'unavailable' END AS source_status,
  CASE WHEN f.v IS NOT NULL THEN f.v WHEN error = 'timeout' THEN c.v END AS origin_checked_at FROM w LEFT JOIN f USING (user_id) LEFT JOIN c USING (user_id)
 """)
 def _(spark, d):
     e = events(spark, d)
     wanted = e.select("user_id").distinct().withColumn("error", F.when(F.col("user_id") % 3 == 0, "timeout").otherwise("forbidden"))
-    return history.cached_fallback(wanted, e.where("event_type = 'view' AND user_id % 2 = 0"), e.where("event_type = 'click'"), ["user_id"], "error",
+    return history.cached_fallback(wanted, e.where("event_type = 'view' AND value > 100"), e.where("event_type = 'click'"), ["user_id"], "error",
                                    ["timeout"], "us").select("user_id", "source_status", "origin_checked_at")
 
 

@@ -39,14 +39,14 @@ def _(spark, d):
 
 
 @query("merged_collections", DOCS + """
-, u AS (SELECT 0 AS ord, digest, lang, doc_id AS checked FROM docs WHERE n_chars % 2 = 0 UNION ALL
- SELECT 1, digest, lang, doc_id FROM docs WHERE n_chars % 3 = 0 UNION ALL SELECT 2, digest, CASE WHEN n_chars % 50 = 0 THEN 'xx' ELSE lang END, doc_id FROM docs WHERE n_chars % 5 = 0)
+, u AS (SELECT 0 AS ord, digest, lang, doc_id AS checked FROM docs WHERE lang IN ('en', 'fr') UNION ALL
+ SELECT 1, digest, lang, doc_id FROM docs WHERE lang <> 'en' UNION ALL SELECT 2, digest, CASE WHEN n_chars > 5000 THEN 'xx' ELSE lang END, doc_id FROM docs WHERE lang <> 'de')
 SELECT digest, arg_max(lang, (ord, lang)) AS lang, count(*) AS entries, min(lang) <> max(lang) AS conflict FROM u GROUP BY 1
 """)
 def _(spark, d):
     base = docs(spark, d).select("digest", "lang", F.col("doc_id").alias("checked"), "n_chars")
-    third = base.where("n_chars % 5 = 0").withColumn("lang", F.when(F.col("n_chars") % 50 == 0, "xx").otherwise(F.col("lang")))
-    merged = inventory.merge_collections([base.where("n_chars % 2 = 0"), base.where("n_chars % 3 = 0"), third], "digest", ["lang"], ["checked"])
+    third = base.where("lang <> 'de'").withColumn("lang", F.when(F.col("n_chars") > 5000, "xx").otherwise(F.col("lang")))
+    merged = inventory.merge_collections([base.where("lang IN ('en', 'fr')"), base.where("lang <> 'en'"), third], "digest", ["lang"], ["checked"])
     return merged.drop("checked")
 
 
@@ -86,13 +86,13 @@ def _(spark, d):
 
 @query("intake_decisions", DOCS + """
 , req AS (SELECT d.doc_id, CASE WHEN n_chars % 11 = 0 THEN 'x' ELSE d.digest END AS stated, d.digest AS actual, n_chars % 13 <> 0 AS ok FROM docs d),
-pins AS (SELECT doc_id, count(*) AS n, min(digest) AS digest FROM (SELECT doc_id, digest FROM rev UNION ALL SELECT doc_id, digest FROM rev WHERE quality = 0 AND doc_id % 2 = 0) GROUP BY 1)
+pins AS (SELECT doc_id, count(*) AS n, min(digest) AS digest FROM (SELECT doc_id, digest FROM rev UNION ALL SELECT doc_id, digest FROM rev WHERE quality = 0) GROUP BY 1)
 SELECT req.doc_id, CASE WHEN actual <> stated THEN 'hash_mismatch' WHEN NOT ok THEN 'invalid_document' WHEN n > 1 THEN 'manifest_conflict'
  WHEN n IS NULL THEN 'unreviewed_document' WHEN pins.digest <> actual THEN 'manifest_mismatch' END AS reason FROM req LEFT JOIN pins USING (doc_id)
 """)
 def _(spark, d):
     pinned = reviewed(spark, d)
-    pins = pinned.unionByName(pinned.where("quality = 0 AND doc_id % 2 = 0")).groupBy("doc_id").agg(
+    pins = pinned.unionByName(pinned.where("quality = 0")).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("digest").alias("pinned"))
     met = docs(spark, d).join(pins, "doc_id", "left")
     reason = inventory.intake_reason(
@@ -279,11 +279,11 @@ def _(spark, d):
 
 
 @query("archive_filter", """
-SELECT doc_id FROM documents WHERE contains(lower(strip_accents(source || ' ' || lang)), 'src1') AND n_chars % 3 <> 0
+SELECT doc_id FROM documents WHERE contains(lower(strip_accents(source || ' ' || lang)), 'src1')
  AND lang = 'en' AND n_chars % 4 <> 0
 """)
 def _(spark, d):
-    entries = load(spark, d, "documents").where("n_chars % 3 <> 0").select(
+    entries = load(spark, d, "documents").select(
         "doc_id", F.col("source").alias("title"), F.col("lang").alias("author"), F.lit("list").alias("type"), F.lit("").alias("course"), F.lit(None).cast("date").alias("date"),
         F.when(F.col("n_chars") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("lang", F.lit("x"))).alias("bodies"))
     return filters.archive_filter(entries, filters.query_words("SRC1"), "list", "en", "unknown", None, None).select("doc_id")

@@ -200,17 +200,17 @@ def _(spark, d):
 
 
 @query("page_headers", """
-SELECT event_id, strftime(ts, '%Y-%m-%d') AS act_date, event_id::VARCHAR AS process_id, CASE WHEN event_id % 5 = 0 THEN 'footer' WHEN event_id = 0 THEN 'notice' ELSE '' END AS broken,
- strftime(date_trunc('minute', ts) - INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS issued_utc FROM events WHERE event_id > 0
+SELECT event_id, strftime(ts, '%Y-%m-%d') AS act_date, (event_id + 1)::VARCHAR AS process_id, CASE WHEN event_id % 5 = 0 THEN 'footer' ELSE '' END AS broken,
+ strftime(date_trunc('minute', ts) - INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS issued_utc FROM events
 """)
 def _(spark, d):
     from pubtrack.operators.validate import MONTHS, VACANCY_TITLE, page_headers
     month = F.get(F.array(*[F.lit(m) for m in MONTHS]), F.month("ts") - 1)
     number = F.when(F.col("event_id") % 5 == 0, 2).otherwise(1)
     text = F.concat_ws("\n", F.lit(VACANCY_TITLE), F.concat(
-        F.lit("Convocatoria: Adjudicación semanal "), F.date_format("ts", "dd/MM/yyyy"), F.lit(". Proceso "), F.col("event_id").cast("string"), F.lit(" - Listado a "),
+        F.lit("Convocatoria: Adjudicación semanal "), F.date_format("ts", "dd/MM/yyyy"), F.lit(". Proceso "), (F.col("event_id") + 1).cast("string"), F.lit(" - Listado a "),
         F.dayofmonth("ts").cast("string"), F.lit(" de "), month, F.lit(" de 2024, a las "), F.date_format("ts", "HH:mm")), F.concat(F.lit("Página "), number.cast("string"), F.lit(" de 3")))
-    pages = load(spark, d, "events").where("event_id > 0").select("event_id", text.alias("text"), F.lit(1).alias("page"), F.lit(3).alias("page_count"))
+    pages = load(spark, d, "events").select("event_id", text.alias("text"), F.lit(1).alias("page"), F.lit(3).alias("page_count"))
     parsed = page_headers(pages, "text", "page", "page_count")
     return parsed.select("event_id", F.col("act_date").cast("string").alias("act_date"), "process_id", F.array_join("violations", ",").alias("broken"),
                          F.date_format("document_issued_at", "yyyy-MM-dd HH:mm:ss").alias("issued_utc"))
