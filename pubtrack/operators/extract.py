@@ -151,11 +151,12 @@ def words_to_cells(words: DataFrame, columns: DataFrame, page_keys: Sequence[str
 
 
 def words_to_bands(words: DataFrame, bands: DataFrame, page_keys: Sequence[str], at: str) -> DataFrame:
-    """Row rectangle of every anchor. Exactly one must contain it: ``band_count`` tells."""
+    """Row rectangle of every anchor. Exactly one must contain it: ``band_count`` tells. Words need
+    an id column, so that equal words on a page stay apart."""
     spans = bands.select(*page_keys, "band_id", F.col("top").alias("_b0"), F.col("bottom").alias("_b1"))
     on = [F.col(f"w.{k}") == F.col(f"b.{k}") for k in page_keys]
     inside = (F.col(f"w.{at}") >= F.col("b._b0")) & (F.col(f"w.{at}") < F.col("b._b1"))
-    met = words.alias("w").join(spans.alias("b"), [*on, inside] if not on else _all([*on, inside]), "left")
+    met = words.alias("w").join(spans.alias("b"), _all([*on, inside]), "left")
     return met.groupBy(*[F.col(f"w.{c}").alias(c) for c in words.columns]).agg(
         F.count("b.band_id").alias("band_count"), F.min("b.band_id").alias("band_id"))
 

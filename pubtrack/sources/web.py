@@ -134,13 +134,10 @@ def classify_title(title: Column, rules: Sequence[tuple[str, list[list[str]]]] =
     return result.otherwise("unclassified")
 
 
-FEED_ITEM = "title string, link string, pubDate string, `content:encoded` string"
-
-
 def feed_entries(feeds: DataFrame, identity: str, body: str) -> DataFrame:
     """Items of RSS bodies. Bodies with declarations of entities or document types are refused,
     as are feeds without items and items without a date; ``rejected`` says why."""
-    schema = f"channel struct<item: array<struct<title: string, link: string, pubDate: string, `content:encoded`: string>>>"
+    schema = "channel struct<item: array<struct<title: string, link: string, pubDate: string, `content:encoded`: string>>>"
     unsafe = F.rlike(body, F.lit(r"(?i)<!(?:DOCTYPE|ENTITY)"))
     parsed = feeds.withColumn("_x", F.from_xml(F.when(~unsafe, F.col(body)), schema)).withColumn(
         "_items", F.coalesce(F.col("_x.channel.item"), F.array().cast(
