@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from pubtrack.llm import bpe, exact, language, near, passages
+from pubtrack.llm import bpe, exact, language, near, nearest, passages
 from pubtrack.llm.registry import documents, query
 
 EXACT = f"""
@@ -51,3 +51,8 @@ def _(spark, d):
 @query("op5_minhash_near_dedup")
 def _(spark, d):
     return near.near_components(documents(spark, d))
+
+
+@query("op10_nearest_vectors")
+def _(spark, d):
+    return nearest.nearest(spark.read.parquet(f"{d}/embeddings.parquet"), "vec_id % 20 = 0")
