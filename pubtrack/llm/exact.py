@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pubtrack.llm.common import LOWER, UPPER, shared_table, texts_of  # noqa: F401
 
@@ -177,3 +178,20 @@ def exact_groups(documents: DataFrame, identity: str = "doc_id", text: str = "te
     index = shared_table(owned.mapInArrow(build, "bucket int, key long, sha string, keep_id long, group_size long"), "index")
     met = keys.join(index, ["key", "sha"])
     return met.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("first")).alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def keep_distinct(documents: DataFrame, identity: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that :func:`exact_groups` keeps, one for each distinct text, with all columns of ``documents``."""
+    tag, number = "_sha_of_text", "_number_of_row"
+    place = documents.columns.index(text)
+
+    def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [hashlib.sha256(normal(t or "")).hexdigest() for t in batch.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, tag])
+
+    kept = exact_groups(documents, identity, text).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    marked = documents.mapInArrow(tagged, T.StructType([*documents.schema.fields, T.StructField(tag, T.StringType())]))
+    met = marked.join(kept, (F.col(tag) == F.col("_kept_sha")) & F.col(identity).cast("long").eqNullSafe(F.col("_kept_id")))
+    same = Window.partitionBy(tag).orderBy(F.lit(0))
+    return met.withColumn(number, F.row_number().over(same)).where(F.col(number) == 1).select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -207,6 +207,27 @@ def fit(documents: DataFrame, identity: str = "doc_id", text: str = "text", labe
     return train(given["text"].tolist(), given["label"].tolist(), **training)
 
 
+def label_texts(network: Network, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Language and mean probability of every text; ``und`` and 0 for null and empty ones."""
+    coded = [(t or "").encode() for t in texts]
+    sums = np.zeros((len(coded), max(1, len(network.labels))))
+    for at, n in cuts(coded, TOGETHER * network.width * 4):
+        cells, size, owner = byte_rows(coded[at:at + n], network.width)
+        for low in range(0, len(cells) if network.labels else 0, TOGETHER):
+            some = slice(low, low + TOGETHER)
+            np.add.at(sums, owner[some] + at, network.probabilities(cells[some], size[some]))
+    total = sums.sum(axis=1)
+    best = sums.argmax(axis=1)
+    known = total > 0
+    score = np.where(known, sums[np.arange(len(coded)), best] / np.where(known, total, 1.0), 0.0)
+    return [network.labels[b] if k else UNKNOWN for b, k in zip(best, known)], np.clip(score, 0.0, 1.0)
+
+
+def lettered(text: str) -> Column:
+    """The text where it has a letter, else null."""
+    return F.when(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)), F.col(text))
+
+
 def predict(documents: DataFrame, network: Network, identity: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document row: doc_id, held_out, lang_pred, score (mean probability of that language).
 
@@ -214,31 +235,30 @@ def predict(documents: DataFrame, network: Network, identity: str = "doc_id", te
     repeated rows keep one row each; an empty table gives no rows; other columns are not read. Every byte
     of every text is labelled, in steps of bounded memory; nothing is shuffled.
     """
-    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    rows = documents.select(F.col(identity).cast("long").alias("doc_id"), held_out(F.col(identity)).alias("held_out"),
-                            F.when(letters, F.col(text)).alias("text"))
+    rows = documents.select(F.col(identity).cast("long").alias("doc_id"), held_out(F.col(identity)).alias("held_out"), lettered(text).alias("text"))
     form = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            sums = np.zeros((len(texts), max(1, len(network.labels))))
-            for at, n in cuts(texts, TOGETHER * network.width * 4):
-                cells, size, owner = byte_rows(texts[at:at + n], network.width)
-                for low in range(0, len(cells) if network.labels else 0, TOGETHER):
-                    some = slice(low, low + TOGETHER)
-                    np.add.at(sums, owner[some] + at, network.probabilities(cells[some], size[some]))
-            total = sums.sum(axis=1)
-            best = sums.argmax(axis=1)
-            known = total > 0
-            score = np.where(known, sums[np.arange(len(texts)), best] / np.where(known, total, 1.0), 0.0)
-            names = [network.labels[b] if k else UNKNOWN for b, k in zip(best, known)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()),
-                                              pa.array(np.clip(score, 0.0, 1.0))], schema=form)
+            names, score = label_texts(network, batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(score)], schema=form)
 
     return rows.mapInArrow(label, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def keep_known(documents: DataFrame, network: Network, least_score: float = 0.4, text: str = "text") -> DataFrame:
+    """The rows whose language is known with at least ``least_score``, with all columns of ``documents``."""
+    place = documents.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            letters = [t if t and any(map(str.isalpha, t)) else None for t in batch.column(place).to_pylist()]
+            names, score = label_texts(network, letters)
+            yield batch.filter(pa.array([name != UNKNOWN and s >= least_score for name, s in zip(names, score)], pa.bool_()))
+
+    return documents.mapInArrow(keep, documents.schema)
+
+
 def cuts(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
     """Cut into (offset, texts) of at most ``most`` bytes beyond one text."""
     at = size = 0

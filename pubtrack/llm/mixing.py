@@ -107,3 +107,16 @@ def mix_sources(documents: DataFrame, weights: Sequence[int] = (5, 2, 1), budget
         times = sum((F.when(place_of(turn) < cut, 1).otherwise(0) for turn in range(repeat)), F.lit(0))
     times = F.when((F.col("size") > 0) & (F.col("target") > 0), times).otherwise(0)
     return served.select("doc_id", "size", "source", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"), times.alias("times"), "row")
+
+
+def mixed_documents(documents: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: float = 1.5, repeat: int = 2, seed: str = "mix",
+                    identity: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: every row as often as :func:`mix_sources` takes it, with all columns of ``documents``.
+    Rows with equal identity, source and size share the largest of their decisions."""
+    decided = mix_sources(documents, weights, budget, repeat, seed, identity, text, source).where("times > 0")
+    decided = decided.groupBy("doc_id", "source", "size").agg(F.max("times").alias("_times")).select(
+        F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), "_times")
+    size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
+    met = documents.withColumn("_own_size", size).join(decided, F.col(identity).cast("long").eqNullSafe(F.col("_mix_id")) & F.col(source).cast("string").eqNullSafe(F.col("_mix_source"))
+                                                       & (F.col("_own_size") == F.col("_mix_size")))
+    return met.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in documents.columns])

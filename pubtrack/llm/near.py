@@ -233,3 +233,9 @@ def near_components(documents: DataFrame, identity: str = "doc_id", text: str =
     placed = printed.join(of_class, ["p1", "p2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_representatives(documents: DataFrame, identity: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+    """The rows whose identity :func:`near_components` keeps, with all columns of ``documents``."""
+    kept = near_components(documents, identity, text, k, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return documents.join(kept, F.col(identity).cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
