@@ -246,7 +246,7 @@ def predict(documents: DataFrame, network: Network, identity: str = "doc_id", te
     return rows.mapInArrow(label, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(documents: DataFrame, network: Network, least_score: float = 0.4, text: str = "text") -> DataFrame:
+def keep_known(documents: DataFrame, network: Network, least_score: float = 0.3, text: str = "text") -> DataFrame:
     """The rows whose language is known with at least ``least_score``, with all columns of ``documents``."""
     place = documents.columns.index(text)
 
