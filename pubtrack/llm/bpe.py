@@ -24,7 +24,7 @@ from pubtrack.llm.common import texts_of
 NONE = np.int32(2**31 - 1)
 #: Longest piece that shares a tree with others, and most pieces in one such tree.
 SHORT, TOGETHER = 32, 8192
-#: Chunks of text whose ids are remembered; the memory is emptied when it is full.
+#: Chunks of text whose ids are remembered; beyond that only those of the current step stay.
 REMEMBERED = 400_000
 #: Characters that are encoded in one step, to bound memory.
 STEP_CHARS = 4_000_000
@@ -50,6 +50,9 @@ class Encoder:
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], np.fromiter(pairs.values(), dtype=np.int32, count=len(pairs))[order]
         self.pairs = pairs
+        # Ranks of pairs of single bytes, which all pieces start from.
+        self.byte_pairs = self.pair_ranks(np.repeat(self.bytes_ids, 256), np.tile(self.bytes_ids, 256)).reshape(256, 256)
+        self.names = [str(i) for i in range(max(self.tokens) + 1)]
         self.by_text = {str(rank).encode(): token for rank, token in self.tokens.items()}
         self.memory: dict[str, bytes] = {}
 
@@ -79,7 +82,7 @@ class Encoder:
         ahead = np.tile(np.maximum(place - 1, 0), (n, 1))
         tree = np.full((n, 2 * width), NONE, dtype=np.int32)
         if width > 1:
-            tree[:, width:2 * width - 1] = self.pair_ranks(ids[:, :-1], ids[:, 1:])
+            tree[:, width:2 * width - 1] = np.where(ids[:, 1:] >= 0, self.byte_pairs[raw[:, :-1], raw[:, 1:]], NONE)
             for node in range(width - 1, 0, -1):
                 tree[:, node] = np.minimum(tree[:, 2 * node], tree[:, 2 * node + 1])
 
@@ -113,7 +116,8 @@ class Encoder:
                 rows, b, at = live[has], before[has], left[has]
                 update(rows, b, self.pair_ranks(ids[rows, b], ids[rows, at]))
             live = live[tree[live, 1] < NONE]
-        flat = ids[ids >= 0].astype("U11").tolist() if n else []
+        names = self.names
+        flat = [names[i] for i in ids[ids >= 0].tolist()]
         counts, out, at = (ids >= 0).sum(axis=1).tolist(), [], 0
         for count in counts:
             out.append(",".join(flat[at:at + count]).encode())
@@ -190,10 +194,11 @@ class Encoder:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as decimal text joined by commas; what is new in any of them is learned at once."""
         parts = [self.chunks(text) for text in texts]
-        new = set().union(*parts).difference(self.memory)
+        wanted = set().union(*parts)
+        new = wanted.difference(self.memory)
         if len(self.memory) + len(new) > REMEMBERED:
-            self.memory.clear()
-            new = set().union(*parts)
+            # What this step needs again is kept: frequent chunks are in every step.
+            self.memory = {chunk: self.memory[chunk] for chunk in wanted.intersection(self.memory)}
         self.learn(new)
         memory = self.memory
         return [b",".join([ids for chunk in chunks if (ids := memory[chunk])]) for chunks in parts]
