@@ -1,11 +1,11 @@
 """Nearest vectors by inner product: inverted lists scanned with adaptive dimensions.
 
 Vectors are grouped into lists around centroids and rotated at random, so that every block of columns
-carries an equal share of a vector on average. Within each probed list the partial inner product over the
-first blocks estimates the whole: what is missing has mean zero and a standard deviation of the two
-remaining norms over the square root of the remaining dimensions. A candidate whose estimate plus CERTAIN
-deviations stays below the worst of the best found so far is abandoned; only the others see further blocks.
-Scores are computed again on the original vectors.
+carries an equal share of an inner product on average. Within each probed list the first blocks test the
+hypothesis that a candidate is as good as the worst of the best found so far: under a random rotation a
+share s of the D dimensions then has the mean s * bound and the variance s * (1 - s) / (D + 2) * (product of
+squared lengths + bound ** 2). A candidate that lies CERTAIN deviations below is abandoned; only the others see
+further blocks. Scores are computed again on the original vectors.
 """
 
 from __future__ import annotations
@@ -20,8 +20,12 @@ from pyspark.sql import functions as F
 
 from pubtrack.llm.common import shared_table
 
+#: Lists probed, as a multiple of the number of lists to the power 0.75.
+PROBES = 2.2
 #: Deviations beyond which a candidate is abandoned, column blocks, rows of a list and queries that meet in one task.
-CERTAIN, BLOCKS, LIST_ROWS, QUERY_ROWS = 3.5, 4, 8192, 2048
+CERTAIN, BLOCKS, LIST_ROWS, QUERY_ROWS = 3.0, 4, 8192, 2048
+#: Below this share of live candidates the remaining blocks are computed for each of them alone.
+SPARSE = 0.1
 
 
 @dataclass
@@ -53,11 +57,11 @@ class Layout:
         return assign(lifted(vectors, self.norm), self.centroids)
 
     def probes(self, queries: np.ndarray, n: int) -> np.ndarray:
-        """The ``n`` lists with the nearest centroids of every query (a query has no further coordinate)."""
+        """The ``n`` lists with the nearest centroids of every query, nearest first (a query has no further coordinate)."""
         queries = queries / np.linalg.norm(queries, axis=1, keepdims=True) * self.norm
         flat = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1)
         gap = (self.centroids**2).sum(axis=1) - 2 * flat @ self.centroids.T
-        return np.argpartition(gap, min(n, gap.shape[1]) - 1, axis=1)[:, :n]
+        return np.argsort(gap, axis=1, kind="stable")[:, :n]
 
 
 def lifted(vectors: np.ndarray, norm: float) -> np.ndarray:
@@ -77,41 +81,51 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(lists.flatten(), dtype=np.float64).reshape(len(lists), -1)
 
 
-def scan(queries: np.ndarray, vectors: np.ndarray, own: np.ndarray, rotation: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Surviving (query, vector) positions; ``own`` marks by pairs of positions what is not a candidate."""
+def scan(queries: np.ndarray, vectors: np.ndarray, own: np.ndarray, bound: np.ndarray, rotation: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Surviving (query, vector) positions; ``own`` marks by pairs of positions what is not a candidate and ``bound``
+    is the score that a query has for its ``k``-th best so far (minus infinity if it has none)."""
     q, v = queries @ rotation, vectors @ rotation
     dims = q.shape[1]
     edges = np.unique(np.linspace(0, dims, BLOCKS + 1).astype(int))
-    # The first vectors are compared in full: they give every query its first bound.
     first = min(len(v), 4 * k)
-    score = queries @ vectors[:first].T
-    score[own[:, :first]] = -np.inf
-    bound = np.partition(score, first - k, axis=1)[:, first - k] if first >= k else np.full(len(q), -np.inf)
-    part = q[:, :edges[1]] @ v[:, :edges[1]].T
-    left_q, left_v = np.linalg.norm(q[:, edges[1]:], axis=1), np.linalg.norm(v[:, edges[1]:], axis=1)
-    slack = CERTAIN / np.sqrt(max(1, dims - edges[1]))
-    alive = ~own & (part + slack * left_q[:, None] * left_v[None, :] >= bound[:, None] - 1e-9 * (1 + np.abs(bound[:, None])))
-    i, j = np.nonzero(alive)
-    seen = part[i, j]
-    for low, high in zip(edges[1:-1], edges[2:]):
+    if first >= k and np.isneginf(bound).any():
+        # The first vectors are compared in full: they give every query its first bound.
+        score = queries @ vectors[:first].T
+        score[own[:, :first]] = -np.inf
+        bound = np.maximum(bound, np.partition(score, first - k, axis=1)[:, first - k])
+    lengths_q, lengths_v = np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)
+    alive = ~own
+    part = np.zeros((len(q), len(v)))
+    pairs = None
+    for low, high in zip(edges[:-1], edges[1:]):
+        # A candidate as good as the bound has this share of it so far, give or take CERTAIN deviations.
+        share = high / dims
+        spread = CERTAIN * np.sqrt(share * (1 - share) / (dims + 2))
+        if pairs is None:
+            part += q[:, low:high] @ v[:, low:high].T
+            with np.errstate(invalid="ignore"):
+                least = share * bound[:, None] - spread * np.sqrt((lengths_q[:, None] * lengths_v[None, :]) ** 2 + bound[:, None] ** 2)
+            alive &= ~(part < least - 1e-9 * (1 + np.abs(part)))
+            if alive.mean() < SPARSE or high == dims:
+                i, j = np.nonzero(alive)
+                pairs, seen = True, part[i, j]
+            continue
         for at in range(0, len(i), 65536):
             some = slice(at, at + 65536)
             seen[some] += np.einsum("ij,ij->i", q[i[some], low:high], v[j[some], low:high])
-        if high < dims:
-            left_q, left_v = np.linalg.norm(q[:, high:], axis=1), np.linalg.norm(v[:, high:], axis=1)
-            stay = seen + CERTAIN / np.sqrt(dims - high) * left_q[i] * left_v[j] >= bound[i] - 1e-9 * (1 + np.abs(bound[i]))
-        else:
-            stay = seen >= bound[i] - 1e-9 * (1 + np.abs(bound[i]))
+        with np.errstate(invalid="ignore"):
+            least = share * bound[i] - spread * np.sqrt((lengths_q[i] * lengths_v[j]) ** 2 + bound[i] ** 2)
+        stay = ~(seen < least - 1e-9 * (1 + np.abs(seen)))
         i, j, seen = i[stay], j[stay], seen[stay]
     return i, j
 
 
-def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, rotation: np.ndarray, k: int) -> pa.Table:
+def best_of(query_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, ids: np.ndarray, vectors: np.ndarray, rotation: np.ndarray, k: int) -> pa.Table:
     """At most ``k`` nearest of one list part for each query, scored on the original vectors."""
     found = []
     for at in range(0, len(query_ids), 256):
         qid, q = query_ids[at:at + 256], queries[at:at + 256]
-        i, j = scan(q, vectors, qid[:, None] == ids[None, :], rotation, k)
+        i, j = scan(q, vectors, qid[:, None] == ids[None, :], bounds[at:at + 256], rotation, k)
         score = np.concatenate([np.einsum("ij,ij->i", q[i[s:s + 65536]], vectors[j[s:s + 65536]]) for s in range(0, max(1, len(i)), 65536)])
         order = np.lexsort((ids[j], -score, i))
         i, j, score = i[order], j[order], score[order]
@@ -128,16 +142,17 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & good & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def nearest(embeddings: DataFrame, query: Column, k: int = 20, sample_rows: int = 20_000, lists: int | None = None, probe_share: float = 0.75,
+def nearest(embeddings: DataFrame, query: Column, k: int = 20, sample_rows: int = 20_000, lists: int | None = None, first_probes: int = 4,
             identity: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The ``k`` nearest rows of every row for which ``query`` (a condition on vec_id) holds: query_id, rank, vec_id, score.
 
     The score is the inner product of the original vectors in double precision; ties go to the smaller vec_id.
     Vectors that are null, zero, hold null or non-finite components, or have another length than most, and rows
     without identity take no part; equal rows count once. A query's own identity is no candidate. All rows are
-    indexed; the centroids are fitted on at most ``sample_rows`` rows chosen by hash. ``probe_share`` of the lists
-    are probed; queries that find fewer than ``k`` rows there go through all lists. An empty table gives no rows;
-    other columns are not read.
+    indexed; the centroids are fitted on at most ``sample_rows`` rows chosen by hash. A query first goes through its
+    ``first_probes`` nearest lists; the score of its ``k``-th best there is the bound with which it goes through the
+    others, of PROBES * lists ** 0.75 in all. Queries that find fewer than ``k`` rows so go through all lists. An empty
+    table gives no rows; other columns are not read.
 
     A task holds at most about LIST_ROWS vectors of a list and QUERY_ROWS queries: longer lists and lists that
     more queries probe are dealt out by hash, whatever their vectors are.
@@ -156,7 +171,7 @@ def nearest(embeddings: DataFrame, query: Column, k: int = 20, sample_rows: int
     drawn = given.where(F.xxhash64("vec_id") / F.lit(2.0**64) + 0.5 <= share).orderBy(F.xxhash64("vec_id")).limit(sample_rows).select("v").toArrow()
     count = lists or int(np.clip(np.sqrt(n), 1, 4096))
     layout = Layout.fit(matrix(drawn.column("v")), count, norm)
-    probed = max(1, int(np.ceil(probe_share * len(layout.centroids))))
+    probed = min(len(layout.centroids), int(np.ceil(PROBES * len(layout.centroids) ** 0.75)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,38 +179,46 @@ def nearest(embeddings: DataFrame, query: Column, k: int = 20, sample_rows: int
                 found = layout.lists_of(matrix(batch.column("v"))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(found), batch.column("v")], names=["vec_id", "list", "v"])
 
-    def route(n_lists: int):
+    def route(low: int, high: int):
         def run(batches):
             for batch in batches:
                 if batch.num_rows:
-                    found = layout.probes(matrix(batch.column("v")), n_lists).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(list(found), pa.list_(pa.int32())), batch.column("v")], names=["query_id", "probes", "v"])
+                    found = layout.probes(matrix(batch.column("v")), high)[:, low:].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("bound"), pa.array(list(found), pa.list_(pa.int32())), batch.column("v")],
+                                                     names=["query_id", "bound", "probes", "v"])
         return run
 
-    def part_best(_, asked: pa.Table, held: pa.Table) -> pa.Table:
+    def part_best(asked: pa.Table, held: pa.Table) -> pa.Table:
         if not asked.num_rows or not held.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        return best_of(np.asarray(asked.column("query_id")), matrix(asked.column("v")), np.asarray(held.column("vec_id")), matrix(held.column("v")), layout.rotation, k)
+        return best_of(np.asarray(asked.column("query_id")), matrix(asked.column("v")), np.asarray(asked.column("bound")), np.asarray(held.column("vec_id")), matrix(held.column("v")), layout.rotation, k)
 
     indexed = shared_table(given.mapInArrow(place, "vec_id long, list int, v array<double>"), "lists")
     parts = indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).cast("int").alias("parts"))
-    queries = given.where(query)
+    queries = given.where(query).withColumn("bound", F.lit(float("-inf")))
 
-    def search(some: DataFrame, n_lists: int) -> DataFrame:
-        routed = some.mapInArrow(route(n_lists), "query_id long, probes array<int>, v array<double>").select("query_id", "v", F.explode("probes").alias("list"))
-        routed = shared_table(routed.select("query_id", "list", "v"), "routed")
+    def search(some: DataFrame, low: int, high: int) -> DataFrame:
+        routed = some.select("vec_id", "bound", "v").mapInArrow(route(low, high), "query_id long, bound double, probes array<int>, v array<double>")
+        routed = shared_table(routed.select("query_id", "bound", "v", F.explode("probes").alias("list")), "routed")
         asked = routed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("shares")).join(parts, "list")
         asked = F.broadcast(asked)  # one row per list, at most 4,096
         deal = lambda c, m: F.pmod(F.xxhash64(c), F.col(m)).cast("int")
-        left = routed.join(asked, "list").select("query_id", "v", "list", deal("query_id", "shares").alias("share"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        left = routed.join(asked, "list").select("query_id", "bound", "v", "list", deal("query_id", "shares").alias("share"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         right = indexed.join(asked, "list").select("vec_id", "v", "list", deal("vec_id", "parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
         keys = ["list", "share", "part"]
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(part_best, "query_id long, vec_id long, score double")
+        return shared_table(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(part_best, "query_id long, vec_id long, score double"), "found")
 
-    found = shared_table(search(queries, probed), "found")
+    def best(rows: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    near = min(first_probes, probed)
+    found = search(queries, 0, near)
+    if near < probed:
+        bounds = best(found).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+        found = found.union(search(queries.drop("bound").join(bounds, "vec_id", "left").fillna(float("-inf"), ["bound"]), near, probed))
     enough = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
     short = queries.join(enough, "vec_id", "left_anti")
-    if probed < len(layout.centroids) and n > 1 and not short.isEmpty():
-        found = found.union(shared_table(search(short, len(layout.centroids)), "found")).distinct()
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    if probed < len(layout.centroids) and not short.isEmpty():
+        found = found.union(search(short, probed, len(layout.centroids)))
+    return best(found).select("query_id", "rank", "vec_id", "score")
