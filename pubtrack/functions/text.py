@@ -10,24 +10,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _accent_table() -> tuple[str, str]:
-    """Precomposed Latin letters and the base letter of each, derived from Unicode."""
-    source, target = [], []
-    for code in [*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)]:
-        parts = unicodedata.normalize("NFD", chr(code))
-        base = parts[0]
-        if len(parts) > 1 and base.isascii() and all(unicodedata.combining(c) for c in parts[1:]):
-            source.append(chr(code))
-            target.append(base)
-    return "".join(source), "".join(target)
+def _compatible(ranges: list[range]) -> dict[str, str]:
+    """Characters whose compatibility form without marks is plain ASCII, with that form, derived from Unicode."""
+    found = {}
+    for code in (c for r in ranges for c in r):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if plain and plain.isascii() and plain.isprintable() and plain.strip() == plain:
+            found[chr(code)] = plain
+    return found
 
 
-ACCENTED, PLAIN = _accent_table()
+# Latin letters with marks, ordinal signs, superscripts, ligatures and full-width forms.
+_FORMS = _compatible([range(0x00AA, 0x0250), range(0x1E00, 0x1F00), range(0x2070, 0x20A0), range(0xFB00, 0xFB07), range(0xFF01, 0xFF5F)])
+ACCENTED = "".join(c for c, plain in _FORMS.items() if len(plain) == 1)
+PLAIN = "".join(plain for plain in _FORMS.values() if len(plain) == 1)
+LIGATURES = {c: plain for c, plain in _FORMS.items() if len(plain) > 1}
 
 
 def strip_marks(text: Column) -> Column:
-    """Remove accents from precomposed Latin letters and drop combining marks."""
-    return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"\p{M}+", "")
+    """Remove accents from precomposed Latin letters, write ordinal signs, superscripts, ligatures and
+    full-width letters plainly and drop combining marks."""
+    joined = "".join(LIGATURES)
+    spread = text
+    for char, plain in LIGATURES.items():
+        spread = F.replace(spread, F.lit(char), F.lit(plain))
+    # The few multi-letter forms are looked for only in texts that hold one.
+    spread = F.when(F.rlike(text, F.lit(f"[{joined}]")), spread).otherwise(text)
+    return F.regexp_replace(F.translate(spread, ACCENTED, PLAIN), r"\p{M}+", "")
 
 
 def squeeze(text: Column) -> Column:
@@ -121,10 +130,20 @@ def by_length(words: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: s["w"])
 
 
-def natural_key(text: Column, width: int = 20) -> Column:
-    """Sort key in which digit runs compare by value."""
-    padded = F.regexp_replace(F.coalesce(text, F.lit("")), r"(\d+)", "0" * width + "$1")
-    return F.regexp_replace(padded, r"0*(\d{%d,})(?!\d)" % width, "$1")
+def natural_key(text: Column) -> Column:
+    """Sort key in which digit runs of any length compare by value: each is written without leading
+    zeros behind its length."""
+    def run(piece):
+        digits = F.ltrim(piece, F.lit("0"))
+        return F.when(F.rlike(piece, F.lit(r"^[0-9]")), F.concat(F.lpad(F.length(digits).cast("string"), 8, "0"), digits)).otherwise(piece)
+
+    return F.array_join(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0)), run), "")
+
+
+def spanish_key(text: Column) -> Column:
+    """Sort key of Spanish text: blind to case and accents, ñ after all other words with n, digits by value."""
+    kept = F.regexp_replace(F.lower(text), "ñ|n\u0303", "n\uffff")
+    return natural_key(fold(kept))
 
 
 # Display spellings of common subject words.

@@ -22,10 +22,23 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_replace(bare, r":\d*$", ""))
 
 
+def _decoded(text: Column) -> Column:
+    """Form-decoded text; text with a broken escape keeps its escapes."""
+    return F.coalesce(F.try_url_decode(text), F.replace(text, F.lit("+"), F.lit(" ")))
+
+
+def _encoded(text: Column) -> Column:
+    """Form-encoded text; only letters, digits and ``_.-~`` stay."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical_url(url: Column) -> Column:
-    """Identity of a resource: lower scheme/host, sorted query, no fragment."""
+    """Identity of a resource: lower scheme/host, no fragment, the query decoded, sorted by name and value
+    and encoded again, so that different spellings of one query agree."""
     path = url_part(url, "path")
-    query = F.array_join(F.array_sort(F.filter(F.split(url_part(url, "query"), "&"), lambda p: p != "")), "&")
+    named = F.transform(F.filter(F.split(url_part(url, "query"), "&"), lambda p: p != ""), lambda p: F.struct(
+        _decoded(F.substring_index(p, "=", 1)).alias("name"), _decoded(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)).alias("value")))
+    query = F.array_join(F.transform(F.array_sort(named), lambda p: F.concat(_encoded(p["name"]), F.lit("="), _encoded(p["value"]))), "&")
     return F.concat(
         F.lower(url_part(url, "scheme")), F.lit("://"), host_of(url),
         F.when(path == "", F.lit("/")).otherwise(path),

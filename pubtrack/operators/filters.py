@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pubtrack.functions.text import contains_words, fold, natural_key
+from pubtrack.functions.text import contains_words, fold, spanish_key
 from pubtrack.operators.scan import ordered_scan, rank
 
 
@@ -80,9 +80,9 @@ def facet_values(rows: DataFrame, key: str, label: str, position: str) -> DataFr
 
 
 def sorted_positions(rows: DataFrame, key: str, descending: bool, tie: str, kind: str = "text") -> DataFrame:
-    """Stable position of each row under accent-blind, number-aware text order or numeric order."""
+    """Stable position of each row under Spanish number-aware text order or numeric order."""
     if kind == "text":
-        order = natural_key(fold(F.col(key)))
+        order = spanish_key(F.col(key))
     else:
         order = F.col(key)
     if descending:

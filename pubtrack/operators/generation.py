@@ -153,11 +153,14 @@ class GenerationStore:
         return generation_id(self.rows(version), [self.identity, *self.columns]).first()["version_id"]
 
     def validate(self, version: str, manifest: DataFrame, specialty: str, rank_column: str) -> str:
-        """Digest of the validated staged set; raises when a gate fails."""
+        """Digest of the validated staged set; when a gate fails, all problems are written to ``problems``
+        of the store and the error says how many there are and where."""
         problems = activation_report(self.rows(version), manifest, specialty, rank_column, self.identity)
-        found = problems.limit(5).collect()
+        place = f"{self.root}/problems/version_id={version}"
+        problems.write.mode("overwrite").parquet(place)
+        found = self.spark.read.schema(problems.schema).parquet(place).groupBy("problem").count().orderBy("problem").collect()
         if found:
-            raise ValueError(f"generation not accepted: {[(r['problem'], r['item']) for r in found]}")
+            raise ValueError(f"generation not accepted, {place} lists: {[(r['problem'], r['count']) for r in found]}")
         return self.digest(version)
 
     def activate(self, version: str, validated_digest: str) -> None:

@@ -74,11 +74,11 @@ def with_acceptance(requests: DataFrame, accepted: DataFrame, service: Sequence[
 
 def lease_outcomes(jobs: DataFrame, completions: DataFrame, job: str, started: str, finished: str, lease_seconds: int) -> DataFrame:
     """Terminal state of every job: the first completion within the lease, else failed at expiry."""
-    done = completions.groupBy(job).agg(F.min(finished).alias("_first"))
-    met = jobs.join(done, job, "left")
-    within = F.coalesce((F.col("_first") >= F.col(started)) & (F.col("_first") <= F.col(started) + lease_seconds * 1_000_000), F.lit(False))
-    return met.select(job, started, F.when(within, "completed").otherwise("failed").alias("job_status"),
-                      F.when(within, F.col("_first")).otherwise(F.col(started) + lease_seconds * 1_000_000).alias("ended_us"))
+    expiry = F.col(started) + lease_seconds * 1_000_000
+    within = completions.select(job, finished).join(jobs.select(job, started), job).where(F.col(finished).between(F.col(started), expiry))
+    met = jobs.join(within.groupBy(job, started).agg(F.min(finished).alias("_first")), [job, started], "left")
+    return met.select(job, started, F.when(F.col("_first").isNotNull(), "completed").otherwise("failed").alias("job_status"),
+                      F.coalesce("_first", expiry).alias("ended_us"))
 
 
 def client_quota(requests: DataFrame, client: Sequence[str], order: Sequence[Column], identity: str, most: int = 120) -> DataFrame:

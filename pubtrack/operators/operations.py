@@ -11,7 +11,7 @@ from pubtrack.functions.values import closed
 from pubtrack.operators.scan import ordered_scan, previous
 
 # Closed vocabularies of run logs.
-RUN_STATUSES = ["running", "success", "partial", "failed", "cancelled", "skipped"]
+RUN_STATUSES = ["running", "success", "failed", "partial", "pending_budget", "skipped"]
 ISSUES_NOT_ACTIONABLE = ["coverage_partial", "recovery_unavailable"]
 
 

@@ -27,13 +27,15 @@ def budget_work(items: DataFrame, queue: str, priority: Column, attempted: Colum
     """Processing order over all queues and the verdict per item.
 
     Order: queue, priority, least recently attempted (never first), newest, id. A queue with a cap
-    stops at it; the overall budget counts only accepted items; everything else is deferred.
+    stops at it; the undated queue fills its cap by attempt and id alone. The overall budget counts only
+    accepted items; everything else is deferred.
     """
     queue_order = F.when(F.col(queue) == "recent", 0).when(F.col(queue) == "historical", 1).otherwise(2)
     attempt_order = F.coalesce(attempted.cast("string"), F.lit(""))
     newest = -F.coalesce(F.unix_date(date), F.lit(0))
     order = [queue_order, priority, attempt_order, newest, F.col(identity)]
-    first = ordered_scan(items, [queue], [priority, attempt_order, newest, F.col(identity)], [rank("queue_position")])
+    undated = F.col(queue) == "undated"
+    first = ordered_scan(items, [queue], [F.when(~undated, priority), attempt_order, F.when(~undated, newest), F.col(identity)], [rank("queue_position")])
     capped = F.lit(True)
     for name, cap in queue_caps.items():
         capped = capped & ((F.col(queue) != name) | (F.col("queue_position") <= cap))

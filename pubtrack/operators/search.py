@@ -11,25 +11,26 @@ from pubtrack.functions.text import alphanumerics, by_length, contains_words, me
 from pubtrack.operators.scan import top_per_key
 from pubtrack.session import BROADCAST_ROWS, cut, is_small
 
-MAX_TOKENS = 6
-MAX_QUERY_CHARS = 100
 PAGE = 20
-CANDIDATE_CAP = 5000
 SHARES = 32
 #: Gram lists up to this length are matched inside the row, longer ones by a join.
 SHORT_LIST = 4096
 
 
-def parse_queries(queries: DataFrame, identity: str, folded: str) -> DataFrame:
+def parse_queries(queries: DataFrame, identity: str, folded: str, max_tokens: int | None = None, max_chars: int | None = None) -> DataFrame:
     """Tokens, probe grams and validity of every query.
 
     ``kind``: ``number`` for a whole list number of 7 or 8 digits, ``name`` for a text with at least
-    one token of three characters, ``too_short`` without one, ``invalid`` otherwise.
+    one token of three characters, ``too_short`` without one, ``invalid`` for wildcards, for fewer than three
+    letters or digits and, where limits are given, beyond ``max_tokens`` or ``max_chars``.
     """
     text = F.col(folded)
     words = tokens(text)
-    invalid = ((alphanumerics(text) < 3) | (F.size(words) > MAX_TOKENS) | F.rlike(text, F.lit(r"[%_\\]"))
-               | (F.length(text) > MAX_QUERY_CHARS))
+    invalid = (alphanumerics(text) < 3) | F.rlike(text, F.lit(r"[%_\\]"))
+    if max_tokens is not None:
+        invalid = invalid | (F.size(words) > max_tokens)
+    if max_chars is not None:
+        invalid = invalid | (F.length(text) > max_chars)
     long_words = by_length(F.filter(F.array_distinct(words), lambda w: F.length(w) >= 3))
     kind = (F.when(F.coalesce(invalid, F.lit(True)), "invalid").when(F.rlike(text, F.lit(r"^\d{7,8}$")), "number")
             .when(F.size(long_words) == 0, "too_short").otherwise("name"))
@@ -69,11 +70,12 @@ def rarest_gram(parsed: DataFrame, identity: str, sizes: DataFrame) -> DataFrame
 
 
 def search_names(corpus: DataFrame, record: str, text: str, parsed: DataFrame, query: str, order: Sequence[Column],
-                 page: int = PAGE, cap: int = CANDIDATE_CAP, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+                 page: int = PAGE, broad: int | None = None, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """Result rows and outcome per query.
 
-    A record is a candidate when it holds every long token; a query with more than ``cap`` candidates
-    is too broad and gets no page. Otherwise every token must occur as often as the query repeats it.
+    A record is a candidate when it holds every long token, and a result when every token occurs as often as
+    the query repeats it. Every query gets its first ``page`` results; with ``broad``, the outcome of a query with
+    more candidates than that is ``too_broad``, as a hint to narrow it.
 
     Each query reaches the corpus through its rarest gram only. A small query set meets the postings
     by broadcast, so no text is shuffled; a large one is shuffled by (gram, share) with the records of
@@ -111,11 +113,9 @@ def search_names(corpus: DataFrame, record: str, text: str, parsed: DataFrame, q
     outcomes = parsed.join(counts, query, "left").select(
         query, "kind", F.coalesce("candidates", F.lit(0)).alias("candidates"),
         F.when(F.col("kind") == "number", "number").when(F.col("kind") != "name", F.col("kind"))
-        .when(F.col("candidates") > cap, "too_broad").otherwise("ok").alias("outcome"),
-        F.coalesce(F.when(F.col("candidates") <= cap, F.col("matches") > page), F.lit(False)).alias("more"))
-    hits = top_per_key(candidates.where("_verified").drop("_verified"), [query], order, page)
-    broad = counts.where(F.col("candidates") > cap).select(query)
-    return hits.join(broad, query, "left_anti"), outcomes
+        .when(F.lit(broad is not None) & (F.col("candidates") > (broad or 0)), "too_broad").otherwise("ok").alias("outcome"),
+        F.coalesce(F.col("matches") > page, F.lit(False)).alias("more"))
+    return top_per_key(candidates.where("_verified").drop("_verified"), [query], order, page), outcomes
 
 
 def order_columns(corpus: DataFrame, record: str, text: str) -> list[str]:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pubtrack.functions.text import squeeze
+from pubtrack.functions.urls import url_part
 from pubtrack.functions.values import clean_stamp, local_instant, strict_date
 from pubtrack.operators.scan import following, ordered_scan, previous
 
@@ -201,17 +202,25 @@ def page_headers(pages: DataFrame, text: str, page: str, page_count: str) -> Dat
 
 # How an original may reach the intake and what it may be.
 RECEIVED_VIA = ["official_download", "local_file"]
-KINDS = ["award", "baseline", "correction", "supplement", "maestros_roster", "vacancies"]
+KINDS = ["award", "optan_observation", "maestros_roster", "maestros_correction"]
 
 
-def intake_rules() -> dict[str, Column]:
-    """Rules of an intake request."""
+def download_address(url: Column, host: str, path: str, key: str, value: Column) -> Column:
+    """A plain https address of ``host`` and ``path`` whose query names ``value`` under ``key``, once."""
+    named = F.filter(F.split(url_part(url, "query"), "&"), lambda p: F.startswith(p, F.lit(key + "=")))
+    return ((F.length(url) <= 4096) & ~F.rlike(url, F.lit(r"[\x00-\x1f\\]")) & (F.lower(url_part(url, "scheme")) == "https") & (url_part(url, "authority") == host)
+            & (url_part(url, "path") == path) & (url_part(url, "fragment") == "") & (F.size(named) == 1) & (F.get(named, F.lit(0)) == F.concat(F.lit(key + "="), value)))
+
+
+def intake_rules(host: str, path: str, key: str) -> dict[str, Column]:
+    """Rules of an intake request; ``host``, ``path`` and ``key`` describe the official download address."""
     return {
-        "content_id": F.rlike("content_id", F.lit(r"^\d{1,10}$")),
+        "content_id": F.rlike("content_id", F.lit(r"^[0-9]{1,12}$")),
+        "source_url": download_address(F.col("source_url"), host, path, key, F.col("content_id")),
         "sha256": F.rlike("sha256", F.lit("^[0-9a-f]{64}$")),
         "kind": F.col("kind").isin(KINDS),
         "received_via": F.col("received_via").isin(RECEIVED_VIA),
         "published_at": strict_date(F.col("published_at")).isNotNull(),
         "received_at": clean_stamp(F.col("received_at")).isNotNull(),
-        "human_seconds": F.coalesce(F.col("human_seconds"), F.lit(0)).between(0, 86_400),
+        "human_seconds": F.coalesce(F.col("human_seconds").cast("double"), F.lit(0.0)).between(0, 86_400) & (F.coalesce(F.col("human_seconds").cast("double"), F.lit(0.0)) % 1 == 0),
     }

@@ -376,7 +376,7 @@ def work(spark, d):
 
 
 @query("work_queue", QUEUE + """
-, r AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY pr, att, day DESC, id) AS queue_position,
+, r AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY CASE WHEN queue <> 'undated' THEN pr END, att, CASE WHEN queue <> 'undated' THEN day END DESC, id) AS queue_position,
   row_number() OVER (ORDER BY CASE queue WHEN 'recent' THEN 0 WHEN 'historical' THEN 1 ELSE 2 END, pr, att, day DESC, id) AS work_order FROM n),
 f AS (SELECT *, NOT (queue = 'historical' AND queue_position > 500) AND NOT (queue = 'undated' AND queue_position > 300) AS fits FROM r)
 SELECT id, queue, queue_position, work_order, fits AND sum(fits::INT) OVER (ORDER BY work_order) <= 4000 AS accepted FROM f

@@ -40,9 +40,8 @@ def _(spark, d):
 
 @query("lease_outcomes", """
 WITH j AS (SELECT user_id AS job_id, epoch_us(min(ts)) AS started_us FROM events WHERE event_type = 'signup' GROUP BY 1),
-c AS (SELECT j.job_id, min(epoch_us(e.ts)) AS f FROM j JOIN events e ON e.user_id = j.job_id AND e.event_type = 'purchase' GROUP BY 1)
-SELECT j.job_id, started_us, CASE WHEN f BETWEEN started_us AND started_us + 72000000000 THEN 'completed' ELSE 'failed' END AS job_status,
- CASE WHEN f BETWEEN started_us AND started_us + 72000000000 THEN f ELSE started_us + 72000000000 END AS ended_us FROM j LEFT JOIN c USING (job_id)
+c AS (SELECT j.job_id, min(epoch_us(e.ts)) AS f FROM j JOIN events e ON e.user_id = j.job_id AND e.event_type = 'purchase' AND epoch_us(e.ts) BETWEEN started_us AND started_us + 72000000000 GROUP BY 1)
+SELECT j.job_id, started_us, CASE WHEN f IS NULL THEN 'failed' ELSE 'completed' END AS job_status, coalesce(f, started_us + 72000000000) AS ended_us FROM j LEFT JOIN c USING (job_id)
 """)
 def _(spark, d):
     e = events(spark, d).withColumn("job_id", F.col("user_id"))

@@ -35,13 +35,19 @@ CANON = """CASE WHEN regexp_extract({u}, '^[^?#]*//[^/?#]*([^?#]*)', 1) = '' THE
 
 
 @query("canonical_urls", """
+WITH b AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS url FROM pages),
+p AS (SELECT page_id, CASE WHEN contains(url, '?') THEN url || '&' ELSE url || '?' END || list_extract(['q=a+b&q=%41*~', 'q=a%20b&q=A%2a%7E', 'a-b=1&a=2&z', 'b=%C3%A9&a=&a', '&&c=%2Bx=y'], 1 + page_id % 5) || '#part' AS url FROM b),
+q AS (SELECT page_id, url, list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '') AS parts FROM p),
+e AS (SELECT page_id, url, list_sort(list_transform(parts, lambda x: {'k': url_decode(replace(regexp_extract(x, '^[^=]*'), '+', ' ')), 'v': url_decode(replace(regexp_extract(x, '^[^=]*=(.*)$', 1), '+', ' '))})) AS named FROM q)
 SELECT page_id, sha256(c) AS url_id, c AS canonical FROM (SELECT page_id,
  lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) || '://' || lower(regexp_extract(url, '//([^/?#:]*)', 1)) || """ + CANON.format(u="url") + """
- || CASE WHEN regexp_extract(url, '\\?([^#]*)', 1) = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&')), '&') END AS c
- FROM pages)
+ || '?' || array_to_string(list_transform(named, lambda x: replace(url_encode(x.k), '%20', '+') || '=' || replace(url_encode(x.v), '%20', '+')), '&') AS c FROM e)
 """)
 def _(spark, d):
-    pages = load(spark, d, "pages")
+    more = F.array(*map(F.lit, ["q=a+b&q=%41*~", "q=a%20b&q=A%2a%7E", "a-b=1&a=2&z", "b=%C3%A9&a=&a", "&&c=%2Bx=y"]))
+    bare = F.regexp_replace("url", "#.*$", "")
+    url = F.concat(bare, F.when(F.contains(bare, F.lit("?")), "&").otherwise("?"), F.get(more, (F.col("page_id") % 5).cast("int")), F.lit("#part"))
+    pages = load(spark, d, "pages").withColumn("url", url)
     return pages.select("page_id", urls.opaque_id(F.col("url")).alias("url_id"), urls.canonical_url(F.col("url")).alias("canonical"))
 
 
@@ -59,15 +65,34 @@ MARK_SQL = " OR ".join(f"contains(lower(html), '{m}')" for m in web.CHALLENGE_MA
 
 
 @query("page_flags", f"""
-SELECT page_id, {MARK_SQL} AS challenge, NULL::DATE AS published_on,
+SELECT page_id, {MARK_SQL} AS challenge, CASE WHEN page_id % 3 = 0 THEN DATE '2024-01-01' + (page_id % 28)::INTEGER END AS published_on,
  regexp_matches(html, '<h1[^>]*>[^<]*(?:relacion|listado)[^<]*vacantes sin cubrir') AS vacancy_title FROM pages
 """)
 def _(spark, d):
-    return load(spark, d, "pages").select(
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 28).cast("int")).cast("string")
+    third = F.col("page_id") % 3
+    stated = (F.when(third == 0, F.concat(F.lit('<meta property="article:published_time" content="'), day, F.lit('T09:00:00Z"><time datetime="'), day, F.lit('"></time>')))
+              .when(third == 1, F.concat(F.lit('<time datetime="'), day, F.lit('"></time><time datetime="1999-01-01"></time>'))).otherwise(""))
+    return load(spark, d, "pages").withColumn("html", F.concat(stated, "html")).select(
         "page_id", web.is_challenge(F.col("html")).alias("challenge"), web.published_date(F.col("html")).alias("published_on"),
         web.is_vacancy_title(web.page_title(F.col("html"))).alias("vacancy_title"))
 
 
+@query("structured_dates", """
+SELECT page_id, CASE WHEN page_id % 7 IN (0, 1, 2, 3, 4) THEN strftime(DATE '2024-01-01' + (page_id % 300)::INTEGER, '%Y-%m-%d') END AS stated FROM pages
+""")
+def _(spark, d):
+    day = F.concat(F.lit('{"datePublished":"'), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 300).cast("int")).cast("string"), F.lit('"}'))
+    kind = F.col("page_id") % 7
+    data = (F.when(kind == 0, day).when(kind == 1, F.concat(F.lit('[{"name":"a"},7,'), day, F.lit("]")))
+            .when(kind == 2, F.concat(F.lit('{"@graph":[{"x":1},{"datePublished":"soon"},'), day, F.lit("]}")))
+            .when(kind == 3, F.concat(F.lit('{broken</script><script type="application/ld+json">'), day))
+            .when(kind == 4, F.concat(F.lit("["), day, F.lit(',{"datePublished":"1999-01-01"}]')))
+            .when(kind == 5, '{"@graph":[{"x":1}],"datePublished":"2024-01-01"}').otherwise('{"datePublished":null}'))
+    html = F.concat(F.lit('<script type="application/ld+json">'), data, F.lit("</script>"), "html")
+    return load(spark, d, "pages").select("page_id", web.structured_date(html).alias("stated"))
+
+
 @query("pseudonymised_links", LINKS + """
 SELECT page_id, position, sha256(lower(strip_accents(trim(regexp_replace(label, '\\s+', ' ', 'g'))))) AS title_sha256 FROM targets
 """)
@@ -211,12 +236,16 @@ def _(spark, d):
 
 
 @query("latest_check_per_source", """
-WITH c AS (SELECT regexp_extract(url, '//([^/?#:]*)', 1) AS host, page_id, length(html) AS size FROM pages)
-SELECT host, max(page_id) AS last_check, arg_max(size, page_id) AS last_size, count(*) AS checks FROM c GROUP BY 1
+WITH c AS (SELECT regexp_extract(url, '//([^/?#:]*)', 1) AS host, page_id % 3 AS form, page_id, length(html) AS size FROM pages)
+SELECT sha256('https://' || host || '/list?a=' || CASE form WHEN 2 THEN '2' ELSE '1' END || '&q=x+y') AS source_id, max(page_id) AS last_check, arg_max(size, page_id) AS last_size, count(*) AS checks
+FROM c GROUP BY 1
 """)
 def _(spark, d):
-    pages = load(spark, d, "pages")
-    return pages.groupBy(urls.host_of(F.col("url")).alias("host")).agg(
+    # Two spellings of one address and one other address for every host.
+    forms = F.array(F.lit("/list?q=x%20y&a=1#top"), F.lit("/list?a=1&q=x+y"), F.lit("/list?a=2&q=x+y"))
+    address = F.concat(F.lit("https://"), F.upper(urls.host_of(F.col("url"))), F.get(forms, (F.col("page_id") % 3).cast("int")))
+    pages = load(spark, d, "pages").withColumn("address", address)
+    return pages.groupBy(urls.opaque_id(F.col("address")).alias("source_id")).agg(
         F.max("page_id").alias("last_check"), F.max_by(F.length("html").cast("long"), "page_id").alias("last_size"),
         F.count(F.lit(1)).alias("checks"))
 

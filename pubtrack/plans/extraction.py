@@ -217,16 +217,23 @@ def _(spark, d):
 
 
 @query("intake_requests", """
-SELECT doc_id, array_to_string(list_filter([CASE WHEN n_chars % 7 = 0 THEN 'kind' END, CASE WHEN n_chars % 5 = 0 THEN 'published_at' END, CASE WHEN n_chars % 3 = 0 THEN 'human_seconds' END], lambda x: x IS NOT NULL), ',') AS broken FROM documents
+SELECT doc_id, array_to_string(list_filter([CASE WHEN n_chars % 11 = 0 THEN 'content_id' END, CASE WHEN n_chars % 9 IN (1, 2, 3, 4) THEN 'source_url' END, CASE WHEN n_chars % 7 = 0 THEN 'kind' END,
+ CASE WHEN n_chars % 5 = 0 THEN 'published_at' END, CASE WHEN n_chars % 8 = 0 THEN 'received_at' END, CASE WHEN n_chars % 3 = 0 OR n_chars % 4 = 1 THEN 'human_seconds' END], lambda x: x IS NOT NULL), ',') AS broken FROM documents
 """)
 def _(spark, d):
-    from pubtrack.operators.validate import intake_rules, with_violations
+    from pubtrack.operators.validate import KINDS, intake_rules, with_violations
     size = F.col("n_chars")
+    number = F.when(size % 11 == 0, F.lpad(F.col("doc_id").cast("string"), 13, "9")).otherwise(F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    shape = size % 9
+    address = F.concat(F.when(shape == 1, "http").otherwise("https"), F.lit("://files.example.org/download?ID="), F.when(shape == 2, "5").otherwise(F.col("content_id")),
+                       F.when(shape == 3, F.concat(F.lit("&ID="), F.col("content_id"))).when(shape == 4, "#top").otherwise("&x=1"))
     requests = load(spark, d, "documents").select(
-        "doc_id", F.col("doc_id").cast("string").alias("content_id"), F.sha2("text", 256).alias("sha256"), F.when(size % 7 == 0, "x").otherwise("award").alias("kind"),
+        "doc_id", number.alias("content_id"), F.sha2("text", 256).alias("sha256"), "n_chars",
+        F.when(size % 7 == 0, "vacancies").otherwise(F.element_at(F.array(*map(F.lit, KINDS)), (1 + size % 4).cast("int"))).alias("kind"),
         F.lit("local_file").alias("received_via"), F.when(size % 5 == 0, "2024-02-30").otherwise("2024-02-28").alias("published_at"),
-        F.lit("2024-03-01T10:00:00Z").alias("received_at"), F.when(size % 3 == 0, -1).otherwise(60).alias("human_seconds"))
-    return with_violations(requests, intake_rules()).select("doc_id", F.array_join("violations", ",").alias("broken"))
+        F.when(size % 8 == 0, "2024-03-01T10:00:00").otherwise("2024-03-01T10:00:00Z").alias("received_at"),
+        F.when(size % 3 == 0, -1.0).when(size % 4 == 1, 0.5).otherwise(60.0).alias("human_seconds")).withColumn("source_url", address)
+    return with_violations(requests, intake_rules("files.example.org", "/download", "ID")).select("doc_id", F.array_join("violations", ",").alias("broken"))
 
 
 @query("publication_context", """

@@ -104,7 +104,7 @@ def registry_sources(raw: DataFrame) -> DataFrame:
 
 RUN = "run_id string, code_sha string, trigger string, request_id string, started_at string, ended_at string, scheduled_at string, elapsed_seconds string, status string, phases map<string, struct<started_at: string, ended_at: string, elapsed_seconds: string, status: string, exit_code: string>>"
 # What may start a run.
-TRIGGERS = ["schedule", "workflow_dispatch", "worker_cron", "push", "manual"]
+TRIGGERS = ["schedule", "workflow_dispatch", "worker_cron", "push", "local"]
 
 
 def read_runs(payloads: DataFrame, payload: str) -> tuple[DataFrame, DataFrame]:

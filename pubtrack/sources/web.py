@@ -65,12 +65,18 @@ def published_date(html: Column) -> Column:
 
 
 def structured_date(html: Column) -> Column:
-    """First publication date in linked-data scripts of the page."""
+    """First publication date in linked-data scripts of the page: of the object itself, else of the first
+    object of a list or of a graph that has one."""
     scripts = F.regexp_extract_all(html, F.lit(r'(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'), F.lit(1))
-    stated = F.transform(scripts, lambda s: F.coalesce(
-        any_date(F.get_json_object(s, "$.datePublished")), any_date(F.get_json_object(s, "$[0].datePublished")),
-        any_date(F.get_json_object(s, "$['@graph'][0].datePublished"))))
-    return F.get(F.array_compact(stated), F.lit(0))
+
+    def stated(script):
+        graph = F.get_json_object(script, "$['@graph'][*].datePublished")
+        whole = F.when(F.get_json_object(script, "$['@graph']").isNull(), F.get_json_object(script, "$.datePublished"))
+        several = F.coalesce(F.get_json_object(script, "$[*].datePublished"), graph)
+        texts = F.regexp_extract_all(F.coalesce(several, F.lit("")), F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))
+        return F.coalesce(F.get(F.array_compact(F.transform(texts, any_date)), F.lit(0)), any_date(whole))
+
+    return F.get(F.array_compact(F.transform(scripts, stated)), F.lit(0))
 
 
 def is_challenge(html: Column) -> Column:

@@ -105,41 +105,41 @@ def budget_stream(requests: DataFrame, day: str, order: Sequence[str], identity:
 
 def lease_stream(log: DataFrame, job: str, epoch_us: str, is_start: str, lease_seconds: int, keep: str = "7 days") -> DataFrame:
     """Terminal state per job from a log of starts and completions (one watermarked stream): completed
-    within the lease, or failed when event time passes its end. Ended jobs are forgotten after the
-    retention; until then a job ends only once."""
+    within the lease, or failed when event time passes its end. The first completion that is not before
+    the start counts, in whatever order the rows arrive; completions that come before their start are kept
+    for the retention. Ended jobs are forgotten after the retention; until then a job ends only once."""
     lease_us, keep_us = lease_seconds * MICROS, int(pd.Timedelta(keep).total_seconds() * MICROS)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        started, finished = state.get if state.exists else (None, None)
+        started, finished, waiting = state.get if state.exists else (None, None, "")
         if state.hasTimedOut:
-            if finished is not None:
+            if finished is not None or started is None:
                 state.remove()
                 return
-            state.update((started, started + lease_us))
+            state.update((started, started + lease_us, ""))
             state.setTimeoutTimestamp(max((started + lease_us + keep_us) // 1000, state.getCurrentWatermarkMs() + 1))
             yield pd.DataFrame({job: [key[0]], "started_us": [started], "job_status": ["failed"], "ended_us": [started + lease_us]})
             return
-        earliest_end = None
+        ends = {int(x) for x in waiting.split(",") if x}
         for batch in batches:
-            starts, ends = batch.loc[batch[is_start], epoch_us], batch.loc[~batch[is_start], epoch_us]
+            starts = batch.loc[batch[is_start], epoch_us]
             if len(starts) and finished is None:
                 started = int(starts.min()) if started is None else min(started, int(starts.min()))
-            if len(ends):
-                earliest_end = int(ends.min()) if earliest_end is None else min(earliest_end, int(ends.min()))
-        if started is None:
-            # A completion without a known start is not evidence of anything.
-            return
-        completed = finished is None and earliest_end is not None and started <= earliest_end <= started + lease_us
+            ends.update(int(x) for x in batch.loc[~batch[is_start], epoch_us])
+        if started is not None:
+            # Only the first completion from the start onwards can still matter.
+            ends = set(sorted(x for x in ends if x >= started)[:1])
+        completed = finished is None and started is not None and bool(ends) and min(ends) <= started + lease_us
         if completed:
-            finished = earliest_end
-        state.update((started, finished))
-        wake = started + lease_us + (0 if finished is None else keep_us)
+            finished = min(ends)
+        state.update((started, finished, "" if finished is not None else ",".join(map(str, sorted(ends)))))
+        wake = (max(ends) + keep_us) if started is None else started + lease_us + (0 if finished is None else keep_us)
         state.setTimeoutTimestamp(max(wake // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         if completed:
             yield pd.DataFrame({job: [key[0]], "started_us": [started], "job_status": ["completed"], "ended_us": [finished]})
 
     return log.groupBy(job).applyInPandasWithState(
-        step, f"{_types(log, [job])}, started_us long, job_status string, ended_us long", "started long, finished long", "append",
+        step, f"{_types(log, [job])}, started_us long, job_status string, ended_us long", "started long, finished long, waiting string", "append",
         GroupStateTimeout.EventTimeTimeout)
 
 

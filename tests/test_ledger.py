@@ -85,3 +85,10 @@ def test_byte_budget_takes_the_shortest_old_prefix(table):
     assert [k for k, v in run(300).items() if v[0]] and sorted(k for k, v in run(300).items() if v[0]) == [1, 3]
     assert sorted(k for k, v in run(400).items() if v[0]) == []
     assert not any(v[1] for v in run(100).values())
+
+
+def test_completion_before_the_start_is_no_evidence(table):
+    jobs = table([("a", 1_000_000), ("b", 1_000_000), ("c", 1_000_000)], "job string, start long")
+    done = table([("a", 500_000), ("a", 2_000_000), ("b", 900_000), ("b", 99_000_000), ("c", 61_000_000)], "job string, finish long")
+    got = {r["job"]: (r["job_status"], r["ended_us"]) for r in ledger.lease_outcomes(jobs, done, "job", "start", "finish", 60).collect()}
+    assert got == {"a": ("completed", 2_000_000), "b": ("failed", 61_000_000), "c": ("completed", 61_000_000)}

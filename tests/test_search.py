@@ -15,8 +15,8 @@ def brute(corpus, queries, cap, page):
         candidates = [(i, s) for i, s in corpus if all(w in s for w in long_words)]
         good = sorted(i for i, s in candidates if all(s.count(w) >= words.count(w) for w in words))
         broad = len(candidates) > cap
-        outcome[number] = (len(candidates), "too_broad" if broad else "ok", (not broad) and len(good) > page)
-        hits[number] = [] if broad else good[:page]
+        outcome[number] = (len(candidates), "too_broad" if broad else "ok", len(good) > page)
+        hits[number] = good[:page]
     return hits, outcome
 
 
@@ -29,7 +29,7 @@ def test_all_access_paths_equal_brute_force(table, monkeypatch, broadcast_rows,
     queries = [(1, "tinez carlos"), (2, "martinez martinez"), (3, "alv"), (4, "zzzzzz"), (5, "ana eva ana"), (6, "garcia"), (7, "lopez an")]
     frame = table(corpus, "id long, t string")
     parsed = search.parse_queries(table(queries, "q long, text string"), "q", "text")
-    hits, outcomes = search.search_names(frame, "id", "t", parsed, "q", [F.col("id")], page=10, cap=80, broadcast_rows=broadcast_rows)
+    hits, outcomes = search.search_names(frame, "id", "t", parsed, "q", [F.col("id")], page=10, broad=80, broadcast_rows=broadcast_rows)
     want_hits, want_outcome = brute(corpus, queries, 80, 10)
     got = {n: [] for n, _ in queries}
     for row in hits.orderBy("q", "position").collect():
@@ -41,8 +41,10 @@ def test_all_access_paths_equal_brute_force(table, monkeypatch, broadcast_rows,
 
 def test_query_grammar(table):
     rows = [("ab",), ("a b c",), ("25000020",), ("one two three four five six seven",), ("50% off",), ("ALVAREZ",), ("ab cd",), ("x" * 101,)]
-    kinds = [r["kind"] for r in search.parse_queries(table([(i, *r) for i, r in enumerate(rows)], "i int, q string"), "i", "q").orderBy("i").collect()]
+    kinds = [r["kind"] for r in search.parse_queries(table([(i, *r) for i, r in enumerate(rows)], "i int, q string"), "i", "q", 6, 100).orderBy("i").collect()]
     assert kinds == ["invalid", "too_short", "number", "invalid", "invalid", "name", "too_short", "invalid"]
+    kinds = [r["kind"] for r in search.parse_queries(table([(i, *r) for i, r in enumerate(rows)], "i int, q string"), "i", "q").orderBy("i").collect()]
+    assert kinds == ["invalid", "too_short", "number", "name", "invalid", "name", "too_short", "name"]
 
 
 def test_rarest_probe_gram(table):
@@ -72,3 +74,25 @@ def test_folding_and_titles(table):
 def test_natural_order(table):
     frame = table([("a10",), ("a9",), ("a09b",), ("b1",)], "t string")
     assert [r[0] for r in frame.orderBy(text.natural_key(F.col("t")), "t").collect()] == ["a9", "a09b", "a10", "b1"]
+
+
+def test_natural_order_has_no_longest_number(table):
+    values = ["x" + "9" * 40, "x1" + "0" * 40, "x" + "0" * 50 + "7", "x8"]
+    frame = table([(v,) for v in values], "t string")
+    assert [r[0] for r in frame.orderBy(text.natural_key(F.col("t"))).collect()] == [values[2], "x8", values[0], values[1]]
+
+
+def test_spanish_order(table):
+    frame = table([(v,) for v in ["Oz", "Ñu", "Nz", "Nuzar", "n\u0303a", "Núa", "nu 10", "nu 9"]], "t string")
+    assert [r[0] for r in frame.orderBy(text.spanish_key(F.col("t"))).collect()] == ["nu 9", "nu 10", "Núa", "Nuzar", "Nz", "n\u0303a", "Ñu", "Oz"]
+
+
+def test_search_form_equals_full_decomposition(table):
+    import unicodedata
+    covered = [chr(c) for c in [*range(0xA1, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]]
+    # Letters that Latin case mapping itself expands or that have no ASCII form stay with the exact function.
+    plain = lambda c: "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+    rows = [(c,) for c in covered if plain(c).isascii() and plain(c).strip() == plain(c) != ""]
+    frame = table(rows, "t string").select("t", text.fold_upper(F.col("t")).alias("a"), text.fold_exact(F.col("t")).alias("b"))
+    assert len(rows) > 500 and frame.where("a <> b").count() == 0
+    assert table([("Mª 1º ﬁn",)], "t string").select(text.fold_upper(F.col("t"))).first()[0] == "MA 1O FIN"

@@ -104,3 +104,9 @@ def test_append_is_idempotent_and_export_points_last(spark, table, tmp_path):
 def test_feeds_fail_closed(table, body, reason):
     got = web.feed_entries(table([(1, body)], "id int, body string"), "id", "body").collect()
     assert [r["rejected"] for r in got] == [reason]
+
+
+def test_run_vocabularies(table):
+    run = {"run_id": "r1", "trigger": "local", "status": "pending_budget", "phases": {}}
+    runs, _ = state.read_runs(table([(json.dumps(run),), (json.dumps(run | {"trigger": "manual", "status": "cancelled"}),)], "p string"), "p")
+    assert {(r["trigger"], r["status"]) for r in runs.collect()} == {("local", "pending_budget"), ("unknown", "failed")}

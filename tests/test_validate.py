@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from pubtrack.functions.values import any_date, clean_count, clean_number, clean_stamp, local_instant
 from pubtrack.operators import validate
 
-CELLS = ["30011764 IES MIGUEL HERNÁNDEZ", "ALHAMA DE MURCIA", "0590I06 MATEMATICAS / INGLES", "VS", "N", "Completa", "1"]
+CELLS = ["30099887 IES ARROYO CLARO", "VILLA DE ARRIBA", "0590F21 DIBUJO TECNICO / FRANCES", "VS", "N", "Completa", "1"]
 
 
 def with_cell(i, value):
@@ -11,7 +11,7 @@ def with_cell(i, value):
 
 
 def test_vacancy_rules(table):
-    cases = [(CELLS, []), (with_cell(0, "20011764 IES"), ["center_code"]), (with_cell(2, "0490I06 X"), ["function_code"]), (with_cell(2, "0594B23 PIANO"), []),
+    cases = [(CELLS, []), (with_cell(0, "20099887 IES"), ["center_code"]), (with_cell(2, "0490I06 X"), ["function_code"]), (with_cell(2, "0594B23 PIANO"), []),
              (with_cell(3, "VX"), ["quota"]), (with_cell(4, "X"), ["itinerant"]), (with_cell(5, "Tiempo Parcial 41 horas"), ["workload"]),
              (with_cell(5, "Tiempo Parcial 12 horas"), []), (with_cell(6, "0"), ["quantity"]), (CELLS[:6], None), (with_cell(1, "  "), ["empty_cell"])]
     frame = table([(i, c[0]) for i, c in enumerate(cases)], "i int, cells array<string>")
@@ -23,7 +23,7 @@ def test_vacancy_rules(table):
 def test_typed_row(table):
     rows = table([("d", 1, 2, CELLS), ("d", 1, 3, with_cell(5, "Tiempo Parcial 9 horas"))], "doc string, page int, row_number int, cells array<string>")
     first, second = validate.typed_vacancy(rows, "cells", "doc", "page", "row_number").orderBy("row_number").collect()
-    assert (first["id"], first["center_code"], first["function_code"], first["body"], first["language"]) == ("d:1:2", "30011764", "0590I06", "Secundaria", "Inglés")
+    assert (first["id"], first["center_code"], first["function_code"], first["body"], first["language"]) == ("d:1:2", "30099887", "0590F21", "Secundaria", "Francés")
     assert (first["workload"], first["hours"], second["workload"], second["hours"]) == ("full", None, "partial", 9)
 
 
