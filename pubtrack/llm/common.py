@@ -62,21 +62,24 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: each step only re-points edges to the least
     neighbour seen, so the number of edges never grows and a long chain shrinks geometrically.
-    The neighbourhood of a popular id is aggregated before the shuffle and never gathered.
+    The neighbourhood of a popular id is aggregated before the shuffle and never gathered. The
+    steps end when the edges are stars: no id has two ends and no end has an edge of its own.
     """
     edges = shared_table(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    while True:
+    while not is_stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = shared_table(large.distinct(), "star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        small = shared_table(small.where("a <> b").distinct(), "star")
-        # Finished when every id points to one root and no root points anywhere: both steps then change nothing.
-        changed = small.exceptAll(edges).limit(1).union(edges.exceptAll(small).limit(1)).count()
-        edges = small
-        if not changed:
-            break
+        edges = shared_table(small.where("a <> b").distinct(), "star")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
         edges.select(F.col("b"), F.col("b")).distinct())
+
+
+def is_stars(edges: DataFrame) -> bool:
+    """True when every ``a`` has one ``b`` and no ``b`` is an ``a``."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("out")).union(edges.select("b", F.lit(0)))
+    degree = ends.groupBy("id").agg(F.sum("out").alias("out"), F.min("out").alias("least"))
+    return degree.where("out > 1 OR (out = 1 AND least = 0)").isEmpty()

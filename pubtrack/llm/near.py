@@ -4,9 +4,10 @@ A document is the set of its word shingles. Its minwise tokens (the least hash u
 functions) agree between two sets with a probability equal to their Jaccard similarity. Each of several
 independent trees starts with all sets in the root; a node sends every member to the children named by
 the member's tokens at two coordinates that the node's own hash chooses. Small nodes compare all members.
-A large node compares its members with one pivot and is branched further, unless all its members are
-already known to be connected. A pair at similarity 0.75 stays together in some branch of one tree with
-probability 0.889 or more, so TREES independent trees miss it with probability below 3e-8.
+A large node compares its members with one pivot; if that does not connect them all, it is branched
+further, or, where branching no longer halves it, its unconnected members are compared block by block. A
+pair at similarity 0.75 stays together in some branch of one tree with probability 0.889 or more, so TREES
+independent trees miss it with probability below 3e-8.
 
 Equal sets are joined beforehand, a comparison of tokens discards pairs that cannot be similar enough, and
 every link is confirmed on the full sets (64-bit shingle hashes).
@@ -26,6 +27,8 @@ from pubtrack.llm.common import components, shared_table, texts_of
 from pubtrack.llm.shingles import mixed, words_of
 
 COORDINATES, TREES, SMALL_NODE = 64, 8, 32
+#: Members and bytes of text of a block of a dense node; two blocks meet in one task.
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Least number of equal token bytes of a pair that is compared in full: a pair at similarity 0.75 has 48 on
 #: average and fewer than 28 with probability 1e-8.
 LEAST_EQUAL = 28
@@ -135,6 +138,77 @@ def node_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], schema=PAIRS)
 
 
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs. Shingles of few sets are counted pair by pair, the others by
+    products of slices of the incidence matrix."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    hashes = np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    group = np.cumsum(np.r_[True, hashes[1:] != hashes[:-1]]) - 1 if len(hashes) else owner
+    size = np.bincount(group)[group] if len(hashes) else owner
+    counts = np.zeros((n, n), dtype=np.int64)
+    rare = np.flatnonzero((size > 1) & (size <= 16))
+    for step in range(1, 16):
+        met = np.flatnonzero(group[rare[step:]] == group[rare[:-step]]) if len(rare) > step else rare[:0]
+        counts += np.bincount(owner[rare[met]] * n + owner[rare[met + step]], minlength=n * n).reshape(n, n)
+    counts += counts.T
+    popular = size > 16
+    column = np.unique(group[popular], return_inverse=True)[1]
+    rows = owner[popular]
+    for low in range(0, int(column.max(initial=-1)) + 1, 4096):
+        some = (column >= low) & (column < low + 4096)
+        matrix = np.zeros((n, min(4096, int(column.max()) + 1 - low)), dtype=np.float32)
+        matrix[rows[some], column[some] - low] = 1
+        counts += np.rint(matrix @ matrix.T).astype(np.int64)
+    return counts
+
+
+def block_links(k: int, percent: int):
+    """Arrow function over two blocks of a dense node (or one): links that connect different components, one
+    for each connection that the earlier ones do not imply."""
+    def run(held: pa.Table) -> pa.Table:
+        ids, component = (np.asarray(held.column(c)) for c in ("cid", "component"))
+        with np.errstate(over="ignore"):
+            sets = [s for t in held.column("text").to_pylist() for s in shingle_sets([t.encode()], k)]
+        sizes = np.array([len(s) for s in sets])
+        counts = common_counts(sets)
+        linked = np.triu(100 * counts >= percent * (sizes[:, None] + sizes[None, :] - counts), 1)
+        i, j = np.nonzero(linked & (component[:, None] != component[None, :]))
+        low, high = np.minimum(component[i], component[j]), np.maximum(component[i], component[j])
+        _, once = np.unique(np.stack([low, high], axis=1), axis=0, return_index=True)
+        root: dict[int, int] = {}
+
+        def find(x):
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        kept = []
+        for at in once.tolist():
+            x, y = find(int(low[at])), find(int(high[at]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                kept.append(at)
+        a, b = ids[i[kept]], ids[j[kept]]
+        return pa.Table.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], schema=PAIRS)
+
+    return run
+
+
+def dense_links(dense: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between the unconnected members of dense nodes (node, m, cid, component), compared block by block on
+    their full sets; a block has at most BLOCK members and, on average, BLOCK_BYTES of text."""
+    held = dense.join(texts, "cid")
+    bulk = held.groupBy("node").agg(F.sum(F.length("text")).alias("bulk"))
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("bulk") / BLOCK_BYTES)).cast("int")
+    own = held.join(bulk, "node").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("node", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "cid", "component", "text")
+    return met.groupBy("node", "low", "high").applyInArrow(block_links(k, percent), "a long, b long")
+
+
 def confirm(k: int, percent: int):
     """Arrow function: the pairs with 100 * intersection >= percent * union of the full sets."""
     def run(batches):
@@ -156,12 +230,12 @@ def sketch(tokens) -> F.Column:
     return F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8 * COORDINATES), F.lit(8)), lambda i: F.substring(F.hex(tokens), i, F.lit(2))), ""))
 
 
-def children(nodes: DataFrame, tree: F.Column) -> DataFrame:
-    """(node, cid) of the two children of every member: the node's hash chooses two coordinates."""
+def children(nodes: DataFrame, tree: F.Column, size: F.Column) -> DataFrame:
+    """(node, cid, parent_m) of the two children of every member: the node's hash chooses two coordinates."""
     chosen = F.pmod(F.xxhash64(tree, F.lit("first")), F.lit(COORDINATES))
     other = F.pmod(chosen + 1 + F.pmod(F.xxhash64(tree, F.lit("second")), F.lit(COORDINATES - 1)), F.lit(COORDINATES))
     child = lambda c: F.xxhash64(tree, c, F.substring(F.col("tokens"), (c * 4 + 1).cast("int"), F.lit(4)))
-    return nodes.select("cid", F.explode(F.array(child(chosen), child(other))).alias("node")).distinct()
+    return nodes.select("cid", F.explode(F.array(child(chosen), child(other))).alias("node"), size.cast("long").alias("parent_m"))
 
 
 def same_component(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -172,6 +246,22 @@ def same_component(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return pairs.join(a, "a", "left").join(b, "b", "left").where("ca IS NULL OR cb IS NULL OR ca <> cb").select("a", "b")
 
 
+def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough, stored."""
+    a, b = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
+    return shared_table(both.mapInArrow(*confirm(k, percent)), "links")
+
+
+def connect(labels: DataFrame | None, fresh: DataFrame) -> DataFrame:
+    """Labels (id, component) after adding links; those known so far stand for the links behind them."""
+    if labels is None:
+        return shared_table(components(fresh), "labels")
+    if fresh.isEmpty():
+        return labels
+    return shared_table(components(fresh.union(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))), "labels")
+
+
 def near_components(documents: DataFrame, identity: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id, kept.
 
@@ -180,8 +270,9 @@ def near_components(documents: DataFrame, identity: str = "doc_id", text: str =
     equal identity are rows of their own; equal texts are connected. An empty table gives no rows; other columns
     are not read.
 
-    What meets in one task is a node of at most SMALL_NODE sets or a pair. Large nodes only pair their members
-    with a pivot, one pivot per member first; once these links connect the group, the rest is not compared.
+    What meets in one task is a node of at most SMALL_NODE sets, two blocks of a dense node, or a pair. Large nodes
+    first pair their members with a pivot only; once these links connect a group, the rest is not compared. As a node
+    is branched only where this halves it, the rows of a level never outgrow those of the level before.
     """
     rows = texts_of(documents, identity, text)
     printed = shared_table(rows.mapInArrow(*prints(k)), "prints")
@@ -189,9 +280,9 @@ def near_components(documents: DataFrame, identity: str = "doc_id", text: str =
     classes = shared_table(classes.withColumn("sketch", sketch(F.col("tokens"))).withColumn("cid", F.monotonically_increasing_id()), "classes")
     small = classes.select("cid", "sketch")
 
-    labels = links = texts = checked = None
+    labels = texts = checked = None
     trees = classes.select("cid", "tokens", F.explode(F.sequence(F.lit(1), F.lit(TREES))).alias("tree"))
-    members = children(trees, F.col("tree"))
+    members = children(trees, F.col("tree"), F.lit(1 << 62))
     while True:
         sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.min("cid").alias("pivot")).where("m > 1")
         nodes = shared_table(members.join(sizes, "node"), "nodes")
@@ -200,31 +291,29 @@ def near_components(documents: DataFrame, identity: str = "doc_id", text: str =
         stars = stars.join(small.withColumnRenamed("cid", "a"), "a").join(small.select(F.col("cid").alias("b"), F.col("sketch").alias("pivot_sketch")), "b")
         tight = nodes.where(F.col("m") <= SMALL_NODE).join(small, "cid").groupBy("node").agg(
             F.collect_list(F.struct("cid", "sketch")).alias("of")).select(F.col("of.cid").alias("ids"), F.col("of.sketch").alias("sketches"))
-        pairs = stars.mapInArrow(star_pairs, "a long, b long").union(tight.mapInArrow(node_pairs, "a long, b long")).distinct()
+        pairs = stars.mapInArrow(star_pairs, "a long, b long").union(tight.mapInArrow(node_pairs, "a long, b long"))
+        pairs = pairs.distinct()
         pairs = pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti")
         pairs = shared_table(same_component(pairs, labels), "pairs")
+        checked = pairs if checked is None else checked.union(pairs)
         if texts is None:
             wanted = pairs.select("a").union(pairs.select("b")).union(large.select("cid")).distinct()
             prints_of = classes.join(wanted.withColumnRenamed("a", "cid"), "cid", "left_semi").select("cid", "p1", "p2")
             found = rows.mapInArrow(*text_prints(k)).join(prints_of, ["p1", "p2"]).select("cid", "text")
             texts = shared_table(found.groupBy("cid").agg(F.first("text").alias("text")), "texts")
         # First one pair per set, then only what these links leave unconnected.
-        for first in (True, False):
-            chosen = pairs.groupBy("a").agg(F.min("b").alias("b")) if first else same_component(pairs.join(chosen, ["a", "b"], "left_anti"), labels)
-            both = chosen.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a").join(
-                texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
-            fresh = both.select("a", "b", "text_a", "text_b").mapInArrow(*confirm(k, percent))
-            links = shared_table(fresh if links is None else links.union(fresh), "links")
-            chosen = shared_table(chosen, "chosen") if first else chosen
-            labels = shared_table(components(links), "labels")
-        checked = pairs if checked is None else checked.union(pairs)
-        # A node is settled when its members are connected.
-        named = large.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", -F.col("cid") - 1))
-        open_nodes = named.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("node")
-        rest = shared_table(large.select("node", "cid").join(open_nodes, "node", "left_semi").join(classes.select("cid", "tokens"), "cid"), "open")
+        first = shared_table(pairs.groupBy("a").agg(F.min("b").alias("b")), "first")
+        labels = connect(labels, linked(first, texts, k, percent))
+        labels = connect(labels, linked(same_component(pairs.join(first, ["a", "b"], "left_anti"), labels), texts, k, percent))
+        # A node is settled when its members are connected, or when it is dense and compared in full.
+        named = large.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        apart = named.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("node")
+        rest = shared_table(named.join(apart, "node", "left_semi").select("node", "cid", "m", "parent_m", "component"), "open")
+        labels = connect(labels, shared_table(dense_links(rest.where(2 * F.col("m") > F.col("parent_m")), texts, k, percent), "links"))
+        rest = rest.where(2 * F.col("m") <= F.col("parent_m"))
         if rest.isEmpty():
             break
-        members = children(rest, F.col("node"))
+        members = children(rest.join(classes.select("cid", "tokens"), "cid"), F.col("node"), F.col("m"))
 
     of_class = classes.select("p1", "p2", "cid", "doc_id").join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn(
         "component", F.coalesce("component", "cid"))

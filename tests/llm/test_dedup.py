@@ -1,6 +1,7 @@
 """Exact and near duplicates and repeated passages against brute force."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -156,3 +157,28 @@ def test_word_hashes_do_not_depend_on_neighbours():
     assert np.diff(words.first).tolist() == [3, 0, 2, 2]
     assert words.hashes[1] == words.hashes[4] and words.hashes[0] == words.hashes[6] and words.hashes[2] == words.hashes[5]
     assert len(set(words.hashes.tolist())) == 4
+
+
+def test_dense_groups_are_compared_in_full(spark, monkeypatch):
+    monkeypatch.setattr(near, "SMALL_NODE", 4)
+    monkeypatch.setattr(near, "BLOCK", 16)
+    draw = random.Random(5)
+    base = prose(21, 70).split()
+    rows = []
+    for i in range(90):  # copies with so many edits that some are linked and others only similar
+        words = list(base)
+        for _ in range(draw.randint(0, 5)):
+            words[draw.randrange(len(words))] = f"e{draw.randint(0, 30)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near.near_components(docs).select("doc_id", "n_shingles", "component_id", "kept")
+    want = near_rows(plain(docs))
+    assert Counter(tuple(r) for r in got.collect()) == want and len({k[2] for k in want}) > 10
+
+
+def test_common_counts():
+    draw = np.random.default_rng(2)
+    sets = [np.unique(draw.integers(0, 60, draw.integers(0, 40)).astype(np.uint64)) for _ in range(45)] + [np.empty(0, dtype=np.uint64)]
+    sets += [np.unique(draw.integers(1000, 1400, 30).astype(np.uint64)) for _ in range(20)]
+    counts = near.common_counts(sets)
+    assert all(counts[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
