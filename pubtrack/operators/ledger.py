@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,54 +14,70 @@ from pubtrack.operators.scan import last_known, next_known, ordered_scan, previo
 DAY = 86_400
 
 
-def accepted_ticks(ticks: np.ndarray, gap: int, per_day: int) -> np.ndarray:
-    """Single-flight admission over sorted distinct seconds: each acceptance blocks ``gap``
-    seconds; at most ``per_day`` acceptances per UTC day. Jumps by binary search."""
-    kept: list[int] = []
-    at, day, used = 0, None, 0
-    while at < len(ticks):
-        tick = int(ticks[at])
-        if tick // DAY != day:
-            day, used = tick // DAY, 0
-        if used >= per_day:
-            at = int(np.searchsorted(ticks, (day + 1) * DAY))
-            continue
-        kept.append(tick)
-        used += 1
-        at = int(np.searchsorted(ticks, tick + gap))
-    return np.array(kept, dtype="int64")
-
-
 def throttle(requests: DataFrame, service: Sequence[str], identity: str, seconds: Column, gap: int, per_day: int) -> DataFrame:
     """Accepted requests of a single-flight service whose clock counts whole seconds.
 
-    Only the first request of a second can be accepted, so requests are first reduced, map-side, to
-    one bit per second (a 4 KB bitmap covers about nine hours). A service then holds less than 4 MB
-    per year whatever its traffic; the admission walk over these bits is the only sequential part.
-    Accepted seconds finally meet the first request of that second again.
+    Only the first request of a second can be accepted, so requests are first reduced, map-side, to the
+    first one of each second. Spark sorts these by service and second, and the walk keeps only the last
+    acceptance and the count of the day, so quiet and busy services cost the same per second.
     """
-    timed = requests.withColumn("_s", seconds.cast("long"))
-    bits = timed.groupBy(*service, F.bitmap_bucket_number(F.col("_s")).alias("_b")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("_s"))).alias("_bits"))
-    fields = ", ".join(f"{k} {t}" for k, t in bits.dtypes if k in service)
+    timed = requests.withColumn("accepted_second", seconds.cast("long"))
+    first = timed.groupBy(*service, "accepted_second").agg(F.min(identity).alias(identity))
     names = list(service)
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_b")
-        parts = []
-        for number, packed in zip(group["_b"], group["_bits"]):
-            # Bucket n starts at value 1 + (n - 1) * 32768; bits run from the lowest of each byte.
-            places = np.flatnonzero(np.unpackbits(np.frombuffer(packed, dtype="uint8"), bitorder="little"))
-            parts.append(places + 1 + (int(number) - 1) * 32768)
-        kept = accepted_ticks(np.concatenate(parts), gap, per_day)
-        result = pd.DataFrame({"_s": kept})
-        for name in names:
-            result[name] = group[name].iloc[0]
-        return result[names + ["_s"]]
-
-    accepted = bits.groupBy(*service).applyInPandas(walk, f"{fields}, _s long")
-    first = timed.groupBy(*service, "_s").agg(F.min(identity).alias(identity))
-    return first.join(accepted, [*service, "_s"]).withColumnRenamed("_s", "accepted_second")
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gate, free_at, day, used = None, 0, -1, 0
+        for batch in batches:
+            kept = []
+            for *key, second in zip(*[batch[c].tolist() for c in [*names, "accepted_second"]]):
+                if key != gate:
+                    gate, free_at, day, used = key, second, -1, 0
+                if second // DAY != day:
+                    day, used = second // DAY, 0
+                fits = second >= free_at and used < per_day
+                kept.append(fits)
+                if fits:
+                    free_at, used = second + gap, used + 1
+            yield batch[kept]
+
+    ordered = first.repartition(*names).sortWithinPartitions(*names, "accepted_second")
+    return ordered.mapInPandas(walk, ordered.schema)
+
+
+def job_throttle(requests: DataFrame, finishes: DataFrame, service: Sequence[str], identity: str, seconds: str, lease: int, cooldown: int,
+                 per_day: int = 1 << 31) -> DataFrame:
+    """Every request with the job it starts or attaches to, where the gate follows the job: an open job blocks
+    for its lease, a finished one for the cooldown since it finished, and a day starts at most ``per_day`` jobs.
+
+    ``finishes`` (service, seconds) end the job that is open then; at one second they come first. The walk over
+    the sorted log of a service holds one job.
+    """
+    names = list(service)
+    log = requests.select(*names, seconds, identity).unionByName(finishes.select(*names, seconds, F.lit(None).cast(dict(requests.dtypes)[identity]).alias(identity)))
+    ordered = log.repartition(*names).sortWithinPartitions(*names, seconds, F.col(identity).asc_nulls_first())
+    types = dict(ordered.dtypes)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gate, job, start, done, day, used = None, None, None, None, -1, 0
+        for batch in batches:
+            batch = batch.astype({identity: "Int64"})
+            rows = []
+            for *key, second, request in zip(*[batch[c].tolist() for c in [*names, seconds, identity]]):
+                if key != gate:
+                    gate, job, start, done, day, used = key, None, None, None, -1, 0
+                if request is pd.NA:
+                    done = second if start is not None and done is None else done
+                    continue
+                if second // DAY != day:
+                    day, used = second // DAY, 0
+                free = start is None or (second - start >= lease if done is None else second - done >= cooldown)
+                acquired = free and used < per_day
+                if acquired:
+                    job, start, done, used = request, second, None, used + 1
+                rows.append((*key, request, acquired, job))
+            yield pd.DataFrame(rows, columns=[*names, identity, "acquired", "job_id"]).astype({identity: "int64", "job_id": "Int64"})
+
+    return ordered.mapInPandas(walk, ", ".join(f"{c} {types[c]}" for c in names) + f", {identity} {types[identity]}, acquired boolean, job_id {types[identity]}")
 
 
 def with_acceptance(requests: DataFrame, accepted: DataFrame, service: Sequence[str], identity: str, order: Sequence[Column]) -> DataFrame:
@@ -105,25 +120,46 @@ def daily_budget(requests: DataFrame, day: str, order: Sequence[str], identity:
     and bounds what one day can hold however many requests it had.
     """
     columns = [F.col(c) for c in order]
-    bounded = top_per_key(requests.select(day, *dict.fromkeys([*order, identity]), estimate, actual), [day, estimate], columns, most,
-                          spread=F.col(identity))
-    types = dict(bounded.dtypes)
-    names = list(order)
-
-    def admit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(names, kind="stable")
-        used, count, kept, after = 0, 0, [], []
-        for wish, cost in zip(group[estimate].to_numpy(), group[actual].to_numpy()):
-            fits = count < most and used + wish <= budget
-            kept.append(fits)
-            if fits:
-                used, count = used + int(cost), count + 1
-            after.append(used)
-        group = group.assign(used=after)[kept]
-        return group[[day, identity, estimate, actual, "used"]]
-
-    return bounded.groupBy(day).applyInPandas(
-        admit, f"{day} {types[day]}, {identity} {types[identity]}, {estimate} {types[estimate]}, {actual} {types[actual]}, used long")
+    possible = requests.where(F.col(estimate) <= budget).select(day, *dict.fromkeys([*order, identity]), estimate, actual)
+    bounded = top_per_key(possible, [day, estimate], columns, most, spread=F.col(identity))
+    return _walk_days(bounded.withColumn("_base", F.lit(0).cast("long")), day, order, identity, estimate, actual, budget, most)
+
+
+def _walk_days(requests: DataFrame, day: str, order: Sequence[str], identity: str, estimate: str, actual: str, budget: int, most: int) -> DataFrame:
+    """Walk the requests of every day in order. Days are sorted by Spark, and the walk holds the running
+    usage of one day (starting at its ``_base``) and the count, never its rows."""
+    types = dict(requests.dtypes)
+    names = [day, identity, estimate, actual]
+
+    def admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        today, used, count = None, 0, 0
+        for batch in batches:
+            kept, after = [], []
+            for at, wish, cost, base in zip(batch[day].tolist(), batch[estimate].tolist(), batch[actual].tolist(), batch["_base"].tolist()):
+                if at != today:
+                    today, used, count = at, int(base), 0
+                fits = count < most and used + wish <= budget
+                kept.append(fits)
+                if fits:
+                    used, count = used + int(cost), count + 1
+                after.append(used)
+            yield batch.assign(used=after)[kept][[*names, "used"]]
+
+    ordered = requests.repartition(day).sortWithinPartitions(day, *order)
+    return ordered.mapInPandas(admit, ", ".join(f"{c} {types[c]}" for c in names) + ", used long")
+
+
+def write_admission(wishes: DataFrame, carried: DataFrame, day: str, order: Sequence[str], identity: str, reserved: str, limit: int) -> DataFrame:
+    """Reservations admitted under the daily write limit: charged + carried over + wish must fit.
+
+    ``carried`` (day, writes) is what open reservations of earlier days still count on a day (see
+    :func:`write_usage`). An admitted reservation is charged at once with what it reserves; ``used`` is the
+    usage after it. Wishes are only dropped where they alone exceed what the day has left at its start.
+    """
+    base = carried.groupBy(day).agg(F.sum("writes").cast("long").alias("_base"))
+    met = wishes.select(*dict.fromkeys([day, *order, identity, reserved])).join(base, day, "left").withColumn("_base", F.coalesce("_base", F.lit(0).cast("long")))
+    possible = met.where(F.col("_base") + F.col(reserved) <= limit).withColumn("_cost", F.col(reserved))
+    return _walk_days(possible, day, order, identity, reserved, "_cost", limit, 1 << 62).drop("_cost")
 
 
 def settled_usage(admitted: DataFrame, day: str, settled_day: str, actual: str) -> DataFrame:

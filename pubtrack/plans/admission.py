@@ -38,6 +38,35 @@ def _(spark, d):
     return ledger.with_acceptance(requests, accepted, ["service"], "event_id", by_time()).select("event_id", "acquired", "job_id")
 
 
+@query("job_throttle", """
+WITH RECURSIVE r AS (SELECT user_id, event_id, epoch_us(ts) // 1000000 AS s, event_type = 'purchase' AS fin,
+  row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_type <> 'purchase', event_id) AS n FROM events WHERE event_type IN ('view', 'click', 'purchase')),
+w(user_id, n, event_id, fin, job, started, done, acquired) AS (SELECT user_id, n, event_id, fin, CASE WHEN NOT fin THEN event_id END, CASE WHEN NOT fin THEN s END, NULL::BIGINT, NOT fin FROM r WHERE n = 1
+ UNION ALL SELECT user_id, n, event_id, fin, CASE WHEN ok THEN event_id ELSE job END, CASE WHEN ok THEN s ELSE started END, CASE WHEN ok THEN NULL WHEN fin AND started IS NOT NULL THEN coalesce(done, s) ELSE done END, ok
+ FROM (SELECT r.*, w.job, w.started, w.done, NOT r.fin AND (w.started IS NULL OR CASE WHEN w.done IS NULL THEN r.s - w.started >= 900000 ELSE r.s - w.done >= 300000 END) AS ok
+  FROM w JOIN r ON r.user_id = w.user_id AND r.n = w.n + 1))
+SELECT user_id, event_id, acquired, job AS job_id FROM w WHERE NOT fin
+""")
+def _(spark, d):
+    log = events(spark, d).select("user_id", "event_id", "event_type", F.floor(F.col("us") / 1_000_000).alias("second"))
+    return ledger.job_throttle(log.where("event_type IN ('view', 'click')"), log.where("event_type = 'purchase'"), ["user_id"], "event_id", "second", 900_000, 300_000)
+
+
+@query("write_admission", """
+WITH RECURSIVE c AS (SELECT ts::DATE + 1 AS day, count(*) * 400 AS base FROM events WHERE event_type = 'error' GROUP BY 1),
+r AS (SELECT event_id, ts::DATE AS day, CAST(trunc(value) AS BIGINT) * 32 + 8 AS reserved, coalesce(base, 0) AS base, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) AS n
+ FROM events LEFT JOIN c ON c.day = ts::DATE WHERE event_type IN ('purchase', 'signup')),
+f(day, n, event_id, reserved, ok, used) AS (SELECT day, n, event_id, reserved, base + reserved <= 70000, base + CASE WHEN base + reserved <= 70000 THEN reserved ELSE 0 END FROM r WHERE n = 1
+ UNION ALL SELECT r.day, r.n, r.event_id, r.reserved, f.used + r.reserved <= 70000, f.used + CASE WHEN f.used + r.reserved <= 70000 THEN r.reserved ELSE 0 END FROM f JOIN r ON r.day = f.day AND r.n = f.n + 1)
+SELECT CAST(day AS DATE) AS day, event_id, reserved, CAST(used AS BIGINT) AS used FROM f WHERE ok
+""")
+def _(spark, d):
+    e = events(spark, d).withColumn("day", F.to_date("ts"))
+    wishes = e.where("event_type IN ('purchase', 'signup')").select("day", "us", "event_id", (F.col("value").cast("long") * 32 + 8).alias("reserved"))
+    carried = e.where("event_type = 'error'").groupBy(F.date_add("day", 1).alias("day")).agg((F.count(F.lit(1)) * 400).alias("writes"))
+    return ledger.write_admission(wishes, carried, "day", ["us", "event_id"], "event_id", "reserved", 70_000)
+
+
 @query("lease_outcomes", """
 WITH j AS (SELECT user_id AS job_id, epoch_us(min(ts)) AS started_us FROM events WHERE event_type = 'signup' GROUP BY 1),
 c AS (SELECT j.job_id, min(epoch_us(e.ts)) AS f FROM j JOIN events e ON e.user_id = j.job_id AND e.event_type = 'purchase' AND epoch_us(e.ts) BETWEEN started_us AND started_us + 72000000000 GROUP BY 1)

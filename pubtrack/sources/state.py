@@ -19,10 +19,10 @@ STATE = f"""documents array<struct<id: string, sha256: string, title: string, pr
  pdf_urls: array<string>>>, checks: array<struct<id: string, url: string, checked_at: string, status: string, success: boolean, error_code: string>>>"""
 
 
-def read_state(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Publications, their rows, notices and checks of stored state documents. A document that does
-    not fit the declared schema fails the read."""
-    state = spark.read.schema(STATE).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def read_state(spark: SparkSession, path: str, multi_line: bool = True) -> dict[str, DataFrame]:
+    """Publications, their rows, notices and checks of stored state documents, one per file or, without
+    ``multi_line``, one per line. A document that does not fit the declared schema fails the read."""
+    state = spark.read.schema(STATE).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
     documents = state.select(F.explode("documents").alias("d")).select("d.*")
     return {
         "publications": documents.drop("rows"),

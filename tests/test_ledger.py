@@ -1,6 +1,5 @@
 import random
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from pubtrack.operators import ledger, queues
@@ -33,9 +32,19 @@ def test_throttle_equals_greedy_over_bitmap_edges(table):
         assert all(number == min(r[0] for r in rows if r[2] == second) for second, number in mine)
 
 
-def test_accepted_ticks_cap_and_midnight():
-    ticks = np.array([DAY - 10, DAY - 5, DAY + 1, DAY + 100])
-    assert list(ledger.accepted_ticks(ticks, 60, 1)) == [DAY - 10, DAY + 100]
+def test_throttle_cap_and_midnight(table):
+    seconds = [DAY - 10, DAY - 5, DAY + 1, DAY + 100]
+    requests = table([("g", i, s) for i, s in enumerate(seconds)] + [("h", 9, DAY + 5)], "service string, id long, s long")
+    got = ledger.throttle(requests, ["service"], "id", F.col("s"), 60, 1)
+    assert {(r["service"], r["accepted_second"]) for r in got.collect()} == {("g", DAY - 10), ("g", DAY + 100), ("h", DAY + 5)}
+
+
+def test_gate_follows_the_job(table):
+    requests = table([(1, 1, 0), (1, 2, 50), (1, 3, 100), (1, 4, 150), (1, 5, 1000), (1, 6, 1900), (2, 7, 0), (2, 8, DAY)], "s long, id long, t long")
+    finishes = table([(1, 90), (2, 10), (3, 5)], "s long, t long")
+    got = {r["id"]: (r["acquired"], r["job_id"]) for r in ledger.job_throttle(requests, finishes, ["s"], "id", "t", 900, 60, 2).collect()}
+    # 3: cooldown since 90; 5: the job of 4 is past its lease but the day is full.
+    assert got == {1: (True, 1), 2: (False, 1), 3: (False, 1), 4: (True, 4), 5: (False, 4), 6: (False, 4), 7: (True, 7), 8: (True, 8)}
 
 
 def test_budget_equals_sequential_admission(table):
