@@ -2,12 +2,13 @@
 
 A document is the set of its word shingles. Its minwise tokens (the least hash under each of COORDINATES
 functions) agree between two sets with a probability equal to their Jaccard similarity. Each of several
-independent trees starts with all sets in the root; a node sends every member to the children named by
-the member's tokens at two coordinates that the node's own hash chooses. Small nodes compare all members.
-A large node compares its members with one pivot; if that does not connect them all, it is branched
-further, or, where branching no longer halves it, its unconnected members are compared block by block. A
-pair at similarity 0.75 stays together in some branch of one tree with probability 0.889 or more, so TREES
-independent trees miss it with probability below 3e-8.
+independent trees starts with all sets in the root; the root sends every member to the children named by
+the member's tokens at two coordinates, a further node to the child named by its token at one, all chosen
+by hash. Small nodes compare all members. A large node compares its members with one pivot; if that does not
+connect them all, it is branched further, or, from the second level on, if it has at most DENSE_NODE
+members or branching did not halve it, compared block by block. A pair at similarity 0.75 meets in a first
+level node of one tree with probability 0.94 and in a second level node with 0.81, so TREES independent
+trees miss it with probability below 1e-7 there; only nodes that stay large and mixed go deeper.
 
 Equal sets are joined beforehand, a comparison of tokens discards pairs that cannot be similar enough, and
 every link is confirmed on the full sets (64-bit shingle hashes).
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pubtrack.llm.common import components, shared_table, texts_of
 from pubtrack.llm.shingles import mixed, words_of
 
-COORDINATES, TREES, SMALL_NODE = 64, 8, 32
+COORDINATES, TREES, SMALL_NODE, DENSE_NODE = 64, 10, 32, 1024
 #: Members and bytes of text of a block of a dense node; two blocks meet in one task.
 BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Least number of equal token bytes of a pair that is compared in full: a pair at similarity 0.75 has 48 on
@@ -230,12 +231,23 @@ def sketch(tokens) -> F.Column:
     return F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8 * COORDINATES), F.lit(8)), lambda i: F.substring(F.hex(tokens), i, F.lit(2))), ""))
 
 
-def children(nodes: DataFrame, tree: F.Column, size: F.Column) -> DataFrame:
-    """(node, cid, parent_m) of the two children of every member: the node's hash chooses two coordinates."""
-    chosen = F.pmod(F.xxhash64(tree, F.lit("first")), F.lit(COORDINATES))
-    other = F.pmod(chosen + 1 + F.pmod(F.xxhash64(tree, F.lit("second")), F.lit(COORDINATES - 1)), F.lit(COORDINATES))
-    child = lambda c: F.xxhash64(tree, c, F.substring(F.col("tokens"), (c * 4 + 1).cast("int"), F.lit(4)))
-    return nodes.select("cid", F.explode(F.array(child(chosen), child(other))).alias("node"), size.cast("long").alias("parent_m"))
+def child(node, coordinate) -> F.Column:
+    """The child that a member's token at ``coordinate`` names."""
+    return F.xxhash64(node, coordinate, F.substring(F.col("tokens"), (coordinate * 4 + 1).cast("int"), F.lit(4)))
+
+
+def first_nodes(classes: DataFrame) -> DataFrame:
+    """(node, cid, parent_m) of the two children of every root."""
+    trees = classes.select("cid", "tokens", F.explode(F.sequence(F.lit(1), F.lit(TREES))).alias("tree"))
+    chosen = F.pmod(F.xxhash64("tree", F.lit("first")), F.lit(COORDINATES))
+    other = F.pmod(chosen + 1 + F.pmod(F.xxhash64("tree", F.lit("second")), F.lit(COORDINATES - 1)), F.lit(COORDINATES))
+    return trees.select("cid", F.explode(F.array(child(F.col("tree"), chosen), child(F.col("tree"), other))).alias("node"), F.lit(1 << 62).alias("parent_m"))
+
+
+def next_nodes(rest: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, cid, parent_m) of the child of every member of nodes (node, cid, m)."""
+    chosen = F.pmod(F.xxhash64("node", F.lit("next")), F.lit(COORDINATES))
+    return rest.join(classes.select("cid", "tokens"), "cid").select("cid", child(F.col("node"), chosen).alias("node"), F.col("m").alias("parent_m"))
 
 
 def same_component(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -280,9 +292,8 @@ def near_components(documents: DataFrame, identity: str = "doc_id", text: str =
     classes = shared_table(classes.withColumn("sketch", sketch(F.col("tokens"))).withColumn("cid", F.monotonically_increasing_id()), "classes")
     small = classes.select("cid", "sketch")
 
-    labels = texts = checked = None
-    trees = classes.select("cid", "tokens", F.explode(F.sequence(F.lit(1), F.lit(TREES))).alias("tree"))
-    members = children(trees, F.col("tree"), F.lit(1 << 62))
+    labels = texts = None
+    members = first_nodes(classes)
     while True:
         sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.min("cid").alias("pivot")).where("m > 1")
         nodes = shared_table(members.join(sizes, "node"), "nodes")
@@ -292,28 +303,29 @@ def near_components(documents: DataFrame, identity: str = "doc_id", text: str =
         tight = nodes.where(F.col("m") <= SMALL_NODE).join(small, "cid").groupBy("node").agg(
             F.collect_list(F.struct("cid", "sketch")).alias("of")).select(F.col("of.cid").alias("ids"), F.col("of.sketch").alias("sketches"))
         pairs = stars.mapInArrow(star_pairs, "a long, b long").union(tight.mapInArrow(node_pairs, "a long, b long"))
-        pairs = pairs.distinct()
-        pairs = pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = shared_table(same_component(pairs, labels), "pairs")
-        checked = pairs if checked is None else checked.union(pairs)
-        if texts is None:
+        pairs = shared_table(same_component(pairs.distinct(), labels), "pairs")
+        top = texts is None
+        if top:
             wanted = pairs.select("a").union(pairs.select("b")).union(large.select("cid")).distinct()
             prints_of = classes.join(wanted.withColumnRenamed("a", "cid"), "cid", "left_semi").select("cid", "p1", "p2")
             found = rows.mapInArrow(*text_prints(k)).join(prints_of, ["p1", "p2"]).select("cid", "text")
             texts = shared_table(found.groupBy("cid").agg(F.first("text").alias("text")), "texts")
-        # First one pair per set, then only what these links leave unconnected.
-        first = shared_table(pairs.groupBy("a").agg(F.min("b").alias("b")), "first")
-        labels = connect(labels, linked(first, texts, k, percent))
-        labels = connect(labels, linked(same_component(pairs.join(first, ["a", "b"], "left_anti"), labels), texts, k, percent))
+            # First one pair per set, then only what these links leave unconnected.
+            first = pairs.groupBy("a").agg(F.min("b").alias("b"))
+            labels = connect(labels, linked(first, texts, k, percent))
+            pairs = same_component(pairs.join(first, ["a", "b"], "left_anti"), labels)
+        labels = connect(labels, linked(pairs, texts, k, percent))
         # A node is settled when its members are connected, or when it is dense and compared in full.
         named = large.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         apart = named.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("node")
         rest = shared_table(named.join(apart, "node", "left_semi").select("node", "cid", "m", "parent_m", "component"), "open")
-        labels = connect(labels, shared_table(dense_links(rest.where(2 * F.col("m") > F.col("parent_m")), texts, k, percent), "links"))
-        rest = rest.where(2 * F.col("m") <= F.col("parent_m"))
+        if not top:
+            dense = (2 * F.col("m") > F.col("parent_m")) | (F.col("m") <= DENSE_NODE)
+            labels = connect(labels, shared_table(dense_links(rest.where(dense), texts, k, percent), "links"))
+            rest = rest.where(~dense)
         if rest.isEmpty():
             break
-        members = children(rest.join(classes.select("cid", "tokens"), "cid"), F.col("node"), F.col("m"))
+        members = next_nodes(rest, classes)
 
     of_class = classes.select("p1", "p2", "cid", "doc_id").join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn(
         "component", F.coalesce("component", "cid"))
