@@ -65,10 +65,11 @@ def representative_rows(changes: DataFrame, rows: DataFrame, keys: Sequence[str]
 
 def snapshot_diff_series(rows: DataFrame, publication: str, keys: Sequence[str], quantity: str,
                          position: str) -> DataFrame:
-    """Every publication of a table against the one before it, in one read of the table."""
+    """Every publication of a table against the one before it, in one read of the table. The calendar of
+    publications, one row each, is taken from the totals and ordered in one task."""
     totals = _side_totals(rows, [publication, *keys], quantity, position)
     # One small row per publication: what follows it, and whether anything precedes it.
-    order = rows.select(publication).distinct()
+    order = totals.select(publication).distinct()
     line = Window.orderBy(publication)
     calendar = order.select(publication, F.lead(publication).over(line).alias("_next"), F.lag(publication).over(line).isNotNull().alias("_compared"))
     # Each total takes part twice: as the later side of its own publication and as the earlier side

@@ -140,11 +140,13 @@ def compare_operations(found: DataFrame, expected: DataFrame, columns: Sequence[
     return gap.withColumn("problem", F.when(F.col("left_count") > F.col("right_count"), "unexpected").otherwise("not_found"))
 
 
-def words_to_cells(words: DataFrame, columns: DataFrame, page_keys: Sequence[str], row: str) -> DataFrame:
+def words_to_cells(words: DataFrame, columns: Sequence[tuple[str, float, float]], page_keys: Sequence[str], row: str) -> DataFrame:
     """Text of every row and column: words whose left edge lies in the x-range of the column, in
-    reading order. ``columns`` holds a few ranges (``label``, ``x0``, ``x1``) and is broadcast."""
-    met = words.join(F.broadcast(columns.select("label", F.col("x0").alias("_c0"), F.col("x1").alias("_c1"))),
-                     (F.col("x0") >= F.col("_c0")) & (F.col("x0") < F.col("_c1")))
+    reading order. ``columns`` is the closed list of ranges (label, from, to) of the layout."""
+    label = F.lit(None).cast("string")
+    for name, low, high in columns:
+        label = F.when((F.col("x0") >= low) & (F.col("x0") < high), F.lit(name)).otherwise(label)
+    met = words.withColumn("label", label).where("label IS NOT NULL")
     # A cell is one rectangle of one printed row: its word list is bounded by the page.
     ordered = F.array_sort(F.collect_list(F.struct(F.round("top").alias("t"), F.col("x0").alias("x"), F.col("text").alias("w"))))
     return met.groupBy(*page_keys, row, "label").agg(F.array_join(F.transform(ordered, lambda s: s["w"]), " ").alias("cell"))

@@ -88,10 +88,12 @@ def apply_corrections(baseline: DataFrame, changes: DataFrame, number: str, name
     A change applies only when its name fits exactly one member, that member carries the stated
     number and the code is new. ``outcome`` tells what happened to every change.
     """
-    fits = baseline.select(F.col(name), F.col(number).alias("_number"), F.col(codes).alias("_codes"))
-    judged = (changes.join(fits, name, "left").groupBy("change_id", number, name, "code").agg(
-        F.count("_number").alias("name_matches"),
-        F.max(F.when(F.col("_number") == F.col(number), F.array_contains("_codes", F.col("code")))).alias("has_code")))
+    # A popular name is reduced to its count and one member before it meets the changes.
+    fits = baseline.groupBy(name).agg(F.count(number).alias("_matches"), F.max(number).alias("_number"), F.first(codes).alias("_codes"))
+    sure = (F.col("_matches") == 1) & (F.col("_number") == F.col(number))
+    judged = changes.join(fits, name, "left").select(
+        "change_id", number, name, "code", F.coalesce("_matches", F.lit(0)).alias("name_matches"),
+        F.when(sure, F.array_contains("_codes", F.col("code"))).alias("has_code"))
     outcome = (F.when((F.col("name_matches") != 1) | F.col("has_code").isNull(), "ambiguous_member")
                .when(F.col("has_code"), "already_present").otherwise("applied"))
     judged = judged.withColumn("outcome", outcome)

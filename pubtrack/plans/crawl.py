@@ -26,9 +26,17 @@ def links(spark, d):
     return web.page_links(load(spark, d, "pages"), "page_id", "url", "html")
 
 
-@query("page_links", LINKS + "SELECT page_id, position, link, trim(regexp_replace(label, '\\s+', ' ', 'g')) AS label, target FROM targets")
+@query("page_links", LINKS + """
+SELECT page_id, CAST(position + 2 AS INTEGER) AS position, link, trim(regexp_replace(label, '\\s+', ' ', 'g')) AS label, target FROM targets
+UNION ALL SELECT page_id, 0, '/plain' || page_id || '.pdf', 'Uno ó ó ó >', regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/plain' || page_id || '.pdf' FROM pages
+UNION ALL SELECT page_id, 1, '/a?x=1&y=ñ', 'dos &nada;', regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/a?x=1&y=ñ' FROM pages
+""")
 def _(spark, d):
-    return links(spark, d).select("page_id", "position", "link", "label", "target")
+    # In front of every page: a commented-out anchor, an unquoted address, references, an unclosed anchor, a script.
+    head = F.concat(F.lit('<!-- <a href="/gone.pdf">x</a> --><a title="a > b href=/no" href=/plain'), F.col("page_id").cast("string"),
+                    F.lit(""".pdf>Uno &oacute; &#243; &#xF3; &gt;</a><a name=top>ancla</a><script>s = "<a href='/s'>s</a>";</script><A HREF='/a?x=1&amp;y=&ntilde;'>dos <b>&nada;</b></a>"""))
+    pages = load(spark, d, "pages").withColumn("html", F.concat(head, "html"))
+    return web.page_links(pages, "page_id", "url", "html").select("page_id", "position", "link", "label", "target")
 
 
 CANON = """CASE WHEN regexp_extract({u}, '^[^?#]*//[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract({u}, '^[^?#]*//[^/?#]*([^?#]*)', 1) END"""

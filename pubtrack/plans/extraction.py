@@ -81,8 +81,9 @@ def _(spark, d):
     words = load(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("doc"), F.col("l_linenumber").alias("page"), F.round(F.col("l_tax") * 100).cast("int").alias("band"),
         (F.col("l_discount") * 100).alias("top"), F.col("l_quantity").alias("x0"), F.concat("l_returnflag", F.col("l_orderkey").cast("string")).alias("text"))
-    columns = load(spark, d, "region").select(F.col("r_name").alias("label"), (F.col("r_regionkey") * 10).alias("x0"), (F.col("r_regionkey") * 10 + 10).alias("x1"))
-    return extract.words_to_cells(words, small_side(columns, 1000), ["doc", "page"], "band")
+    # The layout has one column for each region of the closed list.
+    columns = [(r["r_name"], r["r_regionkey"] * 10, r["r_regionkey"] * 10 + 10) for r in load(spark, d, "region").select("r_name", "r_regionkey").collect()]
+    return extract.words_to_cells(words, columns, ["doc", "page"], "band")
 
 
 @query("words_to_bands", """

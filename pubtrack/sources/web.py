@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,12 @@ from pubtrack.functions.text import fold, squeeze
 from pubtrack.functions.urls import allowed_url, canonical_url, points_to_pdf, resolve_url
 from pubtrack.functions.values import any_date, strict_date
 
-ANCHOR = r'(?is)<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|\'([^\']*)\')[^>]*>(.*?)</a>'
+#: What an HTML parser does not show as content.
+HIDDEN = r"(?is)<!--.*?-->|<(script|style|template)\b.*?</\1\s*>"
+#: An anchor up to its end, the next anchor or the end of the page; attribute values may hold a bracket.
+ANCHOR = r"""(?is)<a(?=[\s/])(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?=</a\s*>|<a[\s/>]|\z)"""
+ATTRIBUTE = r"""(?is)([^\s=>"'/]+)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)|[^\s=>"'/]+"""
+REFERENCE = "&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 # Markers of pages that ask the reader to prove being human.
 CHALLENGE_MARKERS = [
@@ -23,10 +29,19 @@ CHALLENGE_BYTES = 256_000
 
 
 def unescape(text: Column) -> Column:
-    """The five predefined entities and the blank."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Named and numeric character references resolved; unknown ones stay."""
+    def one(reference):
+        body = F.regexp_extract(reference, REFERENCE, 1)
+        point = F.when(F.rlike(body, F.lit("^#[0-9]")), F.substring(body, 2, 9).try_cast("long")).when(
+            F.rlike(body, F.lit("^#[xX]")), F.conv(F.substring(body, 3, 9), 16, 10).try_cast("long"))
+        valid = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, point)), 8, "0")), "UTF-32")
+        names = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))], F.lit("apos"), F.lit("'"))
+        return F.coalesce(F.replace(F.coalesce(char, F.element_at(names, body)), F.lit("\u00a0"), F.lit(" ")), reference)
+
+    pieces = F.zip_with(F.split(text, REFERENCE, -1), F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), one),
+                        lambda before, char: F.concat(before, F.coalesce(char, F.lit(""))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
 
 
 def inner_text(markup: Column) -> Column:
@@ -34,17 +49,23 @@ def inner_text(markup: Column) -> Column:
     return squeeze(unescape(F.regexp_replace(markup, r"<[^>]*>", " ")))
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute of a tag, quoted or not, references resolved; null when it is absent."""
+    inside = F.regexp_extract(tag, r"""(?is)^<[a-z0-9]+((?:[^>"']|"[^"]*"|'[^']*')*+)>""", 1)
+    named = F.filter(F.regexp_extract_all(inside, F.lit(ATTRIBUTE), F.lit(0)), lambda a: F.lower(F.regexp_extract(a, r"^[^\s=]+", 0)) == name)
+    raw = F.regexp_extract(F.get(named, F.lit(0)), r"""(?s)^[^\s=]+\s*=\s*(.*)$""", 1)
+    return unescape(F.regexp_replace(raw, r"""(?s)^(["'])(.*)\1$""", "$2"))
+
+
 def page_links(pages: DataFrame, identity: str, url: str, html: str, section: str | None = None) -> DataFrame:
-    """One row per anchor in page order: position, raw link, label and resolved address.
-    ``section`` is a pattern whose first group is the part of the page to read."""
+    """One row per anchor with an address in page order: position, link, label and resolved address.
+    Comments and scripts hold no anchors; addresses may be unquoted. ``section`` is a pattern whose first
+    group is the part of the page to read."""
     part = F.col(html) if section is None else F.regexp_extract(html, section, 1)
-    double = F.regexp_extract_all(part, F.lit(ANCHOR), F.lit(1))
-    single = F.regexp_extract_all(part, F.lit(ANCHOR), F.lit(2))
-    label = F.regexp_extract_all(part, F.lit(ANCHOR), F.lit(3))
-    anchors = pages.select(identity, url, F.posexplode(F.arrays_zip(
-        double.alias("d"), single.alias("s"), label.alias("l"))).alias("position", "_a"))
-    link = unescape(F.when(F.col("_a.d") != "", F.col("_a.d")).otherwise(F.col("_a.s")))
-    return anchors.select(identity, url, "position", link.alias("link"), inner_text(F.col("_a.l")).alias("label")).withColumn(
+    found = F.regexp_extract_all(F.regexp_replace(part, HIDDEN, ""), F.lit(ANCHOR), F.lit(0))
+    read = F.transform(found, lambda a: F.struct(attribute(a, "href").alias("link"), inner_text(F.regexp_replace(a, r"""(?is)^<a(?:[^>"']|"[^"]*"|'[^']*')*+>""", "")).alias("label")))
+    anchors = pages.select(identity, url, F.posexplode(F.filter(read, lambda a: a["link"].isNotNull())).alias("position", "_a"))
+    return anchors.select(identity, url, "position", F.col("_a.link").alias("link"), F.col("_a.label").alias("label")).withColumn(
         "target", resolve_url(F.col(url), F.col("link")))
 
 

@@ -52,7 +52,7 @@ def test_roster_fails_closed(table, change, problem):
 def test_words_become_cells_in_reading_order(table):
     words = table([("d", 1, 0, 10.0, 5.0, "IES"), ("d", 1, 0, 20.0, 5.2, "LUZ"), ("d", 1, 0, 12.0, 9.0, "NORTE"), ("d", 1, 0, 60.0, 5.0, "VP")],
                   "doc string, page int, band int, x0 double, top double, text string")
-    columns = table([("center", 0.0, 50.0), ("quota", 50.0, 99.0)], "label string, x0 double, x1 double")
+    columns = [("center", 0.0, 50.0), ("quota", 50.0, 99.0)]
     cells = {r["label"]: r["cell"] for r in extract.words_to_cells(words, columns, ["doc", "page"], "band").collect()}
     assert cells == {"center": "IES LUZ NORTE", "quota": "VP"}
 

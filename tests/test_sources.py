@@ -110,3 +110,15 @@ def test_run_vocabularies(table):
     run = {"run_id": "r1", "trigger": "local", "status": "pending_budget", "phases": {}}
     runs, _ = state.read_runs(table([(json.dumps(run),), (json.dumps(run | {"trigger": "manual", "status": "cancelled"}),)], "p string"), "p")
     assert {(r["trigger"], r["status"]) for r in runs.collect()} == {("local", "pending_budget"), ("unknown", "failed")}
+
+
+def test_links_of_odd_markup(table):
+    html = """<!-- <a href="/gone.pdf">x</a> --><a title='a > b href="/no"' href=/p.pdf>Uno<a class="k" href="/q">dos &ntilde;&#x1F600;&bogus;
+      <script>var s = "<a href='/s'>s</a>";</script></a><a name="n">none</a><A HREF = '/r?a=1&amp;b=2' download>tres</A ><area href="/z"><a href="">vacío</a><a href="/end">open"""
+    got = [(r["link"], r["label"]) for r in web.page_links(table([(1, "https://h.es/", html)], "id int, url string, html string"), "id", "url", "html").orderBy("position").collect()]
+    assert got == [("/p.pdf", "Uno"), ("/q", "dos ñ😀&bogus;"), ("/r?a=1&b=2", "tres"), ("", "vacío"), ("/end", "open")]
+
+
+def test_many_unclosed_anchors_are_read_in_one_pass(table):
+    html = "".join(f"<a href=/p{i}>x" for i in range(3000)) + "<a href=" + "y" * 50000
+    assert web.page_links(table([(1, "https://h.es/", html)], "id int, url string, html string"), "id", "url", "html").count() == 3000
