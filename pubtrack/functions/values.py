@@ -77,12 +77,6 @@ def local_instant(local: Column, zone: str = "Europe/Madrid") -> Column:
     return F.when((back == local) & ~repeated, instant)
 
 
-def century_date(day: Column, month: Column, short_year: Column, published: Column) -> Column:
-    """Two-digit year placed in the century of the publication."""
-    return F.try_to_date(F.concat_ws("-", (F.floor(F.year(published) / 100) * 100 + short_year).cast("string"),
-                                     F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")))
-
-
 def row_text(columns: Sequence[Column]) -> Column:
     """Canonical one-line text of a row: values by position, null marked, separator 0x1f."""
     return F.concat_ws("\u001f", *[F.coalesce(c.cast("string"), F.lit("\u0000")) for c in columns])
@@ -101,11 +95,6 @@ def digest_parts(text: Column) -> list[Column]:
     return [F.sum(lane) for lane in lanes] + [F.count(F.lit(1))]
 
 
-def multiset_digest(text: Column) -> Column:
-    """SHA-256 over the lane sums and the row count of a group."""
-    return F.sha2(F.concat_ws(":", *[p.cast("string") for p in digest_parts(text)]), 256)
-
-
 def membership_key(namespace: str, course: Column, roster: Column, scope: Column, block: Column,
                    number: Column) -> Column:
     """Scoped membership id: hash of the JSON array of its reviewed parts; null when a part is

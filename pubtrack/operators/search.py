@@ -17,7 +17,8 @@ SHARES = 32
 SHORT_LIST = 4096
 
 
-def parse_queries(queries: DataFrame, identity: str, folded: str, max_tokens: int | None = None, max_chars: int | None = None) -> DataFrame:
+def parse_queries(queries: DataFrame, identity: str, folded: str, max_tokens: int | None = None, max_chars: int | None = None,
+                  keep: Sequence[str] = ()) -> DataFrame:
     """Tokens, probe grams and validity of every query.
 
     ``kind``: ``number`` for a whole list number of 7 or 8 digits, ``name`` for a text with at least
@@ -34,7 +35,7 @@ def parse_queries(queries: DataFrame, identity: str, folded: str, max_tokens: in
     long_words = by_length(F.filter(F.array_distinct(words), lambda w: F.length(w) >= 3))
     kind = (F.when(F.coalesce(invalid, F.lit(True)), "invalid").when(F.rlike(text, F.lit(r"^\d{7,8}$")), "number")
             .when(F.size(long_words) == 0, "too_short").otherwise("name"))
-    return queries.select(identity, text.alias("query"), words.alias("words"), token_needs(words).alias("needs"), long_words.alias("long_words"), kind.alias("kind"),
+    return queries.select(identity, *keep, text.alias("query"), words.alias("words"), token_needs(words).alias("needs"), long_words.alias("long_words"), kind.alias("kind"),
                           probe_grams(long_words).alias("grams"))
 
 
@@ -70,11 +71,13 @@ def rarest_gram(parsed: DataFrame, identity: str, sizes: DataFrame) -> DataFrame
 
 
 def search_names(corpus: DataFrame, record: str, text: str, parsed: DataFrame, query: str, order: Sequence[Column],
-                 page: int = PAGE, broad: int | None = None, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+                 page: int = PAGE, broad: int | None = None, broadcast_rows: int = BROADCAST_ROWS,
+                 scope: str | None = None, skip: int = 0) -> tuple[DataFrame, DataFrame]:
     """Result rows and outcome per query.
 
     A record is a candidate when it holds every long token, and a result when every token occurs as often as
-    the query repeats it. Every query gets its first ``page`` results; with ``broad``, the outcome of a query with
+    the query repeats it. ``scope`` names a column of records and queries: a query that has a value there meets only
+    records with the same value. Every query gets its first ``page`` results after the first ``skip``; with ``broad``, the outcome of a query with
     more candidates than that is ``too_broad``, as a hint to narrow it.
 
     Each query reaches the corpus through its rarest gram only. A small query set meets the postings
@@ -96,7 +99,8 @@ def search_names(corpus: DataFrame, record: str, text: str, parsed: DataFrame, q
         index = postings(texts, record, text).join(F.broadcast(wanted) if few else wanted, "gram", "left_semi")
     chosen = rarest_gram(parsed, query, gram_sizes(index)).where(F.col("posting_size") > 0)
     # Small and read twice: once as the list of grams, once as the probe side.
-    probes = cut(names.select(query, "needs", "long_words").join(chosen, query))
+    inside = [F.col(scope).alias("_scope")] if scope else []
+    probes = cut(names.select(query, "needs", "long_words", *inside).join(chosen, query))
     if short_list:
         met = matching_postings(corpus, record, text, probes.select("gram").distinct()).join(F.broadcast(probes), "gram")
     elif few:
@@ -106,6 +110,8 @@ def search_names(corpus: DataFrame, record: str, text: str, parsed: DataFrame, q
         shared = probes.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
         pairs = index.withColumn("_share", share).join(shared, ["gram", "_share"]).drop("_share")
         met = pairs.join(corpus, record)
+    if scope:
+        met = met.where(F.col("_scope").isNull() | (F.col("_scope") == F.col(scope)))
     # One pass over the texts; what is kept of a candidate is its key, never its text.
     candidates = cut(met.where(contains_words(F.col(text), F.col("long_words"))).select(
         query, record, *order_columns(corpus, record, text), meets_needs(F.col(text), F.col("needs")).alias("_verified")))
@@ -114,8 +120,9 @@ def search_names(corpus: DataFrame, record: str, text: str, parsed: DataFrame, q
         query, "kind", F.coalesce("candidates", F.lit(0)).alias("candidates"),
         F.when(F.col("kind") == "number", "number").when(F.col("kind") != "name", F.col("kind"))
         .when(F.lit(broad is not None) & (F.col("candidates") > (broad or 0)), "too_broad").otherwise("ok").alias("outcome"),
-        F.coalesce(F.col("matches") > page, F.lit(False)).alias("more"))
-    return top_per_key(candidates.where("_verified").drop("_verified"), [query], order, page), outcomes
+        F.coalesce(F.col("matches") > skip + page, F.lit(False)).alias("more"))
+    hits = top_per_key(candidates.where("_verified").drop("_verified"), [query], order, skip + page)
+    return hits.where(F.col("position") > skip), outcomes
 
 
 def order_columns(corpus: DataFrame, record: str, text: str) -> list[str]:

@@ -132,6 +132,18 @@ def _(spark, d):
     return load(spark, d, "orders").select("o_orderkey", web.classify_title(title).alias("kind"))
 
 
+UPDATE_TITLES = ["Lista provisional y definitiva", "Relación PROVISIONAL", "Lista complementaria definitiva", "Corrección de la definitiva", "Lista definitiva", "Corrección"]
+
+
+@query("roster_update_kinds", """
+SELECT o_orderkey, list_extract(['unclassified', 'provisional', CASE WHEN b THEN 'baseline' ELSE 'supplement' END, CASE WHEN b THEN 'baseline' ELSE 'correction' END,
+ CASE WHEN b THEN 'baseline' ELSE 'unclassified' END, 'unclassified'], 1 + w) AS kind FROM (SELECT o_orderkey, o_orderkey % 6 AS w, o_custkey % 2 = 0 AS b FROM orders)
+""")
+def _(spark, d):
+    title = F.get(F.array(*map(F.lit, UPDATE_TITLES)), (F.col("o_orderkey") % 6).cast("int"))
+    return load(spark, d, "orders").select("o_orderkey", web.update_kind(title, F.col("o_custkey") % 2 == 0).alias("kind"))
+
+
 @query("document_title_kinds", f"""
 WITH t AS (SELECT doc_id, lower(strip_accents(regexp_extract(text, '^[^\\n]*'))) AS f FROM documents)
 SELECT doc_id, {_rules_sql('f')} AS kind FROM t

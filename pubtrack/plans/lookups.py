@@ -72,17 +72,19 @@ v AS (SELECT *, len(list_filter(words, lambda w: (length(t) - length(replace(t,
 """
 
 
-def benchmark_queries(spark, d):
+def benchmark_queries(spark, d, scope=None):
     pieces = load(spark, d, "benchmark").select(F.explode(F.split("text", r"[.,\n]+")).alias("piece"))
     sentences = pieces.select(text.fold(F.trim("piece")).alias("query")).distinct()
-    return search.parse_queries(sentences.withColumn("query_id", F.col("query")), "query_id", "query")
+    if scope is not None:
+        sentences = sentences.withColumn("lang", scope)
+    return search.parse_queries(sentences.withColumn("query_id", F.col("query")), "query_id", "query", keep=["lang"] if scope is not None else ())
 
 
-def batch(spark, d, broad=None, broadcast_rows=search.BROADCAST_ROWS):
+def batch(spark, d, broad=None, broadcast_rows=search.BROADCAST_ROWS, scope=None, skip=0):
     documents = spread(load(spark, d, "documents").select("doc_id", "lang", "text"), "doc_id")
     corpus = documents.select("doc_id", "lang", text.fold(F.col("text")).alias("t"))
-    return search.search_names(corpus, "doc_id", "t", benchmark_queries(spark, d), "query_id", [F.col("lang"), F.col("doc_id")],
-                               broad=broad, broadcast_rows=broadcast_rows)
+    return search.search_names(corpus, "doc_id", "t", benchmark_queries(spark, d, scope), "query_id", [F.col("lang"), F.col("doc_id")],
+                               broad=broad, broadcast_rows=broadcast_rows, scope=None if scope is None else "lang", skip=skip)
 
 
 @query("batch_search", SENTENCES + """
@@ -93,6 +95,25 @@ def _(spark, d):
     return batch(spark, d)[0].select("query_id", "doc_id", "lang", "position")
 
 
+@query("scoped_search", SENTENCES + """
+, s AS (SELECT *, CASE length(query) % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' END AS wanted FROM v),
+r AS (SELECT query AS query_id, doc_id, lang, CAST(row_number() OVER (PARTITION BY query ORDER BY lang, doc_id) AS INTEGER) AS position FROM s WHERE ok AND (wanted IS NULL OR wanted = lang))
+SELECT * FROM r WHERE position <= 20
+""")
+def _(spark, d):
+    scope = F.when(F.length("query") % 3 == 0, "en").when(F.length("query") % 3 == 1, "de")
+    return batch(spark, d, scope=scope)[0].select("query_id", "doc_id", "lang", "position")
+
+
+@query("second_page_search", SENTENCES + """
+, r AS (SELECT query AS query_id, doc_id, lang, CAST(row_number() OVER (PARTITION BY query ORDER BY lang, doc_id) AS INTEGER) AS position FROM v WHERE ok)
+SELECT * FROM r WHERE position BETWEEN 21 AND 40
+""")
+def _(spark, d):
+    # No broadcast: the arm for large query sets.
+    return batch(spark, d, broadcast_rows=0, skip=20)[0].select("query_id", "doc_id", "lang", "position")
+
+
 @query("batch_search_outcomes", SENTENCES + """
 , n AS (SELECT query, count(*) AS candidates, count(*) FILTER (ok) AS matches FROM v GROUP BY 1)
 SELECT q.query AS query_id, kind, coalesce(candidates, 0) AS candidates, CASE WHEN kind <> 'name' THEN kind WHEN candidates > 300 THEN 'too_broad' ELSE 'ok' END AS outcome,

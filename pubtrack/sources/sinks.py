@@ -57,7 +57,3 @@ def export(tables: dict[str, tuple[DataFrame, Sequence[str]]], root: str, genera
         table.select(*columns).write.mode("errorifexists").parquet(f"{root}/{generation}/{name}")
     pointer.write.mode("overwrite").json(f"{root}/pointer")
 
-
-def byte_budget_sizes(publications: DataFrame, payload: str, stub: str) -> DataFrame:
-    """Bytes of the full entry and of the stub that would replace it."""
-    return publications.withColumn("_full", F.octet_length(payload).cast("long")).withColumn("_stub", F.octet_length(stub).cast("long"))

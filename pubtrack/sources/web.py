@@ -161,6 +161,14 @@ def classify_title(title: Column, rules: Sequence[tuple[str, list[list[str]]]] =
     return result.otherwise("unclassified")
 
 
+def update_kind(title: Column, is_baseline: Column) -> Column:
+    """Kind of a roster document by its title; the known baseline document keeps its kind unless its title
+    speaks of a provisional list or lacks the word for a definitive one."""
+    kind = classify_title(title, UPDATE_RULES)
+    settled = ~F.contains(fold(title), F.lit("provisional")) & F.contains(fold(title), F.lit("definitiva"))
+    return F.when(is_baseline & settled, "baseline").otherwise(kind)
+
+
 def feed_entries(feeds: DataFrame, identity: str, body: str) -> DataFrame:
     """Items of RSS bodies. Bodies with declarations of entities or document types are refused,
     as are feeds without items and items without a date; ``rejected`` says why."""
