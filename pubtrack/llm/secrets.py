@@ -88,6 +88,8 @@ def scan_secrets(documents: DataFrame, ledger: DataFrame | None = None, rules: S
     place = F.element_at(F.create_map(*[F.lit(x) for n, (i, _) in rank.items() for x in (n, i)]), F.col("rule"))
     by_blob = current.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(
         s["start"].alias("start"), place.alias("rank"), F.col("rule").alias("kind"), s["end"].alias("end")))))).alias("spans"))
+    # Stored first, so that the join with the paths has two plain shuffles and Spark can split a popular blob.
+    by_blob = shared_table(by_blob, "findings")
     return paths.select("doc_id", "blob").join(by_blob, "blob", "left").select(
         "doc_id", "blob", F.coalesce("spans", F.array().cast(by_blob.schema["spans"].dataType)).alias("spans")), grown
 
