@@ -28,36 +28,46 @@ def reviewed(spark, d):
         F.when(F.col("quality") == 0, F.sha2("text", 256)).alias("supersedes"), "quality")
 
 
-@query("manifest_reconciliation", DOCS + """
+def renamed(spark, d, lang):
+    """Another version of the whole table, in which the documents of one language have other ids."""
+    return docs(spark, d).withColumn("doc_id", F.when(F.col("lang") == lang, -F.col("doc_id") - 1).otherwise(F.col("doc_id")))
+
+
+RENAMED = "(SELECT * REPLACE (CASE WHEN lang = '{}' THEN -doc_id - 1 ELSE doc_id END AS doc_id) FROM docs)"
+
+
+@query("manifest_reconciliation", DOCS + f"""
 SELECT coalesce(r.doc_id, p.doc_id) AS doc_id, coalesce(r.digest, p.digest) AS digest,
  CASE WHEN r.doc_id IS NULL THEN 'kept_prior' WHEN p.doc_id IS NULL THEN 'reviewed' WHEN r.digest = p.digest THEN 'unchanged'
   WHEN r.supersedes = p.digest THEN 'superseded' ELSE 'conflict' END AS outcome
-FROM rev r FULL JOIN (SELECT * FROM docs WHERE lang <> 'es') p ON p.doc_id = r.doc_id
+FROM rev r FULL JOIN {RENAMED.format("es")} p ON p.doc_id = r.doc_id
 """)
 def _(spark, d):
-    return inventory.reconcile_manifest(reviewed(spark, d), docs(spark, d).where("lang <> 'es'"), "doc_id", "digest", "supersedes")
+    return inventory.reconcile_manifest(reviewed(spark, d), renamed(spark, d, "es"), "doc_id", "digest", "supersedes")
 
 
 @query("merged_collections", DOCS + """
-, u AS (SELECT 0 AS ord, digest, lang, doc_id AS checked FROM docs WHERE lang IN ('en', 'fr') UNION ALL
- SELECT 1, digest, lang, doc_id FROM docs WHERE lang <> 'en' UNION ALL SELECT 2, digest, CASE WHEN n_chars > 5000 THEN 'xx' ELSE lang END, doc_id FROM docs WHERE lang <> 'de')
+, u AS (SELECT 0 AS ord, digest, lang, doc_id AS checked FROM docs UNION ALL SELECT 1, CASE WHEN lang = 'en' THEN sha256(digest) ELSE digest END, lang, doc_id FROM docs
+ UNION ALL SELECT 2, digest, CASE WHEN n_chars > 5000 THEN 'xx' ELSE lang END, doc_id FROM docs)
 SELECT digest, arg_max(lang, (ord, lang)) AS lang, count(*) AS entries, min(lang) <> max(lang) AS conflict FROM u GROUP BY 1
 """)
 def _(spark, d):
     base = docs(spark, d).select("digest", "lang", F.col("doc_id").alias("checked"), "n_chars")
-    third = base.where("lang <> 'de'").withColumn("lang", F.when(F.col("n_chars") > 5000, "xx").otherwise(F.col("lang")))
-    merged = inventory.merge_collections([base.where("lang IN ('en', 'fr')"), base.where("lang <> 'en'"), third], "digest", ["lang"], ["checked"])
+    # Whole collections: the second holds other texts for one language, the third other languages for long texts.
+    second = base.withColumn("digest", F.when(F.col("lang") == "en", F.sha2("digest", 256)).otherwise(F.col("digest")))
+    third = base.withColumn("lang", F.when(F.col("n_chars") > 5000, "xx").otherwise(F.col("lang")))
+    merged = inventory.merge_collections([base, second, third], "digest", ["lang"], ["checked"])
     return merged.drop("checked")
 
 
-@query("reviewed_precedence", DOCS + """
+@query("reviewed_precedence", DOCS + f"""
 SELECT coalesce(r.doc_id, a.doc_id) AS doc_id, coalesce(r.digest, a.digest) AS digest, coalesce(CAST(r.quality AS BIGINT), a.n_chars) AS weight,
- coalesce(a.digest = coalesce(r.digest, a.digest), false) AS incorporated FROM rev r FULL JOIN (SELECT * FROM docs WHERE lang <> 'de') a ON a.doc_id = r.doc_id
+ coalesce(a.digest = coalesce(r.digest, a.digest), false) AS incorporated FROM rev r FULL JOIN {RENAMED.format("de")} a ON a.doc_id = r.doc_id
 """)
 def _(spark, d):
     return inventory.reviewed_precedence(
         reviewed(spark, d).withColumn("weight", F.col("quality").cast("long")),
-        docs(spark, d).where("lang <> 'de'").withColumn("weight", F.col("n_chars")), "doc_id", "digest", ["weight"])
+        renamed(spark, d, "de").withColumn("weight", F.col("n_chars")), "doc_id", "digest", ["weight"])
 
 
 VERIFY = DOCS + """
@@ -101,14 +111,14 @@ def _(spark, d):
     return met.select("doc_id", reason.alias("reason"))
 
 
-@query("reviewed_update_audit", DOCS + """
+@query("reviewed_update_audit", DOCS + f"""
 SELECT coalesce(d.doc_id, r.doc_id) AS doc_id, d.doc_id IS NULL AS missing_from_index,
  CASE WHEN d.doc_id IS NULL THEN NULL WHEN n_chars % 5 = 0 AND r.doc_id IS NOT NULL THEN 'classification_conflict' WHEN n_chars % 5 = 0 THEN 'not_applicable'
   WHEN n_chars % 17 = 0 THEN 'unavailable' WHEN r.doc_id IS NULL THEN 'pending_review' WHEN r.digest = d.digest THEN 'reviewed' ELSE 'changed' END AS status
-FROM (SELECT * FROM docs WHERE lang <> 'es') d FULL JOIN rev r ON r.doc_id = d.doc_id
+FROM {RENAMED.format("es")} d FULL JOIN rev r ON r.doc_id = d.doc_id
 """)
 def _(spark, d):
-    seen = docs(spark, d).where("lang <> 'es'").withColumn("_seen", F.lit(True))
+    seen = renamed(spark, d, "es").withColumn("_seen", F.lit(True))
     met = seen.join(reviewed(spark, d).select("doc_id", F.col("digest").alias("expected")), "doc_id", "full")
     status = inventory.update_status(F.when(F.col("n_chars") % 5 == 0, "provisional").otherwise("list"), F.col("expected"),
                                      F.col("digest"), F.when(F.col("n_chars") % 17 == 0, "timeout"))
