@@ -25,9 +25,9 @@ NONE = np.int32(2**31 - 1)
 #: Longest piece that shares a tree with others, and most pieces in one such tree.
 SHORT, TOGETHER = 32, 8192
 #: Chunks of text whose ids are remembered; beyond that only those of the current step stay.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Characters that are encoded in one step, to bound memory.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 2_000_000
 
 
 class Encoder:
@@ -237,6 +237,7 @@ def encode_documents(documents: DataFrame, path: str, pattern: str, identity: st
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.load(path, pattern)
+        encoder.memory = {}  # what an earlier task of this process learned goes
         for batch in batches:
             for at, n in steps(batch.column("text")):
                 part = batch.slice(at, n)
@@ -246,7 +247,7 @@ def encode_documents(documents: DataFrame, path: str, pattern: str, identity: st
                     digests.append(hashlib.sha256(coded).hexdigest())
                     decoded.append(hashlib.sha256(encoder.decode(coded)).hexdigest())
                     if keep_ids:
-                        ids.append([int(i) for i in coded.split(b",")] if coded else [])
+                        ids.append(np.array(coded.split(b","), dtype=np.int32) if coded else [])
                 columns = [part.column("doc_id"), counts, digests, decoded, *([ids] if keep_ids else [])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) if isinstance(c, list) else c for c, f in zip(columns, form)], schema=form)
 

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +34,21 @@ def texts_of(documents: DataFrame, identity: str = "doc_id", text: str = "text")
     return documents.select(F.col(identity).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def slices(batches: Iterator[pa.RecordBatch], *texts: int | str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that a slice has at most ``most`` bytes in its text columns beyond one row: what a task
+    copies at a time stays small however long the texts of a batch are."""
+    for batch in batches:
+        sizes = sum(np.asarray(pa.compute.binary_length(batch.column(t)).fill_null(0), dtype=np.int64) for t in texts)
+        at, size = 0, 0
+        for i, n in enumerate(sizes.tolist()):
+            if i > at and size + n > most:
+                yield batch.slice(at, i - at)
+                at, size = i, 0
+            size += n
+        if batch.num_rows > at:
+            yield batch.slice(at)
+
+
 def span_array(text: Column, pattern: str) -> Column:
     """All leftmost non-overlapping matches as ``array<struct<start, end, value>>`` in code points.
 

@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pubtrack.llm.common import LOWER, UPPER, shared_table, texts_of  # noqa: F401
+from pubtrack.llm.common import LOWER, UPPER, shared_table, slices, texts_of  # noqa: F401
 
 #: Most text of a bucket, deepest directory, and how much text a task combines before it passes it on.
-BUCKET_BYTES, MOST_BITS, COMBINE_BYTES = 16 << 20, 20, 32 << 20
+BUCKET_BYTES, MOST_BITS, COMBINE_BYTES = 16 << 20, 20, 8 << 20
 
 
 def normal(text: str) -> bytes:
@@ -82,7 +82,7 @@ def keyed(rows: DataFrame) -> DataFrame:
     form = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("sha", pa.string()), ("bytes", pa.int64())])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             found = [(key_of(f), hashlib.sha256(f).hexdigest(), len(f)) for f in map(normal, batch.column("text").to_pylist())]
             columns = zip(*found) if found else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(list(c), f.type) for c, f in zip(columns, list(form)[1:])]], schema=form)
@@ -107,7 +107,7 @@ def combine(rows: DataFrame, directory: Directory) -> DataFrame:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, tuple] = {}
         size = 0
-        for batch in batches:
+        for batch in slices(batches, "text"):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 f = normal(text.as_py())
                 if f in held:
@@ -186,7 +186,7 @@ def keep_distinct(documents: DataFrame, identity: str = "doc_id", text: str = "t
     place = documents.columns.index(text)
 
     def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, place):
             found = [hashlib.sha256(normal(t or "")).hexdigest() for t in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, tag])
 

@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pubtrack.llm.common import slices
+
 #: Rows of bytes that go through the network side by side.
-TOGETHER = 4096
+TOGETHER = 2048
 UNKNOWN = "und"
 
 
@@ -239,7 +241,7 @@ def predict(documents: DataFrame, network: Network, identity: str = "doc_id", te
     form = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             names, score = label_texts(network, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(score)], schema=form)
 
@@ -251,7 +253,7 @@ def keep_known(documents: DataFrame, network: Network, least_score: float = 0.3,
     place = documents.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, place):
             letters = [t if t and any(map(str.isalpha, t)) else None for t in batch.column(place).to_pylist()]
             names, score = label_texts(network, letters)
             yield batch.filter(pa.array([name != UNKNOWN and s >= least_score for name, s in zip(names, score)], pa.bool_()))

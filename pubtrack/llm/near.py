@@ -20,11 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pubtrack.llm.common import components, shared_table, texts_of
+from pubtrack.llm.common import components, shared_table, slices, texts_of
 from pubtrack.llm.shingles import mixed, words_of
 
 COORDINATES, TREES, SMALL_NODE, DENSE_NODE = 64, 10, 32, 1024
@@ -33,8 +32,6 @@ BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Least number of equal token bytes of a pair that is compared in full: a pair at similarity 0.75 has 48 on
 #: average and fewer than 28 with probability 1e-8.
 LEAST_EQUAL = 28
-#: Text that a task hashes in one step.
-STEP_BYTES = 2 << 20
 
 _DRAW = np.random.default_rng(20)
 MULTIPLIERS = (_DRAW.integers(0, 1 << 32, COORDINATES, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -60,26 +57,13 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     return sets
 
 
-def slices(batch: pa.RecordBatch, *texts: str) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that a slice has about STEP_BYTES of text beyond one row."""
-    sizes = sum(np.asarray(pa.compute.binary_length(batch.column(t)).fill_null(0), dtype=np.int64) for t in texts)
-    at, size = 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        if i > at and size + n > STEP_BYTES:
-            yield batch.slice(at, i - at)
-            at, size = i, 0
-        size += n
-    if batch.num_rows > at:
-        yield batch.slice(at)
-
-
 def prints(k: int):
     """Arrow function: identity, set size, 128-bit print of the set and its minwise tokens."""
     form = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for part in (p for batch in batches for p in slices(batch, "text")):
+            for part in slices(batches, "text"):
                 rows = []
                 for s in shingle_sets([t.encode() for t in part.column("text").to_pylist()], k):
                     if len(s):
@@ -100,7 +84,7 @@ def text_prints(k: int):
 
     def run(batches):
         with np.errstate(over="ignore"):
-            for part in (p for batch in batches for p in slices(batch, "text")):
+            for part in slices(batches, "text"):
                 sets = shingle_sets([t.encode() for t in part.column("text").to_pylist()], k)
                 both = [(int(mixed(s).sum().view(np.int64)), int(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64))) if len(s) else (None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in both], pa.int64()), pa.array([x for _, x in both], pa.int64()), part.column("text")], schema=form)
@@ -214,7 +198,7 @@ def confirm(k: int, percent: int):
     """Arrow function: the pairs with 100 * intersection >= percent * union of the full sets."""
     def run(batches):
         with np.errstate(over="ignore"):
-            for part in (p for batch in batches for p in slices(batch, "text_a", "text_b")):
+            for part in slices(batches, "text_a", "text_b"):
                 texts = [t.encode() for c in ("text_a", "text_b") for t in part.column(c).to_pylist()]
                 sets = shingle_sets(texts, k)
                 linked = []

@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pubtrack.llm.common import shared_table, texts_of
+from pubtrack.llm.common import shared_table, slices, texts_of
 from pubtrack.llm.shingles import mixed, words_of
 
 #: A perfect difference set: every residue other than 0 is the difference of exactly one pair.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 IN_COVER = np.isin(np.arange(PERIOD), COVER)
 #: Bytes of text that a task hashes and combines in one step.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 
 HASHED = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("id", pa.int64()), ("at", pa.int32()), ("known", pa.bool_())])
 HASHED_SQL = "hash long, doc_id long, id long, at int, known boolean"
@@ -122,7 +122,7 @@ def kept_text(words: list[bytes], starts: list[int] | None, length: int) -> tupl
 
 def identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Add the text's own 64 bits."""
-    for batch in batches:
+    for batch in slices(batches, "text"):
         ids = pa.array([text_id(t.encode()) for t in batch.column("text").to_pylist()], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, batch.column("text")], names=["doc_id", "id", "text"])
 
@@ -142,7 +142,7 @@ def cut_out(length: int):
 
 def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Identity, number of words and digest of a document that loses nothing."""
-    for batch in batches:
+    for batch in slices(batches, "text"):
         texts = [t.encode() for t in batch.column("text").to_pylist()]
         words = [t.split() for t in texts]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([text_id(t) for t in texts], pa.int64()), pa.array([len(w) for w in words], pa.int64()),
