@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 
 from pubtrack.llm import bpe, exact, language, near, nearest, passages
+from pubtrack.llm.common import LOWER, UPPER
 from pubtrack.llm.registry import documents, query
 
 EXACT = f"""
-WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{exact.UPPER}', '{exact.LOWER}') AS form FROM documents)
+WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS form FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY form) AS keep_id, count(*) OVER (PARTITION BY form) AS group_size,
  doc_id = max(doc_id) OVER (PARTITION BY form) AS kept, sha256(form) AS text_sha256 FROM n
 """
