@@ -19,7 +19,7 @@ def events(spark, d):
 @query("stream_throttle", THROTTLE.format(service="'gate'", gap=300, cap=96) + "SELECT t.service, t.s AS accepted_second, t.event_id FROM t JOIN a ON a.service = t.service AND a.s = t.s")
 def _(spark, d):
     requests = events(spark, d).withColumn("service", F.lit("gate"))
-    return drain(operators.throttle_stream(requests, "service", "event_id", "us", 300, 96))
+    return drain(operators.throttle_stream(requests, "service", "event_id", "us", 300, 96)).where("outcome = 'accepted'").drop("outcome")
 
 
 @query("stream_client_quota", """

@@ -26,7 +26,8 @@ def _types(table: DataFrame, columns: Sequence[str]) -> str:
 
 def throttle_stream(requests: DataFrame, service: str, identity: str, epoch_us: str, gap: int, per_day: int) -> DataFrame:
     """Accepted requests of a single-flight service: at least ``gap`` seconds apart and at most
-    ``per_day`` per UTC day, on a clock of whole seconds."""
+    ``per_day`` per UTC day, on a clock of whole seconds. A request of a day before the newest one seen
+    comes too late to be judged; the first of its second is listed with the outcome ``late``."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         free_at, day, used = state.get if state.exists else (0, -1, 0)
@@ -39,15 +40,17 @@ def throttle_stream(requests: DataFrame, service: str, identity: str, epoch_us:
             today = int(second) // DAY
             if today > day:
                 day, used = today, 0
-            if second >= free_at and today == day and used < per_day:
-                kept.append((key[0], int(request), int(second)))
+            if today < day:
+                kept.append((key[0], int(request), int(second), "late"))
+            elif second >= free_at and used < per_day:
+                kept.append((key[0], int(request), int(second), "accepted"))
                 free_at, used = int(second) + gap, used + 1
         state.update((free_at, day, used))
         if kept:
-            yield pd.DataFrame(kept, columns=[service, identity, "accepted_second"])
+            yield pd.DataFrame(kept, columns=[service, identity, "accepted_second", "outcome"])
 
     return requests.select(service, identity, epoch_us).groupBy(service).applyInPandasWithState(
-        step, f"{_types(requests, [service, identity])}, accepted_second long", "free_at long, day long, used int", "append",
+        step, f"{_types(requests, [service, identity])}, accepted_second long, outcome string", "free_at long, day long, used int", "append",
         GroupStateTimeout.NoTimeout)
 
 
@@ -99,7 +102,8 @@ def budget_stream(requests: DataFrame, day: str, order: Sequence[str], identity:
             yield pd.DataFrame(kept, columns=[day, identity, estimate, actual, "used"])
 
     wanted = list(dict.fromkeys([day, *names, identity, estimate, actual]))
-    return requests.select(*wanted).groupBy(day).applyInPandasWithState(
+    # What can never fit does not reach the day's group.
+    return requests.where(F.col(estimate) <= budget).select(*wanted).groupBy(day).applyInPandasWithState(
         step, f"{_types(requests, [day, identity, estimate, actual])}, used long", "used long, requests int", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -200,10 +204,11 @@ def watchdog_stream(log: DataFrame, service: str, epoch_us: str, identity: str,
         step, f"{_types(log, [service, identity])}, accepted_second long", "failing boolean, free_at long", "append", GroupStateTimeout.NoTimeout)
 
 
-def completion_stream(requests: DataFrame, completions: DataFrame, request: str, created: str, attempt: str, watermark: str = "10 minutes",
-                      horizon: str = "1 hour") -> DataFrame:
+def completion_stream(requests: DataFrame, completions: DataFrame, request: str, created: str, attempt: str, horizon: str,
+                      watermark: str = "10 minutes") -> DataFrame:
     """Requests joined with completions of the same id that are not older than one second before
-    them and not later than the horizon; both watermarks bound the state."""
+    them and not later than ``horizon``; both watermarks bound the state. A request can meet several
+    completions; the earliest is the minimum of ``attempt`` per request downstream."""
     left = requests.withWatermark(created, watermark)
     right = completions.withColumnRenamed(request, "_request").withWatermark(attempt, watermark)
     rule = ((F.col(request) == F.col("_request")) & (F.col(attempt) >= F.col(created) - F.expr("INTERVAL 1 SECOND"))

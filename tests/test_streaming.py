@@ -78,3 +78,12 @@ def test_publish_loop_never_publishes_twice(spark, tmp_path):
     assert sorted(r["doc"] for r in spark.read.parquet(f"{root}/accepted").collect()) == [1, 4], "a retried batch replaces its own folder"
     status = {r["doc"]: r["status"] for r in spark.read.parquet(f"{root}/checks").collect()}
     assert status[3] == "already_known" and status[2] == "failed" and loop.rejected(accepted).count() >= 1
+
+
+def test_late_days_have_their_own_outcome(spark, tmp_path):
+    schema, day = "service string, id long, us long", 86_400_000_000
+    for part in ([("a", 1, 2 * day)], [("a", 2, day), ("a", 3, 2 * day + 1_000_000_000)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "late"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "late"))
+    got = {(r["id"], r["outcome"]) for r in drain(operators.throttle_stream(stream, "service", "id", "us", 600, 50)).collect()}
+    assert got == {(1, "accepted"), (2, "late"), (3, "accepted")}
