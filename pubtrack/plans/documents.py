@@ -231,11 +231,16 @@ def _(spark, d):
 
 @query("review_completeness", """
 SELECT (SELECT count(*) FROM orders WHERE o_orderstatus <> 'F') AS open_documents, (SELECT count(*) FROM lineitem WHERE l_linestatus <> 'O') AS open_announcements,
- (SELECT count(*) FROM supplier WHERE s_acctbal < 0) AS open_sources, false AS review_complete
+ (SELECT count(*) FROM supplier WHERE s_acctbal < 0) AS open_sources, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'F') + (SELECT count(*) FROM lineitem WHERE l_linestatus <> 'O')
+ + (SELECT count(*) FROM supplier WHERE s_acctbal < 0) = 0 AS review_complete, 'stated' AS state
+UNION ALL SELECT (SELECT count(*) FROM orders WHERE o_totalprice < 0), (SELECT count(*) FROM lineitem WHERE l_quantity < 0), (SELECT count(*) FROM supplier WHERE s_suppkey < 0),
+ (SELECT count(*) FROM orders WHERE o_totalprice < 0) + (SELECT count(*) FROM lineitem WHERE l_quantity < 0) + (SELECT count(*) FROM supplier WHERE s_suppkey < 0) = 0, 'settled'
 """)
 def _(spark, d):
-    return inventory.review_complete(load(spark, d, "orders"), load(spark, d, "lineitem"), load(spark, d, "supplier"),
-                                     F.col("o_orderstatus") == "F", F.col("l_linestatus") == "O", F.col("s_acctbal") >= 0)
+    tables = load(spark, d, "orders"), load(spark, d, "lineitem"), load(spark, d, "supplier")
+    stated = inventory.review_complete(*tables, F.col("o_orderstatus") == "F", F.col("l_linestatus") == "O", F.col("s_acctbal") >= 0)
+    settled = inventory.review_complete(*tables, F.col("o_totalprice") >= 0, F.col("l_quantity") >= 0, F.col("s_suppkey") >= 0)
+    return stated.withColumn("state", F.lit("stated")).unionByName(settled.withColumn("state", F.lit("settled")))
 
 
 @query("document_lineage", """

@@ -24,11 +24,12 @@ def members(spark, d):
 
 @query("generation_blocks", MEMBERS + """
 , b AS (SELECT id, left(id, 1) AS bucket, (row_number() OVER (PARTITION BY left(id, 1) ORDER BY id) - 1) // 50 AS block, specialty, list_number FROM m)
-SELECT bucket, block, count(*) AS block_rows, CAST(sum(octet_length(encode('{"id":"' || id || '","specialty":' || specialty || ',"list_number":' || list_number || '}'))) AS BIGINT) AS block_bytes, true AS within_limits FROM b GROUP BY 1, 2
+, z AS (SELECT bucket, block, count(*) AS block_rows, CAST(sum(octet_length(encode('{"id":"' || id || '","specialty":' || specialty || ',"list_number":' || list_number || '}'))) AS BIGINT) AS block_bytes FROM b GROUP BY 1, 2)
+SELECT *, block_rows <= 49 AND block_bytes <= 3000 AS within_limits FROM z
 """)
 def _(spark, d):
     blocks = generation.assign_blocks(members(spark, d), "id", 1, 50)
-    return generation.block_sizes(blocks, ["id", "specialty", "list_number"])
+    return generation.block_sizes(blocks, ["id", "specialty", "list_number"], most_bytes=3000, most_rows=49)
 
 
 @query("stored_block_rows", MEMBERS + "SELECT left(id, 2) AS bucket, id, specialty, list_number FROM m")
