@@ -141,11 +141,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column], st
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
                 spread: Column | None = None, name: str = "position") -> DataFrame:
     """First ``k`` rows of each key. Spark limits the rows inside each map task, before the shuffle,
-    up to a configured ``k``; the limit is raised here when ``k`` is larger. With ``spread`` a hot key
-    is first cut to ``k`` rows in each of several shares."""
-    conf, limit = df.sparkSession.conf, "spark.sql.optimizer.windowGroupLimitThreshold"
-    if int(conf.get(limit, "1000")) < k:
-        conf.set(limit, str(k))
+    up to the ``k`` of ``spark.sql.optimizer.windowGroupLimitThreshold`` (set by ``build_session``). With
+    ``spread`` a hot key is first cut to ``k`` rows in each of several shares."""
     if spread is not None:
         share = F.pmod(F.xxhash64(spread), F.lit(256))
         cut_first = Window.partitionBy(*keys, "_share").orderBy(*order)

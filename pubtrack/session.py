@@ -21,6 +21,8 @@ def build_session(app: str = "pubtrack", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        # Top-k per key is cut before the shuffle up to this k.
+        "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
         # Checkpoint files go when nothing refers to them any more.
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
