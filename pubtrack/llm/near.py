@@ -2,13 +2,12 @@
 
 A document is the set of its word shingles. Its minwise tokens (the least hash under each of COORDINATES
 functions) agree between two sets with a probability equal to their Jaccard similarity. Each of several
-independent trees starts with all sets in the root; the root sends every member to the children named by
-the member's tokens at two coordinates, a further node to the child named by its token at one, all chosen
-by hash. Small nodes compare all members. A large node compares its members with one pivot; if that does not
+trees starts with all sets in the root; the root sends every member to the children named by the member's
+tokens at ROOT_CHILDREN coordinates, a further node to those at NODE_CHILDREN, all different and chosen by
+hash. Small nodes compare all members. A large node compares its members with one pivot; if that does not
 connect them all, it is branched further, or, from the second level on, if it has at most DENSE_NODE
-members or branching did not halve it, compared block by block. A pair at similarity 0.75 meets in a first
-level node of one tree with probability 0.94 and in a second level node with 0.81, so TREES independent
-trees miss it with probability below 1e-7 there; only nodes that stay large and mixed go deeper.
+members or branching did not halve it, compared block by block. :func:`miss` bounds the probability that a
+linked pair meets in no node of a level; it stays below a limit however deep the trees go.
 
 Equal sets are joined beforehand, a comparison of tokens discards pairs that cannot be similar enough, and
 every link is confirmed on the full sets (64-bit shingle hashes).
@@ -17,6 +16,7 @@ every link is confirmed on the full sets (64-bit shingle hashes).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,9 @@ from pubtrack.llm.common import components, shared_table, slices, texts_of
 from pubtrack.llm.shingles import mixed, words_of
 
 COORDINATES, TREES, SMALL_NODE, DENSE_NODE = 64, 10, 32, 1024
+#: Children that a member goes to from the root and from every further node. With three, a pair that agrees at more
+#: than a third of its coordinates keeps meeting with a probability that has a positive limit over the levels.
+ROOT_CHILDREN, NODE_CHILDREN = 2, 3
 #: Members and bytes of text of a block of a dense node; two blocks meet in one task.
 BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Least number of equal token bytes of a pair that is compared in full: a pair at similarity 0.75 has 48 on
@@ -215,23 +218,51 @@ def sketch(tokens) -> F.Column:
     return F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8 * COORDINATES), F.lit(8)), lambda i: F.substring(F.hex(tokens), i, F.lit(2))), ""))
 
 
+def miss(level: int, similarity: float = 0.75) -> float:
+    """Probability that a pair meets in no node of ``level`` (from 1) of any tree, if every node above is branched.
+
+    All trees read the same tokens, so they are independent only once it is given at how many coordinates the pair
+    agrees, which is binomial. A node draws different coordinates by its own hash; below each child whose
+    coordinate agrees, the pair goes on with the chance of one level less.
+    """
+    def meets(below: float, agree: int, children: int) -> float:
+        return 1 - sum(comb(agree, j) * comb(COORDINATES - agree, children - j) / comb(COORDINATES, children) * (1 - below) ** j for j in range(children + 1))
+
+    total = 0.0
+    for agree in range(COORDINATES + 1):
+        chance = 1.0
+        for _ in range(level - 1):
+            chance = meets(chance, agree, NODE_CHILDREN)
+        missed = (1 - meets(chance, agree, ROOT_CHILDREN)) ** TREES
+        total += comb(COORDINATES, agree) * similarity**agree * (1 - similarity) ** (COORDINATES - agree) * missed
+    return total
+
+
 def child(node, coordinate) -> F.Column:
     """The child that a member's token at ``coordinate`` names."""
     return F.xxhash64(node, coordinate, F.substring(F.col("tokens"), (coordinate * 4 + 1).cast("int"), F.lit(4)))
 
 
+def drawn(node: F.Column, count: int) -> list[F.Column]:
+    """``count`` different coordinates, at most three, that the hash of ``node`` chooses."""
+    first = F.pmod(F.xxhash64(node, F.lit("first")), F.lit(COORDINATES))
+    second = F.pmod(first + 1 + F.pmod(F.xxhash64(node, F.lit("second")), F.lit(COORDINATES - 1)), F.lit(COORDINATES))
+    place = F.pmod(F.xxhash64(node, F.lit("third")), F.lit(COORDINATES - 2))
+    place = place + F.when(place >= F.least(first, second), 1).otherwise(0)
+    return [first, second, place + F.when(place >= F.greatest(first, second), 1).otherwise(0)][:count]
+
+
 def first_nodes(classes: DataFrame) -> DataFrame:
-    """(node, cid, parent_m) of the two children of every root."""
+    """(node, cid, parent_m) of the children of every root."""
     trees = classes.select("cid", "tokens", F.explode(F.sequence(F.lit(1), F.lit(TREES))).alias("tree"))
-    chosen = F.pmod(F.xxhash64("tree", F.lit("first")), F.lit(COORDINATES))
-    other = F.pmod(chosen + 1 + F.pmod(F.xxhash64("tree", F.lit("second")), F.lit(COORDINATES - 1)), F.lit(COORDINATES))
-    return trees.select("cid", F.explode(F.array(child(F.col("tree"), chosen), child(F.col("tree"), other))).alias("node"), F.lit(1 << 62).alias("parent_m"))
+    nodes = F.array(*[child(F.col("tree"), c) for c in drawn(F.col("tree"), ROOT_CHILDREN)])
+    return trees.select("cid", F.explode(nodes).alias("node"), F.lit(1 << 62).alias("parent_m"))
 
 
 def next_nodes(rest: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, cid, parent_m) of the child of every member of nodes (node, cid, m)."""
-    chosen = F.pmod(F.xxhash64("node", F.lit("next")), F.lit(COORDINATES))
-    return rest.join(classes.select("cid", "tokens"), "cid").select("cid", child(F.col("node"), chosen).alias("node"), F.col("m").alias("parent_m"))
+    """(node, cid, parent_m) of the children of every member of nodes (node, cid, m)."""
+    nodes = F.array(*[child(F.col("node"), c) for c in drawn(F.col("node"), NODE_CHILDREN)])
+    return rest.join(classes.select("cid", "tokens"), "cid").select("cid", F.explode(nodes).alias("node"), F.col("m").alias("parent_m"))
 
 
 def same_component(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -267,8 +298,9 @@ def near_components(documents: DataFrame, identity: str = "doc_id", text: str =
     are not read.
 
     What meets in one task is a node of at most SMALL_NODE sets, two blocks of a dense node, or a pair. Large nodes
-    first pair their members with a pivot only; once these links connect a group, the rest is not compared. As a node
-    is branched only where this halves it, the rows of a level never outgrow those of the level before.
+    first pair their members with a pivot only; once these links connect a group, the rest is not compared. A level has
+    at most NODE_CHILDREN rows for each row of the open nodes above. As a node is branched further only where this
+    halved it, there are at most log2 of (rows / DENSE_NODE) + 2 levels.
     """
     rows = texts_of(documents, identity, text)
     printed = shared_table(rows.mapInArrow(*prints(k)), "prints")

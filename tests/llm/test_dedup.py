@@ -105,6 +105,26 @@ def test_large_nodes_are_branched_and_settled(spark, monkeypatch):
     assert Counter(tuple(r) for r in got.collect()) == near_rows(plain(docs))
 
 
+def test_recall_does_not_fall_with_depth(spark, monkeypatch):
+    for name in ("SMALL_NODE", "DENSE_NODE"):
+        monkeypatch.setattr(near, name, 3)
+    monkeypatch.setattr(near, "TREES", 3)  # few trees, so that a loss shows
+    # Texts of passages that many others share; every second one repeats the one before but for one passage.
+    draw = random.Random(6)
+    pool = [prose(500 + i, 16) for i in range(40)]
+    rows = []
+    for i in range(0, 600, 2):
+        chosen = draw.sample(pool, 8)
+        rows += [(i, " ".join(chosen)), (i + 1, " ".join(chosen[:7] + [prose(2000 + i, 16)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near.near_components(docs).select("doc_id", "n_shingles", "component_id", "kept")
+    assert Counter(tuple(r) for r in got.collect()) == near_rows(plain(docs))
+
+
+def test_miss_is_bounded_at_every_level():
+    assert all(near.miss(level) < 1e-8 for level in (*range(1, 31), 1000))
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 90), (95, 100)], "a long, b long")
     assert {r.id: r.component for r in components(links).collect()} == {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90}
