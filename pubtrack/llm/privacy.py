@@ -25,7 +25,12 @@ KINDS = {
 }
 #: A word with a digit or an at sign: what a pattern may introduce.
 VALUE = rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
-EDGE = r"^[^\p{L}\p{N}+@]+|[^\p{L}\p{N}@]+$"
+#: Groups of digits with brackets, hyphens and slashes, a single space or a lone sign between them; letters may lead the first.
+GROUP = r"[(\[]?[0-9][0-9()\[\]/.-]*+(?![\p{L}\p{N}@_])"
+RUN = rf"(?<![^{SPACE}])(?:[(\[]?[A-Za-z]{{1,4}}+)?+{GROUP}(?:\x20(?:[/-]\x20)?+{GROUP})++"
+#: What is cut from the ends of a value; the bracket of a first group in brackets stays.
+LEAD = r"^(?![(\[][0-9]++[)\]][^0-9]*+[0-9])[^\p{L}\p{N}+@]+"
+EDGE = LEAD + r"|[^\p{L}\p{N}@]+$"
 CONTEXT_CHARS = 80
 
 
@@ -70,13 +75,14 @@ def before(text: Column, start: Column) -> Column:
 
 
 def value_spans(text: Column, seeds: Column) -> Column:
-    """Identifier-like words that no seed touches: an at sign inside or at least six digits."""
+    """Identifier-like words and runs of digit groups that no seed touches: an at sign inside or at least six digits."""
     def trimmed(s):
-        lead = F.length(F.regexp_extract(s["value"], r"^[^\p{L}\p{N}+@]*", 0))
+        lead = F.length(F.regexp_extract(s["value"], LEAD, 0))
         value = F.regexp_replace(s["value"], EDGE, "")
         return F.struct((s["start"] + lead).alias("start"), (s["start"] + lead + F.length(value)).alias("end"), value.alias("value"))
 
-    words = F.transform(span_array(text, VALUE), trimmed)
+    # A word inside a run stays a candidate, as the run may join neighbours that do not belong together.
+    words = F.transform(F.concat(span_array(text, VALUE), span_array(text, RUN)), trimmed)
     shaped = F.filter(words, lambda s: s["value"].rlike(r".@.") | (F.length(F.regexp_replace(s["value"], "[^0-9]", "")) >= 6))
     return F.filter(shaped, lambda s: ~F.exists(seeds, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])))
 

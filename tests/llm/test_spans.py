@@ -100,3 +100,12 @@ def test_second_scan_visits_only_new_pairs(spark):
     assert grown.count() == 6 and {r.doc_id: len(r.spans) for r in found.collect()} == {1: 1, 2: 1, 3: 1}
     renewed = (*secrets.RULES[:1], secrets.Rule("access", 2, "AKIA[A-Z0-9]{14,}+"), secrets.RULES[2])
     assert secrets.scan_new(second.withColumn("blob", F.sha2("text", 256)), grown, renewed).count() == 2  # both blobs, the changed rule
+
+
+def test_grouped_identifiers_are_discovered(spark):
+    rows = [(i, f"call ring desk +49 30 {1000000 + i} now") for i in range(60)]
+    grouped = ["0171 234 567", "(030) 1234 567", "DE89 3704 0044 0532 0130 00", "030 / 12 34 56"]
+    rows += [(100 + i, f"call ring desk {value}, or write") for i, value in enumerate(grouped)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: {(s.kind, s.value) for s in r.found} for r in privacy.find_personal_data(docs).collect()}
+    assert all(("phone", value.lower()) in found[100 + i] for i, value in enumerate(grouped))
