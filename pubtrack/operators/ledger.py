@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pubtrack.operators.queues import carry_state
-from pubtrack.operators.scan import last_known, next_known, ordered_scan, previous, top_per_key
+from pubtrack.operators.scan import known_before, last_known, next_known, ordered_scan, top_per_key
 
 DAY = 86_400
 
@@ -209,16 +209,15 @@ def change_probe(probes: DataFrame, completions: DataFrame, source: Sequence[str
     union = probes.select(*source, at, identity, validator, F.lit(1).alias("_kind")).unionByName(
         completions.select(*source, at, identity).withColumn("_kind", F.lit(0)), allowMissingColumns=True)
     order = [F.col(at), F.col("_kind"), F.col(identity)]
-    seen = ordered_scan(union, source, order, [last_known("_done", F.when(F.col("_kind") == 0, F.col(at)))], keep=True).where("_kind = 1")
-    lagged = ordered_scan(seen, source, order, [previous("_before", F.col(validator))], keep=True)
-    first = F.col("_before").isNull()
-    starts = first | (F.col("_before") != F.col(validator))
-    runs = ordered_scan(lagged.withColumn("_first", first), source, order, [last_known("_start", F.when(starts, F.col(at)))], keep=True)
+    probe = F.col("_kind") == 1
+    seen = ordered_scan(union, source, order, [last_known("_done", F.when(~probe, F.col(at))),
+                                               known_before("_before", F.when(probe, F.struct(F.col(validator).alias("v"))))], keep=True).where(probe)
+    first = F.col("_before.v").isNull()
+    starts = first | (F.col("_before.v") != F.col(validator))
+    runs = ordered_scan(seen.withColumn("_first", first), source, order, [last_known("_start", F.when(starts, F.col(at)))], keep=True)
     confirmed = F.coalesce(F.col("_done") >= F.col("_start"), F.lit(False))
-    marked = runs.withColumn("_confirmed", confirmed).withColumn(
-        "_keeps", F.when(F.col("_confirmed") | F.col("_first"), F.col(validator)))
-    kept = ordered_scan(marked, source, order, [previous("_prior", F.struct(F.col("_keeps").alias("k")))], keep=True)
-    stored = ordered_scan(kept, source, order, [last_known("_stored", F.col("_prior.k"))])
+    marked = runs.withColumn("_confirmed", confirmed)
+    stored = ordered_scan(marked, source, order, [known_before("_stored", F.when(F.col("_confirmed") | F.col("_first"), F.col(validator)))])
     status = (F.when(F.col("_first"), "baseline_recorded").when(F.col("_stored") == F.col(validator), "unchanged")
               .when(F.col("_confirmed"), "checked").otherwise("changed_pending"))
     return stored.select(*source, at, identity, validator, status.alias("probe_status"))

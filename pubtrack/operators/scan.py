@@ -1,10 +1,14 @@
 """Ordered scans (rank, running sum, last known value, lag, lead) that survive hot keys.
 
-A window partitioned by a key runs each key in one task. Here rows are first
-range-partitioned by (key, order), so a key with a third of all rows is spread over
-many *slices*. Each slice is scanned locally; one summary row per (key, slice) carries
-the result of the earlier slices. Slice numbers come from sampled range bounds, hence
-the sliced rows are checkpointed before they are read twice.
+A window partitioned by a key runs each key in one task. Here (key, order) is cut into
+*slices* at bounds from a sample, so a key with a third of all rows is spread over many
+of them. Each slice is scanned locally; one summary row per (key, slice) carries the
+result of the earlier slices.
+
+The bounds are a subquery (the rows with the least hashes of key and order) and the slice of
+a row is found in them by an expression, so nothing runs until the result is wanted, nothing
+is stored in between, and the rows are shuffled once, by (key, slice); a following scan over
+the same order finds them in place.
 """
 
 from __future__ import annotations
@@ -15,9 +19,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pubtrack.session import cut
-
 _KEY, _SLICE, _POS, _CARRY = "_key", "_slice", "_pos", "_carry"
+#: Most slices, and sampled rows for each of them.
+MOST_SLICES, SAMPLED = 1024, 16
 
 
 @dataclass(frozen=True)
@@ -44,6 +48,11 @@ def last_known(name: str, value: Column) -> Step:
     return Step(name, "last", value)
 
 
+def known_before(name: str, value: Column) -> Step:
+    """Latest non-null value before the current row."""
+    return Step(name, "before", value)
+
+
 def next_known(name: str, value: Column) -> Step:
     """Nearest non-null value from the current row onwards."""
     return Step(name, "next", value)
@@ -65,11 +74,22 @@ def highest(name: str, value: Column) -> Step:
 
 
 def slice_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Number order-preserving slices over (keys, order) and materialise them."""
+    """Number order-preserving slices over (keys, order)."""
     key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
     shaped = df.withColumn(_KEY, key).withColumn(_POS, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
-    ranged = shaped.repartitionByRange(F.col(_KEY), F.col(_POS))
-    return cut(ranged.withColumn(_SLICE, F.spark_partition_id()))
+    at = F.struct(_KEY, _POS)
+    steps = [1]
+    while steps[0] * 2 < min(MOST_SLICES, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))):
+        steps.insert(0, steps[0] * 2)
+    slices = 2 * steps[0]
+    sample = shaped.select(at.alias("at")).orderBy(F.xxhash64("at"), "at").limit(SAMPLED * slices).agg(F.sort_array(F.collect_list("at")).alias("at"))
+    bounds = sample.select(F.transform(F.sequence(F.lit(1), F.lit(slices - 1)), lambda i: F.get("at", (i * F.size("at") / slices).cast("int")))).scalar()
+
+    # Binary search: the number of bounds that are not after the row.
+    def search(found, step):
+        return F.when(F.get(F.col("_bounds"), found + step - 1) <= at, found + step).otherwise(found)
+
+    return shaped.withColumn("_bounds", bounds).withColumn(_SLICE, F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), search)).drop("_bounds")
 
 
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column], steps: Sequence[Step], keep: bool = False) -> DataFrame:
@@ -82,11 +102,12 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column], st
     for i, step in enumerate(steps):
         if step.value is not None:
             staged = staged.withColumn(f"_v{i}", step.value)
-    sliced = cut(staged) if _SLICE in df.columns else slice_rows(staged, keys, order)
+    sliced = staged if _SLICE in df.columns else slice_rows(staged, keys, order)
     local = Window.partitionBy(_KEY, _SLICE).orderBy(_POS)
     backward = Window.partitionBy(_KEY, _SLICE).orderBy(F.col(_POS).desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     running = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = local.rowsBetween(Window.unboundedPreceding, -1)
     scanned, summary = sliced, [F.count(F.lit(1)).alias("_n")]
     for i, step in enumerate(steps):
         value = F.col(f"_v{i}")
@@ -96,6 +117,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column], st
             "sum": lambda v, b: (F.sum(v).over(running), F.sum(v)),
             "last": lambda v, b: (F.last(v, ignorenulls=True).over(running),
                                   F.max_by(v, F.when(v.isNotNull(), F.col(_POS)))),
+            "before": lambda v, b: (F.last(v, ignorenulls=True).over(earlier),
+                                    F.max_by(v, F.when(v.isNotNull(), F.col(_POS)))),
             "next": lambda v, b: (F.last(v, ignorenulls=True).over(backward),
                                   F.min_by(v, F.when(v.isNotNull(), F.col(_POS)))),
             "lag": lambda v, b: (F.lag(b).over(local), F.max_by(b, F.col(_POS))),
@@ -116,6 +139,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column], st
             "rank": lambda: F.sum("_n").over(before),
             "sum": lambda: F.sum(edge).over(before),
             "last": lambda: F.last(edge, ignorenulls=True).over(before),
+            "before": lambda: F.last(edge, ignorenulls=True).over(before),
             "next": lambda: F.last(edge, ignorenulls=True).over(after),
             "lag": lambda: F.lag(edge).over(by_slice),
             "lead": lambda: F.lead(edge).over(by_slice),
@@ -124,15 +148,16 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column], st
     carry = edges.select(_KEY, _SLICE, *carried)
     joined = scanned.join(carry, [_KEY, _SLICE])
     for i, step in enumerate(steps):
-        mine, earlier = F.col(f"_l{i}"), F.col(f"{_CARRY}{i}")
+        mine, carry_in = F.col(f"_l{i}"), F.col(f"{_CARRY}{i}")
         joined = joined.withColumn(step.name, {
-            "rank": lambda: mine + F.coalesce(earlier, F.lit(0)),
-            "sum": lambda: F.coalesce(mine + earlier, mine, earlier),
-            "last": lambda: F.coalesce(mine, earlier),
-            "next": lambda: F.coalesce(mine, earlier),
-            "lag": lambda: F.coalesce(mine, earlier)["v"],
-            "lead": lambda: F.coalesce(mine, earlier)["v"],
-            "max": lambda: F.greatest(mine, earlier),
+            "rank": lambda: mine + F.coalesce(carry_in, F.lit(0)),
+            "sum": lambda: F.coalesce(mine + carry_in, mine, carry_in),
+            "last": lambda: F.coalesce(mine, carry_in),
+            "before": lambda: F.coalesce(mine, carry_in),
+            "next": lambda: F.coalesce(mine, carry_in),
+            "lag": lambda: F.coalesce(mine, carry_in)["v"],
+            "lead": lambda: F.coalesce(mine, carry_in)["v"],
+            "max": lambda: F.greatest(mine, carry_in),
         }[step.kind]())
     columns = [c for c in df.columns if c not in (_KEY, _SLICE, _POS)]
     return joined.select(*columns, *[s.name for s in steps], *([_KEY, _SLICE, _POS] if keep else []))

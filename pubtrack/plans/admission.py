@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pubtrack.operators import ledger
+from pubtrack.operators import budgets, ledger
 from pubtrack.plans.activity import by_time, events
 from pubtrack.plans.registry import query
 
@@ -206,3 +206,76 @@ WITH c AS (SELECT user_id, ts::DATE AS day, count(*) AS requests FROM events GRO
 def _(spark, d):
     counters = events(spark, d).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("requests"))
     return ledger.expired_counters(counters, "day", F.lit("2024-01-20").cast("date"))
+
+
+@query("split_throttle", THROTTLE.format(service="'gate'", gap=300, cap=96) + "SELECT t.service, t.s AS accepted_second, t.event_id FROM t JOIN a ON a.service = t.service AND a.s = t.s")
+def _(spark, d):
+    requests = events(spark, d).select(F.lit("gate").alias("service"), "event_id", "us")
+    return budgets.split_throttle(requests, ["service"], "event_id", F.floor(F.col("us") / 1_000_000), 300, 96)
+
+
+# Requests and the later settlements of all of them in one log; a settlement counts if its request is still open.
+DELAYED = """
+WITH RECURSIVE q AS (SELECT event_type, event_id, epoch_us(ts) AS us, CAST(ceil(value / 5) AS BIGINT) * 100 AS estimate,
+  CASE WHEN event_id % 7 <> 0 THEN epoch_us(ts) + CAST(trunc(value) AS BIGINT) * 120000000 END AS settled, CASE WHEN event_id % 5 <> 0 THEN CAST(trunc(value) AS BIGINT) * 20 END AS actual FROM events),
+l AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY t, asks, event_id) AS n FROM (
+  SELECT *, us AS t, true AS asks FROM q UNION ALL SELECT *, greatest(settled, us + 1), false FROM q WHERE settled IS NOT NULL)),
+f(event_type, n, event_id, estimate, ok, day, used, cnt, held) AS (SELECT event_type, 0::BIGINT, NULL::BIGINT, 0::BIGINT, false, -1::BIGINT, 0::BIGINT, 0::BIGINT, []::BIGINT[] FROM (SELECT DISTINCT event_type FROM q)
+ UNION ALL SELECT event_type, n, event_id, estimate, asks AND fits, CASE WHEN fits OR counts THEN d ELSE day END,
+  CASE WHEN asks AND fits THEN CASE WHEN d = day THEN used + estimate ELSE estimate END WHEN counts AND d = since THEN CASE WHEN day = since THEN greatest(0, used - estimate + charge) ELSE used END
+   WHEN counts THEN CASE WHEN d = day THEN used + charge ELSE charge END ELSE used END,
+  CASE WHEN asks AND fits THEN CASE WHEN d = day THEN cnt + 1 ELSE 1 END WHEN counts AND d <> since THEN CASE WHEN d = day THEN cnt + 1 ELSE 1 END ELSE cnt END,
+  CASE WHEN asks AND fits AND settled IS NOT NULL THEN list_append(held, event_id) WHEN counts THEN list_filter(held, lambda x: x <> event_id) ELSE held END
+ FROM (SELECT l.*, f.day, f.used, f.cnt, f.held, l.t // 86400000000 AS d, l.us // 86400000000 AS since, coalesce(l.actual + 32, l.estimate) AS charge,
+   l.asks AND (l.t // 86400000000 <> f.day OR f.used + l.estimate <= 60000 AND f.cnt < 50) AS fits, NOT l.asks AND list_contains(f.held, l.event_id) AS counts
+  FROM f JOIN l ON l.event_type = f.event_type AND l.n = f.n + 1))
+SELECT event_type, event_id, day, estimate, used FROM f WHERE ok
+"""
+
+
+@query("delayed_budget", DELAYED)
+def _(spark, d):
+    whole = F.col("value").cast("long")
+    requests = events(spark, d).select(
+        "event_type", "event_id", "us", (F.ceil(F.col("value") / 5) * 100).alias("estimate"), F.when(F.col("event_id") % 7 != 0, F.col("us") + whole * 120_000_000).alias("settled"),
+        F.when(F.col("event_id") % 5 != 0, whole * 20).alias("actual"))
+    return budgets.delayed_budget(requests, ["event_type"], "event_id", "us", "estimate", "settled", "actual", 60_000, 50)
+
+
+def write_ledger_sql(until):
+    """SQL of the ledger over the log up to ``until``: state by state, with the open reservations as a list."""
+    return f"""
+WITH RECURSIVE l AS (SELECT *, tm // 86400000000 AS d, row_number() OVER (PARTITION BY user_id ORDER BY tm, wish IS NOT NULL, event_id) AS n FROM (
+  SELECT user_id, event_id, epoch_us(ts) AS tm, CAST(trunc(value) AS BIGINT) + 8 AS wish, NULL::BIGINT AS written FROM events UNION ALL
+  SELECT user_id, event_id, epoch_us(ts) + CAST(trunc(value) AS BIGINT) * 120000000, NULL, CASE WHEN event_id % 3 <> 0 THEN CAST(trunc(value) AS BIGINT) END FROM events WHERE event_id % 11 <> 0) WHERE tm < {until}),
+f(user_id, n, event_id, day, charged, held, outcome, entries, used) AS (
+ SELECT user_id, 0::BIGINT, NULL::BIGINT, -1::BIGINT, 0::BIGINT, []::STRUCT(i BIGINT, d BIGINT, r BIGINT, e BIGINT)[], '', []::STRUCT(d BIGINT, c BIGINT)[], 0::BIGINT FROM (SELECT DISTINCT user_id FROM events)
+ UNION ALL SELECT user_id, n, event_id, d, charged2, held2, CASE WHEN wish IS NULL THEN 'charged' WHEN ok THEN 'admitted' ELSE 'refused' END, entries,
+  charged2 + coalesce(list_sum(list_transform(list_filter(held2, lambda x: x.d < d AND d <= x.e // 86400000000), lambda x: x.r)), 0)::BIGINT FROM (
+ SELECT *, CASE WHEN wish IS NOT NULL THEN CASE WHEN ok THEN charged1 + wish ELSE charged1 END WHEN z IS NULL THEN charged1
+   ELSE charged1 + coalesce(list_sum(list_transform(list_filter(entries, lambda x: x.d = d), lambda x: x.c)), 0)::BIGINT - CASE WHEN z.d = d THEN z.r ELSE 0 END END AS charged2,
+  CASE WHEN wish IS NOT NULL THEN CASE WHEN ok THEN list_append(held1, {{'i': event_id, 'd': d, 'r': wish, 'e': tm + 36000000000}}) ELSE held1 END ELSE list_filter(held1, lambda x: x.i <> event_id) END AS held2 FROM (
+ SELECT *, CASE WHEN wish IS NOT NULL THEN [{{'d': d, 'c': wish}}] WHEN z IS NULL THEN [] ELSE list_concat([{{'d': z.d, 'c': actual}}], CASE WHEN z.d < edge THEN [{{'d': edge, 'c': actual}}] ELSE [] END,
+   CASE WHEN d > edge THEN [{{'d': d, 'c': 8::BIGINT}}] ELSE [] END) END AS entries FROM (
+ SELECT *, charged1 + carried1 + wish <= 100 AS ok, CASE WHEN tm >= z.e THEN greatest(z.r, coalesce(written + 8, z.r)) ELSE coalesce(written + 8, z.r) END AS actual,
+  CASE WHEN tm >= z.e THEN z.e // 86400000000 ELSE d END AS edge FROM (
+ SELECT *, coalesce(list_sum(list_transform(list_filter(held1, lambda x: x.d < d AND d <= x.e // 86400000000), lambda x: x.r)), 0)::BIGINT AS carried1,
+  list_filter(held1, lambda x: x.i = event_id AND wish IS NULL)[1] AS z FROM (
+ SELECT l.*, CASE WHEN l.d > f.day THEN 0 ELSE f.charged END AS charged1, CASE WHEN l.d > f.day THEN list_filter(f.held, lambda x: x.e // 86400000000 + 7 >= l.d) ELSE f.held END AS held1
+ FROM f JOIN l ON l.user_id = f.user_id AND l.n = f.n + 1))))))
+SELECT user_id, event_id, outcome, e.d AS day, e.c AS amount, used FROM (SELECT user_id, event_id, outcome, used, unnest(entries) AS e FROM f)
+"""
+
+
+def write_log(e):
+    """Every event reserves; most settle later, some after the lease of ten hours or on another day, some never."""
+    whole = F.col("value").cast("long")
+    entries = F.array(F.struct(F.col("us").alias("at"), (whole + 8).alias("reserved"), F.lit(None).cast("long").alias("written")),
+                      F.struct((F.col("us") + whole * 120_000_000).alias("at"), F.lit(None).cast("long").alias("reserved"), F.when(F.col("event_id") % 3 != 0, whole).alias("written")))
+    entries = F.when(F.col("event_id") % 11 != 0, entries).otherwise(F.slice(entries, 1, 1))
+    return e.select("user_id", "event_id", F.explode(entries).alias("l")).select("user_id", "event_id", "l.*")
+
+
+@query("write_ledger", write_ledger_sql("4611686018427387904"))
+def _(spark, d):
+    return budgets.write_ledger(write_log(events(spark, d)), "user_id", "at", "event_id", "reserved", "written", 100, 36_000_000_000)

@@ -5,11 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pubtrack.plans.admission import BUDGET, THROTTLE
+from pubtrack.plans.admission import BUDGET, THROTTLE, write_ledger_sql, write_log
 from pubtrack.plans.registry import ORACLES, query
-from pubtrack.streaming import operators
+from pubtrack.streaming import operators, timed
 from pubtrack.streaming.publish import PublishLoop
-from pubtrack.streaming.runtime import drain, run_folder, table_stream
+from pubtrack.streaming.runtime import ROCKS, drain, run_folder, table_stream
 
 
 def events(spark, d):
@@ -50,6 +50,12 @@ def _(spark, d):
     return drain(operators.lease_stream(log, "job_id", "us", "starts", 72000))
 
 
+@query("stream_write_ledger", write_ledger_sql("""(SELECT max(epoch_us(ts) + CASE WHEN event_id % 11 <> 0 THEN CAST(trunc(value) AS BIGINT) * 120000000 ELSE 0 END) // 1000 * 1000 - 3600000000 FROM events)"""))
+def _(spark, d):
+    log = write_log(events(spark, d)).withColumn("time", F.timestamp_micros("at")).withWatermark("time", "1 hour")
+    return drain(timed.write_ledger_stream(log, "user_id", "at", "event_id", "reserved", "written", 100, 36_000_000_000), conf=ROCKS)
+
+
 @query("stream_change_probe", ORACLES["change_probe"])
 def _(spark, d):
     log = events(spark, d).where("event_type IN ('view', 'click', 'purchase')").select(

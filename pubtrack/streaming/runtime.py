@@ -30,11 +30,23 @@ def run_folder(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process everything available into Parquet on shared storage and read the result."""
+#: Store of operators with timers and state variables of their own.
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def drain(stream: DataFrame, mode: str = "append", conf: dict[str, str] | None = None) -> DataFrame:
+    """Process everything available into Parquet on shared storage and read the result. ``conf`` holds for this stream only:
+    it is read when the stream starts and then set back."""
     spark, folder = stream.sparkSession, run_folder(stream.sparkSession)
-    query = (stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out")
-             .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
+    before = {key: spark.conf.get(key, None) for key in conf or {}}
+    try:
+        for key, value in (conf or {}).items():
+            spark.conf.set(key, value)
+        query = (stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out")
+                 .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 

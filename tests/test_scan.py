@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from pubtrack.operators.scan import (following, highest, last_known, next_known, ordered_scan, previous, rank, slice_rows,
+from pubtrack.operators.scan import (following, highest, known_before, last_known, next_known, ordered_scan, previous, rank, slice_rows,
                                      top_per_key, total)
 
 
@@ -20,13 +20,14 @@ def test_scan_equals_brute_force_over_slices(spark, table):
     frame = table(rows, "id long, key string, at long, v long")
     got = ordered_scan(frame, ["key"], [F.col("at"), F.col("id")], [
         rank("r"), total("s", F.coalesce("v", F.lit(0))), last_known("l", F.col("v")), next_known("n", F.col("v")),
-        previous("p", F.col("v")), following("f", F.col("v")), highest("m", F.col("v"))])
+        previous("p", F.col("v")), following("f", F.col("v")), highest("m", F.col("v")), known_before("b", F.col("v"))])
     found = {r["id"]: r for r in got.collect()}
     assert len(found) == len(rows)
     for key in {r[1] for r in rows}:
         group = sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0]))
         running, last, top = 0, None, None
         for i, (number, _, _, v) in enumerate(group):
+            assert found[number]["b"] == last
             running += v or 0
             last = v if v is not None else last
             top = v if top is None or (v is not None and v > top) else top
@@ -61,3 +62,17 @@ def test_second_scan_reuses_the_slices(table):
     rows = sorted(twice.where("key = 'hot'").collect(), key=lambda r: (r["v"], r["id"]))
     assert [r["half"] for r in rows] == list(range(1, len(rows) + 1))
     assert [r["p"] for r in rows] == [None] + [r["r"] for r in rows[:-1]]
+
+
+def test_nothing_runs_before_the_result_is_wanted(spark, table):
+    frame = table([(i, "hot" if i % 3 else "b", (i * 7919) % 1000) for i in range(900)], "id long, key string, at long")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "frames are only built")
+    try:
+        order = [F.col("at"), F.col("id")]
+        once = ordered_scan(frame, ["key"], order, [rank("r")], keep=True)
+        twice = ordered_scan(once, ["key"], order, [previous("p", F.col("r"))])
+        assert len(tracker.getJobIdsForGroup("lazy")) == 0
+        assert twice.where("p = r - 1").count() == 898 and len(tracker.getJobIdsForGroup("lazy")) > 0
+    finally:
+        spark.sparkContext.setJobGroup("default", "")
