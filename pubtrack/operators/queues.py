@@ -41,7 +41,7 @@ def budget_work(items: DataFrame, queue: str, priority: Column, attempted: Colum
         capped = capped & ((F.col(queue) != name) | (F.col("queue_position") <= cap))
     # An item beyond the cap of its queue uses no budget, so the running count skips it.
     scanned = ordered_scan(first.withColumn("_fits", capped), [], order,
-                           [rank("work_order"), total("_used", F.col("_fits").cast("long"))])
+                           [rank("work_order"), total("_used", F.col("_fits").cast("long"))], like=items)
     return scanned.withColumn("accepted", F.col("_fits") & (F.col("_used") <= budget)).drop("_fits", "_used")
 
 

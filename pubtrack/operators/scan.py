@@ -5,6 +5,8 @@ A window partitioned by a key runs each key in one task. Here (key, order) is cu
 of them. Each slice is scanned locally; one summary row per (key, slice) carries the
 result of the earlier slices.
 
+Tables that the optimizer's statistics show to be small are one slice, hence one plain window.
+
 The bounds are a subquery (the rows with the least hashes of key and order) and the slice of
 a row is found in them by an expression, so nothing runs until the result is wanted, nothing
 is stored in between, and the rows are shuffled once, by (key, slice); a following scan over
@@ -13,6 +15,7 @@ the same order finds them in place.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 _KEY, _SLICE, _POS, _CARRY = "_key", "_slice", "_pos", "_carry"
 #: Most slices, and sampled rows for each of them.
 MOST_SLICES, SAMPLED = 1024, 16
+#: Estimated size up to which a whole table is one slice: even a single key of all its rows is a small task then.
+ONE_SLICE_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -73,27 +78,43 @@ def highest(name: str, value: Column) -> Step:
     return Step(name, "max", value)
 
 
-def slice_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Number order-preserving slices over (keys, order)."""
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of the size of ``df``; nothing runs for it."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except ValueError:  # after many joins the estimate has more digits than Python reads
+        return sys.maxsize
+
+
+def placed(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Add the key and the position within it as one column each."""
     key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
-    shaped = df.withColumn(_KEY, key).withColumn(_POS, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+    return df.withColumn(_KEY, key).withColumn(_POS, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+
+
+def slice_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], like: DataFrame | None = None) -> DataFrame:
+    """Number order-preserving slices over (keys, order). The bounds are drawn from ``like`` if it is cheaper to make and
+    has the same keys and order: any bounds give the same result."""
     at = F.struct(_KEY, _POS)
+    shaped = placed(df, keys, order)
+    drawn = (shaped if like is None else placed(like, keys, order)).select(at.alias("at"))
     steps = [1]
     while steps[0] * 2 < min(MOST_SLICES, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))):
         steps.insert(0, steps[0] * 2)
     slices = 2 * steps[0]
-    sample = shaped.select(at.alias("at")).orderBy(F.xxhash64("at"), "at").limit(SAMPLED * slices).agg(F.sort_array(F.collect_list("at")).alias("at"))
+    sample = drawn.orderBy(F.xxhash64("at"), "at").limit(SAMPLED * slices).agg(F.sort_array(F.collect_list("at")).alias("at"))
     bounds = sample.select(F.transform(F.sequence(F.lit(1), F.lit(slices - 1)), lambda i: F.get("at", (i * F.size("at") / slices).cast("int")))).scalar()
 
-    # Binary search: the number of bounds that are not after the row.
-    def search(found, step):
-        return F.when(F.get(F.col("_bounds"), found + step - 1) <= at, found + step).otherwise(found)
-
-    return shaped.withColumn("_bounds", bounds).withColumn(_SLICE, F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), search)).drop("_bounds")
+    # Binary search for the number of bounds that are not after the row, unrolled so that it is compiled.
+    found = shaped.withColumn("_bounds", bounds).withColumn(_SLICE, F.lit(0))
+    for step in steps:
+        found = found.withColumn(_SLICE, F.col(_SLICE) + F.when(F.get("_bounds", F.col(_SLICE) + (step - 1)) <= at, step).otherwise(0))
+    return found.drop("_bounds")
 
 
-def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column], steps: Sequence[Step], keep: bool = False) -> DataFrame:
-    """Add one column per step to ``df``; ``order`` must be total and ascending within a key.
+def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column], steps: Sequence[Step], keep: bool = False,
+                 like: DataFrame | None = None) -> DataFrame:
+    """Add one column per step to ``df``; ``order`` must be total and ascending within a key. ``like`` as in :func:`slice_rows`.
 
     With ``keep`` the result stays sliced: a following scan over the same keys and order (also of
     a part of the rows) uses the slices as they are, without another range partitioning.
@@ -102,9 +123,14 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column], st
     for i, step in enumerate(steps):
         if step.value is not None:
             staged = staged.withColumn(f"_v{i}", step.value)
-    sliced = staged if _SLICE in df.columns else slice_rows(staged, keys, order)
-    local = Window.partitionBy(_KEY, _SLICE).orderBy(_POS)
-    backward = Window.partitionBy(_KEY, _SLICE).orderBy(F.col(_POS).desc()).rowsBetween(
+    if _KEY in df.columns:
+        sliced = staged
+    else:
+        small = estimated_bytes(df) <= ONE_SLICE_BYTES
+        sliced = placed(staged, keys, order) if small else slice_rows(staged, keys, order, like)
+    parts = [_KEY, _SLICE] if _SLICE in sliced.columns else [_KEY]
+    local = Window.partitionBy(*parts).orderBy(_POS)
+    backward = Window.partitionBy(*parts).orderBy(F.col(_POS).desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     running = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = local.rowsBetween(Window.unboundedPreceding, -1)
@@ -128,6 +154,10 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column], st
         scanned = scanned.withColumn(f"_l{i}", expression)
         if edge is not None:
             summary.append(edge.alias(f"_e{i}"))
+    kept = [c for c in (_KEY, _SLICE, _POS) if keep and c in sliced.columns]
+    columns = [c for c in df.columns if c not in (_KEY, _SLICE, _POS)]
+    if parts == [_KEY]:
+        return scanned.select(*columns, *[(F.col(f"_l{i}.v") if step.kind in ("lag", "lead") else F.col(f"_l{i}")).alias(step.name) for i, step in enumerate(steps)], *kept)
     edges = sliced.groupBy(_KEY, _SLICE).agg(*summary)
     by_slice = Window.partitionBy(_KEY).orderBy(_SLICE)
     before = by_slice.rowsBetween(Window.unboundedPreceding, -1)
@@ -159,8 +189,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column], st
             "lead": lambda: F.coalesce(mine, carry_in)["v"],
             "max": lambda: F.greatest(mine, carry_in),
         }[step.kind]())
-    columns = [c for c in df.columns if c not in (_KEY, _SLICE, _POS)]
-    return joined.select(*columns, *[s.name for s in steps], *([_KEY, _SLICE, _POS] if keep else []))
+    return joined.select(*columns, *[s.name for s in steps], *kept)
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,

@@ -5,6 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from pubtrack.operators import scan  # noqa: E402
 from pubtrack.session import build_session  # noqa: E402
 
 
@@ -19,6 +20,12 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(autouse=True)
+def sliced_scans(monkeypatch):
+    """Test tables are tiny; ordered scans cut them into slices all the same."""
+    monkeypatch.setattr(scan, "ONE_SLICE_BYTES", 0)
+
+
 @pytest.fixture
 def table(spark):
     def make(rows, schema):

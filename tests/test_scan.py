@@ -1,7 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from pubtrack.operators import scan
 from pubtrack.operators.scan import (following, highest, known_before, last_known, next_known, ordered_scan, previous, rank, slice_rows,
                                      top_per_key, total)
 
@@ -15,7 +17,9 @@ def rows_with_hot_key(seed=3, n=400):
     return rows
 
 
-def test_scan_equals_brute_force_over_slices(spark, table):
+@pytest.mark.parametrize("one_slice", [0, 1 << 30])
+def test_scan_equals_brute_force_over_slices(spark, table, monkeypatch, one_slice):
+    monkeypatch.setattr(scan, "ONE_SLICE_BYTES", one_slice)
     rows = rows_with_hot_key()
     frame = table(rows, "id long, key string, at long, v long")
     got = ordered_scan(frame, ["key"], [F.col("at"), F.col("id")], [
@@ -53,7 +57,9 @@ def test_top_per_key_is_exact_with_spread(table):
     assert as_set(plain) == as_set(spread) and plain.count() == 100
 
 
-def test_second_scan_reuses_the_slices(table):
+@pytest.mark.parametrize("one_slice", [0, 1 << 30])
+def test_second_scan_reuses_the_slices(table, monkeypatch, one_slice):
+    monkeypatch.setattr(scan, "ONE_SLICE_BYTES", one_slice)
     frame = table([(i, "hot" if i % 4 else None, (i * 37) % 101) for i in range(300)], "id long, key string, v long")
     order = [F.col("v"), F.col("id")]
     once = ordered_scan(frame, ["key"], order, [rank("r")], keep=True).where("id % 2 = 0")
