@@ -14,37 +14,41 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pubtrack.llm.common import slices
+from pubtrack.llm.common import shared_table, slices
+from pubtrack.session import small_side
 
 #: Rows of bytes that go through the network side by side.
 TOGETHER = 2048
 UNKNOWN = "und"
 
 
-def sample(documents: DataFrame, usable: Column, identity: str, text: str, label: str, rows_per_label: int, labels: int, chars: int) -> pd.DataFrame:
-    """At most ``rows_per_label`` rows (label, text) of each of the ``labels`` most frequent labels.
+def sample(documents: DataFrame, usable: Column, identity: str, text: str, label: str, rows_per_label: int, most_rows: int, chars: int) -> pd.DataFrame:
+    """A bounded sample (label, text) over all labels: ``rows_per_label`` rows of each, or fewer if the labels together
+    would give more than ``most_rows``. Beyond ``most_rows`` labels only that many rows, hence labels, are drawn.
 
     The rows are those with the least hashes of identity and text: a first aggregate counts the labels,
-    and only rows below the hash bound that this count implies are sorted, so no label is gathered.
+    and only rows below the hash bound that a label's count implies are sorted, so no label is gathered.
     From each row ``chars`` characters at a place that its hash chooses are read.
     """
     given = documents.where(usable).select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"),
                                            F.xxhash64(F.col(identity).cast("string"), F.col(text)).alias("hash")).where("label IS NOT NULL AND text IS NOT NULL")
     given = given.where(F.col("text").rlike(r"\p{L}"))
-    counts = given.groupBy("label").count().orderBy(F.desc("count"), "label").limit(labels).collect()
-    if not counts:
+    counts = shared_table(given.groupBy("label").agg(F.count(F.lit(1)).alias("rows")), "labels")
+    labels = counts.count()
+    if not labels:
         return pd.DataFrame({"label": [], "text": []})
+    per = max(1, min(rows_per_label, most_rows // labels))
+    drawn = per + 4 * per**0.5 + 8  # expected rows of a label below its bound: fewer than ``per`` are very rare
     unit = (F.col("hash") / F.lit(2.0**64)) + 0.5
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col("label") == row["label"], F.lit(min(1.0, 1.25 * rows_per_label / row["count"]))).otherwise(share)
+    few = given.join(small_side(counts), "label").where(unit < F.least(F.lit(1.0), F.lit(drawn) / F.col("rows")))
     start = (F.pmod(F.col("hash"), F.greatest(F.length("text") - chars, F.lit(0)) + 1) + 1).cast("int")
-    few = given.where(unit < share).select("label", F.substring("text", start, F.lit(chars)).alias("text"), "hash")
-    found = few.orderBy("hash", "label", "text").limit(int(1.5 * rows_per_label * len(counts))).toPandas()
-    return found.groupby("label").head(rows_per_label).drop(columns="hash").reset_index(drop=True)
+    few = few.select("label", F.substring("text", start, F.lit(chars)).alias("text"), "hash")
+    first = few.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("hash", "text"))).where(F.col("place") <= per)
+    found = first.orderBy("hash", "label", "text").limit(most_rows).toPandas()
+    return found[["label", "text"]]
 
 
 def byte_rows(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,11 +205,11 @@ def held_out(identity: Column) -> Column:
     return F.coalesce(F.crc32(identity.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(documents: DataFrame, identity: str = "doc_id", text: str = "text", label: str = "lang", rows_per_label: int = 1500, labels: int = 64,
+def fit(documents: DataFrame, identity: str = "doc_id", text: str = "text", label: str = "lang", rows_per_label: int = 1500, most_rows: int = 96_000,
         chars: int = 512, **training) -> Network:
-    """Train on rows that are not held out and have a label. ``rows_per_label`` x ``labels`` x ``chars``
+    """Train on rows that are not held out and have a label, drawn from all labels. ``most_rows`` x ``chars``
     bounds the sample. Without labelled rows the network knows no language and predicts ``und``."""
-    given = sample(documents, ~held_out(F.col(identity)), identity, text, label, rows_per_label, labels, chars)
+    given = sample(documents, ~held_out(F.col(identity)), identity, text, label, rows_per_label, most_rows, chars)
     return train(given["text"].tolist(), given["label"].tolist(), **training)
 
 
