@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pubtrack.llm.common import shared_table
+from pubtrack.llm.mixing import global_rank
 
 #: Lists probed, as a multiple of the number of lists to the power 0.75.
 PROBES = 2.2
@@ -147,8 +148,9 @@ def nearest(embeddings: DataFrame, query: Column, k: int = 20, sample_rows: int
     """The ``k`` nearest rows of every row for which ``query`` (a condition on vec_id) holds: query_id, rank, vec_id, score.
 
     The score is the inner product of the original vectors in double precision; ties go to the smaller vec_id.
-    Vectors that are null, zero, hold null or non-finite components, or have another length than most, and rows
-    without identity take no part; equal rows count once. A query's own identity is no candidate. All rows are
+    Vectors that are null, zero or hold null or non-finite components, and rows without identity take no part. A
+    query's candidates are the rows with vectors of its length but itself; every length has an index of its own. Rows
+    with equal identity are rows of their own (ties between them go by a number given once). All rows are
     indexed; the centroids are fitted on at most ``sample_rows`` rows chosen by hash. A query first goes through its
     ``first_probes`` nearest lists; the score of its ``k``-th best there is the bound with which it goes through the
     others, of PROBES * lists ** 0.75 in all. Queries that find fewer than ``k`` rows so go through all lists. An empty
@@ -157,16 +159,33 @@ def nearest(embeddings: DataFrame, query: Column, k: int = 20, sample_rows: int
     A task holds at most about LIST_ROWS vectors of a list and QUERY_ROWS queries: longer lists and lists that
     more queries probe are dealt out by hash, whatever their vectors are.
     """
-    given = embeddings.select(F.col(identity).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where("vec_id IS NOT NULL").where(usable(F.col("v"))).distinct()
+    given = embeddings.select(F.col(identity).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where("vec_id IS NOT NULL").where(usable(F.col("v")))
     given = shared_table(given, "vectors")
-    spark = given.sparkSession
+    if given.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        asked = given.where(query)
+        return indexed_search(given, asked, k, sample_rows, lists, first_probes)
+    # Numbers in the order of the identities, so that ties between numbers are ties between identities.
+    numbered = shared_table(global_rank(given, [F.col("vec_id")], "row"), "numbered")
+    rows = numbered.select(F.col("row").alias("vec_id"), "v")
+    found = indexed_search(rows, numbered.where(query).select(F.col("row").alias("vec_id"), "v"), k, sample_rows, lists, first_probes)
+    names = numbered.select("row", F.col("vec_id").alias("name"))
+    named = found.join(names.withColumnRenamed("name", "of"), F.col("query_id") == F.col("row")).drop("row").join(names, F.col("vec_id") == F.col("row"))
+    return named.select(F.col("of").alias("query_id"), "rank", F.col("name").alias("vec_id"), "score")
+
+
+def indexed_search(given: DataFrame, queries: DataFrame, k: int, sample_rows: int, lists: int | None, first_probes: int) -> DataFrame:
+    """The nearest rows by identities that are all different, one index for each length of vectors."""
     sizes = given.groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("norm"))
-    shape = sizes.orderBy(F.desc("n"), "dims").first()
-    form = "query_id long, rank int, vec_id long, score double"
-    if shape is None:
-        return spark.createDataFrame([], form)
-    dims, n, norm = shape["dims"], shape["n"], shape["norm"]
-    given = given.where(F.size("v") == dims)
+    shapes = sizes.orderBy("dims").collect()  # one row per length
+    found = given.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for shape in shapes:
+        same = F.size("v") == shape["dims"]
+        found = found.union(search_length(given.where(same), queries.where(same), shape["n"], shape["norm"], k, sample_rows, lists, first_probes))
+    return found
+
+
+def search_length(given: DataFrame, queries: DataFrame, n: int, norm: float, k: int, sample_rows: int, lists: int | None, first_probes: int) -> DataFrame:
+    """The search of :func:`nearest` over ``n`` vectors of one length."""
     share = min(1.0, 1.1 * sample_rows / n)
     drawn = given.where(F.xxhash64("vec_id") / F.lit(2.0**64) + 0.5 <= share).orderBy(F.xxhash64("vec_id")).limit(sample_rows).select("v").toArrow()
     count = lists or int(np.clip(np.sqrt(n), 1, 4096))
@@ -195,7 +214,7 @@ def nearest(embeddings: DataFrame, query: Column, k: int = 20, sample_rows: int
 
     indexed = shared_table(given.mapInArrow(place, "vec_id long, list int, v array<double>"), "lists")
     parts = indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).cast("int").alias("parts"))
-    queries = given.where(query).withColumn("bound", F.lit(float("-inf")))
+    queries = queries.withColumn("bound", F.lit(float("-inf")))
 
     def search(some: DataFrame, low: int, high: int) -> DataFrame:
         routed = some.select("vec_id", "bound", "v").mapInArrow(route(low, high), "query_id long, bound double, probes array<int>, v array<double>")
