@@ -34,6 +34,11 @@ def texts_of(documents: DataFrame, identity: str = "doc_id", text: str = "text")
     return documents.select(F.col(identity).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def packed(rows: DataFrame) -> Column:
+    """The whole row as one struct ``record``: columns of its own can then have any name."""
+    return F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("record")
+
+
 def slices(batches: Iterator[pa.RecordBatch], *texts: int | str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice has at most ``most`` bytes in its text columns beyond one row: what a task
     copies at a time stays small however long the texts of a batch are."""

@@ -18,9 +18,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from pubtrack.llm.common import shared_table, slices, texts_of
+from pubtrack.llm.common import LOWER, UPPER, packed, shared_table, slices, texts_of
 
 #: Most text of a bucket, deepest directory, and how much text a task combines before it passes it on.
 BUCKET_BYTES, MOST_BITS, COMBINE_BYTES = 16 << 20, 20, 8 << 20
@@ -181,17 +180,14 @@ def exact_groups(documents: DataFrame, identity: str = "doc_id", text: str = "te
 
 
 def keep_distinct(documents: DataFrame, identity: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that :func:`exact_groups` keeps, one for each distinct text, with all columns of ``documents``."""
-    tag, number = "_sha_of_text", "_number_of_row"
-    place = documents.columns.index(text)
-
-    def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, place):
-            found = [hashlib.sha256(normal(t or "")).hexdigest() for t in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, tag])
-
-    kept = exact_groups(documents, identity, text).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    marked = documents.mapInArrow(tagged, T.StructType([*documents.schema.fields, T.StructField(tag, T.StringType())]))
-    met = marked.join(kept, (F.col(tag) == F.col("_kept_sha")) & F.col(identity).cast("long").eqNullSafe(F.col("_kept_id")))
-    same = Window.partitionBy(tag).orderBy(F.lit(0))
-    return met.withColumn(number, F.row_number().over(same)).where(F.col(number) == 1).select(*[F.col(f"`{c}`") for c in documents.columns])
+    """The rows that :func:`exact_groups` keeps, one for each distinct text, with all columns of ``documents``.
+
+    Null text counts as empty, and the empty texts are one group. A null identity stays only if its group has no
+    other; of rows with equal identity and text one stays. An empty table gives no rows. A row travels as one
+    struct, so columns may have any names.
+    """
+    sha = F.sha2(F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), UPPER, LOWER), 256)
+    rows = documents.select(packed(documents), F.col(f"`{identity}`").cast("long").alias("doc_id"), sha.alias("sha"))
+    kept = exact_groups(documents, identity, text).where("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha"))
+    met = rows.join(kept, (F.col("sha") == F.col("keep_sha")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return met.withColumn("place", F.row_number().over(Window.partitionBy("sha").orderBy("doc_id"))).where("place = 1").select("record.*")

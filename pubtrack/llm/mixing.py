@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pubtrack.llm.common import SPACE, shared_table
+from pubtrack.llm.common import SPACE, packed, shared_table
+from pubtrack.operators.scan import ordered_scan, rank
 from pubtrack.session import small_side
 
 WORD = rf"[^{SPACE}]+"
@@ -112,11 +113,20 @@ def mix_sources(documents: DataFrame, weights: Sequence[int] = (5, 2, 1), budget
 def mixed_documents(documents: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: float = 1.5, repeat: int = 2, seed: str = "mix",
                     identity: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: every row as often as :func:`mix_sources` takes it, with all columns of ``documents``.
-    Rows with equal identity, source and size share the largest of their decisions."""
-    decided = mix_sources(documents, weights, budget, repeat, seed, identity, text, source).where("times > 0")
-    decided = decided.groupBy("doc_id", "source", "size").agg(F.max("times").alias("_times")).select(
-        F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), "_times")
-    size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
-    met = documents.withColumn("_own_size", size).join(decided, F.col(identity).cast("long").eqNullSafe(F.col("_mix_id")) & F.col(source).cast("string").eqNullSafe(F.col("_mix_source"))
-                                                       & (F.col("_own_size") == F.col("_mix_size")))
-    return met.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in documents.columns])
+
+    Rows with equal identity, source and size are told apart by a number of their own: what was decided for all of
+    them is dealt out evenly, so the mix holds exactly as many words as decided. Null and empty texts are never
+    taken; an empty table gives no rows. A row travels as one struct, so columns may have any names.
+    """
+    decided = mix_sources(documents, weights, budget, repeat, seed, identity, text, source)
+    decided = shared_table(decided.groupBy("doc_id", "source", "size").agg(F.sum("times").alias("total"), F.count(F.lit(1)).alias("rows")).where("total > 0").select(
+        F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), "total", "rows"), "decided")
+    size = F.regexp_count(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(WORD)).cast("long")
+    rows = documents.select(packed(documents), F.col(f"`{identity}`").cast("long").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), size.alias("size"))
+    met = rows.join(decided, F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("size") == F.col("mix_size")))
+    taken = met.where("rows = 1").select("record", F.col("total").alias("times"))
+    if not decided.where("rows > 1").isEmpty():
+        many = shared_table(met.where("rows > 1").withColumn("number", F.monotonically_increasing_id()), "repeated")
+        placed = ordered_scan(many, ["doc_id", "source", "size"], [F.col("number")], [rank("place")])
+        taken = taken.union(placed.select("record", F.expr("total div rows + if(place <= total % rows, 1, 0)")))
+    return taken.where("times > 0").select("record", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("record.*")

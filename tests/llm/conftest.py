@@ -18,6 +18,14 @@ def edges(spark):
     return rows
 
 
+@pytest.fixture(scope="session")
+def clashing(edges):
+    """The edge rows and more repeats, with the names that stages once used for themselves."""
+    names = ("_kept_id", "_kept_sha", "_sha_of_text", "_number_of_row", "_mix_id", "_times", "_own_size", "_turn", "record", "doc", "tag", "place", "times", "rows", "total", "component")
+    twice = edges.unionByName(edges.where("doc_id IN (5, 9, 12) OR doc_id IS NULL"))
+    return twice.withColumns({name: F.monotonically_increasing_id().cast("string") if name == "_turn" else F.lit("clash") for name in names})
+
+
 @pytest.fixture(scope="session")
 def none(spark):
     return spark.createDataFrame([], SCHEMA)

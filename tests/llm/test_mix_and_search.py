@@ -1,6 +1,7 @@
 """Source mixing, nearest vectors, the pipeline and the registered SQL."""
 
 import math
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -43,8 +44,23 @@ def test_mix_edges(edges, none):
         assert r.taken == r.times * r.size and 0 <= r.times <= 2
     assert sum(r.taken for r in got) <= 1.5 * sum(sizes.values())
     assert {(r.doc_id, r.size): r.taken for r in mixing.mix_sources(edges.repartition(5)).collect()} == {(r.doc_id, r.size): r.taken for r in got}
-    mixed = mixing.mixed_documents(edges)
-    assert mixed.columns == edges.columns and mixed.count() >= sum(r.times for r in got)
+
+
+def test_mixed_rows_are_the_decided_ones(spark, edges, clashing, none):
+    docs = spark.createDataFrame([(1, "one two three", "a")] * 4 + [(2, "four five", "b"), (3, "six", None)], "doc_id long, text string, source string")
+    for rows in (docs, edges, clashing):
+        got = mixing.mixed_documents(rows)
+        assert got.columns == rows.columns
+        decided = {}
+        for r in mixing.mix_sources(rows).collect():
+            decided[(r.doc_id, r.source, r.size)] = decided.get((r.doc_id, r.source, r.size), 0) + r.times
+        found = {}
+        for r in got.collect():
+            key = (r.doc_id, r.source, len((r.text or "").encode().split()))
+            found[key] = found.get(key, 0) + 1
+        assert found == {k: n for k, n in decided.items() if n}
+    assert max(n for r, n in Counter((r.doc_id, r._turn) for r in mixing.mixed_documents(clashing).collect()).items()) <= 2
+    assert mixing.mixed_documents(none).count() == 0 and mixing.mixed_documents(none).columns == none.columns
 
 
 def test_sources_come_near_their_targets(spark):
@@ -66,7 +82,7 @@ def test_nearest_vectors(spark, monkeypatch):
     monkeypatch.setattr(nearest, "QUERY_ROWS", 3)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors(1, 600, 24))]
     rows += [(1000 + i, rows[3][1]) for i in range(80)]  # ties
-    bad = [(2000, None), (2020, [0.0] * 24), (2040, [float("nan")] * 24), (2060, [None] * 24), (2080, [1.0, 2.0]), (2100, [math.inf] * 24), (None, rows[0][1]), (20, rows[20][1])]
+    bad = [(2000, None), (2020, [0.0] * 24), (2040, [float("nan")] * 24), (2060, [None] * 24), (2080, [1.0, 2.0]), (2100, [math.inf] * 24), (None, rows[0][1])]
     table = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").withColumn("v", F.lit("clash")).withColumn("list", F.lit(1))
     got = {}
     for r in nearest.nearest(table, F.col("vec_id") % 20 == 0).collect():
@@ -86,6 +102,19 @@ def test_nearest_vectors(spark, monkeypatch):
     assert hits >= 0.9 * 20 * len(queries)
 
 
+def test_every_length_has_its_index_and_every_row_counts(spark):
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors(3, 60, 6))] + [(100 + i, [float(x) for x in v]) for i, v in enumerate(vectors(4, 30, 9))]
+    rows += [(20, rows[20][1]), (7, rows[7][1]), (100, rows[-1][1])]  # identities of several rows
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in nearest.nearest(table, F.col("vec_id") % 20 == 0, 5, lists=1).collect())
+    want = []
+    for at, (i, v) in enumerate(rows):
+        if i % 20 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for other, (j, w) in enumerate(rows) if other != at and len(w) == len(v))[:5]
+            want += [(i, rank + 1, j, -score) for rank, (score, j) in enumerate(scores)]
+    assert [r[:3] for r in got] == [r[:3] for r in sorted(want)] and [r[3] for r in got] == pytest.approx([r[3] for r in sorted(want)])
+
+
 def test_few_vectors_give_all_candidates(spark):
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors(2, 7, 8))]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -122,8 +151,8 @@ def test_query_matches_its_sql(spark, name):
     assert rows_of(frame.columns, [tuple(r) for r in frame.collect()]) == rows_of(columns, cursor.fetchall())
 
 
-def test_ten_queries_are_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+def test_all_queries_are_registered():
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, small):
