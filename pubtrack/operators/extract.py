@@ -16,6 +16,7 @@ from pubtrack.functions.text import fold_upper
 from pubtrack.functions.values import short_id
 from pubtrack.operators.history import as_of_previous
 from pubtrack.operators.scan import last_known, ordered_scan, previous, rank
+from pubtrack.session import small_side
 
 
 def text_lines(documents: DataFrame, document: Sequence[str], text: str) -> DataFrame:
@@ -197,39 +198,69 @@ def code_counts(rows: DataFrame, codes: str) -> DataFrame:
     return rows.select(F.explode_outer(codes).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("members"))
 
 
-# Printed phrases of appointment notes.
-INCORPORATION = r"\bINCORPORACIÓN\s+AL\s+CENTRO\s+ADJUDICADO\s+EL\b"
-APPOINTMENT = r"Nombramiento\s+(provisional|definitivo)\.?"
+# Printed phrases of appointment notes, in lower case and with single spaces.
+DATE_PHRASE = "incorporación al centro adjudicado el"
+DATE_FORM = r"\d{2}/\d{2}/(?:\d{4}|\d{2})"
+OBSERVATIONS = "observaciones:"
+REPLACES = ("sustituye", "a")
+MASKED = r"\*+\d+\*+"
+STATEMENTS = {"nombramiento provisional": "provisional", "nombramiento definitivo": "definitive"}
 
 
-def administrative_facts(note: Column, general: Column) -> dict[str, Column]:
-    """Start date and appointment status stated by a note.
-
-    All explicit dates must be readable and agree, else ``date_conflict``; without one the general
-    date of the publication holds. A status counts only when every clause after ``OBSERVACIONES:`` is
-    a plain statement of appointment and all agree; otherwise it stays unknown.
-    """
-    phrase = f"(?iu){INCORPORATION}"
-    mentioned = F.regexp_count(note, F.lit(phrase))
-    written = F.regexp_extract_all(note, F.lit(phrase + r"\s+(\d{2}/\d{2}/(?:\d{4}|\d{2}))(?![\d/])\b"), F.lit(1))
-    century = (F.floor(F.year(general) / 100) * 100).cast("int")
+def stated_dates(note: Column, general: Column) -> Column:
+    """One date for every place where the note speaks of a start date; null where it cannot be read."""
+    phrase = r"(?iu)\b" + DATE_PHRASE.replace(" ", r"\s+") + r"\b"
+    # A place without a date that can be read gives an empty text, hence null.
+    places = F.regexp_extract_all(note, F.lit(rf"{phrase}(?:\s+({DATE_FORM})(?![\d/])\b)?"), F.lit(1))
+    century = F.floor(F.year(general) / 100).cast("string")
 
     def day(text: Column) -> Column:
-        parts = F.split(text, "/")
-        year = parts[2].cast("int") + F.when(F.length(parts[2]) == 2, century).otherwise(F.lit(0))
-        return F.try_to_date(F.concat_ws("-", year.cast("string"), parts[1], parts[0]))
-
-    days = F.transform(written, day)
-    distinct = F.array_distinct(days)
-    conflict = (F.size(written) != mentioned) | (F.size(distinct) > 1) | F.exists(days, lambda v: v.isNull())
-    start = F.when(~conflict, F.coalesce(F.get(distinct, F.lit(0)), general))
-    rest = F.regexp_extract(note, r"(?isu)\bOBSERVACIONES:\s*(.*)$", 1)
-    rest = F.regexp_replace(rest, r"(?iu)\bSustituye\s+a\s+\*+\d+\*+", "")
-    rest = F.trim(F.regexp_replace(rest, r"\s+", " "))
-    rest = F.regexp_replace(rest, f"^{phrase}" + r"\s+\d{2}/\d{2}/(?:\d{4}|\d{2})\.?\s*", "")
-    clauses = F.split(rest, r"\.\s+")
-    plain = F.forall(clauses, lambda c: F.rlike(c, F.lit(f"(?iu)^{APPOINTMENT}$")))
-    states = F.array_distinct(F.transform(clauses, lambda c: F.lower(F.regexp_extract(c, f"(?iu)^{APPOINTMENT}$", 1))))
-    status = F.when(plain & (F.size(states) == 1), F.when(states[0] == "provisional", "provisional").otherwise("definitive"))
-    return {"incorporation_at": start, "date_conflict": conflict, "appointment_status": status,
-            "status_conflict": plain & (F.size(states) > 1)}
+        year = F.substring(text, F.lit(7), F.lit(4))
+        return F.try_to_date(F.concat(F.when(F.length(year) == 2, F.concat(century, year)).otherwise(year), F.lit("-"), F.substring(text, 4, 2), F.lit("-"), F.left(text, F.lit(2))))
+
+    return F.transform(places, day)
+
+
+def observed_words(note: Column) -> Column:
+    """Words after the heading of the observations, without masked replacements and without a start date in front."""
+    words = F.filter(F.split(F.lower(F.get(F.split(note, rf"(?iu)\b{OBSERVATIONS}", 2), F.lit(1))), r"\s+"), lambda w: w != "")
+
+    def replacement(words: Column, at: Column) -> Column:
+        """Do the three words from ``at`` name a replaced person?"""
+        first, second = REPLACES
+        return F.coalesce((F.get(words, at) == first) & (F.get(words, at + 1) == second) & F.get(words, at + 2).rlike(f"^{MASKED}$"), F.lit(False))
+
+    told = F.filter(words, lambda w, i: ~(replacement(words, i) | replacement(words, i - 1) | replacement(words, i - 2)))
+    lead = len(DATE_PHRASE.split()) + 1
+    dated = (F.array_join(F.slice(told, 1, lead - 1), " ") == DATE_PHRASE) & F.coalesce(F.get(told, F.lit(lead - 1)).rlike(rf"^{DATE_FORM}\.?$"), F.lit(False))
+    return F.when(dated, F.slice(told, F.lit(lead + 1), F.size(told))).otherwise(told)
+
+
+def administrative_facts(rows: DataFrame, note: Column, general: Column, reviewed: DataFrame | None = None) -> DataFrame:
+    """Add what notes state: ``incorporation_at``, ``date_conflict``, ``appointment_status``, ``status_conflict``.
+
+    All places that speak of a start date must be readable and agree, else ``date_conflict``; without one the general
+    date of the publication holds. The observations state a status if they are, as a whole, a ``reviewed`` clause
+    (clause, status), or if every sentence is one of STATEMENTS and all agree; anything else, also a negation or
+    a request, leaves it unknown. Case and white space do not matter. ``reviewed`` has a clause once; beyond a small
+    size it is joined by shuffling.
+    """
+    days = stated_dates(note, general)
+    conflict = F.exists("_days", lambda d: d.isNull()) | (F.size(F.array_distinct("_days")) > 1)
+    whole = F.array_join(observed_words(note), " ")
+    known = F.create_map(*[F.lit(x) for pair in STATEMENTS.items() for x in pair])
+    sentences = F.transform(F.split("_whole", r"\. "), lambda c: F.try_element_at(known, F.regexp_replace(c, r"\.$", "")))
+    plain = F.forall("_states", lambda c: c.isNotNull())
+    one = F.size(F.array_distinct("_states")) == 1
+    read = rows.withColumn("_days", F.coalesce(days, F.array().cast("array<date>"))).withColumn("_whole", F.coalesce(whole, F.lit(""))).withColumn("_states", sentences)
+    clause = F.regexp_replace("_whole", r"\.$", "")
+    if reviewed is None:
+        met = read.withColumn("_reviewed", F.lit(None).cast("string"))
+    else:
+        told = F.regexp_replace(F.trim(F.regexp_replace(F.lower("clause"), r"\s+", " ")), r"\.$", "")
+        listed = small_side(reviewed.select(told.alias("_clause"), F.col("status").alias("_reviewed")))
+        met = read.join(listed, clause == F.col("_clause"), "left").drop("_clause")
+    return met.withColumns({
+        "date_conflict": conflict, "incorporation_at": F.when(~conflict, F.coalesce(F.get("_days", F.lit(0)), general)),
+        "appointment_status": F.coalesce("_reviewed", F.when(plain & one, F.get("_states", F.lit(0)))),
+        "status_conflict": F.col("_reviewed").isNull() & plain & ~one}).drop("_days", "_whole", "_states", "_reviewed")

@@ -231,19 +231,20 @@ def _(spark, d):
 @query("inventory_upsert", EDGES + """
 , inv AS (SELECT item, CASE WHEN min(html_chars) % 2 = 0 THEN 'list' ELSE 'award' END AS kind, min(page_id) AS first_seen, max(page_id) AS last_seen
   FROM edges WHERE NOT second GROUP BY 1),
-obs AS (SELECT item, CASE WHEN html_chars % 2 = 0 THEN 'list' ELSE 'award' END AS kind, page_id FROM edges WHERE second),
-f AS (SELECT item, min(kind) AS k0, max(kind) AS k1, min(page_id) AS s0, max(page_id) AS s1 FROM obs GROUP BY 1),
+obs AS (SELECT item, CASE WHEN html_chars % 7 = 0 THEN 'provisional' WHEN html_chars % 2 = 0 THEN 'list' ELSE 'award' END AS kind, page_id FROM edges WHERE second),
+f AS (SELECT item, min(kind) AS k0, max(kind) AS k1, min(page_id) AS s0, max(page_id) AS s1, bool_or(kind = 'provisional') AS provisional FROM obs GROUP BY 1),
 r AS (SELECT coalesce(inv.item, f.item) AS item, CASE WHEN k0 IS NULL THEN kind WHEN k0 <> k1 THEN 'unclassified'
   WHEN kind IS NULL OR kind = k0 THEN k0 ELSE 'unclassified' END AS kind, k0 IS NULL AS unseen,
-  least(first_seen, s0) AS first_seen, greatest(last_seen, s1) AS last_seen FROM inv FULL JOIN f ON inv.item = f.item)
+  least(first_seen, s0) AS first_seen, greatest(last_seen, s1) AS last_seen, coalesce(provisional, false) AS provisional_observed FROM inv FULL JOIN f ON inv.item = f.item)
 SELECT item, kind, CASE WHEN unseen THEN 'not_observed' WHEN kind = 'unclassified' THEN 'uncertain' ELSE 'title_only' END AS classification_status,
- first_seen, last_seen, false AS provisional_observed FROM r
+ first_seen, last_seen, provisional_observed FROM r
 """)
 def _(spark, d):
     kinded = edges(spark, d).withColumn("kind", F.when(F.col("html_chars") % 2 == 0, "list").otherwise("award"))
     known = kinded.where("NOT second").groupBy("item").agg(
         F.when(F.min("html_chars") % 2 == 0, "list").otherwise("award").alias("kind"),
         F.min("page_id").alias("first_seen"), F.max("page_id").alias("last_seen"))
+    kinded = kinded.withColumn("kind", F.when(F.col("html_chars") % 7 == 0, "provisional").otherwise(F.col("kind")))
     return inventory.upsert_inventory(known, kinded.where("second"), "item", "parent", "kind", "page_id")
 
 

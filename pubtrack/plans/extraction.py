@@ -146,11 +146,12 @@ def _(spark, d):
 
 
 @query("administrative_facts", """
-SELECT event_id, CASE event_id % 6 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN '2024-02-01' WHEN 2 THEN strftime(ts, '%Y-%m-%d') WHEN 3 THEN '2024-02-01' WHEN 5 THEN '2024-02-01' END AS incorporation_at,
- event_id % 6 = 4 AS date_conflict, CASE WHEN event_id % 6 = 1 THEN 'provisional' WHEN event_id % 6 = 2 THEN 'definitive' END AS appointment_status, event_id % 6 = 5 AS status_conflict FROM events
+SELECT event_id, CASE event_id % 8 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 2 THEN strftime(ts, '%Y-%m-%d') WHEN 4 THEN NULL ELSE '2024-02-01' END AS incorporation_at,
+ event_id % 8 = 4 AS date_conflict, CASE WHEN event_id % 8 = 1 THEN 'provisional' WHEN event_id % 8 = 2 THEN 'definitive' WHEN event_id % 8 = 6 AND event_type IN ('view', 'click') THEN 'provisional' END AS appointment_status,
+ event_id % 8 = 5 AS status_conflict FROM events
 """)
 def _(spark, d):
-    kind = F.col("event_id") % 6
+    kind = F.col("event_id") % 8
     phrase = F.lit("Incorporación al centro adjudicado el ")
     day, short = F.date_format("ts", "dd/MM/yyyy"), F.date_format("ts", "dd/MM/yy")
     note = (F.when(kind == 0, F.concat(phrase, day, F.lit(" aula 2")))
@@ -158,10 +159,13 @@ def _(spark, d):
             .when(kind == 2, F.concat(F.lit("OBSERVACIONES: "), phrase, short, F.lit(". Sustituye a ***123** Nombramiento definitivo")))
             .when(kind == 3, F.lit("OBSERVACIONES: Se solicita. Nombramiento definitivo."))
             .when(kind == 4, F.concat(phrase, F.lit("pronto; "), phrase, day))
-            .otherwise(F.lit("OBSERVACIONES: Nombramiento provisional. Nombramiento definitivo.")))
-    facts = extract.administrative_facts(note, F.lit("2024-02-01").cast("date"))
-    return load(spark, d, "events").select("event_id", facts["incorporation_at"].cast("string").alias("incorporation_at"), facts["date_conflict"].alias("date_conflict"),
-                                           facts["appointment_status"].alias("appointment_status"), facts["status_conflict"].alias("status_conflict"))
+            .when(kind == 5, F.lit("OBSERVACIONES: Nombramiento provisional. Nombramiento definitivo."))
+            .when(kind == 6, F.concat(F.lit("Observaciones: Plaza de  "), "event_type", F.lit(" hasta el nuevo curso, núm. 3.")))
+            .otherwise(F.lit("OBSERVACIONES: Nombramiento Sustituye a *9* provisional con reservas")))
+    clauses = load(spark, d, "events").where("event_type IN ('view', 'click')").select(
+        F.concat(F.lit("Plaza de "), "event_type", F.lit(" hasta el nuevo curso, núm. 3")).alias("clause"), F.lit("provisional").alias("status")).distinct()
+    facts = extract.administrative_facts(load(spark, d, "events"), note, F.lit("2024-02-01").cast("date"), clauses)
+    return facts.select("event_id", F.col("incorporation_at").cast("string").alias("incorporation_at"), "date_conflict", "appointment_status", "status_conflict")
 
 
 @query("repeated_lines", LINES + """

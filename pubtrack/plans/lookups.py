@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pubtrack.functions import text
-from pubtrack.operators import filters, ranking, search
+from pubtrack.operators import filters, index, ranking, search
 from pubtrack.operators.scan import ordered_scan, rank
 from pubtrack.plans.registry import query
-from pubtrack.session import load, spread
+from pubtrack.session import checkpoint_dir, load, spread
 
 
 @query("folded_text", """
@@ -95,6 +97,19 @@ def _(spark, d):
     return batch(spark, d)[0].select("query_id", "doc_id", "lang", "position")
 
 
+@query("indexed_search", SENTENCES + """
+, r AS (SELECT query AS query_id, doc_id, lang, CAST(row_number() OVER (PARTITION BY query ORDER BY lang, doc_id) AS INTEGER) AS position FROM v WHERE ok)
+SELECT * FROM r WHERE position <= 20
+""")
+def _(spark, d):
+    corpus = load(spark, d, "documents").select("doc_id", "lang", text.fold(F.col("text")).alias("t"))
+    root = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+    # Two generations: documents with a label first, then all; the second adds only those that are not indexed.
+    index.extend_index(corpus.join(load(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", "t", root, "g1")
+    index.extend_index(corpus, "doc_id", "t", root, "g2")
+    return index.indexed_search(spark, root, "doc_id", "t", benchmark_queries(spark, d), "query_id", [F.col("lang"), F.col("doc_id")]).select("query_id", "doc_id", "lang", "position")
+
+
 @query("scoped_search", SENTENCES + """
 , s AS (SELECT *, CASE length(query) % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' END AS wanted FROM v),
 r AS (SELECT query AS query_id, doc_id, lang, CAST(row_number() OVER (PARTITION BY query ORDER BY lang, doc_id) AS INTEGER) AS position FROM s WHERE ok AND (wanted IS NULL OR wanted = lang))

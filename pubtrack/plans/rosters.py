@@ -137,12 +137,16 @@ def _(spark, d):
 
 
 @query("rank_completeness", """
-WITH r AS (SELECT c_nationkey AS specialty, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment, c_custkey) AS rank FROM customer)
-SELECT specialty, count(*) AS ranked, min(rank) AS first_rank, max(rank) AS last_rank, 0::BIGINT AS repeated_ranks, true AS complete
-FROM r GROUP BY 1
+WITH n AS (SELECT c_nationkey AS specialty, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment, c_custkey) AS rank FROM customer),
+r AS (SELECT specialty, CASE WHEN specialty % 5 = 1 AND rank = 2 THEN 1 WHEN specialty % 5 = 2 THEN rank + 1 WHEN specialty % 5 = 3 AND rank > 4 THEN rank + 3 ELSE rank END AS rank, count(*) AS n FROM n GROUP BY ALL)
+SELECT specialty, CAST(sum(n) AS BIGINT) AS ranked, min(rank) AS first_rank, max(rank) AS last_rank, count(*) FILTER (n > 1) AS repeated_ranks,
+ min(rank) = 1 AND max(rank) = sum(n) AND count(*) FILTER (n > 1) = 0 AS complete FROM r GROUP BY 1
 """)
 def _(spark, d):
-    return validate.rank_completeness(ranked(spark, d), ["specialty"], "rank")
+    # Some rosters repeat a rank, start late or have a gap.
+    kind, rank = F.col("specialty") % 5, F.col("rank")
+    printed = F.when((kind == 1) & (rank == 2), 1).when(kind == 2, rank + 1).when((kind == 3) & (rank > 4), rank + 3).otherwise(rank)
+    return validate.rank_completeness(ranked(spark, d).withColumn("rank", printed.cast("long")), ["specialty"], "rank")
 
 
 @query("roster_completeness", """

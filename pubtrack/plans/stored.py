@@ -223,18 +223,32 @@ def _(spark, d):
     return tables[0].unionByName(tables[1])
 
 
+@query("prefix_archive_append", """
+WITH l AS (SELECT DISTINCT doc_id FROM labels)
+SELECT sha256(text) AS sha256, coalesce(min(d.doc_id) FILTER (l.doc_id IS NOT NULL), min(d.doc_id)) AS doc_id, 'p' || left(sha256(text), 2) AS prefix FROM documents d LEFT JOIN l USING (doc_id) GROUP BY 1, 3
+""")
+def _(spark, d):
+    path = f"{run_folder(spark)}/archive"
+    contents = load(spark, d, "documents").select(F.sha2("text", 256).alias("sha256"), "doc_id")
+    # First the documents with a label, then all, then all again, which adds nothing.
+    labelled = contents.join(load(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    for batch in (labelled, contents, contents):
+        sinks.append_by_prefix(batch.select("sha256", "doc_id"), path, "sha256", "doc_id")
+    return spark.read.parquet(path).select("sha256", "doc_id", "prefix")
+
+
 @query("generation_store_cycle", MEMBERS + """
-SELECT id, specialty, list_number, 'v1' AS active, 3 AS pointers FROM m WHERE list_number % 2 = 0
+SELECT id, specialty, list_number, rank() OVER (PARTITION BY specialty ORDER BY list_number) AS rank, 'v1' AS active, 3 AS pointers FROM m
 """)
 def _(spark, d):
     ranked = ranking.ordinal_rank(members(spark, d), ["specialty"], [F.col("list_number")])
-    half = ranking.ordinal_rank(members(spark, d).where("list_number % 2 = 0"), ["specialty"], [F.col("list_number")])
+    turned = ranking.ordinal_rank(members(spark, d), ["specialty"], [-F.col("list_number")])  # the same members in another order
     store = generation.GenerationStore(spark, run_folder(spark), "id", ["specialty", "list_number", "rank"])
-    for version, rows in (("v1", half), ("v2", ranked)):
+    for version, rows in (("v1", ranked), ("v2", turned)):
         expected = rows.groupBy("specialty").agg(F.count(F.lit(1)).alias("expected"))
         store.stage(rows, version)
         store.activate(version, store.validate(version, expected, "specialty", "rank"))
-    store.stage(half, "v3")
+    store.stage(turned, "v3")
     store.recover("v3")  # never validated, so its rows go
     store.rollback("v1")
-    return store.rows(store.active()).select("id", "specialty", "list_number", F.lit(store.active()).alias("active"), F.lit(store.pointer_number()).cast("int").alias("pointers"))
+    return store.rows(store.active()).select("id", "specialty", "list_number", "rank", F.lit(store.active()).alias("active"), F.lit(store.pointer_number()).cast("int").alias("pointers"))

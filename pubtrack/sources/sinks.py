@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from pubtrack.session import is_small
 
 BOM = "﻿"
 
@@ -45,6 +48,38 @@ def append_content(candidates: DataFrame, path: str, digest: str, order: str) ->
     unseen_content(candidates, stored, digest, order).write.mode("append").parquet(path)
 
 
+def prefix_of(digest: Column, digits: int = 2) -> Column:
+    """Folder of a hex digest; the letter keeps folders of digits from being read as numbers."""
+    return F.concat(F.lit("p"), F.left(digest, F.lit(digits)))
+
+
+def stored_like(candidates: DataFrame, path: str, digest: str, digits: int = 2, few: int = 1000, schema: str | StructType | None = None) -> DataFrame:
+    """The part of an archive by prefix that can hold contents of ``candidates``: only the folders of their prefixes (at most
+    16 ** digits names), and of these, for a batch of ``few`` contents, only what the files' Bloom filters let through. Its
+    columns are those of ``candidates`` unless ``schema`` says otherwise."""
+    spark = candidates.sparkSession
+    touched = [r[0] for r in candidates.select(prefix_of(F.col(digest), digits)).distinct().collect()]
+    form = StructType([*candidates.schema.fields, StructField("prefix", StringType())]) if schema is None else schema
+    stored = spark.read.schema(form).parquet(path).where(F.col("prefix").isin(touched))
+    wanted = candidates.select(digest).distinct()
+    if is_small(wanted, few):
+        stored = stored.where(F.col(digest).isin([r[0] for r in wanted.collect()]))
+    return stored
+
+
+def append_by_prefix(candidates: DataFrame, path: str, digest: str, order: str, digits: int = 2) -> None:
+    """:func:`append_content` into an archive with a folder for each prefix of the digest: what an append reads grows with
+    the batch, not with the archive."""
+    stored = stored_like(candidates, path, digest, digits) if exists(candidates.sparkSession, path) else candidates.limit(0)
+    fresh = unseen_content(candidates, stored, digest, order).withColumn("prefix", prefix_of(F.col(digest), digits))
+    by_prefix(fresh.repartition("prefix"), digest).mode("append").partitionBy("prefix").parquet(path)
+
+
+def by_prefix(rows: DataFrame, digest: str):
+    """Writer whose files carry a Bloom filter of the digest."""
+    return rows.write.option(f"parquet.bloom.filter.enabled#{digest}", "true")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on the file system that Spark uses for it."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -72,10 +72,18 @@ def test_facts_only_from_plain_statements(table):
         ("OBSERVACIONES: No procede nombramiento definitivo", general, None, False),
         ("Incorporación al centro adjudicado el 03/10/2026 Incorporación al centro adjudicado el 04/10/2026", None, None, True),
         ("Incorporación al centro adjudicado el 31/02/2026", None, None, True),
+        ("Incorporación al centro adjudicado el 03/10/2026 y al centro. INCORPORACIÓN  AL CENTRO ADJUDICADO EL lunes", None, None, True),
+        ("OBSERVACIONES: incorporación al centro adjudicado el 03/10/26. Nombramiento Sustituye a **12* definitivo", datetime.date(2026, 10, 3), "definitive", False),
+        ("OBSERVACIONES: Nombramiento definitivo. Nombramiento Definitivo", general, "definitive", False),
+        ("OBSERVACIONES: Nombramiento definitivo. Nombramiento provisional", general, None, False),
+        ("Otra cosa OBSERVACIONES:  plaza de  URGENCIA, art. 3.", general, "provisional", False),
+        ("Plaza de urgencia, art. 3", general, None, False), ("", general, None, False), (None, general, None, False),
     ]
     frame = table([(i, n[0]) for i, n in enumerate(notes)], "i int, note string")
-    facts = extract.administrative_facts(F.col("note"), F.lit("2026-09-01").cast("date"))
-    for row in frame.select("i", *[c.alias(k) for k, c in facts.items()]).collect():
+    reviewed = table([("Plaza de urgencia, art. 3", "provisional")], "clause string, status string")
+    facts = extract.administrative_facts(frame, F.col("note"), F.lit("2026-09-01").cast("date"), reviewed).collect()
+    assert len(facts) == len(notes) and [r["i"] for r in facts if r["status_conflict"]] == [8]
+    for row in facts:
         _, start, status, conflict = notes[row["i"]]
         assert (row["incorporation_at"], row["appointment_status"], row["date_conflict"]) == (start, status, conflict)
 
