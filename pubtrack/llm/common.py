@@ -54,26 +54,51 @@ def slices(batches: Iterator[pa.RecordBatch], *texts: int | str, most: int = 1 <
             yield batch.slice(at)
 
 
-def span_array(text: Column, pattern: str) -> Column:
-    """All leftmost non-overlapping matches as ``array<struct<start, end, value>>`` in code points.
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def span_array(text: Column, pattern: str, left: bool = False) -> Column:
+    """All leftmost non-overlapping matches as ``array<struct<start, end, value>>`` in code points; with ``left`` also the
+    text since the second match before, in which U+0001 stands for matches.
 
     Spark gives no match positions, but the pieces between the matches (``split``) and the matches
-    themselves come from the same scan, so running lengths are the positions. Texts without a match
-    cost a single search.
+    themselves come from the same scan, so running lengths are the positions. They are summed in blocks of about the
+    square root of their number, so that no long array is copied for every match. Texts without a match cost a single search.
     """
     pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-                        lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value")))
-    empty = F.lit(None).cast("array<struct<start:int,end:int,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found"))
+                        lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")))
+    kind = "array<struct<start:int,end:int,value:string,gap:string>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
 
     def step(state, piece):
-        begin = state["at"] + piece["gap"]
+        begin = state["at"] + F.length(piece["gap"])
         end = begin + F.coalesce(F.length(piece["value"]), F.lit(0))
-        one = F.array(F.struct(begin.alias("start"), end.alias("end"), piece["value"].alias("value")))
+        one = F.array(F.struct(begin.alias("start"), end.alias("end"), piece["value"].alias("value"), piece["gap"].alias("gap")))
         return F.struct(end.alias("at"), F.when(piece["value"].isNull(), state["found"]).otherwise(F.concat(state["found"], one)).alias("found"))
 
-    return F.coalesce(F.when(text.rlike(pattern), F.aggregate(pieces, start, step, lambda state: state["found"])).otherwise(empty),
-                      F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    def summed(held):
+        width = F.ceil(F.sqrt(F.size(held))).cast("int")
+        numbers = F.sequence(F.lit(0), F.floor((F.size(held) - 1) / width).cast("int"))
+        return let(F.transform(numbers, lambda k: F.aggregate(F.slice(held, k * width + 1, width), start, step)), shifted)
+
+    def shifted(blocks):
+        bases = F.aggregate(blocks, F.array(F.lit(0)), lambda done, block: F.concat(done, F.array(F.element_at(done, -1) + block["at"])))
+        return let(bases, lambda base: F.flatten(F.transform(blocks, lambda block, k: F.transform(block["found"], lambda s: F.struct(
+            (s["start"] + F.get(base, k)).alias("start"), (s["end"] + F.get(base, k)).alias("end"), s["value"].alias("value"), s["gap"].alias("gap"))))))
+
+    def plain(spans):
+        def fields(s, i):
+            mark = F.lit("\x01")
+            before = F.concat(F.when(i > 1, mark).otherwise(""), F.when(i > 0, F.concat(F.get(spans, i - 1)["gap"], mark)).otherwise(""), s["gap"])
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), *([before.alias("left")] if left else []))
+
+        return F.transform(spans, fields)
+
+    found = let(let(pieces, summed), plain)
+    empty = f"array<struct<start:int,end:int,value:string{',left:string' if left else ''}>>"
+    return F.coalesce(F.when(text.rlike(pattern), found).otherwise(F.lit(None).cast(empty)), F.array().cast(empty))
 
 
 def span_text(kind: Column, start: Column, end: Column) -> Column:
@@ -81,16 +106,43 @@ def span_text(kind: Column, start: Column, end: Column) -> Column:
     return F.concat_ws(":", kind, start.cast("string"), end.cast("string"))
 
 
+#: Edges that one task contracts.
+TASK_EDGES = 1_000_000
+
+
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of one task as stars around the least id of each of its components."""
+    held = [(np.asarray(b.column("a")), np.asarray(b.column("b"))) for b in batches if b.num_rows]
+    if not held:
+        return
+    ids, ends = np.unique(np.concatenate([np.concatenate(side) for side in zip(*held)]), return_inverse=True)
+    a, b = ends[:len(ends) // 2], ends[len(ends) // 2:]
+    label = np.arange(len(ids))
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        open_ = low != high
+        if not open_.any():
+            break
+        np.minimum.at(label, high[open_], low[open_])
+        while not (label[label] == label).all():
+            label = label[label]
+    moved = label != np.arange(len(ids))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["a", "b"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """Smallest reachable id of every id in undirected ``links`` (a, b): columns ``id``, ``component``.
 
-    Alternating large-star and small-star steps: each step only re-points edges to the least
+    Slices of about TASK_EDGES edges are contracted to stars side by side; what is left between them is settled by
+    alternating large-star and small-star steps. Each step only re-points edges to the least
     neighbour seen, so the number of edges never grows and a long chain shrinks geometrically.
     The neighbourhood of a popular id is aggregated before the shuffle and never gathered. The
     steps end when the edges are stars: no id has two ends and no end has an edge of its own.
     """
     edges = shared_table(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    while not is_stars(edges):
+    parts = edges.count() // TASK_EDGES + 1
+    edges = shared_table(edges.coalesce(parts).mapInArrow(contracted, "a long, b long"), "star")
+    while parts > 1 and not is_stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pubtrack.llm.common import SPACE, shared_table, span_array, span_text, texts_of
+from pubtrack.llm.common import SPACE, let, shared_table, span_array, span_text, texts_of
 
 # The kinds in their order. Possessive loops find the same matches in linear time and
 # constant stack: no character that ends a loop could also continue it.
@@ -31,7 +31,8 @@ RUN = rf"(?<![^{SPACE}])(?:[(\[]?[A-Za-z]{{1,4}}+)?+{GROUP}(?:\x20(?:[/-]\x20)?+
 #: What is cut from the ends of a value; the bracket of a first group in brackets stays.
 LEAD = r"^(?![(\[][0-9]++[)\]][^0-9]*+[0-9])[^\p{L}\p{N}+@]+"
 EDGE = LEAD + r"|[^\p{L}\p{N}@]+$"
-CONTEXT_CHARS = 80
+#: A word of a pattern that stands for any identifier: it has a digit or an at sign, or is one itself.
+ANY = "#"
 
 
 def luhn(digits: Column) -> Column:
@@ -55,36 +56,42 @@ def is_valid(kind: str, value: Column) -> Column:
     return F.length(digits).between(8, 15)
 
 
-def seed_spans(text: Column) -> Column:
-    """All seed spans, ``array<struct<rank, kind, start, end, value>>``, by kind and then start."""
-    return F.concat(*[kind_spans(text, rank, kind) for rank, kind in enumerate(KINDS)])
+def words_before(left: Column) -> Column:
+    """The last two words of what stands before a value, in lower case, whole however long they are; identifiers among them
+    are ANY, punctuation next to the value is left out. Empty if there are not two words."""
+    text = F.regexp_replace(F.regexp_replace(left, r"[^\p{L}\p{N}@\x01]++$", ""), rf"[{SPACE}]++", " ")
+    return let(F.substring_index(text, " ", -2), lambda two: F.when(
+        F.instr(two, " ") > 1, F.lower(F.regexp_replace(two, r"[^ 0-9@\x01]*+[0-9@\x01][^ ]*+", ANY))).otherwise(""))
 
 
 def kind_spans(text: Column, rank: int, kind: str) -> Column:
-    """Seed spans of one kind."""
-    valid = F.filter(span_array(text, KINDS[kind]), lambda s: is_valid(kind, s["value"]))
+    """Seed spans of one kind, ``array<struct<rank, kind, start, end, value, pattern>>`` by start; they do not overlap."""
+    valid = F.filter(span_array(text, KINDS[kind], left=True), lambda s: is_valid(kind, s["value"]))
     return F.transform(valid, lambda s: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["start"].alias("start"),
-                                                 s["end"].alias("end"), s["value"].alias("value")))
+                                                 s["end"].alias("end"), s["value"].alias("value"), words_before(s["left"]).alias("pattern")))
 
 
-def before(text: Column, start: Column) -> Column:
-    """The two words in front of ``start``, in lower case with single spaces; empty at the start."""
-    left = F.substring(text, F.greatest(start - CONTEXT_CHARS + 1, F.lit(1)), F.least(start, F.lit(CONTEXT_CHARS)))
-    words = F.regexp_extract(left, rf"([^{SPACE}]+)[{SPACE}]+([^{SPACE}]+)[{SPACE}]*$", 0)
-    return F.lower(F.trim(F.regexp_replace(words, rf"[{SPACE}]+", " ")))
+def touched(span, seeds: Column) -> Column:
+    """Does one of ``seeds`` (of one kind, by start) overlap the span? The last seed that starts before the span's end is
+    found by binary search."""
+    steps = F.transform(F.sequence(F.floor(F.log2(F.size(seeds))).cast("int"), F.lit(0), F.lit(-1)), lambda e: F.pow(F.lit(2), e).cast("int"))
+    last = F.aggregate(steps, F.lit(0), lambda found, step: F.when(
+        (found + step <= F.size(seeds)) & F.coalesce(F.get(seeds, found + step - 1)["start"] < span["end"], F.lit(False)), found + step).otherwise(found))
+    return F.when(F.size(seeds) == 0, False).otherwise(F.coalesce(F.get(seeds, last - 1)["end"] > span["start"], F.lit(False)))
 
 
-def value_spans(text: Column, seeds: Column) -> Column:
+def value_spans(text: Column, seeds: list[Column]) -> Column:
     """Identifier-like words and runs of digit groups that no seed touches: an at sign inside or at least six digits."""
     def trimmed(s):
         lead = F.length(F.regexp_extract(s["value"], LEAD, 0))
         value = F.regexp_replace(s["value"], EDGE, "")
-        return F.struct((s["start"] + lead).alias("start"), (s["start"] + lead + F.length(value)).alias("end"), value.alias("value"))
+        return F.struct((s["start"] + lead).alias("start"), (s["start"] + lead + F.length(value)).alias("end"), value.alias("value"), s["left"].alias("left"))
 
     # A word inside a run stays a candidate, as the run may join neighbours that do not belong together.
-    words = F.transform(F.concat(span_array(text, VALUE), span_array(text, RUN)), trimmed)
+    words = F.transform(F.concat(span_array(text, VALUE, left=True), span_array(text, RUN, left=True)), trimmed)
     shaped = F.filter(words, lambda s: s["value"].rlike(r".@.") | (F.length(F.regexp_replace(s["value"], "[^0-9]", "")) >= 6))
-    return F.filter(shaped, lambda s: ~F.exists(seeds, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])))
+    free = F.filter(shaped, lambda s: ~reduce(lambda a, b: a | b, [touched(s, of) for of in seeds]))
+    return F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), words_before(s["left"]).alias("pattern")))
 
 
 def pattern_scores(edges: DataFrame, rounds: int, least_values: int, accept: float) -> DataFrame:
@@ -123,13 +130,14 @@ def find_personal_data(documents: DataFrame, identity: str = "doc_id", text: str
 
     The text is scanned once. What is stored and shuffled afterwards are the spans only.
     """
-    rows = texts_of(documents, identity, text).withColumn("row", F.monotonically_increasing_id()).withColumn("seeds", seed_spans(F.col("text")))
-    rows = rows.withColumn("values", value_spans(F.col("text"), F.col("seeds")))
-    with_context = lambda array, kind: F.transform(array, lambda s: F.struct(
-        before(F.col("text"), s["start"]).alias("pattern"), F.lower(s["value"]).alias("value"), kind(s).alias("kind"),
-        s["start"].alias("start"), s["end"].alias("end")))
-    seen = F.concat(with_context(F.col("seeds"), lambda s: s["kind"]), with_context(F.col("values"), lambda s: F.lit(None).cast("string")))
-    stored = shared_table(rows.select("row", "doc_id", "seeds", seen.alias("seen")), "spans")
+    rows = texts_of(documents, identity, text).withColumn("row", F.monotonically_increasing_id())
+    rows = rows.withColumns({f"of_{kind}": kind_spans(F.col("text"), rank, kind) for rank, kind in enumerate(KINDS)})
+    rows = rows.withColumn("values", value_spans(F.col("text"), [F.col(f"of_{kind}") for kind in KINDS]))
+    rows = rows.withColumn("known", F.concat(*[F.col(f"of_{kind}") for kind in KINDS]))
+    place = lambda kind: lambda s: F.struct(s["pattern"].alias("pattern"), F.lower(s["value"]).alias("value"), kind(s).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+    seen = F.concat(F.transform("known", place(lambda s: s["kind"])), F.transform("values", place(lambda s: F.lit(None).cast("string"))))
+    seeds = F.transform("known", lambda s: F.struct(*[s[c].alias(c) for c in ("rank", "kind", "start", "end", "value")]))
+    stored = shared_table(rows.select("row", "doc_id", seeds.alias("seeds"), seen.alias("seen")), "spans")
     places = stored.select("row", F.inline("seen")).where("pattern <> ''")
     edges = shared_table(places.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "graph")
     accepted = pattern_scores(edges, rounds, least_values, accept)
