@@ -1,9 +1,8 @@
 """Chat formatting by prefix-target expansion, in DataFrame functions only.
 
-Every assistant turn becomes an example of its own: all preceding turns are context, only that reply
-is trainable. As each context starts with the whole previous example, an example stores the *new* part
-of its context; the rows of a conversation up to an example are its full prompt. The output therefore
-has the size of the input, however long a conversation is.
+Every assistant turn becomes an example of its own: all preceding turns are its context, only that reply is
+trainable. The examples of a conversation therefore grow with the square of its turns; they are made one
+after the other, so that a task holds the conversation and one example of it.
 
 A turn is rendered as ``<s>role``, a line end, the text and ``</s>``. Inside roles and texts the escape
 sign and the opening bracket are replaced, so no text can hold a control string:
@@ -12,7 +11,7 @@ sign and the opening bracket are replaced, so no text can hold a control string:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPEN, CLOSE, BREAK = "<s>", "</s>", "\n"
@@ -37,19 +36,19 @@ def unescape(value: Column) -> Column:
 def prefix_examples(conversations: DataFrame, identity: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per example: conv_id, example (from 0), context, reply.
 
-    ``context`` is what the context adds to the example before, up to the point where the reply starts;
-    ``reply`` is the escaped trainable text; ``</s>`` follows it. Turns after the last reply form a last
-    row with a null reply. Null role and text count as empty; a null identity is a conversation of its
-    own; turns with equal numbers (null first) go by role and text, repeated rows stay repeated; an empty
-    table gives no rows; other columns are not read. One conversation is put together in one row, as its
+    ``context`` holds all turns before the reply and the opening of the reply's turn;
+    ``reply`` is the escaped trainable text; ``</s>`` follows it. Turns after the last reply give a last
+    row with the whole conversation as context and a null reply. Null role and text count as empty; a null identity is a
+    conversation of its own; turns with equal numbers (null first) go by role and text, repeated rows stay repeated; an
+    empty table gives no rows; other columns are not read. One conversation is put together in one row, as its
     text is one string by definition.
     """
     said = F.struct(F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     grouped = conversations.select(F.col(identity).cast("long").alias("conv_id"), said.alias("said")).groupBy("conv_id").agg(F.array_sort(F.collect_list("said")).alias("turns"))
     n = F.size("turns")
     ends = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at("turns", i)["role"] == "assistant")
-    starts = F.concat(F.array(F.lit(1)), F.transform("ends", lambda i: i + 1))
-    pairs = F.filter(F.arrays_zip(F.col("starts"), F.concat("ends", F.array(F.lit(None).cast("int"))).alias("ends")), lambda p: p["starts"] <= n)
+    # A last entry after the end of the turns stands for those that no reply follows.
+    open_end = F.when(F.coalesce(F.element_at("turns", -1)["role"] == "assistant", F.lit(False)), F.array().cast("array<int>")).otherwise(F.array(n + 1))
 
     def opened(t):
         return F.concat(F.lit(OPEN), swap(escape(t["role"]), (BREAK, "\\n")), F.lit(BREAK))
@@ -57,14 +56,11 @@ def prefix_examples(conversations: DataFrame, identity: str = "conv_id", turn: s
     def closed(t):
         return F.concat(opened(t), escape(t["text"]), F.lit(CLOSE))
 
-    def example(p, i):
-        last = F.element_at("turns", p["ends"])
-        earlier = F.slice("turns", p["starts"], F.coalesce(p["ends"], n + 1) - p["starts"])
-        context = F.concat(F.array_join(F.transform(earlier, closed), ""), F.when(p["ends"].isNotNull(), opened(last)).otherwise(""))
-        return F.struct(i.cast("long").alias("example"), context.alias("context"), F.when(p["ends"].isNotNull(), escape(last["text"])).alias("reply"))
-
-    cut = grouped.withColumn("ends", ends).withColumn("starts", starts).withColumn("pairs", pairs)
-    return cut.select("conv_id", F.inline(F.transform("pairs", example)))
+    at = grouped.select("conv_id", "turns", F.posexplode(F.concat(ends, open_end)).alias("example", "at"))
+    replied = F.col("at") <= n
+    last = F.get("turns", F.col("at") - 1)
+    context = F.concat(F.array_join(F.transform(F.slice("turns", F.lit(1), F.col("at") - 1), closed), ""), F.when(replied, opened(last)).otherwise(""))
+    return at.select("conv_id", F.col("example").cast("long").alias("example"), context.alias("context"), F.when(replied, escape(last["text"])).alias("reply"))
 
 
 def rendered(part: Column | None = None) -> Column:
@@ -73,17 +69,12 @@ def rendered(part: Column | None = None) -> Column:
     return F.concat(get("context"), F.when(get("reply").isNotNull(), F.concat(get("reply"), F.lit(CLOSE))).otherwise(""))
 
 
-def full_prompts(examples: DataFrame) -> DataFrame:
-    """The examples with their whole context as ``prompt`` (grows with the square of a conversation)."""
-    earlier = Window.partitionBy("conv_id").orderBy("example").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.array_join(F.collect_list(rendered()).over(earlier), "")
-    return examples.withColumn("prompt", F.concat(before, "context")).where("reply IS NOT NULL").select("conv_id", "example", "prompt", "reply")
-
-
 def read_back(examples: DataFrame) -> DataFrame:
-    """Turns and trainable text of every conversation, parsed from the formatted examples."""
-    parts = examples.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("example", "context", "reply"))).alias("parts"))
-    text = F.array_join(F.transform("parts", rendered), "")
+    """Turns and trainable text of every conversation, parsed from the formatted examples: the last one holds all turns,
+    and each reply is trainable in the example of its own."""
+    whole = F.max_by(F.struct("context", "reply"), "example").alias("last")
+    spoken = F.array_sort(F.collect_list(F.when(F.col("reply").isNotNull(), F.struct("example", "reply"))))
+    parts = examples.groupBy("conv_id").agg(whole, spoken.alias("replies")).withColumn("last", rendered(F.col("last"))).withColumnRenamed("last", "formatted")
     pieces = F.filter(F.split("formatted", CLOSE, -1), lambda piece: piece != "")
 
     def turn(piece):
@@ -91,8 +82,8 @@ def read_back(examples: DataFrame) -> DataFrame:
         role = unescape(swap(F.regexp_extract(piece, r"^<s>([^\n]*)\n", 1), ("\\n", BREAK)))
         return F.struct(role.alias("role"), unescape(F.regexp_extract(piece, r"(?s)^<s>[^\n]*\n(.*)$", 1)).alias("text"))
 
-    replies = F.transform(F.filter("parts", lambda p: p["reply"].isNotNull()), lambda p: unescape(p["reply"]))
-    return parts.withColumn("formatted", text).select("conv_id", "formatted", F.transform(pieces, turn).alias("turns"), F.array_join(replies, "").alias("loss"))
+    replies = F.transform("replies", lambda p: unescape(p["reply"]))
+    return parts.select("conv_id", "formatted", F.transform(pieces, turn).alias("turns"), F.array_join(replies, "").alias("loss"))
 
 
 def chat_digest(examples: DataFrame) -> DataFrame:

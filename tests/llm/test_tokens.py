@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 from collections import defaultdict
 
@@ -76,6 +77,49 @@ def test_gradients_match_differences():
         assert (up - down) / 2e-3 == pytest.approx(grad[at], rel=1e-2, abs=1e-5)
 
 
+def test_labels_equal_a_loop_over_bytes():
+    """Both directions of the gated network byte by byte in plain Python."""
+    net = language.Network.fresh(["a", "b", "c"], 8, 3, 5)
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    texts = ["hello, wörld and more", "a", "", None, "漢字 are two"]
+
+    def states(row, d):
+        h, held, out = 3, [0.0] * 3, {}
+        for t in range(len(row)) if d == 0 else range(len(row) - 1, -1, -1):
+            x = net.table[d][row[t]].tolist()
+            gate = [sigmoid(x[j] + sum(held[i] * float(net.gates[d][i, j]) for i in range(h))) for j in range(2 * h)]
+            c = [math.tanh(x[2 * h + j] + sum(gate[h + i] * held[i] * float(net.candidate[d][i, j]) for i in range(h))) for j in range(h)]
+            held = [held[j] + gate[j] * (c[j] - held[j]) for j in range(h)]
+            out[t] = held
+        return out
+
+    want = []
+    for text in texts:
+        data, sums = (text or "").encode(), [0.0] * 3
+        for low in range(0, len(data), 8):
+            row = data[low:low + 8]
+            both = [states(row, d) for d in (0, 1)]
+            for t in range(len(row)):
+                score = [float(net.bias[k]) + sum(v * float(net.out[i, k]) for i, v in enumerate(both[0][t] + both[1][t])) for k in range(3)]
+                e = [math.exp(s) for s in score]
+                sums = [a + b / sum(e) for a, b in zip(sums, e)]
+        best = max(range(3), key=lambda k: sums[k])
+        want.append((net.labels[best], sums[best] / len(data)) if data else ("und", 0.0))
+    names, scores = language.label_texts(net, texts)
+    assert names == [w[0] for w in want] and scores.tolist() == pytest.approx([w[1] for w in want], abs=1e-5)
+
+
+def test_every_label_is_learned_from(spark):
+    """More labels than a list of the most frequent ones would hold, one of them with a single row."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, (letters[i % 70 % 26] + letters[i % 70 // 26]) * 30, f"l{i % 70:02d}") for i in range(70 * 6)] + [(9000 + i, "zz qq " * 9, "rare") for i in range(1)]
+    docs = spark.createDataFrame([r for r in rows if not language.is_held_out(r[0])], "doc_id long, text string, lang string")
+    net = language.fit(docs, steps=1)
+    assert net.labels == sorted({r.lang for r in docs.collect()}) and len(net.labels) >= 70
+    few = language.sample(docs, F.lit(True), "doc_id", "text", "lang", 1500, 140, 512)
+    assert len(few) <= 140 and few["label"].nunique() == len(net.labels) and few.groupby("label").size().max() <= 2
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.predict(docs, language.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -130,7 +174,9 @@ def test_chat_examples(spark, none):
     assert chat.prefix_examples(none.selectExpr("doc_id AS conv_id", "doc_id AS turn", "text AS role", "text")).count() == 0
 
 
-def test_full_prompt_holds_all_earlier_turns(spark):
-    rows = [(1, 0, "user", "u0"), (1, 1, "assistant", "a1"), (1, 2, "user", "u2"), (1, 3, "assistant", "a3"), (1, 4, "user", "u4")]
-    got = chat.full_prompts(chat.prefix_examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).orderBy("example").collect()
-    assert [(r.prompt, r.reply) for r in got] == [("<s>user\nu0</s><s>assistant\n", "a1"), ("<s>user\nu0</s><s>assistant\na1</s><s>user\nu2</s><s>assistant\n", "a3")]
+def test_an_example_holds_all_earlier_turns(spark):
+    rows = [(1, 0, "user", "u0"), (1, 1, "assistant", "a1"), (1, 2, "user", "u2"), (1, 3, "assistant", "a3"), (1, 4, "user", "u4"), (2, 0, "assistant", "<a0")]
+    got = chat.prefix_examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id", "example").collect()
+    second = "<s>user\nu0</s><s>assistant\na1</s><s>user\nu2</s><s>assistant\n"
+    assert [(r.conv_id, r.example, r.context, r.reply) for r in got] == [
+        (1, 0, "<s>user\nu0</s><s>assistant\n", "a1"), (1, 1, second, "a3"), (1, 2, second + "a3</s><s>user\nu4</s>", None), (2, 0, "<s>assistant\n", "\\la0")]
