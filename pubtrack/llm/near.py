@@ -4,10 +4,13 @@ A document is the set of its word shingles. Its minwise tokens (the least hash u
 functions) agree between two sets with a probability equal to their Jaccard similarity. Each of several
 trees starts with all sets in the root; the root sends every member to the children named by the member's
 tokens at ROOT_CHILDREN coordinates, a further node to those at NODE_CHILDREN, all different and chosen by
-hash. Small nodes compare all members. A large node compares its members with one pivot; if that does not
-connect them all, it is branched further, or, from the second level on, if it has at most DENSE_NODE
-members or branching did not halve it, compared block by block. :func:`miss` bounds the probability that a
-linked pair meets in no node of a level; it stays below a limit however deep the trees go.
+hash. Small nodes compare all members. A large node compares its members with one pivot. If that does not
+connect them all, it is settled by the tokens of its members if it has at most DENSE_NODE of them or branching did
+not halve it, and branched further otherwise. To settle a node, all pairs that are not connected are compared by
+their tokens inside a task; the few that can be similar enough are named, and where they are many, as among
+thousands of texts around a common part, the members are compared on their full sets block by block. A pair is
+settled in the first such node of the first level in which it meets. :func:`miss` bounds the probability that a
+linked pair meets in no node of a level.
 
 Equal sets are joined beforehand, a comparison of tokens discards pairs that cannot be similar enough, and
 every link is confirmed on the full sets (64-bit shingle hashes).
@@ -20,18 +23,19 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pubtrack.llm.common import components, shared_table, slices, texts_of
+from pubtrack.llm.common import SPACE, components, packed, shared_table, slices, texts_of
 from pubtrack.llm.shingles import mixed, words_of
 
-COORDINATES, TREES, SMALL_NODE, DENSE_NODE = 64, 10, 32, 1024
-#: Children that a member goes to from the root and from every further node. With three, a pair that agrees at more
-#: than a third of its coordinates keeps meeting with a probability that has a positive limit over the levels.
-ROOT_CHILDREN, NODE_CHILDREN = 2, 3
+COORDINATES, TREES, SMALL_NODE, DENSE_NODE = 64, 10, 32, 4096
+#: Children that a member goes to from the root and from every further node.
+ROOT_CHILDREN, NODE_CHILDREN = 2, 2
+#: Candidate pairs that a settled node names, for each of its members; with more it names the members.
+NAMED = 4
 #: Members and bytes of text of a block of a dense node; two blocks meet in one task.
-BLOCK, BLOCK_BYTES = 512, 4 << 20
+BLOCK, BLOCK_BYTES = 2048, 4 << 20
 #: Least number of equal token bytes of a pair that is compared in full: a pair at similarity 0.75 has 48 on
 #: average and fewer than 28 with probability 1e-8.
 LEAST_EQUAL = 28
@@ -61,8 +65,8 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
 
 
 def prints(k: int):
-    """Arrow function: identity, set size, 128-bit print of the set and its minwise tokens."""
-    form = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("tokens", pa.binary())])
+    """Arrow function: identity, tag of the text, set size, 128-bit print of the set and its minwise tokens."""
+    form = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -76,9 +80,9 @@ def prints(k: int):
                     else:
                         rows.append((0, None, None, None))
                 columns = zip(*rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(list(c), f.type) for c, f in zip(columns, list(form)[1:])]], schema=form)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), *[pa.array(list(c), f.type) for c, f in zip(columns, list(form)[2:])]], schema=form)
 
-    return run, "doc_id long, n long, p1 long, p2 long, tokens binary"
+    return run, "doc_id long, tag long, n long, p1 long, p2 long, tokens binary"
 
 
 def text_prints(k: int):
@@ -126,6 +130,58 @@ def node_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], schema=PAIRS)
 
 
+def open_pairs(first: list[int]):
+    """Arrow function over the members of one node (or of two blocks of it): the unconnected pairs that may be similar
+    enough, as (null, a, b), or, if they are more than NAMED for each member, their members as (group, a, null).
+
+    ``first`` has the coordinates of the nodes of the first level in order. ``mask`` tells which of its nodes of the
+    first level a member has seen settled; pairs that meet in an earlier one of these are left to it.
+    """
+    form = pa.schema([("node", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def run(held: pa.Table) -> pa.Table:
+        ids, component, mask, block = (np.asarray(held.column(c)) for c in ("cid", "component", "mask", "block"))
+        root, low, high = (held.column(c)[0].as_py() for c in ("root", "low", "high"))
+        tokens = np.frombuffer(b"".join(held.column("tokens").to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
+        sketch = np.ascontiguousarray(tokens.astype(np.uint8).T)
+        left, right = [], []
+        for at in range(0, len(ids), 256):
+            some, rest = slice(at, at + 256), slice(at, None)
+            equal = np.zeros((len(ids[some]), len(ids[rest])), dtype=np.uint8)
+            for row in sketch:
+                equal += row[some, None] == row[None, rest]
+            met = (equal >= LEAST_EQUAL) & (component[some, None] != component[None, rest])
+            if low != high:
+                met &= block[some, None] != block[None, rest]
+            i, j = np.nonzero(np.triu(met, 1))
+            i, j = i + at, j + at
+            for number, coordinate in enumerate(first[:root] if root >= 0 else first):
+                fresh = (tokens[i, coordinate] != tokens[j, coordinate]) | (mask[i] >> number & 1 == 0)
+                i, j = i[fresh], j[fresh]
+            left.append(i)
+            right.append(j)
+        i, j = np.concatenate(left), np.concatenate(right)
+        if len(i) <= NAMED * len(ids):
+            a, b = ids[i], ids[j]
+            return pa.Table.from_arrays([pa.nulls(len(i), pa.int64()), pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], schema=form)
+        members = ids[np.unique(np.concatenate([i, j]))]
+        return pa.Table.from_arrays([pa.array([held.column("group")[0].as_py()] * len(members), pa.int64()), pa.array(members), pa.nulls(len(members), pa.int64())], schema=form)
+
+    return run
+
+
+def settled(rest: DataFrame, classes: DataFrame, first: list[int], masks: DataFrame) -> DataFrame:
+    """What :func:`open_pairs` finds in the open nodes ``rest`` (node, root, cid, m, component), stored. A node of more than
+    DENSE_NODE members is cut into blocks, of which every two meet."""
+    blocks = F.when(F.col("m") > DENSE_NODE, F.ceil(F.col("m") * 2 / DENSE_NODE)).otherwise(1).cast("int")
+    own = rest.join(classes.select("cid", "tokens"), "cid").join(masks, "cid", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
+    own = own.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("node", "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "component", "tokens", "mask")
+    met = met.withColumn("group", F.xxhash64("node", "low", "high"))
+    return shared_table(met.groupBy("node", "low", "high").applyInArrow(open_pairs(first), "node long, a long, b long"), "settled")
+
+
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all pairs. Shingles of few sets are counted pair by pair, the others by
     products of slices of the incidence matrix."""
@@ -186,10 +242,10 @@ def block_links(k: int, percent: int):
 
 
 def dense_links(dense: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between the unconnected members of dense nodes (node, m, cid, component), compared block by block on
+    """Links between the unconnected members of groups (node, cid, component), compared block by block on
     their full sets; a block has at most BLOCK members and, on average, BLOCK_BYTES of text."""
     held = dense.join(texts, "cid")
-    bulk = held.groupBy("node").agg(F.sum(F.length("text")).alias("bulk"))
+    bulk = held.groupBy("node").agg(F.sum(F.length("text")).alias("bulk"), F.count(F.lit(1)).alias("m"))
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("bulk") / BLOCK_BYTES)).cast("int")
     own = held.join(bulk, "node").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -253,16 +309,24 @@ def drawn(node: F.Column, count: int) -> list[F.Column]:
 
 
 def first_nodes(classes: DataFrame) -> DataFrame:
-    """(node, cid, parent_m) of the children of every root."""
+    """(node, root, cid, parent_m) of the children of every root; ``root`` numbers them over all trees."""
     trees = classes.select("cid", "tokens", F.explode(F.sequence(F.lit(1), F.lit(TREES))).alias("tree"))
     nodes = F.array(*[child(F.col("tree"), c) for c in drawn(F.col("tree"), ROOT_CHILDREN)])
-    return trees.select("cid", F.explode(nodes).alias("node"), F.lit(1 << 62).alias("parent_m"))
+    found = trees.select("cid", "tree", F.posexplode(nodes).alias("place", "node"))
+    return found.select("node", (F.col("place") + (F.col("tree") - 1) * ROOT_CHILDREN).alias("root"), "cid", F.lit(1 << 62).alias("parent_m"))
+
+
+def first_coordinates(spark) -> list[int]:
+    """The coordinates of the children of all roots, in the order of ``root``: a fixed number of constants."""
+    tree = F.col("tree")
+    rows = spark.range(1, TREES + 1).select(F.col("id").cast("int").alias("tree")).select("tree", F.array(*drawn(tree, ROOT_CHILDREN)).alias("at")).orderBy("tree").collect()
+    return [int(c) for r in rows for c in r["at"]]
 
 
 def next_nodes(rest: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, cid, parent_m) of the children of every member of nodes (node, cid, m)."""
+    """(node, root, cid, parent_m) of the children of every member of nodes (node, cid, m)."""
     nodes = F.array(*[child(F.col("node"), c) for c in drawn(F.col("node"), NODE_CHILDREN)])
-    return rest.join(classes.select("cid", "tokens"), "cid").select("cid", F.explode(nodes).alias("node"), F.col("m").alias("parent_m"))
+    return rest.join(classes.select("cid", "tokens"), "cid").select(F.explode(nodes).alias("node"), F.lit(-1).alias("root"), "cid", F.col("m").alias("parent_m"))
 
 
 def same_component(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -289,27 +353,16 @@ def connect(labels: DataFrame | None, fresh: DataFrame) -> DataFrame:
     return shared_table(components(fresh.union(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))), "labels")
 
 
-def near_components(documents: DataFrame, identity: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """One row per document row: doc_id, n_shingles, component_id, kept.
-
-    Words are cut at white space after lower-casing A-Z; ``component_id`` is the smallest identity that can be
-    reached over links (null only if all are). Null and wordless texts have no shingles and stay alone. Rows with
-    equal identity are rows of their own; equal texts are connected. An empty table gives no rows; other columns
-    are not read.
-
-    What meets in one task is a node of at most SMALL_NODE sets, two blocks of a dense node, or a pair. Large nodes
-    first pair their members with a pivot only; once these links connect a group, the rest is not compared. A level has
-    at most NODE_CHILDREN rows for each row of the open nodes above. As a node is branched further only where this
-    halved it, there are at most log2 of (rows / DENSE_NODE) + 2 levels.
-    """
+def classified(documents: DataFrame, identity: str, text: str, k: int, percent: int) -> DataFrame:
+    """The rows of :func:`near_components` with a tag of the text and a number of the component."""
     rows = texts_of(documents, identity, text)
-    printed = shared_table(rows.mapInArrow(*prints(k)), "prints")
+    printed = shared_table(rows.withColumn("tag", F.xxhash64("text")).mapInArrow(*prints(k)), "prints")
     classes = printed.where("n > 0").groupBy("p1", "p2").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))
     classes = shared_table(classes.withColumn("sketch", sketch(F.col("tokens"))).withColumn("cid", F.monotonically_increasing_id()), "classes")
     small = classes.select("cid", "sketch")
 
     labels = texts = None
-    members = first_nodes(classes)
+    members, first_at = first_nodes(classes), first_coordinates(rows.sparkSession)
     while True:
         sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.min("cid").alias("pivot")).where("m > 1")
         nodes = shared_table(members.join(sizes, "node"), "nodes")
@@ -331,14 +384,18 @@ def near_components(documents: DataFrame, identity: str = "doc_id", text: str =
             labels = connect(labels, linked(first, texts, k, percent))
             pairs = same_component(pairs.join(first, ["a", "b"], "left_anti"), labels)
         labels = connect(labels, linked(pairs, texts, k, percent))
-        # A node is settled when its members are connected, or when it is dense and compared in full.
         named = large.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         apart = named.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("node")
-        rest = shared_table(named.join(apart, "node", "left_semi").select("node", "cid", "m", "parent_m", "component"), "open")
-        if not top:
-            dense = (2 * F.col("m") > F.col("parent_m")) | (F.col("m") <= DENSE_NODE)
-            labels = connect(labels, shared_table(dense_links(rest.where(dense), texts, k, percent), "links"))
-            rest = rest.where(~dense)
+        rest = shared_table(named.join(apart, "node", "left_semi").select("node", "root", "cid", "m", "parent_m", "component"), "open")
+        now = (F.col("m") <= DENSE_NODE) | (2 * F.col("m") > F.col("parent_m"))
+        if top:
+            masks = shared_table(rest.where(now).groupBy("cid").agg(F.bit_or(F.expr("shiftleft(1L, root)")).alias("mask")), "masks")
+        found = settled(rest.where(now), classes, first_at, masks)
+        sparse = linked(found.where("node IS NULL").select("a", "b").distinct(), texts, k, percent)
+        close = found.where("node IS NOT NULL").select("node", F.col("a").alias("cid"))
+        close = close.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        labels = connect(labels, sparse.union(shared_table(dense_links(close, texts, k, percent), "links")))
+        rest = rest.where(~now)
         if rest.isEmpty():
             break
         members = next_nodes(rest, classes)
@@ -346,13 +403,40 @@ def near_components(documents: DataFrame, identity: str = "doc_id", text: str =
     of_class = classes.select("p1", "p2", "cid", "doc_id").join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn(
         "component", F.coalesce("component", "cid"))
     least = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = shared_table(of_class.join(least, "component").select("p1", "p2", "component_id"), "components")
+    of_class = shared_table(of_class.join(least, "component").select("p1", "p2", "component", "component_id"), "components")
     placed = printed.join(of_class, ["p1", "p2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return placed.select("doc_id", "tag", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "component")
+
+
+def near_components(documents: DataFrame, identity: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+    """One row per document row: doc_id, n_shingles, component_id, kept.
+
+    Words are cut at white space after lower-casing A-Z; ``component_id`` is the smallest identity that can be
+    reached over links (null only if all are). Null and wordless texts have no shingles and stay alone. Rows with
+    equal identity are rows of their own; equal texts are connected. An empty table gives no rows; other columns
+    are not read.
+
+    What meets in one task is a node of at most SMALL_NODE sets, the tokens of DENSE_NODE sets, two blocks of texts,
+    or a pair. Large nodes first pair their members with a pivot only; once these links connect a group, the rest is not
+    compared. A level has at most NODE_CHILDREN rows for each row of the nodes above that are branched, and these are
+    halved from level to level, so there are at most log2 of (rows / DENSE_NODE) + 2 levels.
+    """
+    found = classified(documents, identity, text, k, percent)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def keep_representatives(documents: DataFrame, identity: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """The rows whose identity :func:`near_components` keeps, with all columns of ``documents``."""
-    kept = near_components(documents, identity, text, k, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return documents.join(kept, F.col(identity).cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One row of each group of :func:`near_components`, with all columns of ``documents``: one with the smallest identity.
+
+    Rows whose text is null or has no word are linked with nothing and all stay, repeated ones too. Of the rows of a group
+    that have its smallest identity, a null one only if it has no other, one stays, chosen by its text. An empty table
+    gives no rows. A row travels as one struct, so columns may have any names.
+    """
+    found = classified(documents, identity, text, k, percent).where("kept AND n_shingles > 0")
+    chosen = found.groupBy("component").agg(F.min(F.struct("tag", "doc_id")).alias("one")).select(F.col("one.tag").alias("keep_tag"), F.col("one.doc_id").alias("keep_id"))
+    told = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = documents.select(packed(documents), F.col(f"`{identity}`").cast("long").alias("doc_id"), F.xxhash64(told).alias("tag"), told.rlike(f"[^{SPACE}]").alias("worded"))
+    met = rows.where("worded").join(chosen, (F.col("tag") == F.col("keep_tag")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    one = met.withColumn("place", F.row_number().over(Window.partitionBy("tag").orderBy("doc_id"))).where("place = 1")
+    return one.select("record").union(rows.where("NOT worded").select("record")).select("record.*")
