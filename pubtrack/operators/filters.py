@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pubtrack.functions.text import contains_words, fold, spanish_key
-from pubtrack.operators.scan import ordered_scan, rank
+from pubtrack.operators.scan import ordered_scan, rank, total
 
 
 def query_words(text: str) -> Column:
@@ -113,6 +113,38 @@ def after_cursor(rows: DataFrame, order: Sequence[Column], cursor: Sequence[Colu
     return rows.where((order[0] >= cursor[0]) & (key > limit)).orderBy(*order).limit(size + 1)
 
 
+def sign_cursor(generation: Column, query: Column, key: Sequence[Column]) -> Column:
+    """Signature of a cursor: it holds for one generation, one query and one place only."""
+    return F.sha2(F.to_json(F.struct(generation.alias("g"), query.alias("q"), *[k.alias(f"k{i}") for i, k in enumerate(key)])), 256)
+
+
+def keyset_pages(rows: DataFrame, order: Sequence[str], cursors: DataFrame, identity: str, generation: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """The pages of many cursors in one job, and the outcome of every cursor.
+
+    ``cursors`` has ``identity``, generation, query, the columns ``order`` (the key of the last row seen, in a total
+    order of ``rows``) and signature. A cursor of another generation is ``stale``, one whose signature does not fit
+    ``forged``, any other one ``ok``; only these get pages: identity, position (from 1) and the columns of the rows.
+    The outcome tells whether ``more`` rows follow the page. The key need not be among the rows any more.
+
+    Cursors are merged into the ordered rows, where the running count tells how many rows are before each of them; the
+    rows of its page are then the next ``size`` ranks, an equality join on the rank.
+    """
+    fits = F.col("signature") == sign_cursor(F.col("generation"), F.col("query"), [F.col(c) for c in order])
+    judged = cursors.withColumn("outcome", F.when(F.col("generation") != generation, "stale").when(~F.coalesce(fits, F.lit(False)), "forged").otherwise("ok"))
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(order)]
+    asked = judged.where("outcome = 'ok'").select(*keys, F.col(identity).alias("_cursor"), F.lit(1).alias("_kind"))
+    there = rows.select(*keys, F.lit(None).cast(asked.schema["_cursor"].dataType).alias("_cursor"), F.lit(0).alias("_kind"), F.struct("*").alias("_row"))
+    merged = there.unionByName(asked, allowMissingColumns=True)
+    counted = ordered_scan(merged, [], [*[F.col(f"_k{i}") for i in range(len(order))], F.col("_kind"), F.col("_cursor")],
+                           [total("_rank", (F.col("_kind") == 0).cast("long"))], like=there)
+    places = counted.where("_kind = 1").select(F.col("_cursor").alias(identity), F.col("_rank").alias("_before"))
+    wanted = places.select(identity, "_before", F.explode(F.sequence(F.lit(1), F.lit(size + 1))).alias("position")).withColumn("_rank", F.col("_before") + F.col("position"))
+    pages = wanted.join(counted.where("_kind = 0").select("_rank", "_row"), "_rank").select(identity, "position", "_row.*")
+    further = pages.where(F.col("position") > size).select(identity, F.lit(True).alias("more"))
+    outcomes = judged.select(identity, "outcome").join(further, identity, "left").withColumn("more", F.coalesce("more", F.lit(False)))
+    return pages.where(F.col("position") <= size), outcomes
+
+
 def next_pages(rows: DataFrame, loaded: DataFrame, identity: str) -> DataFrame:
     """Loaded rows followed by the new ones not loaded yet."""
     return loaded.unionByName(rows.join(loaded.select(identity), identity, "left_anti"))

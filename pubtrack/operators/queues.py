@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +81,49 @@ def backoff_seconds(failures: Column, retry_after: Column | None = None) -> Colu
     return F.when(failures > 0, wait if retry_after is None else F.greatest(wait, F.coalesce(retry_after, F.lit(0))))
 
 
+def pruned_backoff(attempts: DataFrame, resource: Sequence[str], at: str, identity: str, failed: str, challenge: str, browser: str, retry_after: str,
+                   keep_seconds: int = 7 * 86_400) -> DataFrame:
+    """What becomes of every attempt on a resource (say, URL and kind) under its own cooldown: deferred, failed or read.
+
+    A failure waits one hour, doubled per failure in a row up to five, at most six hours and at least ``retry_after``
+    seconds (null: nothing). With ``browser``, a ``challenge`` counts for the browser only, and a challenge of the plain
+    client does not hold the browser back. An attempt before the wait has passed is ``deferred`` and changes nothing. A
+    success ends the waits of its transport (of both, if by browser). A failure more than ``keep_seconds`` after the
+    wait of the one before is the first again. Columns: resource, identity, outcome, failures, next_attempt (seconds;
+    both null unless failed). The walk over a sorted resource holds two entries.
+    """
+    names, types = list(resource), dict(attempts.dtypes)
+    columns = [*names, identity, at, failed, challenge, browser, retry_after]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gate, entries = None, {}
+        for batch in batches:
+            rows = []
+            floors = batch[retry_after].astype("Int64").tolist()
+            for *key, number, now, bad, barred, by_browser, floor in zip(*[batch[c].tolist() for c in columns[:-1]], floors):
+                if key != gate:
+                    gate, entries = key, {}
+                entries = {scope: e for scope, e in entries.items() if e[1] > now - keep_seconds}
+                blocking = [e for scope, e in entries.items() if e[1] > now and (by_browser or not scope) and not (by_browser and not scope and e[2])]
+                if blocking:
+                    rows.append((*key, number, "deferred", None, None))
+                elif not bad:
+                    entries.pop(False, None)
+                    if by_browser:
+                        entries.pop(True, None)
+                    rows.append((*key, number, "read", None, None))
+                else:
+                    scope = bool(by_browser and barred)
+                    failures = min(5, entries.get(scope, (0,))[0] + 1)
+                    until = now + max(0 if floor is pd.NA else floor, min(21_600, 3_600 * 2 ** (failures - 1)))
+                    entries[scope] = (failures, until, bool(barred))
+                    rows.append((*key, number, "failed", failures, until))
+            yield pd.DataFrame(rows, columns=[*names, identity, "outcome", "failures", "next_attempt"]).astype({"failures": "Int64", "next_attempt": "Int64"})
+
+    ordered = attempts.select(*dict.fromkeys(columns)).repartition(*names).sortWithinPartitions(*names, at, identity)
+    return ordered.mapInPandas(walk, ", ".join(f"{c} {types[c]}" for c in [*names, identity]) + ", outcome string, failures long, next_attempt long")
+
+
 def carry_state(observations: DataFrame, service: Sequence[str], order: Sequence[Column], bad: Column, at: str) -> DataFrame:
     """First failure of the running failing period and time of the last good observation."""
     marked = observations.withColumn("_bad", bad)

@@ -254,6 +254,29 @@ def _(spark, d):
     return streaks.select("event_id", "failures", queues.backoff_seconds(F.col("failures")).alias("wait_seconds"))
 
 
+# State after state: failures, end of the wait and kind of the plain entry (p) and of the browser's (b).
+PRUNED = """
+WITH RECURSIVE r AS (SELECT user_id, event_id, epoch_us(ts) // 1000000 AS t, event_type IN ('error', 'click', 'view') AS bad, event_type = 'click' AS barred, event_id % 3 = 0 AS web,
+  CASE WHEN event_id % 10 = 0 THEN CAST(trunc(value) AS BIGINT) * 600 END AS floor, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id) AS n FROM events),
+f(user_id, n, event_id, outcome, failures, next_attempt, pf, pu, pb, bf, bu) AS (SELECT user_id, 0::BIGINT, NULL::BIGINT, '', NULL::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT, false, 0::BIGINT, 0::BIGINT FROM (SELECT DISTINCT user_id FROM events)
+ UNION ALL SELECT user_id, n, event_id, CASE WHEN held THEN 'deferred' WHEN bad THEN 'failed' ELSE 'read' END, CASE WHEN NOT held AND bad THEN k END, CASE WHEN NOT held AND bad THEN u END,
+  CASE WHEN held THEN pf1 WHEN NOT bad THEN 0 WHEN scope THEN pf1 ELSE k END, CASE WHEN held THEN pu1 WHEN NOT bad THEN 0 WHEN scope THEN pu1 ELSE u END, CASE WHEN held OR (bad AND scope) THEN pb ELSE barred END,
+  CASE WHEN held THEN bf1 WHEN NOT bad AND web THEN 0 WHEN bad AND scope THEN k ELSE bf1 END, CASE WHEN held THEN bu1 WHEN NOT bad AND web THEN 0 WHEN bad AND scope THEN u ELSE bu1 END
+ FROM (SELECT *, t + greatest(coalesce(floor, 0), least(21600, 3600 * (1 << (k - 1)::INT)))::BIGINT AS u FROM (SELECT *, least(5, CASE WHEN scope THEN bf1 ELSE pf1 END + 1) AS k,
+  (pu1 > t AND NOT (web AND pb)) OR (web AND bu1 > t) AS held FROM (SELECT r.*, f.pb, r.web AND r.barred AS scope, CASE WHEN f.pu > r.t - 604800 THEN f.pf ELSE 0 END AS pf1, CASE WHEN f.pu > r.t - 604800 THEN f.pu ELSE 0 END AS pu1,
+   CASE WHEN f.bu > r.t - 604800 THEN f.bf ELSE 0 END AS bf1, CASE WHEN f.bu > r.t - 604800 THEN f.bu ELSE 0 END AS bu1 FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1))))
+SELECT user_id, event_id, outcome, failures, next_attempt FROM f WHERE n > 0
+"""
+
+
+@query("pruned_backoff", PRUNED)
+def _(spark, d):
+    attempts = events(spark, d).select(
+        "user_id", "event_id", F.floor(F.col("us") / 1_000_000).alias("second"), F.col("event_type").isin("error", "click", "view").alias("failed"), (F.col("event_type") == "click").alias("challenge"),
+        (F.col("event_id") % 3 == 0).alias("browser"), F.when(F.col("event_id") % 10 == 0, F.col("value").cast("long") * 600).alias("retry_after"))
+    return queues.pruned_backoff(attempts, ["user_id"], "second", "event_id", "failed", "challenge", "browser", "retry_after")
+
+
 @query("watchdog_carry", """
 WITH m AS (SELECT *, event_type = 'error' AS bad, coalesce(lag(event_type = 'error') OVER w, false) AS was FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT event_id, CASE WHEN bad THEN last_value(CASE WHEN bad AND NOT was THEN epoch_us(ts) END IGNORE NULLS) OVER w END AS first_failure,

@@ -250,6 +250,21 @@ def _(spark, d):
     return page.select("c_mktsegment", "c_nationkey", "c_custkey")
 
 
+@query("keyset_batch", """
+WITH r AS (SELECT c_custkey, c_mktsegment, c_name, row_number() OVER (ORDER BY c_mktsegment, c_custkey) AS n, count(*) OVER () AS all_rows FROM customer),
+c AS (SELECT s_suppkey, n, all_rows, CASE s_nationkey % 5 WHEN 0 THEN 'stale' WHEN 1 THEN 'forged' ELSE 'ok' END AS outcome FROM supplier JOIN r ON s_suppkey = c_custkey)
+SELECT c.s_suppkey, outcome, outcome = 'ok' AND c.n + 5 < c.all_rows AS more, CAST(r.n - c.n AS INTEGER) AS position, r.c_custkey FROM c LEFT JOIN r ON outcome = 'ok' AND r.n > c.n AND r.n <= c.n + 5
+""")
+def _(spark, d):
+    rows = load(spark, d, "customer").select("c_mktsegment", "c_custkey", "c_name")
+    kind = F.col("s_nationkey") % 5
+    known = load(spark, d, "supplier").join(rows, F.col("s_suppkey") == F.col("c_custkey")).withColumn("generation", F.when(kind == 0, "g1").otherwise("g2")).withColumn("query", F.lit("all"))
+    signed = filters.sign_cursor(F.col("generation"), F.when(kind == 1, "other").otherwise("all"), [F.col("c_mktsegment"), F.col("c_custkey")])
+    cursors = known.select("s_suppkey", "generation", "query", "c_mktsegment", "c_custkey", signed.alias("signature"))
+    pages, outcomes = filters.keyset_pages(rows, ["c_mktsegment", "c_custkey"], cursors, "s_suppkey", "g2", 5)
+    return outcomes.join(pages, "s_suppkey", "left").select("s_suppkey", "outcome", "more", "position", "c_custkey")
+
+
 @query("next_page_append", """
 SELECT c_custkey FROM customer
 """)

@@ -80,6 +80,16 @@ def _(spark, d):
     return drain(operators.completion_stream(requests, done, "user_id", "created_at", "attempt_at", horizon="6 hours")).select("event_id", "completion_id")
 
 
+@query("stream_first_completions", """
+SELECT a.user_id, a.event_id, epoch_us(a.ts) AS created_us, min(epoch_us(b.ts)) AS completed_us FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.event_type = 'purchase'
+ AND epoch_us(b.ts) BETWEEN epoch_us(a.ts) - 1000000 AND epoch_us(a.ts) + 86400000000
+WHERE a.event_type = 'signup' AND epoch_us(a.ts) + 86400000000 < (SELECT epoch_us(max(ts)) // 1000 * 1000 - 3600000000 FROM events WHERE event_type IN ('signup', 'purchase')) GROUP BY ALL
+""")
+def _(spark, d):
+    log = events(spark, d).where("event_type IN ('signup', 'purchase')").withWatermark("ts", "1 hour").select("ts", "user_id", "event_id", "us", (F.col("event_type") == "signup").alias("asks"))
+    return drain(timed.first_completion_stream(log, "user_id", "event_id", "us", "asks", 86_400_000_000), conf=ROCKS)
+
+
 @query("stream_deduplicated", """
 SELECT DISTINCT user_id, event_type FROM events
 """)

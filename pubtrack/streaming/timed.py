@@ -4,6 +4,7 @@ variables (:data:`pubtrack.streaming.runtime.ROCKS`)."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -84,3 +85,63 @@ def write_ledger_stream(log: DataFrame, ledger: str, at: str, identity: str, res
     form = f"{ledger} {types[ledger]}, {identity} {types[identity]}, {LEDGER_COLUMNS}"
     rows = log.select(timed, ledger, identity, *[F.col(c).cast("long").alias(c) for c in (at, reserved, written)])
     return rows.groupBy(ledger).transformWithStateInPandas(TimedLedger(limit, lease_us, overhead, keep_days, names), form, "Append", "EventTime")
+
+
+class FirstCompletions(StatefulProcessor):
+    """Requests and completions of a key until the horizon of a request has passed; then its earliest completion, or none,
+    is listed. Completions are kept as long as a request can still ask for them, so state is bounded by the horizon."""
+
+    def __init__(self, horizon_us: int, slack_us: int, names: list[str]):
+        self.horizon, self.slack, self.names = horizon_us, slack_us, names
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.asked = handle.getListState("asked", "at long, identity long")
+        self.done = handle.getListState("done", "at long")
+
+    def wake(self, asked: list, done: list) -> None:
+        times = [at + self.horizon for at, _ in asked] + [at + self.slack + self.horizon for at in done]
+        if times:
+            self.handle.registerTimer(min(times) // 1000 + 1)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        _, identity, at, request = self.names
+        asked, done = [], []
+        for batch in rows:
+            for moment, number, is_request in zip(batch[at], batch[identity], batch[request]):
+                asked.append((int(moment), int(number))) if is_request else done.append(int(moment))
+        if asked:
+            self.asked.appendList(asked)
+        if done:
+            self.done.appendList([(at,) for at in done])
+        self.wake(asked, done)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        asked = sorted(tuple(r) for r in self.asked.get()) if self.asked.exists() else []
+        done = sorted(r[0] for r in self.done.get()) if self.done.exists() else []
+        found = []
+        for at, identity in [r for r in asked if r[0] + self.horizon < now]:
+            place = bisect_left(done, at - self.slack)
+            first = done[place] if place < len(done) and done[place] <= at + self.horizon else None
+            found.append((key[0], identity, at, first))
+        asked, done = [r for r in asked if r[0] + self.horizon >= now], [at for at in done if at + self.slack + self.horizon >= now]
+        self.asked.put(asked) if asked else self.asked.clear()
+        self.done.put([(at,) for at in done]) if done else self.done.clear()
+        self.wake(asked, done)
+        return iter([pd.DataFrame(found, columns=[*self.names[:2], "created_us", "completed_us"]).astype({"completed_us": "Int64"})] if found else [])
+
+    def close(self) -> None:
+        pass
+
+
+def first_completion_stream(log: DataFrame, key: str, identity: str, at: str, is_request: str, horizon_us: int, slack_us: int = 1_000_000) -> DataFrame:
+    """The earliest completion of every request of a watermarked log (rows with ``is_request`` are requests, the others
+    completions), not earlier than ``slack_us`` before it and not later than the horizon; requests without one are listed
+    with a null. A request is decided once the watermark has passed its horizon; nothing is paired."""
+    types = dict(log.dtypes)
+    timed = next(c for c, t in log.dtypes if t == "timestamp")
+    rows = log.select(timed, key, identity, at, is_request)
+    return rows.groupBy(key).transformWithStateInPandas(FirstCompletions(horizon_us, slack_us, [key, identity, at, is_request]),
+                                                        f"{key} {types[key]}, {identity} {types[identity]}, created_us long, completed_us long", "Append", "EventTime")

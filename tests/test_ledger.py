@@ -101,3 +101,30 @@ def test_completion_before_the_start_is_no_evidence(table):
     done = table([("a", 500_000), ("a", 2_000_000), ("b", 900_000), ("b", 99_000_000), ("c", 61_000_000)], "job string, finish long")
     got = {r["job"]: (r["job_status"], r["ended_us"]) for r in ledger.lease_outcomes(jobs, done, "job", "start", "finish", 60).collect()}
     assert got == {"a": ("completed", 2_000_000), "b": ("failed", 61_000_000), "c": ("completed", 61_000_000)}
+
+
+def test_backoff_of_two_transports(table):
+    rng = random.Random(6)
+    rows, t = [], 0
+    for i in range(300):
+        t += rng.choice([600, 4000, 20_000, 9 * DAY])
+        bad = rng.random() < 0.8
+        rows.append(("u", i, t, bad, bad and rng.random() < 0.4, rng.random() < 0.5, rng.choice([None, None, 50_000])))
+    frame = table(rows, "url string, id long, at long, failed boolean, challenge boolean, browser boolean, retry_after long")
+    got = {r["id"]: (r["outcome"], r["failures"], r["next_attempt"]) for r in queues.pruned_backoff(frame, ["url"], "at", "id", "failed", "challenge", "browser", "retry_after").collect()}
+    plain, web, want = None, None, {}
+    for _, i, now, bad, barred, browser, floor in rows:
+        plain, web = [e if e and e["until"] > now - 7 * DAY else None for e in (plain, web)]
+        held = plain and plain["until"] > now and not (browser and plain["barred"]) or browser and web and web["until"] > now
+        if held:
+            want[i] = ("deferred", None, None)
+        elif not bad:
+            plain, web = None, None if browser else web
+            want[i] = ("read", None, None)
+        else:
+            before = web if browser and barred else plain
+            n = min(5, (before["n"] if before else 0) + 1)
+            entry = {"n": n, "until": now + max(floor or 0, min(21600, 3600 * 2 ** (n - 1))), "barred": barred}
+            plain, web = (plain, entry) if browser and barred else (entry, web)
+            want[i] = ("failed", n, entry["until"])
+    assert got == want and {w[1] for w in want.values()} >= {1, 2, 3}

@@ -96,3 +96,23 @@ def test_search_form_equals_full_decomposition(table):
     frame = table(rows, "t string").select("t", text.fold_upper(F.col("t")).alias("a"), text.fold_exact(F.col("t")).alias("b"))
     assert len(rows) > 500 and frame.where("a <> b").count() == 0
     assert table([("Mª 1º ﬁn",)], "t string").select(text.fold_upper(F.col("t"))).first()[0] == "MA 1O FIN"
+
+
+def test_cursors_get_their_pages_in_one_job(table):
+    from pubtrack.operators import filters
+
+    rows = table([(s, i, f"n{i}") for i, s in enumerate("aabbbccdde" * 3)], "seg string, id long, name string")
+    order = ["seg", "id"]
+    keys = sorted((s, i) for i, s in enumerate("aabbbccdde" * 3))
+    # Cursors at rows, between rows, before the first and at the last one.
+    asked = [(1, "g2", "q", *keys[3]), (2, "g2", "q", "b", 3_000), (3, "g2", "q", "", 0), (4, "g2", "q", *keys[-1]), (5, "g1", "q", *keys[0]), (6, "g2", "q", *keys[5]), (7, "g2", "q", *keys[3])]
+    frame = table(asked, "cursor long, generation string, query string, seg string, id long")
+    signed = frame.withColumn("signature", filters.sign_cursor(F.col("generation"), F.when(F.col("cursor") == 6, "other").otherwise(F.col("query")), [F.col(c) for c in order]))
+    pages, outcomes = filters.keyset_pages(rows, order, signed, "cursor", "g2", 4)
+    got = {}
+    for r in pages.orderBy("cursor", "position").collect():
+        got.setdefault(r["cursor"], []).append((r["seg"], r["id"]))
+    want = {c: [k for k in keys if k > (s, i)][:4] for c, g, _, s, i in asked if c not in (5, 6)}
+    assert got == {c: page for c, page in want.items() if page}
+    assert {r["cursor"]: (r["outcome"], r["more"]) for r in outcomes.collect()} == {
+        c: ("stale", False) if c == 5 else ("forged", False) if c == 6 else ("ok", len([k for k in keys if k > (s, i)]) > 4) for c, g, _, s, i in asked}
