@@ -79,6 +79,12 @@ def facet_values(rows: DataFrame, key: str, label: str, position: str) -> DataFr
     return rows.groupBy(key).agg(F.max_by(label, position).alias("label"))
 
 
+def ordered_facets(rows: DataFrame, key: str, label: str, position: str) -> DataFrame:
+    """:func:`facet_values` with their place in the Spanish order of the labels (ties: by key)."""
+    found = facet_values(rows, key, label, position)
+    return ordered_scan(found.withColumn("_order", spanish_key(F.col("label"))), [], [F.col("_order"), F.col(key)], [rank("place")]).drop("_order")
+
+
 def sorted_positions(rows: DataFrame, key: str, descending: bool, tie: str, kind: str = "text") -> DataFrame:
     """Stable position of each row under Spanish number-aware text order or numeric order."""
     if kind == "text":

@@ -15,6 +15,7 @@ from pubtrack.functions.text import squeeze
 from pubtrack.functions.urls import url_part
 from pubtrack.functions.values import clean_stamp, local_instant, strict_date
 from pubtrack.operators.scan import following, ordered_scan, previous
+from pubtrack.session import small_side
 
 
 def with_violations(rows: DataFrame, rules: Mapping[str, Column], name: str = "violations") -> DataFrame:
@@ -99,6 +100,72 @@ def box_rules(boxes: Column, page_height: float = 595.0) -> dict[str, Column]:
     }
 
 
+# Forms of identifiers, numbers and codes in published records.
+RECORD_ID, LIST_NUMBER, SPECIALTY_CODE = "^[a-f0-9]{32}$", r"^\d{7,8}$", "^03[1-9]$"
+PRINTED_CODE = "^(?:03[1-9]|59703[1-9]|059703[1-9])$"
+CODE_PREFIXES = ("597", "0597")
+BLOCKS = ["I", "II"]
+CODE_STATES = ["published", "not_stated"]
+RELATIONS = ["inclusion", "habilitation_added"]
+MOST_CODES = 100
+
+
+def readable(text: Column, most: int = 180) -> Column:
+    """Neither empty nor too long, and without control characters."""
+    return F.length(text).between(1, most) & ~F.rlike(text, F.lit(r"[\x00-\x1f]"))
+
+
+def page_inside(page: Column, pages: Column, first: int = 1) -> Column:
+    return (page >= first) & (page <= pages)
+
+
+def record_rules() -> dict[str, Column]:
+    """Rules for the records of a ranked list. Columns: id, membership_id, list_number, name, rank, block, block_name, page,
+    baseline_page, roster_id, source_id, codes (array of struct code, name), codes_state and relation (struct kind,
+    previous_id, previous_number, source, page, code, printed); besides what :func:`with_documents` adds.
+
+    A row comes from its roster or from one of its amendments, and its page must exist there. Codes are told apart by
+    their last three digits. A relation exists only in rows of an amendment: an inclusion names nobody before, an added
+    code names the same member at the stated place of the roster, and the member must hold the code.
+    """
+    r = F.col("relation")
+    optional = lambda value, rule: value.isNull() | F.coalesce(rule, F.lit(False))
+    tails = F.transform("codes", lambda c: F.right(c["code"], F.lit(3)))
+    state = F.coalesce("codes_state", F.when(F.size("codes") > 0, "published").otherwise("not_stated"))
+    included = r["previous_id"].isNull() & r["previous_number"].isNull()
+    added = ((r["previous_id"] == F.col("id")) & (r["previous_number"] == F.col("list_number")) & (r["source"] == F.col("roster_id"))
+             & page_inside(r["page"], F.col("roster_pages")) & (r["page"] == F.col("baseline_page")) & F.rlike(r["code"], F.lit(SPECIALTY_CODE))
+             & F.exists("codes", lambda c: c["code"] == r["code"]) & r["printed"].isin(*[F.concat(F.lit(p), r["code"]) for p in CODE_PREFIXES]))
+    stated = F.col("amendment_pages").isNotNull() & r["kind"].isin(RELATIONS) & F.when(r["kind"] == "inclusion", included).otherwise(added)
+    return {
+        "identity": F.rlike("id", F.lit(RECORD_ID)) & optional(F.col("membership_id"), F.rlike("membership_id", F.lit(RECORD_ID))),
+        "source": F.col("roster_pages").isNotNull() & ((F.col("source_id") == F.col("roster_id")) | F.col("amendment_pages").isNotNull()),
+        "list_number": F.rlike("list_number", F.lit(LIST_NUMBER)),
+        "text": readable(F.col("name")) & readable(F.col("block_name")),
+        "block": F.col("block").isin(BLOCKS),
+        "rank": page_inside(F.col("rank"), F.col("roster_count")),
+        "page": page_inside(F.col("page"), F.coalesce("amendment_pages", "roster_pages")),
+        "baseline_page": optional(F.col("baseline_page"), page_inside(F.col("baseline_page"), F.col("roster_pages"))),
+        "codes": (F.size("codes") <= MOST_CODES) & F.forall("codes", lambda c: F.rlike(c["code"], F.lit(PRINTED_CODE)) & readable(c["name"])) & (F.size(F.array_distinct(tails)) == F.size("codes")),
+        "codes_state": state.isin(CODE_STATES) & ((state == "published") | (F.size("codes") == 0)),
+        "relation": optional(r, stated),
+    }
+
+
+def with_documents(records: DataFrame, rosters: DataFrame, amendments: DataFrame) -> DataFrame:
+    """Add ``roster_pages``, ``roster_count`` and ``amendment_pages`` (null where there is none) from the published rosters
+    (roster_id, pages, members) and amendments (roster_id, source_id, pages): lists of documents, far smaller than their rows."""
+    listed = rosters.select("roster_id", F.col("pages").alias("roster_pages"), F.col("members").alias("roster_count"))
+    amended = amendments.select("roster_id", "source_id", F.col("pages").alias("amendment_pages"))
+    return records.join(small_side(listed), "roster_id", "left").join(small_side(amended), ["roster_id", "source_id"], "left")
+
+
+def record_violations(records: DataFrame, rosters: DataFrame, amendments: DataFrame, name: str = "violations") -> DataFrame:
+    """The records with the names of the rules they break; an undecidable rule counts as broken."""
+    checked = with_violations(with_documents(records, rosters, amendments), record_rules(), name)
+    return checked.drop("roster_pages", "roster_count", "amendment_pages")
+
+
 def typed_vacancy(rows: DataFrame, cells: str, document: str, page: str, row_number: str) -> DataFrame:
     """Typed columns of validated vacancy cells, next to the untouched originals."""
     cell = [squeeze(F.get(F.col(cells), F.lit(i))) for i in range(7)]

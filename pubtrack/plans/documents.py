@@ -9,6 +9,8 @@ from pubtrack.operators import filters, history, inventory
 from pubtrack.operators.scan import ordered_scan, rank
 from pubtrack.plans.registry import query
 from pubtrack.session import load
+from pubtrack.sources import state
+from pubtrack.streaming.runtime import run_folder
 
 DOCS = """
 WITH docs AS (SELECT doc_id, sha256(text) AS digest, lang, source, n_chars FROM documents),
@@ -143,6 +145,18 @@ def _(spark, d):
     return reviewed(spark, d).join(stored, "doc_id").select("doc_id", F.col("digest").eqNullSafe(F.col("actual")).alias("verified"))
 
 
+@query("verified_originals", """
+SELECT sha256(text) AS sha256, min(doc_id) % 10 <> 3 AS verified, CASE WHEN min(doc_id) % 10 <> 3 THEN octet_length(encode(text)) ELSE octet_length(encode(text)) + 1 END AS bytes FROM documents GROUP BY text
+""")
+def _(spark, d):
+    # Every text is stored as a file named by its hash; some are altered afterwards by one byte.
+    path = f"{run_folder(spark)}/originals"
+    kept = load(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    content = F.when(F.col("doc_id") % 10 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    state.store_originals(kept.select(F.sha2("text", 256).alias("sha256"), content.cast("binary").alias("content")), path, "txt")
+    return state.stored_originals(spark, path, "txt").select("sha256", "verified", F.col("bytes"))
+
+
 @query("accepted_and_quarantined", DOCS + """
 SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'quarantine' ELSE 'accepted' END AS zone FROM docs d
 LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) l USING (doc_id)

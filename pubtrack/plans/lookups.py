@@ -203,6 +203,15 @@ def _(spark, d):
     return filters.facet_values(load(spark, d, "part"), "p_brand", "p_type", "p_partkey")
 
 
+@query("ordered_facets", """
+WITH f AS (SELECT p_brand, translate(arg_max(p_type, p_partkey), 'NO', 'ñÓ') || ' ' || (arg_max(p_partkey, p_partkey) % 12) AS label FROM part GROUP BY 1)
+SELECT p_brand, label, row_number() OVER (ORDER BY replace(strip_accents(lower(replace(regexp_extract(label, '^[^0-9]*'), 'ñ', 'n~~'))), 'n~~', 'n' || chr(1000)), CAST(regexp_extract(label, '[0-9]+') AS INTEGER), p_brand) AS place FROM f
+""")
+def _(spark, d):
+    labelled = load(spark, d, "part").withColumn("label_of", F.concat(F.translate("p_type", "NO", "ñÓ"), F.lit(" "), (F.col("p_partkey") % 12).cast("string")))
+    return filters.ordered_facets(labelled, "p_brand", "label_of", "p_partkey")
+
+
 @query("sorted_rows", """
 SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment, c_custkey) AS position FROM customer
 """)

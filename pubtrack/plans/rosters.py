@@ -9,7 +9,7 @@ from pubtrack.functions.text import fold_upper
 from pubtrack.functions.values import membership_key, short_id
 from pubtrack.operators import ranking, validate
 from pubtrack.plans.registry import query
-from pubtrack.session import load, small_side
+from pubtrack.session import cut, load, small_side
 
 
 
@@ -224,6 +224,61 @@ def _(spark, d):
     return validate.violation_counts(validate.with_violations(lines, rules), ["publication"])
 
 
+# Members of a nation are a roster of three pages, each region has one amendment; some records break a rule.
+@query("record_violations", """
+WITH m AS (SELECT c_custkey AS k, c_nationkey AS n, c_custkey % 12 AS c, c_custkey % 2 = 0 AS amended FROM customer),
+r AS (SELECT k, unnest([CASE WHEN c = 1 THEN 'identity' END, CASE WHEN c = 2 THEN 'source' END, CASE WHEN c = 3 THEN 'list_number' END, CASE WHEN c = 4 THEN 'text' END, CASE WHEN c = 5 THEN 'block' END,
+ CASE WHEN c = 6 THEN 'rank' END, CASE WHEN c = 7 OR c = 2 AND k % 5 = 4 THEN 'page' END, CASE WHEN c = 8 THEN 'baseline_page' END, CASE WHEN c = 9 THEN 'codes' END, CASE WHEN c = 10 THEN 'codes_state' END,
+ CASE WHEN k % 5 = 1 AND (NOT amended OR c = 2) OR k % 5 = 2 AND (NOT amended OR c IN (2, 3, 8, 9, 10)) OR k % 5 = 3 THEN 'relation' END]) AS rule FROM m)
+SELECT k, rule FROM r WHERE rule IS NOT NULL
+""")
+def _(spark, d):
+    k = F.col("c_custkey")
+    case, kind, amended = k % 12, k % 5, k % 2 == 0
+    identity = F.when(case == 1, "no id").otherwise(F.left(F.sha2(k.cast("string"), 256), F.lit(32)))
+    number = F.when(case == 3, "12").otherwise(F.lpad(k.cast("string"), 8, "0"))
+    roster, own = F.concat(F.lit("n"), F.col("c_nationkey")), F.when(amended, F.concat(F.lit("a"), F.col("c_nationkey"))).otherwise(F.concat(F.lit("n"), F.col("c_nationkey")))
+    code = lambda value, name: F.struct(F.lit(value).alias("code"), F.lit(name).alias("name"))
+    codes = F.when(case == 9, F.array(code("0597031", "x"), code("031", "y"))).otherwise(F.array(code("032", "x"), code("597033", "y")))
+    baseline = F.when(case == 8, 9).otherwise(2)
+    nobody = F.lit(None).cast("string")
+    relation = F.when(kind == 1, F.struct(F.lit("inclusion").alias("kind"), nobody.alias("previous_id"), nobody.alias("previous_number"), nobody.alias("source"), F.lit(None).cast("int").alias("page"), nobody.alias("code"), nobody.alias("printed")))
+    relation = relation.when(kind == 2, F.struct(F.lit("habilitation_added").alias("kind"), F.when(case == 1, "no id").otherwise(identity).alias("previous_id"), F.when(case == 3, "99").otherwise(number).alias("previous_number"),
+                                                 roster.alias("source"), baseline.alias("page"), F.lit("032").alias("code"), F.when(case == 10, "032").otherwise("0597032").alias("printed")))
+    relation = relation.when(kind == 3, F.struct(F.lit("moved").alias("kind"), nobody.alias("previous_id"), nobody.alias("previous_number"), nobody.alias("source"), F.lit(None).cast("int").alias("page"), nobody.alias("code"), nobody.alias("printed")))
+    records = load(spark, d, "customer").select(
+        k.alias("k"), identity.alias("id"), nobody.alias("membership_id"), number.alias("list_number"), F.when(case == 4, "").otherwise(F.col("c_name")).alias("name"), F.when(case == 6, 0).otherwise(1).alias("rank"),
+        F.when(case == 5, "III").otherwise("I").alias("block"), F.col("c_mktsegment").alias("block_name"), F.when((case == 7) | ((case == 2) & (kind == 4)), 99).otherwise(3).alias("page"), baseline.alias("baseline_page"),
+        roster.alias("roster_id"), F.when(case == 2, "elsewhere").otherwise(own).alias("source_id"), codes.alias("codes"), F.when(case == 10, "not_stated").alias("codes_state"), relation.alias("relation"))
+    nations = load(spark, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("members"))
+    rosters = nations.select(F.concat(F.lit("n"), "c_nationkey").alias("roster_id"), F.lit(3).alias("pages"), "members")
+    amendments = nations.select(F.concat(F.lit("n"), "c_nationkey").alias("roster_id"), F.concat(F.lit("a"), "c_nationkey").alias("source_id"), F.lit(5).alias("pages"))
+    # The records are stored as a user's would be; the expressions that make them up do not mix with the rules.
+    return validate.record_violations(cut(records), rosters, amendments).select("k", F.explode("violations").alias("rule"))
+
+
+@query("box_violations", """
+WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity::INT % 7 AS c FROM lineitem),
+r AS (SELECT l_orderkey, l_linenumber, unnest([CASE WHEN c = 1 THEN 'box_count' END, CASE WHEN c = 2 THEN 'box_shape' END, CASE WHEN c = 2 OR c = 3 THEN 'box_range' END, CASE WHEN c IN (1, 4) THEN 'box_columns' END,
+ CASE WHEN c IN (2, 3, 5) THEN 'box_row' END]) AS rule FROM b)
+SELECT l_orderkey, l_linenumber, rule FROM r WHERE rule IS NOT NULL
+""")
+def _(spark, d):
+    case, at = F.col("l_quantity").cast("int") % 7, (F.col("l_partkey") % 7).cast("int")
+    edges = list(zip(validate.COLUMN_EDGES[:-1], validate.COLUMN_EDGES[1:]))
+    top = (F.col("l_linenumber") * 20).cast("double")
+
+    def box(i, x0, x1):
+        hit = at == i
+        left = F.when((case == 4) & hit, F.lit(x0 + 5.0)).otherwise(F.lit(float(x0)))
+        bottom = F.when((case == 3) & hit, F.lit(700.0)).when((case == 5) & hit, top + 14).when((case == 2) & hit, F.lit(None).cast("double")).otherwise(top + 10)
+        return F.array(left, top, F.lit(float(x1)), bottom)
+
+    boxes = F.array(*[box(i, x0, x1) for i, (x0, x1) in enumerate(edges)])
+    rows = load(spark, d, "lineitem").withColumn("boxes", F.when(case == 1, F.slice(boxes, 1, 6)).otherwise(boxes))
+    return validate.with_violations(rows, validate.box_rules(F.col("boxes"))).select("l_orderkey", "l_linenumber", F.explode("violations").alias("rule"))
+
+
 @query("publication_gate", """
 SELECT l_orderkey AS publication, count(*) AS row_count, count(*) FILTER (l_quantity > 48) AS broken_rows,
  count(*) FILTER (l_quantity > 48) = 0 AS accepted FROM lineitem GROUP BY 1

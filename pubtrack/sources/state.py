@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +81,24 @@ def required_documents(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
     return required, required.groupBy("content_id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
+def store_originals(contents: DataFrame, path: str, suffix: str = "pdf") -> None:
+    """Write each row (sha256, content) as a file named by its hash, in folders by the hash's first two digits. Tasks write
+    their rows side by side through Hadoop's file system; a repeated task writes the same files again."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        target, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        for batch in batches:
+            for name, content in zip(batch.column("sha256").to_pylist(), batch.column("content").to_pylist()):
+                folder = f"{root}/{name[:2]}"
+                target.create_dir(folder, recursive=True)
+                with target.open_output_stream(f"{folder}/{name}.{suffix}") as out:
+                    out.write(content)
+            yield batch.select(["sha256"])
+
+    contents.select("sha256", "content").mapInArrow(write, "sha256 string").write.format("noop").mode("overwrite").save()
+
+
 def stored_originals(spark: SparkSession, path: str, suffix: str = "pdf") -> DataFrame:
     """Stored files whose name is the hash of their bytes; ``verified`` is false for altered ones."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").option("recursiveFileLookup", True).load(path)
