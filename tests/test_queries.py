@@ -8,7 +8,7 @@ FOLDER = "/root/testdata/sf0.001"
 SAMPLE = ["snapshot_diff", "compatible_publications", "semantic_digest", "ordinal_rank", "amended_list", "row_rule_violations", "page_links",
           "disappeared_documents", "manifest_reconciliation", "family_coverage", "content_revisions", "health_assessment", "work_queue",
           "failure_backoff", "batch_search_outcomes", "rarest_gram", "line_heading_context", "page_sections", "activation_report",
-          "generation_blocks", "throttle_batch", "daily_budget", "change_probe", "write_usage", "stream_throttle"]
+          "generation_blocks", "keyset_batch", "pruned_backoff", "record_violations", "ordered_facets", "verified_originals", "delayed_budget", "write_ledger", "throttle_batch", "daily_budget", "change_probe", "write_usage", "stream_throttle"]
 
 
 @pytest.fixture(scope="module")
