@@ -16,7 +16,7 @@ from pubtrack.functions.text import fold_upper
 from pubtrack.functions.values import short_id
 from pubtrack.operators.history import as_of_previous
 from pubtrack.operators.scan import last_known, ordered_scan, previous, rank
-from pubtrack.session import small_side
+from pubtrack.session import cut, small_side
 
 
 def text_lines(documents: DataFrame, document: Sequence[str], text: str) -> DataFrame:
@@ -104,8 +104,9 @@ def parse_roster(lines: DataFrame, layout: RosterLayout, document: str = "doc",
                                                          F.array(F.lit("no_end_marker")).alias("_v"))
     body = lines.join(body_pages.select(document, page), [document, page], "left_semi")
     pair = lambda pattern: F.when(part(pattern, 1).isNotNull(), F.struct(part(pattern, 1).alias("code"), part(pattern, 2).alias("name")))
-    placed = heading_context(body, [document], [F.col(page), F.col(line_no)],
-                             {"body": pair(layout.body), "specialty": pair(layout.specialty), "block": pair(layout.block)})
+    # Stored: two more ordered scans follow, and the bounds of one scan inside those of another are more than the optimizer takes.
+    placed = cut(heading_context(body, [document], [F.col(page), F.col(line_no)],
+                                 {"body": pair(layout.body), "specialty": pair(layout.specialty), "block": pair(layout.block)}))
     known = F.rlike(whole, F.lit("^(?:%s)$" % "|".join([layout.body, layout.specialty, layout.block, layout.row, layout.footer])))
     unknown = placed.where(~known & ~whole.isin([*layout.ignored, *layout.required])).select(
         document, page, line_no, F.array(F.lit("unrecognised_line")).alias("_v"))

@@ -9,7 +9,7 @@ from pubtrack.operators import extract, generation, ranking, validate
 from pubtrack.operators.scan import ordered_scan, rank
 from pubtrack.plans.generations import MEMBERS, members
 from pubtrack.plans.registry import query
-from pubtrack.session import load
+from pubtrack.session import cut, load
 from pubtrack.sources import sinks, state
 from pubtrack.streaming.runtime import run_folder
 
@@ -192,7 +192,8 @@ def rosters(spark, d):
     listed = load(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("doc"))
     listed = ordered_scan(listed.select("doc", "n_regionkey", "c_custkey", "c_mktsegment"), ["doc"], [F.col("c_custkey")], [rank("n")])
     place = F.floor((F.col("n") - 1) / 20).cast("int")
-    placed = listed.withColumn("page", place + 2).withColumn("line_no", ((F.col("n") - 1) % 20 + 10).cast("int"))
+    # Stored, as every kind of line is made from it: otherwise each would scan the customers again.
+    placed = cut(listed.withColumn("page", place + 2).withColumn("line_no", ((F.col("n") - 1) % 20 + 10).cast("int")))
     printed = F.concat(F.lpad(text("c_custkey"), 8, "0"), F.lit(" ***1234** LOPEZ, Ana "), F.col("c_mktsegment"), F.lit(" 1.5000"))
     line = lambda frame, number, value: frame.select("doc", "page", F.lit(number).alias("line_no"), value.alias("text"))
     pages = placed.select("doc", "n_regionkey", "page").distinct()
