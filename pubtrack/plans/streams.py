@@ -111,5 +111,6 @@ SELECT doc_id, CASE WHEN doc_id <> min(doc_id) OVER (PARTITION BY text) THEN 'al
 """)
 def _(spark, d):
     root = run_folder(spark)
-    PublishLoop(root, "doc_id", "text", "doc_id", F.col("n_chars") >= 500).run(table_stream(spark, d, "documents"))
+    # The smallest id of a text is the one to publish, in whatever file it is, so all files are one batch.
+    PublishLoop(root, "doc_id", "text", "doc_id", F.col("n_chars") >= 500).run(table_stream(spark, d, "documents", files_per_trigger=1_000_000))
     return spark.read.parquet(f"{root}/checks").select("doc_id", "status")

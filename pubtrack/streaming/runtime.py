@@ -13,12 +13,12 @@ from pubtrack.session import checkpoint_dir
 
 
 def table_stream(spark: SparkSession, directory: str, name: str, files_per_trigger: int = 64) -> DataFrame:
-    """Stream over the Parquet files of one table. Wall-clock stamps become UTC instants, as
-    watermarks need instants."""
+    """Stream over the Parquet files of one table, which is a file or a folder of files. Wall-clock stamps become UTC
+    instants, as watermarks need instants."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = spark.read.parquet(f"{directory}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    table = reader.option("maxFilesPerTrigger", files_per_trigger).parquet(directory)
+    # A stream takes a single file only as a pattern; this one matches the table itself and nothing else.
+    table = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{directory}/{name}.parque[t]")
     for item in schema.fields:
         if isinstance(item.dataType, T.TimestampNTZType):
             table = table.withColumn(item.name, F.col(item.name).cast("timestamp"))
