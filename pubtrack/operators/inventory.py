@@ -23,7 +23,7 @@ def reconcile_manifest(reviewed: DataFrame, prior: DataFrame, identity: str, dig
 def merge_collections(collections: Sequence[DataFrame], identity: str, semantic: Sequence[str],
                       volatile: Sequence[str]) -> DataFrame:
     """Union of collections: entries of one id must agree on all but volatile fields; the later
-    collection overrides. Disagreement is reported as a conflict."""
+    collection overrides, and of entries of one collection the largest value. Disagreement is reported as a conflict."""
     parts = []
     for i, collection in enumerate(collections):
         parts.append(collection.select(identity, *semantic, *volatile).withColumn("_at", F.lit(i)))
@@ -32,7 +32,7 @@ def merge_collections(collections: Sequence[DataFrame], identity: str, semantic:
         union = union.unionByName(part)
     text = row_text([F.col(c) for c in semantic])
     # Two equal extremes mean one distinct value: no set is built per id.
-    newest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias(c) for c in [*semantic, *volatile]]
+    newest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("_at", c))).alias(c) for c in [*semantic, *volatile]]
     return union.groupBy(identity).agg(*newest, F.count(F.lit(1)).alias("entries"),
                                        (F.min(text) != F.max(text)).alias("conflict"))
 
