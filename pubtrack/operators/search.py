@@ -1,20 +1,26 @@
-"""Batch search: trigram postings, rarest-gram access, verification, bounded result pages."""
+"""Batch search: trigram postings, texts met by blocks of queries, bounded result pages."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pubtrack.functions.text import alphanumerics, by_length, contains_words, meets_needs, probe_grams, token_needs, tokens, trigrams
+from pubtrack.functions.text import alphanumerics, by_length, probe_grams, token_needs, tokens, trigrams
 from pubtrack.operators.scan import top_per_key
 from pubtrack.session import BROADCAST_ROWS, cut, is_small
 
 PAGE = 20
-SHARES = 32
-#: Gram lists up to this length are matched inside the row, longer ones by a join.
-SHORT_LIST = 4096
+#: Queries and records in a block of a large query set, about.
+SHORT_LIST, BLOCK_RECORDS = 65_536, 4096
+#: Records whose matches are given out at once.
+MATCHED_AT_ONCE = 256
+#: Pieces of a text, and their longest, whose words a task remembers.
+PIECES_KEPT, LONGEST_KEPT = 100_000, 64
 
 
 def parse_queries(queries: DataFrame, identity: str, folded: str, max_tokens: int | None = None, max_chars: int | None = None,
@@ -44,14 +50,6 @@ def postings(corpus: DataFrame, identity: str, text: str) -> DataFrame:
     return corpus.select(identity, F.explode(trigrams(F.col(text))).alias("gram"))
 
 
-def matching_postings(corpus: DataFrame, identity: str, text: str, wanted: DataFrame) -> DataFrame:
-    """Corpus rows repeated only for the wanted grams they hold. ``wanted`` has been proven small;
-    it travels as one array, so unwanted grams are dropped before any row is copied."""
-    held = wanted.agg(F.collect_set("gram").alias("_wanted")).withColumn("_one", F.lit(1))
-    marked = corpus.withColumn("_one", F.lit(1)).join(F.broadcast(held), "_one").drop("_one")
-    return marked.withColumn("gram", F.explode(F.array_intersect(trigrams(F.col(text)), F.col("_wanted")))).drop("_wanted")
-
-
 def missing_postings(corpus: DataFrame, indexed: DataFrame, identity: str) -> DataFrame:
     """Records without postings yet; the index is complete when there are none."""
     return corpus.join(indexed.select(identity).distinct(), identity, "left_anti")
@@ -70,6 +68,64 @@ def rarest_gram(parsed: DataFrame, identity: str, sizes: DataFrame) -> DataFrame
     return sized.groupBy(identity).agg(F.min_by("gram", best).alias("gram"), F.min("posting_size").alias("posting_size"))
 
 
+def matcher(long_words: Sequence[Sequence[str]], needs: Sequence[Sequence[tuple[str, int]]]) -> Callable[[str], Iterator[tuple[int, bool]]]:
+    """For a text, the numbers of the queries all of whose long words it holds, and whether it meets their needs. Words are
+    looked for in every distinct piece between white space, and only if a trigram of theirs is there; what frequent pieces hold is
+    remembered. A query is looked at only if its word that the fewest queries share was found."""
+    grams = lambda text: {text[i:i + 3] for i in range(len(text) - 2)}
+    users = Counter(word for words in long_words for word in words)
+    common = Counter(gram for word in users for gram in grams(word))
+    by_gram, by_word = defaultdict(list), defaultdict(list)
+    for word in users:
+        by_gram[min(grams(word), key=lambda g: (common[g], g))].append(word)
+    for number, words in enumerate(long_words):
+        # The other words, and the needs that holding the long words does not meet.
+        least = min(words, key=lambda w: (users[w], -len(w)))
+        by_word[least].append((number, frozenset(words) - {least}, [(t, n) for t, n in needs[number] if n > 1 or t not in users]))
+
+    def look(piece: str) -> tuple[str, ...]:
+        return tuple(word for gram in by_gram.keys() & grams(piece) for word in by_gram[gram] if word in piece)
+
+    inside = lru_cache(PIECES_KEPT)(look)
+
+    def met(text: str) -> Iterator[tuple[int, bool]]:
+        # Words hold no white space, so one is in the text if it is in a piece.
+        held = set().union(*[inside(piece) if len(piece) <= LONGEST_KEPT else look(piece) for piece in set(text.split())])
+        counted = {}
+        for word in by_word.keys() & held:
+            for number, others, rest in by_word[word]:
+                if others <= held:
+                    ok = True
+                    for t, n in rest:
+                        if t not in counted:
+                            counted[t] = text.count(t)
+                        if counted[t] < n:
+                            ok = False
+                            break
+                    yield number, ok
+
+    return met
+
+
+def matched(queries: pa.Table, query: str, record: str, text: str, scope: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A step over batches of records: a row for every query and record that holds its long words, with the other columns
+    of the record and ``_verified``."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = matcher(queries["long_words"].to_pylist(), [[(s["t"], s["n"]) for s in needs] for needs in queries["needs"].to_pylist()])
+        asked, scopes = queries[query].combine_chunks(), queries["_scope"].to_pylist() if scope else None
+        for batch in batches:
+            for part in (batch.slice(at, MATCHED_AT_ONCE) for at in range(0, batch.num_rows, MATCHED_AT_ONCE)):
+                places = part.column(scope).to_pylist() if scope else None
+                found = [(row, number, ok) for row, value in enumerate(part.column(text).to_pylist()) if value is not None for number, ok in met(value)
+                         if not scope or scopes[number] is None or scopes[number] == places[row]]
+                at = pa.array([f[0] for f in found], pa.int64())
+                kept = [c for c in part.schema.names if c != text]
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array([f[1] for f in found], pa.int64())), *[part.column(c).take(at) for c in kept], pa.array([f[2] for f in found], pa.bool_())],
+                                                 names=[query, *kept, "_verified"])
+
+    return rows
+
+
 def search_names(corpus: DataFrame, record: str, text: str, parsed: DataFrame, query: str, order: Sequence[Column],
                  page: int = PAGE, broad: int | None = None, broadcast_rows: int = BROADCAST_ROWS,
                  scope: str | None = None, skip: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -80,41 +136,14 @@ def search_names(corpus: DataFrame, record: str, text: str, parsed: DataFrame, q
     records with the same value. Every query gets its first ``page`` results after the first ``skip``; with ``broad``, the outcome of a query with
     more candidates than that is ``too_broad``, as a hint to narrow it.
 
-    Each query reaches the corpus through its rarest gram only. A small query set meets the postings
-    by broadcast, so no text is shuffled; a large one is shuffled by (gram, share) with the records of
-    a gram spread over shares. Candidates are counted with a map-side combine and pages are cut before
-    their shuffle, so popular grams do not gather anywhere.
+    A small query set goes to every task, so no text is shuffled. A large one is dealt into blocks of SHORT_LIST and the
+    records into blocks of about BLOCK_RECORDS; every pair of blocks is one group, so a text is shuffled once for each block of
+    queries and no pair of a query and a record is stored that is not a candidate. Candidates are counted with a map-side combine and
+    pages are cut before their shuffle, so popular words do not gather anywhere.
     """
     parsed = cut(parsed)
-    names = parsed.where(F.col("kind") == "name")
-    wanted = names.select(F.explode("grams").alias("gram")).distinct()
-    grams = wanted.limit(broadcast_rows + 1).count()
-    # Both the grams and the queries travel to every task only when both are proven small.
-    few = grams <= broadcast_rows and is_small(names, broadcast_rows)
-    short_list = few and grams <= SHORT_LIST
-    texts = corpus.select(record, text)
-    if short_list:
-        index = matching_postings(texts, record, text, wanted)
-    else:
-        index = postings(texts, record, text).join(F.broadcast(wanted) if few else wanted, "gram", "left_semi")
-    chosen = rarest_gram(parsed, query, gram_sizes(index)).where(F.col("posting_size") > 0)
-    # Small and read twice: once as the list of grams, once as the probe side.
-    inside = [F.col(scope).alias("_scope")] if scope else []
-    probes = cut(names.select(query, "needs", "long_words", *inside).join(chosen, query))
-    if short_list:
-        met = matching_postings(corpus, record, text, probes.select("gram").distinct()).join(F.broadcast(probes), "gram")
-    elif few:
-        met = corpus.withColumn("gram", F.explode(trigrams(F.col(text)))).join(F.broadcast(probes), "gram")
-    else:
-        share = F.pmod(F.xxhash64(record), F.lit(SHARES)).cast("int")
-        shared = probes.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-        pairs = index.withColumn("_share", share).join(shared, ["gram", "_share"]).drop("_share")
-        met = pairs.join(corpus, record)
-    if scope:
-        met = met.where(F.col("_scope").isNull() | (F.col("_scope") == F.col(scope)))
-    # One pass over the texts; what is kept of a candidate is its key, never its text.
-    candidates = cut(met.where(contains_words(F.col(text), F.col("long_words"))).select(
-        query, record, *order_columns(corpus, record, text), meets_needs(F.col(text), F.col("needs")).alias("_verified")))
+    names = parsed.where(F.col("kind") == "name").select(query, "needs", "long_words", *([F.col(scope).alias("_scope")] if scope else []))
+    candidates = cut(candidate_rows(corpus, record, text, names, query, scope, broadcast_rows))
     counts = candidates.groupBy(query).agg(F.count(F.lit(1)).alias("candidates"), F.count_if("_verified").alias("matches"))
     outcomes = parsed.join(counts, query, "left").select(
         query, "kind", F.coalesce("candidates", F.lit(0)).alias("candidates"),
@@ -125,6 +154,31 @@ def search_names(corpus: DataFrame, record: str, text: str, parsed: DataFrame, q
     return hits.where(F.col("position") > skip), outcomes
 
 
+def candidate_rows(corpus: DataFrame, record: str, text: str, names: DataFrame, query: str, scope: str | None = None,
+                   broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Every query of ``names`` with the records that hold its long words: query, record, order columns, ``_verified``. What is kept
+    of a record is its key, never its text."""
+    others = order_columns(corpus, record, text)
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in
+                      [names.schema[query], *[corpus.schema[c] for c in (record, *others)]]) + ", _verified boolean"
+    corpus = corpus.select(record, *others, text)
+    if is_small(names, broadcast_rows):
+        return corpus.mapInArrow(matched(names.toArrow(), query, record, text, scope), shape)
+    query_blocks, record_blocks = names.count() // SHORT_LIST + 1, corpus.count() // BLOCK_RECORDS + 1
+    block = lambda key, blocks: F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asked = names.withColumn("_q", block(query, query_blocks)).withColumn("_r", every(record_blocks))
+    given = corpus.withColumn("_r", block(record, record_blocks)).withColumn("_q", every(query_blocks))
+
+    def meet(queries: pa.Table, records: pa.Table) -> pa.Table:
+        held = records.drop_columns(["_q", "_r"])
+        kept = [held.schema.field(c) for c in (record, *others)]
+        form = pa.schema([queries.schema.field(query), *kept, pa.field("_verified", pa.bool_())])
+        return pa.Table.from_batches(matched(queries, query, record, text, scope)(iter(held.to_batches())) if queries.num_rows else [], form)
+
+    return asked.groupBy("_q", "_r").cogroup(given.groupBy("_q", "_r")).applyInArrow(meet, shape)
+
+
 def order_columns(corpus: DataFrame, record: str, text: str) -> list[str]:
     """Corpus columns besides the id and the text."""
     return [c for c in corpus.columns if c not in (record, text, "gram")]
