@@ -1,8 +1,8 @@
 """A stored trigram index: posting lists and texts in files by hash bucket, extended by generation.
 
 ``<root>/lists`` holds the records of every trigram as sorted lists, ``<root>/texts`` the texts themselves, both below
-``generation=.../bucket=...``. A search opens only the buckets of its grams, intersects the lists of each query's rarest
-grams, and then opens only the buckets of the texts that are left. Lists of consecutive numbers are stored as
+``generation=.../bucket=...``. A search opens only the buckets of its grams, joins the lists of each query's rarest
+gram, and then opens only the buckets of the texts that are left. Lists of consecutive numbers are stored as
 differences by Parquet's own delta encoding.
 """
 
@@ -13,9 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pubtrack.functions.text import contains_words, meets_needs, trigrams
+from pubtrack.functions.text import trigrams
 from pubtrack.operators.scan import top_per_key
-from pubtrack.operators.search import PAGE
+from pubtrack.operators.search import PAGE, candidate_rows, rarest_gram
 from pubtrack.session import cut, small_side
 from pubtrack.sources.sinks import exists
 
@@ -89,15 +89,24 @@ def indexed_candidates(spark: SparkSession, root: str, parsed: DataFrame, query:
     return both.where(F.col("held") == F.col("needed")).select(query, "record")
 
 
+def indexed_records(spark: SparkSession, root: str, parsed: DataFrame, query: str) -> DataFrame:
+    """The records that hold the rarest probe gram of a query, each once. No text is read."""
+    buckets = layout_of(spark, root)
+    names = parsed.where(F.col("kind") == "name")
+    grams = names.select(F.explode("grams").alias("gram")).distinct()
+    lists = opened(spark, f"{root}/lists", grams, "gram", buckets).join(small_side(grams), "gram")
+    # A query with a gram that nobody holds has no candidate: its rarest list is empty and never met.
+    rarest = rarest_gram(names, query, lists.groupBy("gram").agg(F.sum("n").alias("posting_size"))).select("gram").distinct()
+    return lists.join(small_side(rarest), "gram", "left_semi").select(F.explode("records").alias("record")).distinct()
+
+
 def indexed_search(spark: SparkSession, root: str, record: str, text: str, parsed: DataFrame, query: str, order: Sequence[Column], page: int = PAGE,
-                   skip: int = 0, most_grams: int = 3) -> DataFrame:
+                   skip: int = 0) -> DataFrame:
     """Pages of :func:`pubtrack.operators.search.search_names` from a stored index: query, record, the other columns of the
-    corpus, position."""
-    buckets = layout_of(spark, root)
+    corpus, position. A text that holds a rarest gram is read once and met by all queries."""
+    buckets, parsed = layout_of(spark, root), cut(parsed)
     # Read twice: for the buckets of the texts, and to meet them.
-    candidates = cut(indexed_candidates(spark, root, parsed, query, most_grams).withColumnRenamed("record", record))
-    texts = opened(spark, f"{root}/texts", candidates, record, buckets).drop("generation", "bucket")
-    words = parsed.select(query, "needs", "long_words")
-    met = texts.join(candidates, record).join(small_side(words), query)
-    met = met.where(contains_words(F.col(text), F.col("long_words")) & meets_needs(F.col(text), F.col("needs"))).drop("needs", "long_words", text)
-    return top_per_key(met, [query], order, skip + page).where(F.col("position") > skip)
+    records = cut(indexed_records(spark, root, parsed, query).withColumnRenamed("record", record))
+    texts = opened(spark, f"{root}/texts", records, record, buckets).drop("generation", "bucket").join(small_side(records), record)
+    met = candidate_rows(texts, record, text, parsed.where(F.col("kind") == "name").select(query, "needs", "long_words"), query)
+    return top_per_key(met.where("_verified").drop("_verified"), [query], order, skip + page).where(F.col("position") > skip)
