@@ -54,10 +54,20 @@ def fold_upper(text: Column) -> Column:
     return squeeze(F.upper(strip_marks(text)))
 
 
-@F.pandas_udf(T.StringType())
-def fold_exact(text: pd.Series) -> pd.Series:
-    """Full compatibility decomposition, for scripts beyond precomposed Latin."""
+#: Texts of these characters only fold the same way inside Catalyst.
+SIMPLE = r"^[\t\n\r -~ªºÀ-ÅÇ-ÖÙ-Ýà-åç-öù-ýÿ]*$"
+
+
+def fold_exact(text: Column | str) -> Column:
+    """Full compatibility decomposition, for scripts beyond precomposed Latin. Only texts that need it go to Python, so that
+    its batches hold no others."""
+    text = F.col(text) if isinstance(text, str) else text
+    simple = F.rlike(text, F.lit(SIMPLE))
+    return F.when(simple, fold_upper(text)).otherwise(_fold_exact(F.when(~simple, text)))
 
+
+@F.pandas_udf(T.StringType())
+def _fold_exact(text: pd.Series) -> pd.Series:
     def one(value):
         if value is None:
             return None
