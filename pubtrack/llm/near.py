@@ -85,20 +85,6 @@ def prints(k: int):
     return run, "doc_id long, tag long, n long, p1 long, p2 long, tokens binary"
 
 
-def text_prints(k: int):
-    """Arrow function: the print of the set together with the text."""
-    form = pa.schema([("p1", pa.int64()), ("p2", pa.int64()), ("text", pa.string())])
-
-    def run(batches):
-        with np.errstate(over="ignore"):
-            for part in slices(batches, "text"):
-                sets = shingle_sets([t.encode() for t in part.column("text").to_pylist()], k)
-                both = [(int(mixed(s).sum().view(np.int64)), int(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64))) if len(s) else (None, None) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in both], pa.int64()), pa.array([x for _, x in both], pa.int64()), part.column("text")], schema=form)
-
-    return run, "p1 long, p2 long, text string"
-
-
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -353,11 +339,19 @@ def connect(labels: DataFrame | None, fresh: DataFrame) -> DataFrame:
     return shared_table(components(fresh.union(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))), "labels")
 
 
+def number(identity) -> F.Column:
+    """The identity as a join key; rows of equal tags have equal texts, so a null one may meet a zero."""
+    return F.coalesce(identity, F.lit(0).cast("long"))
+
+
 def classified(documents: DataFrame, identity: str, text: str, k: int, percent: int) -> DataFrame:
     """The rows of :func:`near_components` with a tag of the text and a number of the component."""
     rows = texts_of(documents, identity, text)
-    printed = shared_table(rows.withColumn("tag", F.xxhash64("text")).mapInArrow(*prints(k)), "prints")
-    classes = printed.where("n > 0").groupBy("p1", "p2").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))
+    tagged = rows.withColumn("tag", F.xxhash64("text"))
+    printed = shared_table(tagged.mapInArrow(*prints(k)), "prints")
+    # Every set is read from the text of one of its rows.
+    own = F.min(F.struct("tag", "doc_id")).alias("own")
+    classes = printed.where("n > 0").groupBy("p1", "p2").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"), own)
     classes = shared_table(classes.withColumn("sketch", sketch(F.col("tokens"))).withColumn("cid", F.monotonically_increasing_id()), "classes")
     small = classes.select("cid", "sketch")
 
@@ -376,9 +370,9 @@ def classified(documents: DataFrame, identity: str, text: str, k: int, percent:
         top = texts is None
         if top:
             wanted = pairs.select("a").union(pairs.select("b")).union(large.select("cid")).distinct()
-            prints_of = classes.join(wanted.withColumnRenamed("a", "cid"), "cid", "left_semi").select("cid", "p1", "p2")
-            found = rows.mapInArrow(*text_prints(k)).join(prints_of, ["p1", "p2"]).select("cid", "text")
-            texts = shared_table(found.groupBy("cid").agg(F.first("text").alias("text")), "texts")
+            own = classes.join(wanted.withColumnRenamed("a", "cid"), "cid", "left_semi").select("cid", F.col("own.tag").alias("tag"), number(F.col("own.doc_id")).alias("number"))
+            found = tagged.select("tag", number(F.col("doc_id")).alias("number"), "text").join(own, ["tag", "number"])
+            texts = shared_table(found.groupBy("tag", "number", "cid").agg(F.first("text").alias("text")).select("cid", "text"), "texts")
             # First one pair per set, then only what these links leave unconnected.
             first = pairs.groupBy("a").agg(F.min("b").alias("b"))
             labels = connect(labels, linked(first, texts, k, percent))
