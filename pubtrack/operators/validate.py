@@ -29,9 +29,15 @@ def split(rows: DataFrame, name: str = "violations") -> tuple[DataFrame, DataFra
     return rows.where(F.size(name) == 0).drop(name), rows.where(F.size(name) > 0)
 
 
+def each_violation(rows: DataFrame, columns: Sequence[str], name: str = "violations") -> DataFrame:
+    """One row (columns, rule) for every broken rule. For an inner ``explode`` Spark infers a filter on the array and pushes
+    it to the scan, where all rules and what they read are written out and computed once more for every use."""
+    return rows.select(*columns, F.explode_outer(name).alias("rule")).where("rule IS NOT NULL")
+
+
 def violation_counts(rows: DataFrame, group: Sequence[str], name: str = "violations") -> DataFrame:
     """How often each rule is broken per group."""
-    return rows.select(*group, F.explode(name).alias("rule")).groupBy(*group, "rule").agg(
+    return each_violation(rows, group, name).groupBy(*group, "rule").agg(
         F.count(F.lit(1)).alias("row_count"))
 
 

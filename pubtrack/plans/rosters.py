@@ -254,7 +254,7 @@ def _(spark, d):
     rosters = nations.select(F.concat(F.lit("n"), "c_nationkey").alias("roster_id"), F.lit(3).alias("pages"), "members")
     amendments = nations.select(F.concat(F.lit("n"), "c_nationkey").alias("roster_id"), F.concat(F.lit("a"), "c_nationkey").alias("source_id"), F.lit(5).alias("pages"))
     # The records are stored as a user's would be; the expressions that make them up do not mix with the rules.
-    return validate.record_violations(cut(records), rosters, amendments).select("k", F.explode("violations").alias("rule"))
+    return validate.each_violation(validate.record_violations(cut(records), rosters, amendments), ["k"])
 
 
 @query("box_violations", """
@@ -276,7 +276,7 @@ def _(spark, d):
 
     boxes = F.array(*[box(i, x0, x1) for i, (x0, x1) in enumerate(edges)])
     rows = load(spark, d, "lineitem").withColumn("boxes", F.when(case == 1, F.slice(boxes, 1, 6)).otherwise(boxes))
-    return validate.with_violations(rows, validate.box_rules(F.col("boxes"))).select("l_orderkey", "l_linenumber", F.explode("violations").alias("rule"))
+    return validate.each_violation(validate.with_violations(rows, validate.box_rules(F.col("boxes"))), ["l_orderkey", "l_linenumber"])
 
 
 @query("publication_gate", """
