@@ -58,19 +58,30 @@ def _(spark, d):
 
 def manifests(spark, d):
     """A nested manifest for every order: its lines are documents, references, observations and amendments."""
-    line = F.concat_ws(":", text("l_orderkey"), text("l_linenumber"))
-    amended = F.when(F.col("l_discount") > 0.05, F.array(F.struct(F.concat(F.lit("a"), text("l_partkey")).alias("content_id"), F.lit("s").alias("sha256"), F.lit("correction").alias("kind")))).otherwise(
-        F.array().cast("array<struct<content_id:string,sha256:string,kind:string>>"))
-    document = F.struct(line.alias("content_id"), F.col("l_returnflag").alias("kind"), F.sha2(line, 256).alias("sha256"), (F.col("l_quantity") > 25).alias("incorporated"),
-                        F.when(F.col("l_returnflag") == "R", F.lit(True)).alias("observation_only"), amended.alias("amendments"))
-    other = F.struct(F.concat(F.lit("r"), line).alias("content_id"), F.lit("s").alias("sha256"), F.lit("x").alias("kind"), (F.col("l_tax") > 0.04).alias("incorporated"))
-    grouped = load(spark, d, "lineitem").groupBy("l_orderkey").agg(
-        F.collect_list(document).alias("documents"), F.collect_list(F.when(F.col("l_linestatus") == "O", other)).alias("references"),
-        F.collect_list(F.when(F.col("l_linestatus") == "F", F.struct("l_returnflag", "l_linenumber"))).alias("_seen"))
-    seen = F.transform("_seen", lambda s: F.struct(F.concat(F.lit("o"), text("l_orderkey"), F.lit(":"), s["l_linenumber"].cast("string")).alias("content_id"), F.lit("s").alias("sha256"), s["l_returnflag"].alias("kind")))
-    whole = grouped.select(F.struct(F.concat(F.lit("b"), text("l_orderkey")).alias("content_id"), F.lit("s").alias("sha256"), "documents", "references", seen.alias("observations")).alias("m"))
+    def line(s):
+        return F.concat_ws(":", text("l_orderkey"), s["l_linenumber"].cast("string"))
+
+    def document(s):
+        amended = F.when(s["l_discount"] > 0.05, F.array(F.struct(F.concat(F.lit("a"), s["l_partkey"].cast("string")).alias("content_id"), F.lit("s").alias("sha256"), F.lit("correction").alias("kind")))).otherwise(
+            F.array().cast("array<struct<content_id:string,sha256:string,kind:string>>"))
+        return F.struct(line(s).alias("content_id"), s["l_returnflag"].alias("kind"), F.sha2(line(s), 256).alias("sha256"), (s["l_quantity"] > 25).alias("incorporated"),
+                        F.when(s["l_returnflag"] == "R", F.lit(True)).alias("observation_only"), amended.alias("amendments"))
+
+    def other(s):
+        return F.struct(F.concat(F.lit("r"), line(s)).alias("content_id"), F.lit("s").alias("sha256"), F.lit("x").alias("kind"), (s["l_tax"] > 0.04).alias("incorporated"))
+
+    def seen(s):
+        return F.struct(F.concat(F.lit("o"), text("l_orderkey"), F.lit(":"), s["l_linenumber"].cast("string")).alias("content_id"), F.lit("s").alias("sha256"), s["l_returnflag"].alias("kind"))
+
+    # Only the columns of the lines are shuffled, once; the entries with their texts are made of them afterwards.
+    lines = F.struct("l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    grouped = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(lines).alias("lines"))
+    whole = grouped.select(F.struct(
+        F.concat(F.lit("b"), text("l_orderkey")).alias("content_id"), F.lit("s").alias("sha256"), F.transform("lines", document).alias("documents"),
+        F.transform(F.filter("lines", lambda s: s["l_linestatus"] == "O"), other).alias("references"),
+        F.transform(F.filter("lines", lambda s: s["l_linestatus"] == "F"), seen).alias("observations")).alias("m"))
     root = run_folder(spark)
-    whole.select(F.to_json("m").alias("value")).write.text(root)
+    whole.select(F.to_json("m").alias("value")).write.option("compression", "gzip").text(root)
     return spark.read.schema(state.MANIFEST).json(root)
 
 
