@@ -100,10 +100,13 @@ def token_needs(wanted: Column) -> Column:
 
 def meets_needs(text: Column, needs: Column) -> Column:
     """Every needed token occurs often enough; counting is left to tokens asked for repeatedly."""
-    met = F.forall(needs, lambda s: F.contains(text, s["t"]) & ((s["n"] == 1) | (occurrences(text, s["t"]) >= s["n"])))
-    # The text is named outside the lambda too: a filter over a join is otherwise offered to the
-    # side that holds only the array, where it cannot run.
-    return F.when(text.isNotNull(), met).otherwise(F.lit(False))
+    def met(held: Column) -> Column:
+        every = F.forall(needs, lambda s: F.contains(held, s["t"]) & ((s["n"] == 1) | (occurrences(held, s["t"]) >= s["n"])))
+        return F.when(held.isNotNull(), every).otherwise(F.lit(False))
+
+    # The text is named outside the lambdas, where it is computed once, and so that a filter over a join is not
+    # offered to the side that holds only the array, where it cannot run.
+    return F.element_at(F.transform(F.array(text), met), 1)
 
 
 def contains_tokens(text: Column, wanted: Column) -> Column:
