@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Mapping
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,13 +83,24 @@ def required_documents(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
     return required, required.groupBy("content_id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
+#: Tasks that read stored originals; they share the folders, 256 in all.
+READ_TASKS = 64
+
+
+def uri_of(path: str) -> str:
+    """The path with its scheme; one without is local."""
+    return path if "://" in path or path.startswith("file:") else f"file://{path}"
+
+
 def store_originals(contents: DataFrame, path: str, suffix: str = "pdf") -> None:
     """Write each row (sha256, content) as a file named by its hash, in folders by the hash's first two digits. Tasks write
     their rows side by side through Hadoop's file system; a repeated task writes the same files again."""
+    uri = uri_of(path)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        target, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        target, root = fs.FileSystem.from_uri(uri)
         for batch in batches:
             for name, content in zip(batch.column("sha256").to_pylist(), batch.column("content").to_pylist()):
                 folder = f"{root}/{name[:2]}"
@@ -100,11 +113,54 @@ def store_originals(contents: DataFrame, path: str, suffix: str = "pdf") -> None
 
 
 def stored_originals(spark: SparkSession, path: str, suffix: str = "pdf") -> DataFrame:
-    """Stored files whose name is the hash of their bytes; ``verified`` is false for altered ones."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").option("recursiveFileLookup", True).load(path)
-    stem = F.regexp_extract("path", rf"([^/]+)\.{suffix}$", 1)
-    actual = F.sha2("content", 256)
-    return files.select(stem.alias("sha256"), actual.alias("actual_sha256"), F.col("length").alias("bytes"), (stem == actual).alias("verified"))
+    """Stored files whose name is the hash of their bytes; ``verified`` is false for altered ones. Tasks list the folders
+    and read the files through Hadoop's file system as :func:`store_originals` writes them, so the driver holds no list of
+    files and a file is hashed piece by piece. Names that start with a dot or an underscore are left out, folders too."""
+    form = pa.schema([("sha256", pa.string()), ("actual_sha256", pa.string()), ("bytes", pa.int64())])
+    uri, ending = uri_of(path), f".{suffix}"
+
+    def folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The top folder and the folders in it; only the files of the top folder itself belong to it."""
+        from pyarrow import fs
+
+        source, root = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            if batch.num_rows:
+                found = [i.path for i in source.get_file_info(fs.FileSelector(root)) if i.type == fs.FileType.Directory and i.base_name[0] not in "._"]
+                yield pa.RecordBatch.from_arrays([pa.array([root, *found]), pa.array([False] + [True] * len(found))], names=["folder", "deep"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        source, _ = fs.FileSystem.from_uri(uri)
+
+        def files(folder: str, deep: bool) -> Iterator:
+            for i in source.get_file_info(fs.FileSelector(folder)):
+                if i.base_name[0] in "._":
+                    continue
+                if i.type == fs.FileType.Directory:
+                    if deep:
+                        yield from files(i.path, True)
+                elif i.base_name.endswith(ending):
+                    yield i
+
+        def checked(info) -> tuple[str, str, int]:
+            digest, size = hashlib.sha256(), 0
+            with source.open_input_stream(info.path) as held:
+                while piece := held.read(1 << 20):
+                    digest.update(piece)
+                    size += len(piece)
+            return info.base_name[:-len(ending)], digest.hexdigest(), size
+
+        for batch in batches:
+            for folder, deep in zip(batch.column("folder").to_pylist(), batch.column("deep").to_pylist()):
+                found = files(folder, deep)
+                while some := [checked(i) for i in islice(found, 1000)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*some), form)], schema=form)
+
+    listed = spark.range(0, 1, 1, 1).mapInArrow(folders, "folder string, deep boolean").repartition(READ_TASKS)
+    return listed.mapInArrow(read, "sha256 string, actual_sha256 string, bytes long").select(
+        "sha256", "actual_sha256", "bytes", (F.col("sha256") == F.col("actual_sha256")).alias("verified"))
 
 
 # Defaults of registry sources.

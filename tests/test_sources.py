@@ -122,3 +122,18 @@ def test_links_of_odd_markup(table):
 def test_many_unclosed_anchors_are_read_in_one_pass(table):
     html = "".join(f"<a href=/p{i}>x" for i in range(3000)) + "<a href=" + "y" * 50000
     assert web.page_links(table([(1, "https://h.es/", html)], "id int, url string, html string"), "id", "url", "html").count() == 3000
+
+
+def test_stored_originals_are_listed_by_tasks(spark, tmp_path):
+    good = {hashlib.sha256(c).hexdigest(): c for c in (b"", b"one", b"two" * 500_000)}
+    for i, (name, content) in enumerate(good.items()):
+        folder = tmp_path / (["", "ab", "cd/ef"][i])
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{name}.pdf").write_bytes(content)
+    for left_out in ("_temporary/x.pdf", ".hidden/x.pdf", "ab/_x.pdf", "ab/x.txt"):
+        (tmp_path / left_out).parent.mkdir(exist_ok=True)
+        (tmp_path / left_out).write_bytes(b"x")
+    found = state.stored_originals(spark, str(tmp_path))
+    # Nothing of the list of files is part of the plan that the driver holds.
+    assert not found.inputFiles()
+    assert sorted((r["sha256"], r["actual_sha256"], r["bytes"], r["verified"]) for r in found.collect()) == sorted((n, n, len(c), True) for n, c in good.items())
