@@ -430,7 +430,11 @@ def keep_representatives(documents: DataFrame, identity: str = "doc_id", text: s
     found = classified(documents, identity, text, k, percent).where("kept AND n_shingles > 0")
     chosen = found.groupBy("component").agg(F.min(F.struct("tag", "doc_id")).alias("one")).select(F.col("one.tag").alias("keep_tag"), F.col("one.doc_id").alias("keep_id"))
     told = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    unnamed = F.col("doc_id").isNull().alias("unnamed")
     rows = documents.select(packed(documents), F.col(f"`{identity}`").cast("long").alias("doc_id"), F.xxhash64(told).alias("tag"), told.rlike(f"[^{SPACE}]").alias("worded"))
-    met = rows.where("worded").join(chosen, (F.col("tag") == F.col("keep_tag")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    one = met.withColumn("place", F.row_number().over(Window.partitionBy("tag").orderBy("doc_id"))).where("place = 1")
+    # The join and the window have the same keys, so the documents are shuffled once.
+    keys = ["tag", "number", "unnamed"]
+    of_group = chosen.select(F.col("keep_tag").alias("tag"), number(F.col("keep_id")).alias("number"), F.col("keep_id").isNull().alias("unnamed"))
+    met = rows.where("worded").select("record", "tag", number(F.col("doc_id")).alias("number"), unnamed).join(of_group, keys)
+    one = met.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("tag"))).where("place = 1")
     return one.select("record").union(rows.where("NOT worded").select("record")).select("record.*")

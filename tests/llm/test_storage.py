@@ -3,6 +3,7 @@
 import time
 
 from pubtrack.llm.common import SHUFFLE_CLEANUP, shared_table
+from pubtrack.llm.near import keep_representatives
 
 
 def shuffle_files(spark):
@@ -19,3 +20,14 @@ def test_shared_table_leaves_no_shuffle_files(spark):
     assert not left
     assert table.count() == 10_000 and table.distinct().count() == 10_000
     assert spark.conf.get(SHUFFLE_CLEANUP, None) == setting
+
+
+def test_near_dedup_shuffles_the_documents_once(spark, small):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = keep_representatives(small)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    above = plan[:plan.index("SortMergeJoin")]
+    assert "Window" in above and "Exchange" not in above
