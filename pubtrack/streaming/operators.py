@@ -24,6 +24,24 @@ def _types(table: DataFrame, columns: Sequence[str]) -> str:
     return ", ".join(f"{c} {types[c]}" for c in columns)
 
 
+def first_of_seconds(requests: DataFrame, service: str, identity: str, epoch_us: str) -> DataFrame:
+    """The least identity of every service and second of a micro-batch, at the start of the second. Seconds are dealt over all
+    tasks, and one row of each goes on: what a busy service has to sort grows with the seconds, not with the requests."""
+    names = [service, identity, epoch_us]
+
+    def firsts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            both = batch if held is None else pd.concat([held, batch])
+            held = both.groupby([service, epoch_us], as_index=False, dropna=False).min()
+        if held is not None:
+            yield held[names]
+
+    second = F.col(epoch_us) - F.pmod(F.col(epoch_us), F.lit(MICROS))
+    return requests.where(F.col(epoch_us).isNotNull()).select(service, identity, second.cast("long").alias(epoch_us)).repartition(
+        service, epoch_us).mapInPandas(firsts, _types(requests, [service, identity]) + f", {epoch_us} long")
+
+
 def throttle_stream(requests: DataFrame, service: str, identity: str, epoch_us: str, gap: int, per_day: int) -> DataFrame:
     """Accepted requests of a single-flight service: at least ``gap`` seconds apart and at most
     ``per_day`` per UTC day, on a clock of whole seconds. A request of a day before the newest one seen
@@ -49,7 +67,7 @@ def throttle_stream(requests: DataFrame, service: str, identity: str, epoch_us:
         if kept:
             yield pd.DataFrame(kept, columns=[service, identity, "accepted_second", "outcome"])
 
-    return requests.select(service, identity, epoch_us).groupBy(service).applyInPandasWithState(
+    return first_of_seconds(requests, service, identity, epoch_us).groupBy(service).applyInPandasWithState(
         step, f"{_types(requests, [service, identity])}, accepted_second long, outcome string", "free_at long, day long, used int", "append",
         GroupStateTimeout.NoTimeout)
 

@@ -87,3 +87,13 @@ def test_late_days_have_their_own_outcome(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "late"))
     got = {(r["id"], r["outcome"]) for r in drain(operators.throttle_stream(stream, "service", "id", "us", 600, 50)).collect()}
     assert got == {(1, "accepted"), (2, "late"), (3, "accepted")}
+
+
+def test_throttle_hands_one_row_of_a_second_to_its_service(log):
+    batch, stream = log
+    busy = batch.unionByName(batch.withColumn("id", F.col("id") + 1_000_000)).unionByName(batch.withColumn("us", F.lit(None).cast("long")))
+    got = operators.first_of_seconds(busy, "service", "id", "us")
+    want = batch.groupBy("service", (F.floor(F.col("us") / 1_000_000) * 1_000_000).alias("us")).agg(F.min("id").alias("id"))
+    assert same(got, want, ["service", "id", "us"])
+    plan = operators.throttle_stream(stream, "service", "id", "us", 600, 50)._jdf.queryExecution().logical().toString()
+    assert "MapInPandas" in plan
