@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pubtrack.llm.common import LOWER, UPPER, packed, shared_table, slices, texts_of
@@ -187,7 +187,14 @@ def keep_distinct(documents: DataFrame, identity: str = "doc_id", text: str = "t
     struct, so columns may have any names.
     """
     sha = F.sha2(F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), UPPER, LOWER), 256)
-    rows = documents.select(packed(documents), F.col(f"`{identity}`").cast("long").alias("doc_id"), sha.alias("sha"))
-    kept = exact_groups(documents, identity, text).where("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha"))
-    met = rows.join(kept, (F.col("sha") == F.col("keep_sha")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    return met.withColumn("place", F.row_number().over(Window.partitionBy("sha").orderBy("doc_id"))).where("place = 1").select("record.*")
+    # The join and the window have the same keys, so the documents are shuffled once.
+    keys = ["sha", "number", "unnamed"]
+    kept = exact_groups(documents, identity, text).where("kept").select(F.col("text_sha256").alias("sha"), *numbered(F.col("doc_id")))
+    rows = documents.select(packed(documents), sha.alias("sha"), *numbered(F.col(f"`{identity}`").cast("long")))
+    met = rows.join(kept, keys).withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("sha")))
+    return met.where("place = 1").select("record.*")
+
+
+def numbered(identity: Column) -> list[Column]:
+    """An identity as two join keys, so that null meets null: ``number`` and ``unnamed``."""
+    return [F.coalesce(identity, F.lit(0).cast("long")).alias("number"), identity.isNull().alias("unnamed")]

@@ -3,6 +3,7 @@
 import time
 
 from pubtrack.llm.common import SHUFFLE_CLEANUP, shared_table
+from pubtrack.llm.exact import keep_distinct
 from pubtrack.llm.near import keep_representatives
 
 
@@ -22,6 +23,22 @@ def test_shared_table_leaves_no_shuffle_files(spark):
     assert spark.conf.get(SHUFFLE_CLEANUP, None) == setting
 
 
+def shuffles_after_join(spark, frame):
+    """Is a window over the joined rows dealt out a second time?"""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = frame()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    above = plan[:plan.index("SortMergeJoin")]
+    return "Window" not in above or "Exchange" in above
+
+
+def test_exact_dedup_shuffles_the_documents_once(spark, small):
+    assert not shuffles_after_join(spark, lambda: keep_distinct(small))
+
+
 def test_near_dedup_shuffles_the_documents_once(spark, small):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
