@@ -40,6 +40,31 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most bits of the filter of :func:`perhaps` (8 MB), and those of one of its rows.
+FILTER_BITS, ROW_BITS = 1 << 26, 1 << 15
+
+
+def perhaps(rows: DataFrame, key: str, wanted: DataFrame, count: int) -> DataFrame:
+    """The rows whose ``key`` is among the ``count`` rows of ``wanted`` (one column, stored), and a few others: what a join with
+    ``wanted`` need not shuffle goes.
+
+    Every wanted key sets one of 16 bits a key, at most FILTER_BITS, which are broadcast; with more keys than these serve, more others pass.
+    """
+    bits, most = ROW_BITS, min(16 * count, FILTER_BITS)
+    while bits < most:
+        bits *= 2
+
+    def place(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(bits)) + 1
+
+    at = place(wanted.columns[0])
+    held = wanted.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits"))
+    position = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    met = rows.join(F.broadcast(held), F.bitmap_bucket_number(place(key)) == F.col("_bucket"))
+    return met.where(F.getbit(byte, (position % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def texts_of(documents: DataFrame, identity: str = "doc_id", text: str = "text") -> DataFrame:
     """Only identity and text, so that no other column of the input can clash; a null text is empty."""
     return documents.select(F.col(identity).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pubtrack.llm.common import SPACE, components, packed, shared_table, slices, texts_of
+from pubtrack.llm.common import SPACE, components, packed, perhaps, shared_table, slices, texts_of
 from pubtrack.llm.shingles import mixed, words_of
+from pubtrack.operators.scan import estimated_bytes
 
 COORDINATES, TREES, SMALL_NODE, DENSE_NODE = 64, 10, 32, 4096
 #: Children that a member goes to from the root and from every further node.
@@ -36,6 +37,8 @@ ROOT_CHILDREN, NODE_CHILDREN = 2, 2
 NAMED = 4
 #: Members and bytes of text of a block of a dense node; two blocks meet in one task.
 BLOCK, BLOCK_BYTES = 2048, 4 << 20
+#: Estimated size of a table of texts from which those that a join needs are told beforehand.
+FILTERED_BYTES = 32 << 20
 #: Least number of equal token bytes of a pair that is compared in full: a pair at similarity 0.75 has 48 on
 #: average and fewer than 28 with probability 1e-8.
 LEAST_EQUAL = 28
@@ -230,6 +233,12 @@ def block_links(k: int, percent: int):
 def dense_links(dense: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between the unconnected members of groups (node, cid, component), compared block by block on
     their full sets; a block has at most BLOCK members and, on average, BLOCK_BYTES of text."""
+    if estimated_bytes(texts) > FILTERED_BYTES:
+        dense = stored_ids(dense, "dense")
+        count = dense.count()
+        if not count:
+            return dense.select(F.col("cid").alias("a"), F.col("cid").alias("b"))
+        texts = perhaps(texts, "cid", dense.select("cid"), count)
     held = dense.join(texts, "cid")
     bulk = held.groupBy("node").agg(F.sum(F.length("text")).alias("bulk"), F.count(F.lit(1)).alias("m"))
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("bulk") / BLOCK_BYTES)).cast("int")
@@ -323,9 +332,21 @@ def same_component(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return pairs.join(a, "a", "left").join(b, "b", "left").where("ca IS NULL OR cb IS NULL OR ca <> cb").select("a", "b")
 
 
+def stored_ids(ids: DataFrame, name: str) -> DataFrame:
+    """A table of identities, stored in as many files as there are cores at most."""
+    return shared_table(ids.coalesce(ids.sparkSession.sparkContext.defaultParallelism), name)
+
+
 def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough, stored."""
-    a, b = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
+    """The pairs whose full sets are similar enough, stored. Of a large table of texts only those of these pairs are shuffled."""
+    ends = [texts, texts]
+    if estimated_bytes(texts) > FILTERED_BYTES:
+        pairs = stored_ids(pairs.select("a", "b"), "pairs")
+        count = pairs.count()
+        if not count:
+            return pairs
+        ends = [perhaps(texts, "cid", pairs.select(c), count) for c in "ab"]
+    a, b = (end.select(F.col("cid").alias(c), F.col("text").alias(f"text_{c}")) for c, end in zip("ab", ends))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
     return shared_table(both.mapInArrow(*confirm(k, percent)), "links")
 
@@ -371,7 +392,11 @@ def classified(documents: DataFrame, identity: str, text: str, k: int, percent:
         if top:
             wanted = pairs.select("a").union(pairs.select("b")).union(large.select("cid")).distinct()
             own = classes.join(wanted.withColumnRenamed("a", "cid"), "cid", "left_semi").select("cid", F.col("own.tag").alias("tag"), number(F.col("own.doc_id")).alias("number"))
-            found = tagged.select("tag", number(F.col("doc_id")).alias("number"), "text").join(own, ["tag", "number"])
+            found = tagged.select("tag", number(F.col("doc_id")).alias("number"), "text")
+            if estimated_bytes(found) > FILTERED_BYTES:
+                own = stored_ids(own, "own")
+                found = perhaps(found, "tag", own.select("tag"), own.count())
+            found = found.join(own, ["tag", "number"])
             texts = shared_table(found.groupBy("tag", "number", "cid").agg(F.first("text").alias("text")).select("cid", "text"), "texts")
             # First one pair per set, then only what these links leave unconnected.
             first = pairs.groupBy("a").agg(F.min("b").alias("b"))

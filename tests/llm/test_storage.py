@@ -2,7 +2,10 @@
 
 import time
 
-from pubtrack.llm.common import SHUFFLE_CLEANUP, shared_table
+from pyspark.sql import functions as F
+
+from pubtrack.llm import near
+from pubtrack.llm.common import SHUFFLE_CLEANUP, perhaps, shared_table
 from pubtrack.llm.exact import keep_distinct
 from pubtrack.llm.near import keep_representatives
 
@@ -48,3 +51,35 @@ def test_near_dedup_shuffles_the_documents_once(spark, small):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     above = plan[:plan.index("SortMergeJoin")]
     assert "Window" in above and "Exchange" not in above
+
+
+def test_perhaps_keeps_all_wanted_rows_and_few_others(spark):
+    rows = spark.range(-50_000, 50_000).select(F.col("id").alias("key"), F.lit("text").alias("text"))
+    for wanted in (spark.range(-3000, 3000).select(F.col("id").alias("key")), spark.range(0)):
+        wanted = shared_table(wanted.toDF("key"), "wanted")
+        found = perhaps(rows, "key", wanted, wanted.count())
+        assert found.columns == rows.columns
+        assert found.join(wanted, "key").count() == wanted.count()
+        assert found.count() - wanted.count() < 0.15 * rows.count()
+
+
+def test_near_dedup_shuffles_only_texts_of_its_pairs(spark, monkeypatch):
+    texts = shared_table(spark.range(20_000).select(F.col("id").alias("cid"), F.concat_ws(" ", *[F.lit(w) for w in "abcdef"], (F.col("id") / 2).cast("int")).alias("text")), "texts")
+    left = []
+
+    def counted(*given):
+        found = perhaps(*given)
+        left.append(found.count())
+        return found
+
+    monkeypatch.setattr(near, "perhaps", counted)
+    monkeypatch.setattr(near, "FILTERED_BYTES", 0)
+    pairs = spark.createDataFrame([(1, 0), (5, 4), (6, 4)], "a long, b long")
+    assert {tuple(r) for r in near.linked(pairs, texts, 5, 75).collect()} == {(1, 0), (5, 4)}
+    assert len(left) == 2 and max(left) < 200
+
+
+def test_near_dedup_of_filtered_texts_gives_the_same(spark, small, monkeypatch):
+    expected = sorted(map(tuple, near.near_components(small).collect()))
+    monkeypatch.setattr(near, "FILTERED_BYTES", 0)
+    assert sorted(map(tuple, near.near_components(small).collect())) == expected
