@@ -27,6 +27,8 @@ _KEY, _SLICE, _POS, _CARRY = "_key", "_slice", "_pos", "_carry"
 MOST_SLICES, SAMPLED = 1024, 16
 #: Estimated size up to which a whole table is one slice: even a single key of all its rows is a small task then.
 ONE_SLICE_BYTES = 16 << 20
+#: Estimated bytes of a stored table that one shuffle partition takes.
+PARTITION_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -86,6 +88,18 @@ def estimated_bytes(df: DataFrame) -> int:
         return sys.maxsize
 
 
+def partitions_for(table: DataFrame) -> int:
+    """Shuffle partitions for the rows of a stored ``table``: PARTITION_BYTES of its estimated size each, not fewer than configured."""
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-estimated_bytes(table) // PARTITION_BYTES))
+
+
+def dealt(df: DataFrame, partitions: int, *keys: str) -> DataFrame:
+    """``df`` shuffled by ``keys`` to ``partitions``, if these are more than a shuffle has anyway."""
+    if partitions <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df
+    return df.repartition(partitions, *keys)
+
+
 def placed(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Add the key and the position within it as one column each."""
     key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))

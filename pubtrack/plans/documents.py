@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pubtrack.functions.values import row_text
 from pubtrack.operators import filters, history, inventory
-from pubtrack.operators.scan import ordered_scan, rank
+from pubtrack.operators.scan import dealt, ordered_scan, partitions_for, rank
 from pubtrack.plans.registry import query
 from pubtrack.session import load
 from pubtrack.sources import state
@@ -213,7 +213,8 @@ def scoped(spark, d):
     lines = load(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linestatus", "l_returnflag", "l_discount")
     # The registry side is joined first: one small dimension meets the large table once.
     placed = suppliers.join(registry(spark, d), F.col("s_nationkey") == F.col("n_nationkey"))
-    joined = lines.join(placed, lines.l_suppkey == placed.s_suppkey)
+    # A task's memory follows the rows of its partition, so the table's size sets their number.
+    joined = dealt(lines.join(placed, lines.l_suppkey == placed.s_suppkey), partitions_for(lines), "l_orderkey")
     return joined.groupBy("family", F.col("s_nationkey").alias("source_id"), F.col("l_orderkey").alias("doc")).agg(
         F.min(F.ascii("l_linestatus")).alias("ls"), F.min(F.ascii("l_returnflag")).alias("rf"), F.max("l_discount").alias("disc"))
 

@@ -82,3 +82,12 @@ def test_nothing_runs_before_the_result_is_wanted(spark, table):
         assert twice.where("p = r - 1").count() == 898 and len(tracker.getJobIdsForGroup("lazy")) > 0
     finally:
         spark.sparkContext.setJobGroup("default", "")
+
+
+def test_partitions_follow_the_size_of_the_table(spark, monkeypatch):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey")
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert scan.dealt(lines, scan.partitions_for(lines), "l_orderkey").rdd.getNumPartitions() == lines.rdd.getNumPartitions()
+    monkeypatch.setattr(scan, "PARTITION_BYTES", 1 << 10)
+    assert scan.partitions_for(lines) > configured
+    assert scan.dealt(lines, scan.partitions_for(lines), "l_orderkey").rdd.getNumPartitions() == scan.partitions_for(lines)
