@@ -19,7 +19,7 @@ import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 
-from pubtrack.llm.common import texts_of
+from pubtrack.llm.common import lean, texts_of
 
 NONE = np.int32(2**31 - 1)
 #: Longest piece that shares a tree with others, and most pieces in one such tree.
@@ -237,18 +237,20 @@ def encode_documents(documents: DataFrame, path: str, pattern: str, identity: st
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.load(path, pattern)
-        encoder.memory = {}  # what an earlier task of this process learned goes
-        for batch in batches:
-            for at, n in steps(batch.column("text")):
-                part = batch.slice(at, n)
-                counts, digests, decoded, ids = [], [], [], []
-                for coded in encoder.encode_batch(part.column("text").to_pylist()):
-                    counts.append(coded.count(b",") + 1 if coded else 0)
-                    digests.append(hashlib.sha256(coded).hexdigest())
-                    decoded.append(hashlib.sha256(encoder.decode(coded)).hexdigest())
-                    if keep_ids:
-                        ids.append(np.array(coded.split(b","), dtype=np.int32) if coded else [])
-                columns = [part.column("doc_id"), counts, digests, decoded, *([ids] if keep_ids else [])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) if isinstance(c, list) else c for c, f in zip(columns, form)], schema=form)
-
-    return texts_of(documents, identity, text).mapInArrow(encode, schema)
+        try:
+            for batch in batches:
+                for at, n in steps(batch.column("text")):
+                    part = batch.slice(at, n)
+                    counts, digests, decoded, ids = [], [], [], []
+                    for coded in encoder.encode_batch(part.column("text").to_pylist()):
+                        counts.append(coded.count(b",") + 1 if coded else 0)
+                        digests.append(hashlib.sha256(coded).hexdigest())
+                        decoded.append(hashlib.sha256(encoder.decode(coded)).hexdigest())
+                        if keep_ids:
+                            ids.append(np.array(coded.split(b","), dtype=np.int32) if coded else [])
+                    columns = [part.column("doc_id"), counts, digests, decoded, *([ids] if keep_ids else [])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) if isinstance(c, list) else c for c, f in zip(columns, form)], schema=form)
+        finally:
+            encoder.memory = {}  # the encoder stays for the next task of this process, what it learned goes
+
+    return texts_of(documents, identity, text).mapInArrow(lean(encode), schema)

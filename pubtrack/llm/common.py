@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +90,19 @@ def slices(batches: Iterator[pa.RecordBatch], *texts: int | str, most: int = 1 <
             yield batch.slice(at)
 
 
+def lean(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``step`` as a task that returns to the system what it has freed. Python workers outlive their tasks, and the allocators
+    would keep it for them, beside whatever the executor does next."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+                pool.release_unused()
+
+    return run
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with ``value`` computed once."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -177,7 +190,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = shared_table(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     parts = edges.count() // TASK_EDGES + 1
-    edges = shared_table(edges.coalesce(parts).mapInArrow(contracted, "a long, b long"), "star")
+    edges = shared_table(edges.coalesce(parts).mapInArrow(lean(contracted), "a long, b long"), "star")
     while parts > 1 and not is_stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

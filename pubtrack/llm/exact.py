@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pubtrack.llm.common import LOWER, UPPER, packed, shared_table, slices, texts_of
+from pubtrack.llm.common import LOWER, UPPER, lean, packed, shared_table, slices, texts_of
 
 #: Most text of a bucket, deepest directory, and how much text a task combines before it passes it on.
 BUCKET_BYTES, MOST_BITS, COMBINE_BYTES = 16 << 20, 20, 8 << 20
@@ -86,7 +86,7 @@ def keyed(rows: DataFrame) -> DataFrame:
             columns = zip(*found) if found else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(list(c), f.type) for c, f in zip(columns, list(form)[1:])]], schema=form)
 
-    plain = rows.mapInArrow(keys, "doc_id long, key long, sha string, bytes long").withColumn("row", F.monotonically_increasing_id())
+    plain = rows.mapInArrow(lean(keys), "doc_id long, key long, sha string, bytes long").withColumn("row", F.monotonically_increasing_id())
     stored = shared_table(plain, "keys")
     # Rows with equal identity and text are told apart by their stored number; only one of them is first.
     return stored.withColumn("first", F.row_number().over(Window.partitionBy("doc_id", "key", "sha").orderBy("row")) == 1).drop("row")
@@ -121,7 +121,7 @@ def combine(rows: DataFrame, directory: Directory) -> DataFrame:
         if held:
             yield flush(held)
 
-    return rows.mapInArrow(merge, "owner int, bucket int, key long, form binary, keep_id long, n long")
+    return rows.mapInArrow(lean(merge), "owner int, bucket int, key long, form binary, keep_id long, n long")
 
 
 def greater(a: int | None, b: int | None) -> int | None:
@@ -174,7 +174,7 @@ def exact_groups(documents: DataFrame, identity: str = "doc_id", text: str = "te
     sizes = {row["slot"]: row["bytes"] for row in distinct.groupBy(prefix.alias("slot")).agg(F.sum("bytes").alias("bytes")).collect()}
     directory = Directory.grow(sizes, bits, capacity, owners)
     owned = combine(rows, directory).repartitionById(owners, F.col("owner"))
-    index = shared_table(owned.mapInArrow(build, "bucket int, key long, sha string, keep_id long, group_size long"), "index")
+    index = shared_table(owned.mapInArrow(lean(build), "bucket int, key long, sha string, keep_id long, group_size long"), "index")
     met = keys.join(index, ["key", "sha"])
     return met.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("first")).alias("kept"), F.col("sha").alias("text_sha256"))
 

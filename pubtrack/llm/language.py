@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pubtrack.llm.common import shared_table, slices
+from pubtrack.llm.common import lean, shared_table, slices
 from pubtrack.session import small_side
 
 #: Rows of bytes that go through the network side by side.
@@ -249,7 +249,7 @@ def predict(documents: DataFrame, network: Network, identity: str = "doc_id", te
             names, score = label_texts(network, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(score)], schema=form)
 
-    return rows.mapInArrow(label, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(lean(label), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(documents: DataFrame, network: Network, least_score: float = 0.3, text: str = "text") -> DataFrame:
@@ -262,7 +262,7 @@ def keep_known(documents: DataFrame, network: Network, least_score: float = 0.3,
             names, score = label_texts(network, letters)
             yield batch.filter(pa.array([name != UNKNOWN and s >= least_score for name, s in zip(names, score)], pa.bool_()))
 
-    return documents.mapInArrow(keep, documents.schema)
+    return documents.mapInArrow(lean(keep), documents.schema)
 
 
 def cuts(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pubtrack.llm.common import SPACE, components, packed, perhaps, shared_table, slices, texts_of
+from pubtrack.llm.common import SPACE, components, lean, packed, perhaps, shared_table, slices, texts_of
 from pubtrack.llm.shingles import mixed, words_of
 from pubtrack.operators.scan import estimated_bytes
 
@@ -85,7 +85,7 @@ def prints(k: int):
                 columns = zip(*rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), *[pa.array(list(c), f.type) for c, f in zip(columns, list(form)[2:])]], schema=form)
 
-    return run, "doc_id long, tag long, n long, p1 long, p2 long, tokens binary"
+    return lean(run), "doc_id long, tag long, n long, p1 long, p2 long, tokens binary"
 
 
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -261,7 +261,7 @@ def confirm(k: int, percent: int):
                     linked.append(100 * common >= percent * (len(a) + len(b) - common))
                 yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return run, "a long, b long"
+    return lean(run), "a long, b long"
 
 
 def sketch(tokens) -> F.Column:
@@ -386,7 +386,7 @@ def classified(documents: DataFrame, identity: str, text: str, k: int, percent:
         stars = stars.join(small.withColumnRenamed("cid", "a"), "a").join(small.select(F.col("cid").alias("b"), F.col("sketch").alias("pivot_sketch")), "b")
         tight = nodes.where(F.col("m") <= SMALL_NODE).join(small, "cid").groupBy("node").agg(
             F.collect_list(F.struct("cid", "sketch")).alias("of")).select(F.col("of.cid").alias("ids"), F.col("of.sketch").alias("sketches"))
-        pairs = stars.mapInArrow(star_pairs, "a long, b long").union(tight.mapInArrow(node_pairs, "a long, b long"))
+        pairs = stars.mapInArrow(lean(star_pairs), "a long, b long").union(tight.mapInArrow(lean(node_pairs), "a long, b long"))
         pairs = shared_table(same_component(pairs.distinct(), labels), "pairs")
         top = texts is None
         if top:

@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from edge_data import edge_rows
@@ -15,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pubtrack.llm import bpe, chat, language
+from pubtrack.llm import bpe, chat, common, language
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -58,6 +59,38 @@ def test_documents(reference, edges, small, none):
     assert bpe.encode_documents(none, PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_tasks_leave_no_memory_behind(spark, monkeypatch):
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('word', id, ' of its own ', id * 7) AS text").repartition(8)
+    assert bpe.encode_documents(docs, PATH, public_tokenizers.PATTERN).where("n_tokens > 0").count() == 400
+
+    def remembered(batches):
+        for batch in batches:
+            yield pa.record_batch({"n": [len(bpe.Encoder.load(PATH, public_tokenizers.PATTERN).memory)]})
+
+    # The same Python workers again: they keep the encoder, but nothing of the texts.
+    assert spark.range(64).repartition(16).mapInArrow(remembered, "n long").agg(F.max("n")).first()[0] == 0
+
+    said = []
+
+    class Pool:
+        def release_unused(self):
+            said.append("released")
+
+    monkeypatch.setattr(common.pa, "system_memory_pool", Pool)
+
+    def step(batches):
+        try:
+            yield from batches
+        finally:
+            said.append("ended")
+
+    assert list(common.lean(step)(iter([1, 2]))) == [1, 2]
+    halted = common.lean(step)(iter([1, 2]))
+    next(halted)
+    halted.close()
+    assert said == ["ended", "released"] * 2
+
+
 def test_gradients_match_differences():
     net = language.Network.fresh(["a", "b", "c"], 12, 3, 1)
     for name in ("table", "gates", "candidate", "out", "bias"):
