@@ -186,6 +186,16 @@ def assign_sections(pages: DataFrame, sections: DataFrame, document: str, page:
     return placed.withColumn("section", F.when(F.col(page) < entry["first_page"] + entry["pages"], entry["section"])).drop("_s", "tie")
 
 
+def carry_sections(pages: DataFrame, start: Column, document: str, page: str, like: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
+    """Section of every page as :func:`assign_sections` gives it, where the pages hold the sections themselves: ``start`` is the
+    struct (first_page, section, pages) of the section that starts on the page, else null. No second table is made or shuffled.
+    A page without document or number is in no section. ``like`` and ``partitions`` as in :func:`ordered_scan`."""
+    known = F.col(document).isNotNull() & F.col(page).isNotNull()
+    placed = ordered_scan(pages, [document], [F.col(page)], [last_known("_s", F.when(known, start))], like=like, partitions=partitions)
+    entry = F.col("_s")
+    return placed.withColumn("section", F.when(F.col(page) < entry["first_page"] + entry["pages"], entry["section"])).drop("_s")
+
+
 def unpivot_marks(rows: DataFrame, identity: Sequence[str], marks: Sequence[str], mark: str = "X") -> DataFrame:
     """Codes of the marked columns, sorted; anything but the mark or a blank is rejected."""
     cells = F.array(*[F.struct(F.lit(c).alias("code"), F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")).alias("v")) for c in marks])

@@ -127,8 +127,9 @@ def slice_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], like
 
 
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column], steps: Sequence[Step], keep: bool = False,
-                 like: DataFrame | None = None) -> DataFrame:
+                 like: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """Add one column per step to ``df``; ``order`` must be total and ascending within a key. ``like`` as in :func:`slice_rows`.
+    Slices are shuffled to ``partitions`` where given (:func:`partitions_for`), so that a task's memory does not grow with the table.
 
     With ``keep`` the result stays sliced: a following scan over the same keys and order (also of
     a part of the rows) uses the slices as they are, without another range partitioning.
@@ -142,6 +143,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column], st
     else:
         small = estimated_bytes(df) <= ONE_SLICE_BYTES
         sliced = placed(staged, keys, order) if small else slice_rows(staged, keys, order, like)
+        if partitions and not small:
+            sliced = sliced.repartition(partitions, _KEY, _SLICE)
     parts = [_KEY, _SLICE] if _SLICE in sliced.columns else [_KEY]
     local = Window.partitionBy(*parts).orderBy(_POS)
     backward = Window.partitionBy(*parts).orderBy(F.col(_POS).desc()).rowsBetween(

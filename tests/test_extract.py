@@ -1,9 +1,11 @@
 import datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from pubtrack.operators import extract
+from pubtrack.operators import extract, scan
+from pubtrack.plans import catalog
 
 TITLE = "RELACIÓN DEFINITIVA DEL PERSONAL INTERINO DE SECUNDARIA Y OTROS CUERPOS PARA EL"
 LAYOUT = extract.RosterLayout(required=(TITLE, "CURSO 2026/2027"), ignored=("Nº Lista DNI Apellidos, Nombre Puntos",))
@@ -99,3 +101,26 @@ def test_marks(table):
     rows = table([(1, "X", "", " X "), (2, None, "x", None)], "id int, a string, b string, c string")
     got = {r["id"]: (r["codes"], r["rejected"]) for r in extract.unpivot_marks(rows, ["id"], ["a", "b", "c"]).collect()}
     assert got == {1: (["a", "c"], False), 2: ([], True)}
+
+
+def test_sections_on_their_pages(spark, table, tmp_path):
+    rows = [(1, 1, 9, 5.0, "A"), (1, 1, 7, 25.0, "A"), (1, 2, 5, 1.0, "R"), (1, 3, 5, 1.0, "R"), (2, 1, 1, 1.0, "R"), (2, 2, 4, None, "A"), (2, 3, 4, 50.0, "A"), (2, 4, 4, 9.0, None),
+            (2, 6, 4, 9.0, "R"), (2, 7, 4, 9.0, "R"), (None, 1, 3, 50.0, "A"), (None, 2, 3, 50.0, "R"), (3, None, 8, 50.0, "A"), (3, 1, 8, 50.0, "R")]
+    lines = table(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_returnflag string")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog.QUERIES["page_sections"](spark, str(tmp_path))
+    # A page without document or number is in no section, and starts none, as in the SQL.
+    want = {(1, 1, 7), (1, 2, None), (1, 3, None), (2, 1, None), (2, 2, None), (2, 3, 4), (2, 4, 4), (2, 6, None), (2, 7, None), (None, 1, None), (None, 2, None),
+            (3, None, None), (3, 1, None)}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    sql = duckdb.sql(catalog.ORACLES["page_sections"].replace("FROM lineitem", f"FROM '{tmp_path}/lineitem.parquet/*.parquet'")).fetchall()
+    assert set(sql) == want and len(sql) == len(want)
+
+
+def test_section_pages_follow_the_size_of_the_table(spark, monkeypatch):
+    monkeypatch.setattr(scan, "PARTITION_BYTES", 1 << 10)
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    many = scan.partitions_for(lines)
+    assert many > 4
+    plan = catalog.QUERIES["page_sections"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_key#" in plan and f", {many}), REPARTITION_BY_NUM" in plan
